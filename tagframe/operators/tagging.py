@@ -24,18 +24,24 @@ def merge_adjacent(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """T4: sorted by ``(start, pos)``; same label and ``start <= previous end + 1`` merge.
 
     The merged span ends at the end of the last span read (not the maximum end),
-    and each decision needs only the previous row in start order.
+    and each decision needs only the previous row in start order. One window
+    spec (one sort) does everything: the island's start is the start of its
+    latest break row (starts are sorted), and only the last row of each island
+    is kept, carrying the island's end.
     """
     w = Window.partitionBy(key).orderBy("start", "pos")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     brk = (F.lag("end").over(w).isNull() | (F.lag("entity").over(w) != F.col("entity"))
            | (F.col("start") > F.lag("end").over(w) + 1))
-    isl = spans.withColumn("island", F.sum(brk.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = isl.groupBy(key, "island").agg(
-        F.min("start").alias("start"),
-        F.max_by("end", F.struct("start", "pos")).alias("end"),
-        F.first("entity").alias("entity"),
-        F.count("*").alias("n_merged"))
-    return g.select(key, (F.col("island") - 1).cast("int").alias("pos"), "start", "end", "entity", "n_merged")
+    t = spans.withColumn("_brk", brk).withColumn("_rn", F.row_number().over(w))
+    t = t.select(key, "start", "end", "entity", "_brk", "_rn",
+                 F.sum(F.col("_brk").cast("int")).over(upto).alias("_island"),
+                 F.max(F.when(F.col("_brk"), F.col("start"))).over(upto).alias("_istart"),
+                 F.max(F.when(F.col("_brk"), F.col("_rn"))).over(upto).alias("_irn"),
+                 F.lead("_brk").over(w).alias("_next_brk"))
+    last = t.where(F.col("_next_brk").isNull() | F.col("_next_brk"))
+    return last.select(key, (F.col("_island") - 1).cast("int").alias("pos"), F.col("_istart").alias("start"),
+                       "end", "entity", (F.col("_rn") - F.col("_irn") + 1).cast("long").alias("n_merged"))
 
 
 def drop_overlaps(spans: DataFrame, key: str = "doc_id") -> DataFrame:

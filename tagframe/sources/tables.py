@@ -46,8 +46,10 @@ def documents_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     One shuffle of the text; every later per-document window, group and join
     on ``doc_id`` reuses this partitioning, so no token row is shuffled.
     A table stored bucketed by ``doc_id`` makes even this exchange disappear.
+    Rows without a key are dropped here, so every consumer sees the same
+    subtree and Spark reuses the one exchange.
     """
-    return documents(spark, sf_dir).repartition("doc_id")
+    return documents(spark, sf_dir).where(F.col("doc_id").isNotNull()).repartition("doc_id")
 
 
 def statements(spark: SparkSession, sf_dir: str, by_id: bool = False) -> DataFrame:
