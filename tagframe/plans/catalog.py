@@ -415,3 +415,83 @@ def q_random_baseline(spark, sf):
     test = lab.where(F.col("split") == "test").crossJoin(F.broadcast(prior))
     return test.select("doc_id", "label_binary",
                        (S.uniform("doc_id", SEED) < F.col("p1")).cast("int").alias("prediction"))
+
+
+# ---- model jobs (rows-only checks: no SQL twin) ---------------------------
+
+def _count_features(spark, sf):
+    lab = TB.labelled_ids(spark, sf)
+    feats = X.entity_features(lab.select("doc_id", "label_binary", "split"), _ents_a(spark, sf), E.TAGS_A,
+                              extra=("label_binary", "split"))
+    return R.train_full(feats), feats.where(F.col("split") == "test")
+
+
+def _count_model_preds(spark, sf, models=("logreg", "svm", "tree")):
+    from tagframe.operators import models as M
+    train, test = _count_features(spark, sf)
+    return M.fit_count_models(train, M.materialize(test), E.TAGS_A, models=models)
+
+
+@query
+def q_clf_logreg(spark, sf):
+    return _count_model_preds(spark, sf, ("logreg",))
+
+
+@query
+def q_clf_svm(spark, sf):
+    return _count_model_preds(spark, sf, ("svm",))
+
+
+@query
+def q_clf_tree(spark, sf):
+    return _count_model_preds(spark, sf, ("tree",))
+
+
+@query
+def q_model_scoreboard(spark, sf):
+    from tagframe.operators import models as M
+    preds = _count_model_preds(spark, sf).select("doc_id", "label_binary", "model", "prediction")
+    base = q_random_baseline(spark, sf).select("doc_id", "label_binary", F.lit("random").alias("model"), "prediction")
+    return M.scoreboard(preds.unionByName(base))
+
+
+def _text_splits(spark, sf, tagged: bool):
+    docs = _docs(spark, sf)
+    col = "text"
+    if tagged:
+        docs = T.tag_xml(docs, E.tag_tokens(docs)).withColumnRenamed("tagged_text", "text").drop("n_spans")
+    st = docs.join(TB.labelled_ids(spark, sf), "doc_id")
+    return R.train_full(st), st.where(F.col("split") == "test"), col
+
+
+@query
+def q_text_classifier(spark, sf):
+    from tagframe.operators import models as M
+    train, test, col = _text_splits(spark, sf, tagged=False)
+    return M.text_classifier(train, test, col, "untagged")
+
+
+@query
+def q_tag_ablation(spark, sf):
+    from tagframe.operators import models as M
+    preds = None
+    for tagged in (False, True):
+        train, test, col = _text_splits(spark, sf, tagged)
+        p = M.text_classifier(train, test, col, "tagged" if tagged else "untagged")
+        preds = p if preds is None else preds.unionByName(p)
+    return V.binary_metrics(preds)
+
+
+@query
+def q_sweep(spark, sf):
+    from tagframe.operators import models as M
+    docs = _docs(spark, sf)
+    tagged = T.tag_xml(docs, E.tag_tokens(docs)).withColumnRenamed("tagged_text", "text").drop("n_spans")
+    st = M.materialize(tagged.join(TB.labelled_ids(spark, sf), "doc_id"))
+    train, valid = st.where(F.col("split") == "train"), st.where(F.col("split") == "valid")
+    return M.sweep(train, valid, W.config_grid(spark), "text")
+
+
+@query
+def q_best_run(spark, sf):
+    return W.best_run(q_sweep(spark, sf), "f1", "name")
