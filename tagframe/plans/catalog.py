@@ -495,3 +495,18 @@ def q_sweep(spark, sf):
 @query
 def q_best_run(spark, sf):
     return W.best_run(q_sweep(spark, sf), "f1", "name")
+
+
+# ---- batched Python tagger and streaming -----------------------------------
+
+@query
+def q_tag_batched(spark, sf):
+    from tagframe.operators import batch as B
+    return B.tag_batched(TB.documents(spark, sf)).select("doc_id", "pos", "entity", "score", "word", "start", "end")
+
+
+@query
+def q_stream_tag_xml(spark, sf):
+    from tagframe.streaming import tagging as ST
+    out = ST.run_tag_xml(spark, sf)
+    return spark.read.parquet(out).select("doc_id", "tagged_text", "n_spans")

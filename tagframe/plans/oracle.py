@@ -398,4 +398,6 @@ def oracle_sql() -> dict[str, str]:
                             "FROM lab WHERE split = 'train') SELECT doc_id, label_binary, CAST(CAST(('0x' || "
                             "substr(md5(CAST(doc_id AS VARCHAR) || ':42'), 1, 8)) AS BIGINT)::DOUBLE / 4294967296.0 < p1 AS INTEGER) "
                             "AS prediction FROM lab CROSS JOIN pr WHERE split = 'test'")
+    q["tag_batched"] = q["tag_tokens"]
+    q["stream_tag_xml"] = q["tag_xml"]
     return q
