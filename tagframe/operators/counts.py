@@ -62,18 +62,21 @@ def tag_dim(spark: SparkSession, tags=TAGS_A) -> DataFrame:
     return spark.createDataFrame([(t, i) for i, t in enumerate(tags)], "entity string, tag_order int")
 
 
+def _tag_structs(tags=TAGS_A):
+    return F.array(*[F.struct(F.lit(t).alias("entity"), F.lit(i).alias("tag_order")) for i, t in enumerate(tags)])
+
+
 def zero_fill_tags(counts: DataFrame, spark: SparkSession, tags=TAGS_A, by: list[str] | None = None) -> DataFrame:
     """Align counts to the fixed tag list; missing tags get 0, other tags are dropped.
 
-    The tag dimension is a handful of rows (broadcast by construction); with
-    ``by`` columns the dimension is crossed with the distinct groups first.
+    The scaffold is the fixed tag list exploded per distinct group (no join
+    product); the counts are then left-joined to it.
     """
-    dim = F.broadcast(tag_dim(spark, tags))
     if by:
-        frame = counts.select(*by).distinct().crossJoin(dim)
+        frame = counts.select(*by).distinct().select(*by, F.inline(_tag_structs(tags)))
         on = by + ["entity"]
     else:
-        frame, on = dim, ["entity"]
+        frame, on = F.broadcast(tag_dim(spark, tags)), ["entity"]
     return frame.join(counts, on, "left").select(*on, "tag_order", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
 
 
@@ -84,10 +87,9 @@ def error_tag_counts(preds: DataFrame, ents: DataFrame, spark: SparkSession, key
     per_doc = ents.groupBy(key, "entity").agg(F.count("*").alias("c"))
     j = errs.join(per_doc, key)
     counts = j.groupBy("run", "outcome", "entity").agg(F.sum("c").cast("long").alias("n"))
-    runs = preds.select("run").distinct().crossJoin(
-        spark.createDataFrame([(o,) for o in RUN_OUTCOMES], "outcome string"))
-    dim = F.broadcast(tag_dim(spark))
-    frame = runs.crossJoin(dim)
+    frame = (preds.select("run").distinct()
+             .select("run", F.explode(F.array(*[F.lit(o) for o in RUN_OUTCOMES])).alias("outcome"))
+             .select("run", "outcome", F.inline(_tag_structs())))
     return frame.join(counts, ["run", "outcome", "entity"], "left").select(
         "run", "outcome", "entity", "tag_order", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 

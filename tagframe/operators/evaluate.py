@@ -72,9 +72,9 @@ def weighted_metrics(preds: DataFrame, by=("run",), label: str = "label_binary",
 def confusion_matrix(preds: DataFrame, spark: SparkSession, by=("run",), label: str = "label_binary",
                      prediction: str = "prediction") -> DataFrame:
     """The four cells per group, zero filled."""
-    cells = spark.createDataFrame([(1, 1), (0, 1), (1, 0), (0, 0)], f"{label} int, {prediction} int")
+    cells = F.array(*[F.struct(F.lit(y).alias(label), F.lit(p).alias(prediction)) for y, p in ((1, 1), (0, 1), (1, 0), (0, 0))])
     counts = preds.groupBy(*by, label, prediction).agg(F.count("*").alias("n"))
-    frame = preds.select(*by).distinct().crossJoin(F.broadcast(cells))
+    frame = preds.select(*by).distinct().select(*by, F.inline(cells))
     return frame.join(counts, [*by, label, prediction], "left").select(
         *by, label, prediction, L.outcome(label, prediction).alias("outcome"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -22,13 +22,25 @@ def seeded_shuffle(df: DataFrame, key: str = "doc_id", seed: int = 42) -> DataFr
     return df.withColumn("shuffle_key", shuffle_key(key, seed))
 
 
+ROWS_PER_BUCKET = 1_000_000
+
+
+def bucket_count(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Hash buckets so that no bucket holds more than about ``rows_per_bucket`` rows."""
+    n = df.count()
+    return max(1, -(-n // rows_per_bucket))
+
+
 def mini_batches(df: DataFrame, key: str = "doc_id", seed: int = 42, size: int = 8,
-                 buckets: int = 64, by=("split",)) -> DataFrame:
+                 buckets: int | None = None, by=("split",)) -> DataFrame:
     """Consecutive groups of ``size`` rows in shuffle order, numbered within hash buckets.
 
-    ``batch_id = (bucket, batch_no)``; at most one partial batch per bucket.
-    The bucket count bounds the rows any one task numbers by ``rows / buckets``.
+    ``batch_id = (bucket, batch_no)``; at most one partial batch per bucket. The
+    bucket count grows with the row count (``bucket_count``), so the rows one task
+    numbers stay bounded; up to a million rows it is one bucket, i.e. plain
+    consecutive batches in shuffle order.
     """
+    buckets = buckets or bucket_count(df)
     sk = shuffle_key(key, seed)
     b = F.conv(F.substring(sk, 1, 4), 16, 10).cast("int") % F.lit(buckets)
     t = df.withColumn("shuffle_key", sk).withColumn("bucket", b.cast("int"))
@@ -83,10 +95,13 @@ def config_grid(spark, epochs=(10, 15, 20), batch_sizes=(4, 8, 16, 32, 64),
 
     Three tiny literal tables; the 60-row product is numbered by the ordinals.
     """
-    e = spark.createDataFrame([(v, i) for i, v in enumerate(epochs)], "epochs int, e_i int")
-    b = spark.createDataFrame([(v, i) for i, v in enumerate(batch_sizes)], "batch_size int, b_i int")
-    lr = spark.createDataFrame([(float(v), i) for i, v in enumerate(lrs)], "lr double, l_i int")
-    g = e.crossJoin(b).crossJoin(lr)
+    def lst(vals, name, cast):
+        return F.array(*[F.struct(F.lit(v).cast(cast).alias(name), F.lit(i).alias(f"{name}_i"))
+                         for i, v in enumerate(vals)])
+    g = (spark.range(1).select(F.inline(lst(epochs, "epochs", "int")))
+         .select("*", F.inline(lst(batch_sizes, "batch_size", "int")))
+         .select("*", F.inline(lst(lrs, "lr", "double"))))
+    g = g.withColumnsRenamed({"epochs_i": "e_i", "batch_size_i": "b_i", "lr_i": "l_i"})
     n_b, n_l = len(batch_sizes), len(lrs)
     exp_id = F.col("e_i") * (n_b * n_l) + F.col("b_i") * n_l + F.col("l_i") + 1
     return g.select(F.concat(F.lit("exp_"), exp_id.cast("string")).alias("name"),

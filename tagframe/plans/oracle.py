@@ -366,7 +366,9 @@ def oracle_sql() -> dict[str, str]:
     q["features_aligned"] = _features("WHERE l.split = 'test'", sorted(E.TAGS_A))
     q["seeded_shuffle"] = f"WITH {LAB} SELECT doc_id, split, md5(CAST(doc_id AS VARCHAR) || ':42') AS shuffle_key FROM lab"
     q["mini_batches"] = (f"WITH {LAB}, k AS (SELECT doc_id, split, md5(CAST(doc_id AS VARCHAR) || ':42') AS sk FROM lab), "
-                         "b AS (SELECT *, CAST(CAST(('0x' || substr(sk, 1, 4)) AS INTEGER) % 64 AS INTEGER) AS bucket FROM k) "
+                         "nb AS (SELECT greatest(1, CAST(ceil(count(*) / 1000000.0) AS INTEGER)) AS nb FROM lab), "
+                         "b AS (SELECT k.*, CAST(CAST(('0x' || substr(sk, 1, 4)) AS INTEGER) % nb.nb AS INTEGER) AS bucket "
+                         "FROM k, nb) "
                          "SELECT doc_id, split, bucket, CAST(floor((row_number() OVER (PARTITION BY split, bucket "
                          "ORDER BY sk, doc_id) - 1) / 8) AS INTEGER) AS batch_no FROM b")
     q["train_full"] = f"WITH {LAB} SELECT doc_id, label_binary, split FROM lab WHERE split IN ('train', 'valid')"
