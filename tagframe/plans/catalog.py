@@ -510,3 +510,10 @@ def q_stream_tag_xml(spark, sf):
     from tagframe.streaming import tagging as ST
     out = ST.run_tag_xml(spark, sf)
     return spark.read.parquet(out).select("doc_id", "tagged_text", "n_spans")
+
+
+@query
+def q_knn_predict(spark, sf):
+    from tagframe.operators import knn as K
+    train, test = _count_features(spark, sf)
+    return K.knn_predict(train, test, E.TAGS_A, k=10)

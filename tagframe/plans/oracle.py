@@ -400,6 +400,28 @@ def oracle_sql() -> dict[str, str]:
                             "FROM lab WHERE split = 'train') SELECT doc_id, label_binary, CAST(CAST(('0x' || "
                             "substr(md5(CAST(doc_id AS VARCHAR) || ':42'), 1, 8)) AS BIGINT)::DOUBLE / 4294967296.0 < p1 AS INTEGER) "
                             "AS prediction FROM lab CROSS JOIN pr WHERE split = 'test'")
+    cols = list(E.TAGS_A)
+    fsel = ", ".join(f'CAST(COALESCE(c."{v}", 0) AS BIGINT) AS "{v}"' for v in cols)
+    piv = ", ".join(f'sum(CASE WHEN entity = \'{v}\' THEN 1 ELSE 0 END) AS "{v}"' for v in cols)
+    qv = ", ".join(f'q."{v}"' for v in cols)
+    tvs = ", ".join(f't."{v}" AS "t_{v}"' for v in cols)
+    d2 = " + ".join(f'(q."{v}" - t."{v}") * (q."{v}" - t."{v}")' for v in cols)
+    qpart = ", ".join(f'"{v}"' for v in cols)
+    tord = ", ".join(f'"t_{v}"' for v in cols)
+    on = " AND ".join(f'f."{v}" = v."{v}"' for v in cols)
+    q["knn_predict"] = (
+        f"WITH {LAB}, {ENTS_A}, cnt AS (SELECT doc_id, {piv} FROM ents_a GROUP BY doc_id), "
+        f"feats AS (SELECT l.doc_id, l.label_binary, l.split, {fsel} FROM lab l LEFT JOIN cnt c ON c.doc_id = l.doc_id), "
+        f"tv AS (SELECT {qpart}, sum(CASE WHEN label_binary = 0 THEN 1 ELSE 0 END) AS n0, "
+        f"sum(CASE WHEN label_binary = 1 THEN 1 ELSE 0 END) AS n1 FROM feats WHERE split IN ('train', 'valid') GROUP BY ALL), "
+        f"qv AS (SELECT DISTINCT {qpart} FROM feats WHERE split = 'test'), "
+        f"pairs AS (SELECT {qv}, {tvs}, {d2} AS d2, t.n0, t.n1 FROM qv q CROSS JOIN tv t), "
+        f"ranked AS (SELECT *, COALESCE(sum(n0 + n1) OVER (PARTITION BY {qpart} ORDER BY d2, {tord} "
+        f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pairs), "
+        f"alloc AS (SELECT *, greatest(0, least(n0 + n1, 10 - before)) AS take FROM ranked), "
+        f"votes AS (SELECT {qpart}, sum(least(n0, take)) AS v0, sum(take - least(n0, take)) AS v1 FROM alloc GROUP BY ALL) "
+        f"SELECT f.doc_id, f.label_binary, CASE WHEN v.v1 > v.v0 THEN 1 ELSE 0 END AS prediction "
+        f"FROM feats f JOIN votes v ON {on} WHERE f.split = 'test'")
     q["tag_batched"] = q["tag_tokens"]
     q["stream_tag_xml"] = q["tag_xml"]
     return q
