@@ -6,8 +6,8 @@ width ``r + 1`` every train vector within L-infinity distance ``r`` of a test
 vector sits in one of the 3^d cells around it. A test vector is resolved at
 radius ``r`` once at least ``k`` training rows lie within L2 distance ``r``:
 any vector outside the box is farther than ``r``, so the k nearest are all
-candidates. Unresolved vectors retry with a doubled radius; the loop runs at
-most ``log2(range) + 2`` rounds (driver loop over rounds, never over rows).
+candidates. Unresolved vectors retry with a 4× radius; the loop runs at
+most ``log4(range) + 2`` rounds (driver loop over rounds, never over rows).
 
 Vote: neighbours in order of (squared distance, vector); a vector contributes
 ``min(rows, k - rows before it)`` rows, class 0 rows first; class 1 wins only
@@ -63,14 +63,14 @@ def knn_vector_votes(train: DataFrame, test: DataFrame, cols, k: int = 10) -> Da
         votes = ok.withColumn("_take", take).groupBy(*qkey).agg(
             F.sum(F.least(F.col("n0"), F.col("_take"))).alias("v0"),
             F.sum(F.col("_take") - F.least(F.col("n0"), F.col("_take"))).alias("v1"))
-        votes = materialize(votes)
+        votes = votes.cache()  # recomputable from the checkpointed pending set
         done = votes if done is None else done.unionByName(votes)
         if final:
             break
         pending = materialize(pending.join(votes.select(*qkey), qkey, "left_anti"))
         if pending.isEmpty():
             break
-        r = 1 if r == 0 else 2 * r
+        r = 1 if r == 0 else 4 * r
     return done.select(*[F.col(f"q_{c}").alias(c) for c in cols], "v0", "v1",
                        F.when(F.col("v1") > F.col("v0"), F.lit(1)).otherwise(F.lit(0)).alias("prediction"))
 
