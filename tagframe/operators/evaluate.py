@@ -2,10 +2,9 @@
 
 One ``groupBy`` computes TP/FP/FN/TN for every run at once; metrics are
 column expressions over those four counts. The ROC is exact and distributed:
-points are aggregated per distinct score, scores are cut into a bounded
-number of range buckets, bucket totals give each bucket's starting offset
-(a table of at most ``buckets`` rows per run, broadcast), and the running
-sums are windows within one (run, bucket).
+points are aggregated per distinct score, range-partitioned by score (sampled,
+balanced bounds), range totals give each range's starting offset, and the
+running sums are windows within one range.
 """
 
 from __future__ import annotations
@@ -81,26 +80,30 @@ def confusion_matrix(preds: DataFrame, spark: SparkSession, by=("run",), label:
 
 
 def roc_curve(preds: DataFrame, score: str = "confidence", by=("run",), label: str = "label_binary",
-              buckets: int = 1024) -> DataFrame:
+              buckets: int | None = None) -> DataFrame:
     """One point per distinct score in descending order: cumulative TP/FP, TPR, FPR.
 
-    Exact for any number of distinct scores; no task holds more than one bucket of them.
+    Exact for any number of distinct scores and any score distribution: the
+    distinct points are range-partitioned by (group, score desc) with Spark's
+    sampled range bounds (balanced by construction), each range's totals form
+    a table of at most ``buckets`` rows per group whose running sum gives the
+    range's starting offset (broadcast), and the running sums are windows
+    within one range.
     """
     by = list(by)
+    spark = preds.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     pts = preds.groupBy(*by, F.col(score).alias("score")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("dtp"),
         F.sum((F.col(label) == 0).cast("long")).alias("dfp"))
-    rng = pts.groupBy(*by).agg(F.min("score").alias("lo"), F.max("score").alias("hi"),
-                               F.sum("dtp").alias("P"), F.sum("dfp").alias("N"))
-    width = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))
-    # bucket 0 holds the highest scores so that descending score = ascending bucket
-    b = (F.lit(buckets - 1) - F.least(F.floor((F.col("score") - F.col("lo")) / width * buckets),
-                                      F.lit(buckets - 1))).cast("int")
-    pts = pts.join(F.broadcast(rng), by).withColumn("bucket", b)
+    pts = pts.repartitionByRange(n, *by, F.desc("score")).withColumn("bucket", F.spark_partition_id())
     tot = pts.groupBy(*by, "bucket").agg(F.sum("dtp").alias("btp"), F.sum("dfp").alias("bfp"))
-    wb = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*by, "bucket", F.coalesce(F.sum("btp").over(wb), F.lit(0)).alias("otp"),
-                     F.coalesce(F.sum("bfp").over(wb), F.lit(0)).alias("ofp"))
+    wb = Window.partitionBy(*by).orderBy("bucket")
+    off = tot.select(*by, "bucket",
+                     F.coalesce(F.sum("btp").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("otp"),
+                     F.coalesce(F.sum("bfp").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ofp"),
+                     F.sum("btp").over(Window.partitionBy(*by)).alias("P"),
+                     F.sum("bfp").over(Window.partitionBy(*by)).alias("N"))
     pts = pts.join(F.broadcast(off), [*by, "bucket"])
     w = Window.partitionBy(*by, "bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     pts = pts.select(*by, "score", "P", "N", "dtp", "dfp",
