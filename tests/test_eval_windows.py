@@ -128,3 +128,27 @@ def test_run_record_append(spark, tmp_path):
     files.append_run_record(spark, out, {"epochs": 7, "lr": 3e-5}, m.withColumn("run", F.lit("noxml")))
     back = spark.read.parquet(out)
     assert back.count() == 2 and set(back.columns) >= {"run", "epochs", "lr", "f1"}
+
+
+def test_literal_table_melt_and_percent(spark):
+    from tagframe.operators import reshape as R
+    t = R.literal_table(spark, {"model": ["Random Baseline", "LogReg"], "accuracy": [53.31, 61.76],
+                                "f1": [44.89, 61.20]})
+    long = R.metrics_long(t, ["model"], ["accuracy", "f1"], "metric", "percentage")
+    got = {(r.model, r.metric): r.percentage for r in long.collect()}
+    assert got == {("Random Baseline", "accuracy"): 53.31, ("Random Baseline", "f1"): 44.89,
+                   ("LogReg", "accuracy"): 61.76, ("LogReg", "f1"): 61.20}
+    wide = {r.model: (r.accuracy, r.f1) for r in R.metrics_wide(long, "model", ["accuracy", "f1"], "metric", "percentage").collect()}
+    assert wide["LogReg"] == (61.76, 61.20)
+    p = R.as_percent(spark.createDataFrame([(0.67034,)], "accuracy double"), ["accuracy"]).first()
+    assert p.accuracy == 67.03
+
+
+def test_write_csv_round_trip(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from tagframe.sources import files
+    df = spark.createDataFrame([(1, "a, \"b\"", [1, 2])], "id int, text string, xs array<int>")
+    out = str(tmp_path / "csv")
+    files.write_table(df, out, fmt="csv")
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(out).first()
+    assert back.text == 'a, "b"' and back.xs == "[1,2]"
