@@ -47,6 +47,17 @@ def _ents_a(spark, sf):
     return E.tag_tokens(_docs(spark, sf))
 
 
+def _labelled_docs(spark, sf):
+    """Only documents that carry a label: the semi join runs right after the
+    document exchange (keeping its partitioning), so unlabelled text is never tagged."""
+    keys = TB.table(spark, sf, "labels").select("doc_id")
+    return _docs(spark, sf).join(keys, "doc_id", "left_semi")
+
+
+def _labelled_ents_a(spark, sf):
+    return E.tag_tokens(_labelled_docs(spark, sf))
+
+
 def _ents_b(spark, sf):
     return E.tag_phrases(_docs(spark, sf))
 
@@ -288,7 +299,7 @@ def q_class_priors(spark, sf):
 
 
 def _word_counts(spark, sf):
-    docs = _docs(spark, sf)
+    docs = _labelled_docs(spark, sf)
     return A.word_entity_counts(E.tag_all(docs), TB.labelled_ids(spark, sf))
 
 
@@ -314,12 +325,12 @@ def q_tags_zero_filled(spark, sf):
 
 @query
 def q_error_tag_counts(spark, sf):
-    return A.error_tag_counts(TB.predictions(spark, sf), _ents_a(spark, sf), spark)
+    return A.error_tag_counts(TB.predictions(spark, sf), _labelled_ents_a(spark, sf), spark)
 
 
 @query
 def q_run_comparison(spark, sf):
-    return A.run_comparison(A.error_tag_counts(TB.predictions(spark, sf), _ents_a(spark, sf), spark))
+    return A.run_comparison(A.error_tag_counts(TB.predictions(spark, sf), _labelled_ents_a(spark, sf), spark))
 
 
 @query
@@ -329,13 +340,13 @@ def q_entity_pivot(spark, sf):
 
 @query
 def q_entity_features(spark, sf):
-    return X.entity_features(TB.labelled_ids(spark, sf), _ents_a(spark, sf), E.TAGS_A)
+    return X.entity_features(TB.labelled_ids(spark, sf), _labelled_ents_a(spark, sf), E.TAGS_A)
 
 
 @query
 def q_features_aligned(spark, sf):
     lab = TB.labelled_ids(spark, sf)
-    ents = _ents_a(spark, sf)
+    ents = _labelled_ents_a(spark, sf)
     train_vocab = X.vocabulary(ents.join(lab.where(F.col("split") == "train").select("doc_id"), "doc_id"))
     return X.entity_features(lab.where(F.col("split") == "test"), ents, train_vocab)
 
@@ -421,7 +432,7 @@ def q_random_baseline(spark, sf):
 
 def _count_features(spark, sf):
     lab = TB.labelled_ids(spark, sf)
-    feats = X.entity_features(lab.select("doc_id", "label_binary", "split"), _ents_a(spark, sf), E.TAGS_A,
+    feats = X.entity_features(lab.select("doc_id", "label_binary", "split"), _labelled_ents_a(spark, sf), E.TAGS_A,
                               extra=("label_binary", "split"))
     return R.train_full(feats), feats.where(F.col("split") == "test")
 
@@ -456,7 +467,7 @@ def q_model_scoreboard(spark, sf):
 
 
 def _text_splits(spark, sf, tagged: bool):
-    docs = _docs(spark, sf)
+    docs = _labelled_docs(spark, sf)
     col = "text"
     if tagged:
         docs = T.tag_xml(docs, E.tag_tokens(docs)).withColumnRenamed("tagged_text", "text").drop("n_spans")
@@ -485,7 +496,7 @@ def q_tag_ablation(spark, sf):
 @query
 def q_sweep(spark, sf):
     from tagframe.operators import models as M
-    docs = _docs(spark, sf)
+    docs = _labelled_docs(spark, sf)
     tagged = T.tag_xml(docs, E.tag_tokens(docs)).withColumnRenamed("tagged_text", "text").drop("n_spans")
     st = M.materialize(tagged.join(TB.labelled_ids(spark, sf), "doc_id"))
     train, valid = st.where(F.col("split") == "train"), st.where(F.col("split") == "valid")
