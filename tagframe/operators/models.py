@@ -166,3 +166,36 @@ def sweep(train: DataFrame, valid: DataFrame, grid: DataFrame, col: str, key: st
         union = union.unionByName(p)
     m = V.binary_metrics(union, by=("run",))
     return grid.join(m.withColumnRenamed("run", "name"), "name")
+
+
+def training_log(train: DataFrame, valid: DataFrame, col: str, run: str, max_epochs: int = 10,
+                 key: str = "doc_id", parallelism: int = 8, **params) -> DataFrame:
+    """M8 training log in the shape of a per-event log: for epoch ``e`` (= ``maxIter e``)
+    one train event with the final objective and one eval event with validation
+    metrics. Refits run on cached features through a thread pool; predictions of
+    all epochs are scored with one ``groupBy(epoch)``.
+    """
+    spark = train.sparkSession
+    train, valid = materialize(train), materialize(valid)
+
+    def fit(e: int):
+        model = text_pipeline(col, max_iter=e, **params).fit(train)
+        hist = model.stages[-1].summary.objectiveHistory
+        p1 = F.element_at(vector_to_array("probability"), 2)
+        preds = model.transform(valid).select(F.lit(e).alias("epoch"), LABEL, S.threshold_class(p1).alias("prediction"))
+        return e, float(hist[-1]) if hist else None, preds
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        results = list(pool.map(fit, range(1, max_epochs + 1)))
+    union = results[0][2]
+    for _, _, p in results[1:]:
+        union = union.unionByName(p)
+    m = V.binary_metrics(union, by=("epoch",))
+    losses = spark.createDataFrame([(e, loss) for e, loss, _ in results], "epoch int, loss double")
+    train_ev = losses.select(F.lit(run).alias("run"), (F.col("epoch") * 2 - 1).cast("long").alias("event_no"),
+                             F.col("epoch").cast("double").alias("epoch"), "loss",
+                             *[F.lit(None).cast("double").alias(f"eval_{c}") for c in ("accuracy", "f1", "precision", "recall")])
+    eval_ev = m.select(F.lit(run).alias("run"), (F.col("epoch") * 2).cast("long").alias("event_no"),
+                       F.col("epoch").cast("double").alias("epoch"), F.lit(None).cast("double").alias("loss"),
+                       *[F.col(c).alias(f"eval_{c}") for c in ("accuracy", "f1", "precision", "recall")])
+    return train_ev.unionByName(eval_ev)

@@ -528,3 +528,32 @@ def q_knn_predict(spark, sf):
     from tagframe.operators import knn as K
     train, test = _count_features(spark, sf)
     return K.knn_predict(train, test, E.TAGS_A, k=10)
+
+
+# ---- training log, per-epoch stats and early stopping (rows-only) ----------
+
+LOG_EPOCHS = 10
+
+
+def _training_log(spark, sf):
+    from tagframe.operators import models as M
+    docs = _labelled_docs(spark, sf)
+    st = M.materialize(docs.join(TB.labelled_ids(spark, sf), "doc_id"))
+    return M.training_log(st.where(F.col("split") == "train"), st.where(F.col("split") == "valid"),
+                          "text", "untagged", max_epochs=LOG_EPOCHS)
+
+
+@query
+def q_training_log(spark, sf):
+    return _training_log(spark, sf)
+
+
+@query
+def q_epoch_stats(spark, sf):
+    return W.epoch_stats(_training_log(spark, sf), metrics=("loss", "eval_f1", "eval_accuracy"))
+
+
+@query
+def q_early_stop(spark, sf):
+    stats = W.epoch_stats(_training_log(spark, sf), metrics=("loss", "eval_f1"))
+    return W.early_stop(stats.withColumn("max_epochs", F.lit(float(LOG_EPOCHS))), metric="eval_f1")

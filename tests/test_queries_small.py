@@ -55,4 +55,4 @@ def test_every_query_has_sql_or_is_model(spark):
     q, s = entry_mod.queries(), entry_mod.oracle_sql()
     rows_only = set(q) - set(s)
     assert rows_only <= {"clf_logreg", "clf_svm", "clf_tree", "model_scoreboard", "text_classifier",
-                         "tag_ablation", "sweep", "best_run"}
+                         "tag_ablation", "sweep", "best_run", "training_log", "epoch_stats", "early_stop"}
