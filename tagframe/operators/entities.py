@@ -38,6 +38,14 @@ WORDPIECE_MARK = "##"
 PIECE_LEN = 6
 
 
+def _may_match(word: Column) -> Column:
+    """Exact cheap pre-check: every token rule needs an ASCII upper-case letter or a
+    digit first, or an ``@`` (e-mail); most tokens fail it and skip the regexes."""
+    first = F.substring(word, 1, 1)
+    return (((first >= F.lit("A")) & (first <= F.lit("Z"))) | ((first >= F.lit("0")) & (first <= F.lit("9")))
+            | (F.instr(word, "@") > 0))
+
+
 def _rule_case(word: Column) -> Column:
     """First matching token rule as ``struct(entity, score)``; null when no rule matches."""
     expr = None
@@ -45,7 +53,7 @@ def _rule_case(word: Column) -> Column:
         cond = word.rlike(pattern)
         value = F.struct(F.lit(name).alias("entity"), F.lit(score).cast("double").alias("score"))
         expr = F.when(cond, value) if expr is None else expr.when(cond, value)
-    return expr
+    return F.when(_may_match(word), expr)
 
 
 def tag_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
