@@ -1,7 +1,8 @@
 """Entity extraction (native rule taggers), sub-word merging and cleaning.
 
 Long form is canonical: ``(doc_id, tagger, pos, entity, score, word, start, end)``,
-one row per entity, ``pos`` is the position in the tagger's list. Every
+one row per entity, ``pos`` is the position in the tagger's list (the token
+tagger adds UTF-8 byte offsets ``bstart``/``bend`` of the same spans). Every
 per-document step is a window or group keyed by ``doc_id``; when the input is
 hash-partitioned by ``doc_id`` (``sources.tables.documents_by_id``) none of
 them adds an exchange.
@@ -63,16 +64,21 @@ def tag_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     not the word, travels through the per-document sort.
     """
     tok = docs.select(key, F.posexplode(F.split(F.col(text), " ", -1)).alias("pos", "word"))
-    tok = tok.select(key, "pos", F.length("word").alias("len"), _rule_case(F.col("word")).alias("rule"), "word")
-    tok = tok.select(key, "pos", "len", F.col("rule.entity").alias("entity"), F.col("rule.score").alias("score"), "word")
-    tok = tok.select(key, "pos", "len", "entity", "score",
+    tok = tok.select(key, "pos", F.length("word").alias("len"), F.octet_length("word").alias("blen"),
+                     _rule_case(F.col("word")).alias("rule"), "word")
+    tok = tok.select(key, "pos", "len", "blen", F.col("rule.entity").alias("entity"),
+                     F.col("rule.score").alias("score"), "word")
+    tok = tok.select(key, "pos", "len", "blen", "entity", "score",
                      F.when(F.col("entity").isNotNull(), F.col("word")).alias("word"))
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    tok = tok.withColumn("start", F.coalesce(F.sum(F.col("len") + 1).over(w), F.lit(0)).cast("int"))
+    # code-point offsets, plus UTF-8 byte offsets for linear cutting at insertion time (same window)
+    tok = tok.withColumn("start", F.coalesce(F.sum(F.col("len") + 1).over(w), F.lit(0)).cast("int")) \
+             .withColumn("bstart", F.coalesce(F.sum(F.col("blen") + 1).over(w), F.lit(0)).cast("int"))
     ents = tok.where(F.col("entity").isNotNull())
     return ents.select(key, F.lit("A").alias("tagger"), F.col("pos").cast("int").alias("pos"), "entity",
                        F.col("score").cast("double").alias("score"), "word", "start",
-                       (F.col("start") + F.col("len")).cast("int").alias("end"))
+                       (F.col("start") + F.col("len")).cast("int").alias("end"),
+                       "bstart", (F.col("bstart") + F.col("blen")).cast("int").alias("bend"))
 
 
 def phrase_pattern() -> str:
@@ -89,7 +95,8 @@ def tag_phrases(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         label = F.when(cond, F.lit(name)) if label is None else label.when(cond, F.lit(name))
     return m.select(key, F.lit("B").alias("tagger"), F.col("pos").cast("int").alias("pos"),
                     label.alias("entity"), F.lit(None).cast("double").alias("score"), "word",
-                    F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+                    F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"),
+                    F.lit(None).cast("int").alias("bstart"), F.lit(None).cast("int").alias("bend"))
 
 
 def tag_all(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -33,15 +33,22 @@ def merge_adjacent(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     brk = (F.lag("end").over(w).isNull() | (F.lag("entity").over(w) != F.col("entity"))
            | (F.col("start") > F.lag("end").over(w) + 1))
+    has_bytes = _has_bytes(spans)
     t = spans.withColumn("_brk", brk).withColumn("_rn", F.row_number().over(w))
-    t = t.select(key, "start", "end", "entity", "_brk", "_rn",
+    t = t.select(key, "start", "end", "entity", "_brk", "_rn", *(["bend"] if has_bytes else []),
                  F.sum(F.col("_brk").cast("int")).over(upto).alias("_island"),
                  F.max(F.when(F.col("_brk"), F.col("start"))).over(upto).alias("_istart"),
+                 *([F.max(F.when(F.col("_brk"), F.col("bstart"))).over(upto).alias("_ibstart")] if has_bytes else []),
                  F.max(F.when(F.col("_brk"), F.col("_rn"))).over(upto).alias("_irn"),
                  F.lead("_brk").over(w).alias("_next_brk"))
     last = t.where(F.col("_next_brk").isNull() | F.col("_next_brk"))
     return last.select(key, (F.col("_island") - 1).cast("int").alias("pos"), F.col("_istart").alias("start"),
-                       "end", "entity", (F.col("_rn") - F.col("_irn") + 1).cast("long").alias("n_merged"))
+                       "end", "entity", (F.col("_rn") - F.col("_irn") + 1).cast("long").alias("n_merged"),
+                       *([F.col("_ibstart").alias("bstart"), "bend"] if has_bytes else []))
+
+
+def _has_bytes(spans: DataFrame) -> bool:
+    return "bstart" in spans.columns and "bend" in spans.columns
 
 
 def drop_overlaps(spans: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -59,6 +66,8 @@ def insert_tags(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: st
     Spans must be disjoint (see ``drop_overlaps``). The spans of one document are
     collected once, sorted, and the text is cut into ``gap + tagged span`` pieces.
     """
+    if _has_bytes(spans):
+        return _insert_bytes(docs, spans, key, text, out)
     per_doc = spans.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "entity"))).alias("sp"))
     j = docs.select(key, text).join(per_doc, key, "left")
@@ -75,17 +84,47 @@ def insert_tags(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: st
                     F.size(sp).alias("n_spans"))
 
 
+def _insert_bytes(docs: DataFrame, spans: DataFrame, key: str, text: str, out: str) -> DataFrame:
+    """Insertion when spans also carry UTF-8 byte offsets: the text is encoded once
+    and every piece is a byte-range copy, so a document costs O(length + spans)
+    instead of a code-point walk from the start for every span."""
+    per_doc = spans.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("start", "end", "entity", "bstart", "bend"))).alias("sp"))
+    # encoded below the join so the lambdas see a plain attribute
+    j = docs.select(key, text, F.encode(F.col(text), "UTF-8").alias("_tb")).join(per_doc, key, "left")
+    sp = F.coalesce(F.col("sp"), F.array().cast(
+        "array<struct<start:int,end:int,entity:string,bstart:int,bend:int>>"))
+    prev_end = F.concat(F.array(F.lit(0)), F.transform(sp, lambda s: s["bend"]))
+    tb = F.col("_tb")
+
+    def cut(pos, length):
+        return F.decode(F.substring(tb, pos, length), "UTF-8")
+
+    pieces = F.zip_with(sp, F.slice(prev_end, 1, F.size(sp)), lambda s, pe: F.concat(
+        cut(pe + 1, s["bstart"] - pe),
+        F.lit("<"), s["entity"], F.lit(">"),
+        cut(s["bstart"] + 1, s["bend"] - s["bstart"]),
+        F.lit("</"), s["entity"], F.lit(">")))
+    tail = cut(F.element_at(prev_end, -1) + 1, F.lit(2147483647))
+    tagged = F.when(F.col("sp").isNull(), F.col(text)).otherwise(F.concat(F.array_join(pieces, ""), tail))
+    return j.select(key, tagged.alias(out), F.size(sp).alias("n_spans"))
+
+
+def _span_cols(ents: DataFrame, key: str) -> list[str]:
+    return [key, "pos", "start", "end", "entity"] + (["bstart", "bend"] if _has_bytes(ents) else [])
+
+
 def tag_inline_tokens(docs: DataFrame, ents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """T1 (tag_A_entities): every valid token span tagged, label case kept, no merging."""
-    spans = E.valid_entities(ents).select(key, "pos", "start", "end", "entity")
+    spans = E.valid_entities(ents).select(*_span_cols(ents, key))
     return insert_tags(docs, drop_overlaps(spans, key), key, text)
 
 
 def tag_xml(docs: DataFrame, ents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """T6 (insert_xml on given offsets): merge adjacent spans, lower-case labels, insert."""
-    spans = E.valid_entities(ents).select(key, "pos", "start", "end", "entity")
+    spans = E.valid_entities(ents).select(*_span_cols(ents, key))
     merged = merge_adjacent(drop_overlaps(spans, key), key)
-    merged = merged.select(key, "pos", "start", "end", F.lower("entity").alias("entity"))
+    merged = merged.withColumn("entity", F.lower("entity")).drop("n_merged")
     return insert_tags(docs, merged, key, text)
 
 

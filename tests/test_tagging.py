@@ -117,3 +117,16 @@ def test_label_vocab_and_tokenize(spark):
     df = spark.createDataFrame([(0, "<per>Joe</per> ran!")], "doc_id long, t string")
     r = T.tokenize_pad(df, "t", 6).first()
     assert r.tokens == ["<per>", "joe", "</per>", "ran", "!", "[PAD]"] and r.mask == [1, 1, 1, 1, 1, 0]
+
+
+def test_byte_and_codepoint_insertion_agree(spark):
+    texts = ["Émile met Zoë in Austria 😀 NASA 42", "ça  Béatrice ORG\nLine Paris", "", "😀😀 Bob Bob ÉÉ Ann"]
+    docs = _docs(spark, texts)
+    ents = E.tag_tokens(docs)
+    assert "bstart" in ents.columns
+    fast = {r.doc_id: (r.tagged_text, r.n_spans) for r in T.tag_xml(docs, ents).collect()}
+    slow = {r.doc_id: (r.tagged_text, r.n_spans) for r in T.tag_xml(docs, ents.drop("bstart", "bend")).collect()}
+    assert fast == slow
+    t1 = {r.doc_id: r.tagged_text for r in T.tag_inline_tokens(docs, ents).collect()}
+    t2 = {r.doc_id: r.tagged_text for r in T.tag_inline_tokens(docs, ents.drop("bstart", "bend")).collect()}
+    assert t1 == t2 and fast[3][0] == "😀😀 <per>Bob Bob</per> ÉÉ <per>Ann</per>"
