@@ -67,3 +67,20 @@ def test_literal_round_trip(spark):
     p = LIT.parse_entities(df, "raw", mode="raise")
     back = p.select(LIT.to_literal("entities").alias("t")).first().t
     assert back == df.first().raw
+
+
+def test_read_tagged_csv(spark, tmp_path):
+    from tagframe.sources import files
+    p = tmp_path / "tagged.csv"
+    p.write_text(
+        "statement,label,label_binary,A_raw_entities,B_raw_entities\n"
+        "\"Ann Lee's dog, Rex\",5,1,\"[{'entity': 'PER', 'score': 0.99, 'index': 1, 'word': 'ĠAnn', 'start': 0, 'end': 3}]\","
+        "\"[{'word': \"\"Ann Lee's\"\", 'entity': 'PERSON'}]\"\n"
+        "plain,1,0,[],[]\n"
+        "bad,0,0,not a list,[]\n")
+    df = files.read_tagged(spark, str(p), mode="keep").collect()
+    assert df[0].statement == "Ann Lee's dog, Rex" and df[0].label_binary == 1
+    assert df[0].A_raw_entities_parsed[0]["word"] == "ĠAnn"
+    assert df[0].B_raw_entities_parsed[0]["word"] == "Ann Lee's"
+    assert df[1].A_raw_entities_parsed == [] and df[2].A_raw_entities_parsed is None
+    assert files.read_tagged(spark, str(p), mode="skip").count() == 2
