@@ -132,9 +132,24 @@ def q_label_map(spark, sf):
     return TB.labelled_ids(spark, sf).select("doc_id", m["1"].alias("cat_1"), m["0"].alias("cat_0"))
 
 
+MAX_FETCH_KEYS = 10_000
+
+
+def _fetch_docs(spark, sf, keys: DataFrame) -> DataFrame:
+    """Text of a bounded key set: the keys become a pushed-down IN filter on the
+    document scan (row groups outside the key range are skipped)."""
+    ids = [r[0] for r in keys.select("doc_id").distinct().limit(MAX_FETCH_KEYS + 1).collect()]
+    if len(ids) > MAX_FETCH_KEYS:
+        raise ValueError("key set too large to fetch by value; join instead")
+    return TB.documents(spark, sf).where(F.col("doc_id").isin(ids))
+
+
 @query
 def q_preview(spark, sf):
-    return TB.statements(spark, sf).select("doc_id", "label_binary", "text").orderBy("doc_id").limit(PREVIEW_N)
+    """First rows by key: the top keys come from the small label table, then only
+    their text is read."""
+    first = TB.labelled_ids(spark, sf).select("doc_id", "label_binary").orderBy("doc_id").limit(PREVIEW_N)
+    return first.join(_fetch_docs(spark, sf, first), "doc_id").select("doc_id", "label_binary", "text")
 
 
 @query
@@ -158,9 +173,8 @@ def q_error_sample(spark, sf):
     from pyspark.sql import Window
     p = TB.predictions(spark, sf).where(F.col("prediction") != F.col("label_binary"))
     w = Window.partitionBy("run").orderBy("doc_id")
-    s = p.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= ERROR_SAMPLE_N)
-    docs = TB.documents(spark, sf)
-    return s.join(docs, "doc_id").select("run", "doc_id", "text", "prediction", "label_binary")
+    s = p.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= ERROR_SAMPLE_N).cache()
+    return s.join(_fetch_docs(spark, sf, s), "doc_id").select("run", "doc_id", "text", "prediction", "label_binary")
 
 
 @query
