@@ -6,8 +6,9 @@ width ``r + 1`` every train vector within L-infinity distance ``r`` of a test
 vector sits in one of the 3^d cells around it. A test vector is resolved at
 radius ``r`` once at least ``k`` training rows lie within L2 distance ``r``:
 any vector outside the box is farther than ``r``, so the k nearest are all
-candidates. Unresolved vectors retry with a 4× radius; the loop runs at
-most ``log4(range) + 2`` rounds (driver loop over rounds, never over rows).
+candidates. Unresolved vectors retry with an 8× radius (capped at the data
+span); the loop runs at most ``log8(range) + 2`` rounds (driver loop over
+rounds, never over rows).
 
 Vote: neighbours in order of (squared distance, vector); a vector contributes
 ``min(rows, k - rows before it)`` rows, class 0 rows first; class 1 wins only
@@ -22,6 +23,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LABEL = "label_binary"
+# Probe schedule: radius 2, then x8, capped at the data span (the last round takes everything left).
+FIRST_RADIUS = 2
+GROWTH = 8
 
 
 def _cells(cols, width, prefix=""):
@@ -41,7 +45,7 @@ def knn_vector_votes(train: DataFrame, test: DataFrame, cols, k: int = 10) -> Da
     offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product((-1, 0, 1), repeat=len(cols))])
     q_cols = [F.col(c).alias(f"q_{c}") for c in cols]
     pending = materialize(qv.select(*q_cols))
-    done, r = None, 0
+    done, r = None, min(FIRST_RADIUS, span)
     while True:
         width, final = r + 1, r >= span
         tcell = tv.select(*cols, "n0", "n1", *_cells(cols, width))
@@ -70,7 +74,7 @@ def knn_vector_votes(train: DataFrame, test: DataFrame, cols, k: int = 10) -> Da
         pending = materialize(pending.join(votes.select(*qkey), qkey, "left_anti"))
         if pending.isEmpty():
             break
-        r = 1 if r == 0 else 4 * r
+        r = min(r * GROWTH, span)
     return done.select(*[F.col(f"q_{c}").alias(c) for c in cols], "v0", "v1",
                        F.when(F.col("v1") > F.col("v0"), F.lit(1)).otherwise(F.lit(0)).alias("prediction"))
 
