@@ -64,9 +64,13 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
 
 
 def append_run_record(spark: SparkSession, path: str, config: dict, metrics: DataFrame) -> None:
-    """One row per run = config literals + metric columns, appended under ``run=``."""
+    """One row per run = config literals + metric columns, stored under ``run=``.
+
+    Dynamic partition overwrite replaces only the partitions of the runs being
+    written, so a retried job leaves one record per run instead of appending twice.
+    """
     rec = metrics.withColumns({k: F.lit(v) for k, v in config.items()})
-    rec.write.mode("append").partitionBy("run").parquet(path)
+    rec.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
 def read_sweep_results(spark: SparkSession, glob: str) -> DataFrame:

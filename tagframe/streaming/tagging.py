@@ -43,9 +43,10 @@ def run_tag_xml(spark: SparkSession, src: str, out: str | None = None) -> str:
     run_dir = out or os.path.join(base, f"stream-tag-xml-{uuid.uuid4().hex}")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
+        # a replayed batch overwrites its own folder: the sink stays exactly-once
         docs = batch.select("doc_id", "text").where(F.col("doc_id").isNotNull()).repartition("doc_id")
-        T.tag_xml(docs, E.tag_tokens(docs)).withColumn("batch_id", F.lit(batch_id)) \
-            .write.mode("append").parquet(os.path.join(run_dir, "data"))
+        T.tag_xml(docs, E.tag_tokens(docs)) \
+            .write.mode("overwrite").parquet(os.path.join(run_dir, "data", f"batch_id={batch_id}"))
 
     q = (document_stream(spark, src).writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", os.path.join(run_dir, "_checkpoint"))

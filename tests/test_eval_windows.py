@@ -152,3 +152,13 @@ def test_write_csv_round_trip(spark, tmp_path):
     files.write_table(df, out, fmt="csv")
     back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(out).first()
     assert back.text == 'a, "b"' and back.xs == "[1,2]"
+
+
+def test_run_record_is_idempotent(spark, tmp_path):
+    from tagframe.sources import files
+    m = spark.createDataFrame([("xml", 0.69)], "run string, f1 double")
+    out = str(tmp_path / "runs2")
+    for _ in range(2):  # a retried write
+        files.append_run_record(spark, out, {"epochs": 7}, m)
+    files.append_run_record(spark, out, {"epochs": 7}, m.withColumn("run", F.lit("noxml")))
+    assert sorted(r.run for r in spark.read.parquet(out).collect()) == ["noxml", "xml"]
