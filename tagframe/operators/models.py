@@ -117,28 +117,44 @@ def scoreboard(predictions: DataFrame) -> DataFrame:
     return b.join(w, "model")
 
 
-def text_pipeline(col: str, num_features: int = 1 << 18, max_iter: int = 10, reg: float = 0.0) -> Pipeline:
-    """M8: unigram bag of words → hashed counts → logistic regression."""
+def tokenizer(col: str) -> RegexTokenizer:
+    return RegexTokenizer(inputCol=col, outputCol="_tokens", pattern=T.TOKEN_PATTERN, gaps=False, toLowercase=True)
+
+
+def hashed_logreg(num_features: int = 1 << 18, max_iter: int = 10, reg: float = 0.0) -> Pipeline:
+    """Hashed unigram counts → logistic regression, on a ``_tokens`` column."""
     return Pipeline(stages=[
-        RegexTokenizer(inputCol=col, outputCol="_tokens", pattern=T.TOKEN_PATTERN, gaps=False, toLowercase=True),
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
         LogisticRegression(featuresCol="_tf", labelCol=LABEL, maxIter=max_iter, regParam=reg),
     ])
 
 
+def text_pipeline(col: str, num_features: int = 1 << 18, max_iter: int = 10, reg: float = 0.0) -> Pipeline:
+    """M8: unigram bag of words → hashed counts → logistic regression."""
+    return Pipeline(stages=[tokenizer(col), *hashed_logreg(num_features, max_iter, reg).getStages()])
+
+
+def tokenized(df: DataFrame, col: str, key: str = "doc_id") -> DataFrame:
+    """Tokens once, checkpointed: repeated fits (sweep, training log) reuse them."""
+    return materialize(tokenizer(col).transform(df).select(key, LABEL, "_tokens"))
+
+
+def _score(model, df: DataFrame, key: str, variant) -> DataFrame:
+    p1 = F.element_at(vector_to_array("probability"), 2)
+    return model.transform(df).select(key, LABEL, F.lit(variant).alias("run"),
+                                      S.threshold_class(p1).alias("prediction"), p1.alias("confidence"))
+
+
 def text_classifier(train: DataFrame, test: DataFrame, col: str, variant: str, key: str = "doc_id",
                     **params) -> DataFrame:
     """Fit on ``train[col]``, predict ``test``; class 1 when P(1) >= 0.5 (tie → 1)."""
-    model = text_pipeline(col, **params).fit(materialize(train))
-    out = model.transform(test)
-    p1 = F.element_at(vector_to_array("probability"), 2)
-    return out.select(key, LABEL, F.lit(variant).alias("run"), S.threshold_class(p1).alias("prediction"),
-                      p1.alias("confidence"))
+    model = hashed_logreg(**params).fit(tokenized(train, col, key))
+    return _score(model, tokenizer(col).transform(test), key, variant)
 
 
 def training_curve(train: DataFrame, col: str, **params) -> list[float]:
     """Per-iteration objective of the text model (the loss curve); a list of maxIter floats."""
-    model = text_pipeline(col, **params).fit(train)
+    model = hashed_logreg(**params).fit(tokenized(train, col))
     return list(model.stages[-1].summary.objectiveHistory)
 
 
@@ -150,14 +166,13 @@ def sweep(train: DataFrame, valid: DataFrame, grid: DataFrame, col: str, key: st
     Grid columns map to MLlib parameters: ``epochs`` → ``maxIter``, ``batch_size`` →
     ``numFeatures = 2 ** (8 + log2(batch))``, ``lr`` → ``regParam = lr * 1e3``.
     """
-    train, valid = materialize(train), materialize(valid)
+    train, valid = tokenized(train, col, key), tokenized(valid, col, key)
     configs = [r.asDict() for r in grid.collect()]  # the grid itself: a few dozen literal rows
 
     def run(cfg):
         nf = 1 << (8 + int(np.log2(cfg["batch_size"])))
-        preds = text_classifier(train, valid, col, cfg["name"], key, num_features=nf,
-                                max_iter=int(cfg["epochs"]), reg=float(cfg["lr"]) * 1e3)
-        return preds
+        model = hashed_logreg(num_features=nf, max_iter=int(cfg["epochs"]), reg=float(cfg["lr"]) * 1e3).fit(train)
+        return _score(model, valid, key, cfg["name"])
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         all_preds = list(pool.map(run, configs))
@@ -176,10 +191,10 @@ def training_log(train: DataFrame, valid: DataFrame, col: str, run: str, max_epo
     all epochs are scored with one ``groupBy(epoch)``.
     """
     spark = train.sparkSession
-    train, valid = materialize(train), materialize(valid)
+    train, valid = tokenized(train, col, key), tokenized(valid, col, key)
 
     def fit(e: int):
-        model = text_pipeline(col, max_iter=e, **params).fit(train)
+        model = hashed_logreg(max_iter=e, **params).fit(train)
         hist = model.stages[-1].summary.objectiveHistory
         p1 = F.element_at(vector_to_array("probability"), 2)
         preds = model.transform(valid).select(F.lit(e).alias("epoch"), LABEL, S.threshold_class(p1).alias("prediction"))
