@@ -34,7 +34,7 @@ PHRASE_RULES = (
 TAGS_A = ("PER", "LOC", "MISC", "ORG")
 
 # Sub-word markers.
-ROBERTA_MARK = "Ġ"  # Ġ
+BYTE_LEVEL_MARK = "Ġ"  # U+0120, word-start mark of byte-level tokenizers
 WORDPIECE_MARK = "##"
 PIECE_LEN = 6
 
@@ -161,19 +161,19 @@ def valid_entities(ents: DataFrame) -> DataFrame:
 def clean_leading(word) -> Column:
     """Strip leading Ġ marks."""
     w = F.col(word) if isinstance(word, str) else word
-    return F.regexp_replace(w, f"^{ROBERTA_MARK}+", "")
+    return F.regexp_replace(w, f"^{BYTE_LEVEL_MARK}+", "")
 
 
 def clean_all(word) -> Column:
     """Remove every Ġ mark."""
     w = F.col(word) if isinstance(word, str) else word
-    return F.replace(w, F.lit(ROBERTA_MARK), F.lit(""))
+    return F.replace(w, F.lit(BYTE_LEVEL_MARK), F.lit(""))
 
 
-def roberta_words(spans: DataFrame) -> DataFrame:
+def byte_level_words(spans: DataFrame) -> DataFrame:
     """Raw byte-level form of span words: each token prefixed by Ġ, joined without spaces."""
-    return spans.withColumn("word", F.concat(F.lit(ROBERTA_MARK),
-                                             F.replace(F.col("word"), F.lit(" "), F.lit(ROBERTA_MARK))))
+    return spans.withColumn("word", F.concat(F.lit(BYTE_LEVEL_MARK),
+                                             F.replace(F.col("word"), F.lit(" "), F.lit(BYTE_LEVEL_MARK))))
 
 
 def wordpieces(ents: DataFrame, key: str = "doc_id") -> DataFrame:

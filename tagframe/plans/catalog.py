@@ -215,13 +215,13 @@ def q_entity_labels(spark, sf):
 
 @query
 def q_clean_a_leading(spark, sf):
-    s = E.roberta_words(E.tag_spans(_ents_a(spark, sf)))
+    s = E.byte_level_words(E.tag_spans(_ents_a(spark, sf)))
     return s.select("doc_id", "pos", F.col("word").alias("raw_word"), E.clean_leading("word").alias("word"))
 
 
 @query
 def q_clean_a_all(spark, sf):
-    s = E.roberta_words(E.tag_spans(_ents_a(spark, sf)))
+    s = E.byte_level_words(E.tag_spans(_ents_a(spark, sf)))
     return s.select("doc_id", "pos", F.col("word").alias("raw_word"), E.clean_all("word").alias("word"))
 
 

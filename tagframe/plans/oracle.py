@@ -298,7 +298,7 @@ def oracle_sql() -> dict[str, str]:
     q["tag_phrases"] = f"WITH {ENTS_B} SELECT doc_id, pos, entity, word FROM ents_b"
     q["entity_labels"] = (f"WITH {ENTS_A} SELECT doc_id, string_agg(entity, ',' ORDER BY pos) AS labels "
                           "FROM ents_a GROUP BY doc_id")
-    mark = E.ROBERTA_MARK
+    mark = E.BYTE_LEVEL_MARK
     q["clean_a_leading"] = (f"WITH {ENTS_A}, {SPANS_N5}, rw AS (SELECT doc_id, pos, '{mark}' || replace(word, ' ', '{mark}') "
                             f"AS raw_word FROM spans5) SELECT doc_id, CAST(pos AS INTEGER) AS pos, raw_word, "
                             f"regexp_replace(raw_word, '^{mark}+', '') AS word FROM rw")
