@@ -40,15 +40,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def documents_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+def write_bucketed_documents(spark: SparkSession, sf_dir: str, table: str = "documents_by_id",
+                             buckets: int | None = None, path: str | None = None) -> str:
+    """Store documents bucketed (and sorted) by ``doc_id`` as a catalog table.
+
+    Reading it back gives ``HashPartitioning(doc_id, buckets)`` straight from the
+    scan, so per-document pipelines run without any exchange. The files go to
+    ``path`` or under the shared checkpoint folder.
+    """
+    import os
+
+    from tagframe.session import ensure_checkpoint_dir
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    location = path or os.path.join(ensure_checkpoint_dir(spark), "tables", table)
+    (documents(spark, sf_dir).where(F.col("doc_id").isNotNull()).write.mode("overwrite")
+     .bucketBy(n, "doc_id").sortBy("doc_id").option("path", location).saveAsTable(table))
+    return table
+
+
+def documents_by_id(spark: SparkSession, sf_dir: str, table: str | None = None) -> DataFrame:
     """Documents hash-partitioned by ``doc_id``.
 
     One shuffle of the text; every later per-document window, group and join
     on ``doc_id`` reuses this partitioning, so no token row is shuffled.
     A table stored bucketed by ``doc_id`` makes even this exchange disappear.
     Rows without a key are dropped here, so every consumer sees the same
-    subtree and Spark reuses the one exchange.
+    subtree and Spark reuses the one exchange. With ``table`` (written by
+    ``write_bucketed_documents``) the scan is already partitioned: no exchange.
     """
+    if table:
+        return spark.table(table).select("doc_id", "text").where(F.col("doc_id").isNotNull())
     return documents(spark, sf_dir).where(F.col("doc_id").isNotNull()).repartition("doc_id")
 
 
