@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagframe.functions import labels as L
@@ -24,6 +24,8 @@ from tagframe.operators import windows as W
 from tagframe.sources import literals as LIT
 from tagframe.sources import tables as TB
 
+# Model, k-NN, batch and streaming modules are imported inside their queries:
+# they pull in MLlib / pandas, which the relational queries do not need.
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
@@ -170,7 +172,6 @@ def q_error_outcome(spark, sf):
 
 @query
 def q_error_sample(spark, sf):
-    from pyspark.sql import Window
     p = TB.predictions(spark, sf).where(F.col("prediction") != F.col("label_binary"))
     w = Window.partitionBy("run").orderBy("doc_id")
     s = p.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= ERROR_SAMPLE_N).cache()
