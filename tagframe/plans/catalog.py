@@ -172,10 +172,20 @@ def q_error_outcome(spark, sf):
 
 @query
 def q_error_sample(spark, sf):
+    """first misclassified rows per run with their text and raw entity list
+    (Python-literal export); only the sampled documents are read and tagged."""
     p = TB.predictions(spark, sf).where(F.col("prediction") != F.col("label_binary"))
     w = Window.partitionBy("run").orderBy("doc_id")
     s = p.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= ERROR_SAMPLE_N).cache()
-    return s.join(_fetch_docs(spark, sf, s), "doc_id").select("run", "doc_id", "text", "prediction", "label_binary")
+    docs = _fetch_docs(spark, sf, s)
+    arrays = E.entity_arrays(E.tag_tokens(docs))
+    as_entity = F.transform("entities", lambda e: F.struct(
+        e["entity"].alias("entity"), e["score"].alias("score"), (e["pos"] + 1).cast("int").alias("index"),
+        e["word"].alias("word"), e["start"].alias("start"), e["end"].alias("end")))
+    lit = arrays.select("doc_id", LIT.to_literal(as_entity).alias("A_raw_entities"))
+    return (s.join(docs, "doc_id").join(lit, "doc_id", "left")
+            .select("run", "doc_id", "text", F.coalesce("A_raw_entities", F.lit("[]")).alias("A_raw_entities"),
+                    "prediction", "label_binary"))
 
 
 @query

@@ -279,10 +279,16 @@ def oracle_sql() -> dict[str, str]:
     q["error_outcome"] = (f"WITH {PRED} SELECT run, doc_id, CASE WHEN label_binary = 1 AND prediction = 1 THEN 'TP' "
                           "WHEN label_binary = 0 AND prediction = 1 THEN 'FP' WHEN label_binary = 1 AND prediction = 0 "
                           "THEN 'FN' WHEN label_binary = 0 AND prediction = 0 THEN 'TN' END AS outcome FROM pred")
-    q["error_sample"] = (f"WITH {PRED}, s AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id) AS rn "
-                         "FROM pred WHERE prediction <> label_binary) "
-                         "SELECT s.run, s.doc_id, d.text, s.prediction, s.label_binary FROM s "
-                         "JOIN documents d ON d.doc_id = s.doc_id WHERE rn <= 5")
+    lit_item = ("'{''entity'': ' || " + _display("entity") + " || ', ''score'': ' || CAST(score AS VARCHAR) || "
+                "', ''index'': ' || CAST(pos + 1 AS VARCHAR) || ', ''word'': ' || " + _display("word") +
+                " || ', ''start'': ' || CAST(start AS VARCHAR) || ', ''end'': ' || CAST(\"end\" AS VARCHAR) || '}'")
+    q["error_sample"] = (f"WITH {PRED}, {ENTS_A}, s AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id) AS rn "
+                         "FROM pred WHERE prediction <> label_binary), "
+                         f"lit AS (SELECT doc_id, '[' || string_agg({lit_item}, ', ' ORDER BY pos) || ']' AS A_raw_entities "
+                         "FROM ents_a GROUP BY doc_id) "
+                         "SELECT s.run, s.doc_id, d.text, COALESCE(lit.A_raw_entities, '[]') AS A_raw_entities, "
+                         "s.prediction, s.label_binary FROM s "
+                         "JOIN documents d ON d.doc_id = s.doc_id LEFT JOIN lit ON lit.doc_id = s.doc_id WHERE rn <= 5")
     q["valid_entities"] = (f"WITH {ENTS_A}, {ENTS_B}, allx AS (SELECT * FROM ents_a UNION ALL SELECT * FROM ents_b) "
                            "SELECT doc_id, tagger, pos, entity, word, start, \"end\" FROM allx WHERE word IS NOT NULL "
                            "AND word <> '' AND entity IS NOT NULL AND entity <> '' AND start IS NOT NULL "
