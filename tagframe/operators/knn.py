@@ -80,7 +80,13 @@ def knn_vector_votes(train: DataFrame, test: DataFrame, cols, k: int = 10) -> Da
 
 
 def knn_predict(train: DataFrame, test: DataFrame, cols, k: int = 10, key: str = "doc_id") -> DataFrame:
-    """Prediction per test row: its vector's vote (equal vectors share one vote)."""
+    """Prediction per test row: its vector's vote (equal vectors share one vote).
+
+    The test rows are read several times (distinct vectors, value range, final
+    join), so their features are checkpointed once instead of recomputed.
+    """
+    from tagframe.operators.models import materialize
+    test = materialize(test.select(key, LABEL, *cols))
     votes = knn_vector_votes(train, test, cols, k)
     return test.select(key, LABEL, *cols).join(votes.select(*cols, "prediction"), list(cols)) \
                .select(key, LABEL, "prediction")

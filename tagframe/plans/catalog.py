@@ -456,16 +456,20 @@ def q_random_baseline(spark, sf):
 # ---- model jobs (rows-only checks: no SQL twin) ---------------------------
 
 def _count_features(spark, sf):
+    """Entity-count features of every labelled document, checkpointed once: the
+    train and test sides (and k-NN's repeated reads) all come from one tagging pass."""
+    from tagframe.operators import models as M
     lab = TB.labelled_ids(spark, sf)
     feats = X.entity_features(lab.select("doc_id", "label_binary", "split"), _labelled_ents_a(spark, sf), E.TAGS_A,
                               extra=("label_binary", "split"))
+    feats = M.materialize(feats)
     return R.train_full(feats), feats.where(F.col("split") == "test")
 
 
 def _count_model_preds(spark, sf, models=("logreg", "svm", "tree")):
     from tagframe.operators import models as M
     train, test = _count_features(spark, sf)
-    return M.fit_count_models(train, M.materialize(test), E.TAGS_A, models=models)
+    return M.fit_count_models(train, test, E.TAGS_A, models=models)
 
 
 @query
