@@ -172,7 +172,14 @@ def find_offsets(docs: DataFrame, ents: DataFrame, key: str = "doc_id", text: st
     When lower-casing changes the text length, positions of the lower-cased text
     would not be positions of the text: such documents fall back to a case-sensitive search.
     """
-    lists = ents.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "word", "entity"))).alias("el"))
+    # A repeated identical word always finds the same first match, so only its first
+    # valid occurrence can be accepted: later copies are dropped before the fold
+    # (exact; the fold is quadratic in the list length).
+    valid = ents.where(F.col("word").isNotNull() & (F.col("word") != "")
+                       & F.col("entity").isNotNull() & (F.col("entity") != ""))
+    first = valid.withColumn("_k", F.row_number().over(Window.partitionBy(key, "word").orderBy("pos"))) \
+                 .where(F.col("_k") == 1)
+    lists = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "word", "entity"))).alias("el"))
     t = F.col(text)
     same_len = F.length(F.lower(t)) == F.length(t)
     # Computed below the join so that the lambda sees plain attributes.
