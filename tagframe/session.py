@@ -43,7 +43,8 @@ def _context(spark: SparkSession):
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) is a private folder set.
+    Only when the session names none (local tests) is a private folder set, on
+    the SparkContext: the config itself cannot be changed at runtime.
     """
     sc = _context(spark)
     configured = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
@@ -52,7 +53,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     local = tempfile.mkdtemp(prefix="tagframe-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    if sc is not None:
-        sc.setCheckpointDir(local)
+    if sc is None:
+        raise RuntimeError("no spark.checkpoint.dir configured for this remote session")
+    sc.setCheckpointDir(local)
     return local
