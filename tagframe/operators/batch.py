@@ -9,13 +9,19 @@ and every batch is checked to return one entity list per text.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 from tagframe.operators.entities import TOKEN_RULES
 
+# The task closure (tagger factory, rules) travels by value, so Python workers
+# need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OUT_SCHEMA = ("doc_id long, tagger string, pos int, entity string, score double, word string, "
               "start int, end int")
 
