@@ -43,8 +43,9 @@ def _context(spark: SparkSession):
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) is a private folder set, on
-    the SparkContext: the config itself cannot be changed at runtime.
+    Only a local session that names none (tests, bench) gets a private folder, set
+    on the SparkContext: the config itself cannot be changed at runtime. On a
+    cluster a missing setting is an error: a machine-local folder is not shared.
     """
     sc = _context(spark)
     configured = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
@@ -52,8 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured
+    if sc is None or not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="tagframe-ckpt-")
-    if sc is None:
-        raise RuntimeError("no spark.checkpoint.dir configured for this remote session")
     sc.setCheckpointDir(local)
     return local
