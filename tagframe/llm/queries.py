@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tagframe.llm import best_fit, huffman_ids
+from tagframe.llm import best_fit, exact_dedup, huffman_ids
 
 QUERIES = {
     "op1_huffman_ids": huffman_ids.op1_huffman_ids,
     "op3_best_fit_packing": best_fit.op3_best_fit_packing,
+    "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_exact_dedup": exact_dedup.OP7_SQL,
+}
