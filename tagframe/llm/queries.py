@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tagframe.llm import best_fit, chosen_path, exact_dedup, huffman_ids, language_spans
+from tagframe.llm import best_fit, chosen_path, exact_dedup, huffman_ids, language_spans, toxicity
 
 QUERIES = {
     "op1_huffman_ids": huffman_ids.op1_huffman_ids,
+    "op2_noisy_channel": toxicity.op2_noisy_channel,
     "op3_best_fit_packing": best_fit.op3_best_fit_packing,
     "op6_language_spans": language_spans.op6_language_spans,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
