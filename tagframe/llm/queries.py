@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tagframe.llm import best_fit, chosen_path, exact_dedup, huffman_ids, language_spans, toxicity
+from tagframe.llm import best_fit, chosen_path, exact_dedup, huffman_ids, language_spans, repetition, toxicity
 
 QUERIES = {
     "op1_huffman_ids": huffman_ids.op1_huffman_ids,
     "op2_noisy_channel": toxicity.op2_noisy_channel,
     "op3_best_fit_packing": best_fit.op3_best_fit_packing,
+    "op5_suffix_repetition": repetition.op5_suffix_repetition,
     "op6_language_spans": language_spans.op6_language_spans,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_chosen_path": chosen_path.op9_chosen_path,
