@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tagframe.llm import best_fit, chosen_path, exact_dedup, huffman_ids, language_spans, repetition, toxicity
+from tagframe.llm import best_fit, chosen_path, exact_dedup, huffman_ids, language_spans, quality_cnn, repetition, toxicity
 
 QUERIES = {
     "op1_huffman_ids": huffman_ids.op1_huffman_ids,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_suffix_repetition": repetition.op5_suffix_repetition,
     "op6_language_spans": language_spans.op6_language_spans,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_byte_cnn": quality_cnn.op8_byte_cnn,
     "op9_chosen_path": chosen_path.op9_chosen_path,
 }
 
