@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tagframe.llm import best_fit, chosen_path, exact_dedup, huffman_ids, language_spans, quality_cnn, repetition, toxicity
+from tagframe.llm import best_fit, chosen_path, exact_dedup, huffman_ids, language_spans, license_rules, quality_cnn, repetition, toxicity
 
 QUERIES = {
     "op1_huffman_ids": huffman_ids.op1_huffman_ids,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_byte_cnn": quality_cnn.op8_byte_cnn,
     "op9_chosen_path": chosen_path.op9_chosen_path,
+    "op10_license_rules": license_rules.op10_license_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
