@@ -50,6 +50,14 @@ def store(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def worker_cache(key: str, make: Callable):
     """One object per Python worker process, kept between its tasks."""
     store_ = sys.modules.setdefault("_tagframe_worker_cache", types.ModuleType("_tagframe_worker_cache")).__dict__

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tagframe.llm import best_fit, chosen_path, exact_dedup, huffman_ids, language_spans, license_rules, quality_cnn, repetition, toxicity
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op8_byte_cnn": quality_cnn.op8_byte_cnn,
     "op9_chosen_path": chosen_path.op9_chosen_path,
     "op10_license_rules": license_rules.op10_license_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
