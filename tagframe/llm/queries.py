@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tagframe.llm import best_fit, chosen_path, exact_dedup, huffman_ids, language_spans, license_rules, quality_cnn, repetition, toxicity
+from tagframe.llm import (best_fit, chosen_path, exact_dedup, huffman_ids, language_spans, license_rules, piece_lattice,
+                           quality_cnn, repetition, toxicity)
 
 QUERIES = {
     "op1_huffman_ids": huffman_ids.op1_huffman_ids,
     "op2_noisy_channel": toxicity.op2_noisy_channel,
     "op3_best_fit_packing": best_fit.op3_best_fit_packing,
+    "op4_piece_lattice": piece_lattice.op4_piece_lattice,
     "op5_suffix_repetition": repetition.op5_suffix_repetition,
     "op6_language_spans": language_spans.op6_language_spans,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
