@@ -1,11 +1,12 @@
 """Entity extraction (native rule taggers), sub-word merging and cleaning.
 
-Long form is canonical: ``(doc_id, tagger, pos, entity, score, word, start, end)``,
-one row per entity, ``pos`` is the position in the tagger's list (the token
-tagger adds UTF-8 byte offsets ``bstart``/``bend`` of the same spans). Every
-per-document step is a window or group keyed by ``doc_id``; when the input is
-hash-partitioned by ``doc_id`` (``sources.tables.documents_by_id``) none of
-them adds an exchange.
+A tagger is an expression over the text: ``token_entities`` and
+``phrase_entities`` return the document's entity list as an array, so tagging
+and everything that works on one document stays in its row, without a shuffle.
+The long form ``(doc_id, tagger, pos, entity, score, word, start, end)`` is that
+array exploded; ``pos`` is the position in the tagger's list (the token tagger
+adds UTF-8 byte offsets ``bstart``/``bend`` of the same spans). Sub-word merging
+groups entity rows, never text, by ``doc_id``.
 """
 
 from __future__ import annotations
@@ -57,46 +58,73 @@ def _rule_case(word: Column) -> Column:
     return F.when(_may_match(word), expr)
 
 
-def tag_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Whitespace tokens → token entities of tagger A with code-point offsets.
+# Tokens (between single spaces) that a token rule may match: see ``_may_match``.
+CANDIDATE = r"(?<![^ ])(?:[A-Z0-9][^ ]*|[^ ]*@[^ ]*)(?![^ ])"
+ENTITY = ("array<struct<pos:int,entity:string,score:double,word:string,start:int,end:int,bstart:int,bend:int>>")
+
+
+def token_entities(text) -> Column:
+    """N1 as an expression: entities of tagger A, with code-point and UTF-8 byte offsets.
 
-    The rule label is computed before the window so that only the token length,
-    not the word, travels through the per-document sort.
+    The text is cut at its candidate tokens; the lengths of the gaps and of the
+    candidates before a token give its offset, the spaces in the gaps its number.
+    Linear in the text; only candidates are folded over.
     """
-    tok = docs.select(key, F.posexplode(F.split(F.col(text), " ", -1)).alias("pos", "word"))
-    tok = tok.select(key, "pos", F.length("word").alias("len"), F.octet_length("word").alias("blen"),
-                     _rule_case(F.col("word")).alias("rule"), "word")
-    tok = tok.select(key, "pos", "len", "blen", F.col("rule.entity").alias("entity"),
-                     F.col("rule.score").alias("score"), "word")
-    tok = tok.select(key, "pos", "len", "blen", "entity", "score",
-                     F.when(F.col("entity").isNotNull(), F.col("word")).alias("word"))
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    # code-point offsets, plus UTF-8 byte offsets for linear cutting at insertion time (same window)
-    tok = tok.withColumn("start", F.coalesce(F.sum(F.col("len") + 1).over(w), F.lit(0)).cast("int")) \
-             .withColumn("bstart", F.coalesce(F.sum(F.col("blen") + 1).over(w), F.lit(0)).cast("int"))
-    ents = tok.where(F.col("entity").isNotNull())
-    return ents.select(key, F.lit("A").alias("tagger"), F.col("pos").cast("int").alias("pos"), "entity",
-                       F.col("score").cast("double").alias("score"), "word", "start",
-                       (F.col("start") + F.col("len")).cast("int").alias("end"),
-                       "bstart", (F.col("bstart") + F.col("blen")).cast("int").alias("bend"))
+    t = F.col(text) if isinstance(text, str) else text
+    pairs = F.zip_with(F.split(t, CANDIDATE, -1), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)),
+                       lambda gap, word: F.struct(gap.alias("gap"), word.alias("word")))
+    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("at"), F.lit(0).alias("bat"),
+                     F.array().cast("array<struct<pos:int,word:string,start:int,bstart:int>>").alias("seen"))
+
+    def step(acc, x):
+        pos = acc["pos"] + F.length(x["gap"]) - F.length(F.replace(x["gap"], F.lit(" "), F.lit("")))
+        at, bat = acc["at"] + F.length(x["gap"]), acc["bat"] + F.octet_length(x["gap"])
+        return F.when(x["word"].isNull(), acc).otherwise(F.struct(
+            pos.alias("pos"), (at + F.length(x["word"])).alias("at"), (bat + F.octet_length(x["word"])).alias("bat"),
+            F.array_append(acc["seen"], F.struct(pos.alias("pos"), x["word"].alias("word"), at.alias("start"),
+                                                 bat.alias("bstart"))).alias("seen")))
+
+    tagged = F.transform(F.aggregate(pairs, start, step)["seen"], lambda e: F.struct(
+        e.alias("e"), _rule_case(e["word"]).alias("rule")))
+    return F.transform(F.filter(tagged, lambda x: x["rule"].isNotNull()), lambda x: F.struct(
+        x["e"]["pos"].alias("pos"), x["rule"]["entity"].alias("entity"), x["rule"]["score"].alias("score"),
+        x["e"]["word"].alias("word"), x["e"]["start"].alias("start"),
+        (x["e"]["start"] + F.length(x["e"]["word"])).alias("end"), x["e"]["bstart"].alias("bstart"),
+        (x["e"]["bstart"] + F.octet_length(x["e"]["word"])).alias("bend"))).cast(ENTITY)
+
+
+def tag_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Whitespace tokens → token entities of tagger A, one row each; local to the document's row."""
+    return docs.select(key, F.inline(token_entities(text))).select(
+        key, F.lit("A").alias("tagger"), "pos", "entity", "score", "word", "start", "end", "bstart", "bend")
 
 
 def phrase_pattern() -> str:
     return "|".join(f"({p})" for _, p in PHRASE_RULES)
 
 
+def phrase_entities(text) -> Column:
+    """N6 as an expression: phrases of tagger B in text order, ``array<struct<pos, entity, word>>``."""
+    t = F.col(text) if isinstance(text, str) else text
+
+    def label(word):
+        out = None
+        for name, pat in PHRASE_RULES:
+            cond = word.rlike(f"^({pat})\\z")
+            out = F.when(cond, F.lit(name)) if out is None else out.when(cond, F.lit(name))
+        return out
+
+    return F.transform(F.regexp_extract_all(t, F.lit(phrase_pattern()), F.lit(0)), lambda w, i: F.struct(
+        i.cast("int").alias("pos"), label(w).alias("entity"), w.alias("word")))
+
+
 def tag_phrases(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Phrase tagger B; matches in text order, no offsets (like the phrase tagger)."""
-    m = docs.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(phrase_pattern()), 0))
-                    .alias("pos", "word"))
-    label = None
-    for name, pat in PHRASE_RULES:
-        cond = F.col("word").rlike(f"^({pat})\\z")
-        label = F.when(cond, F.lit(name)) if label is None else label.when(cond, F.lit(name))
-    return m.select(key, F.lit("B").alias("tagger"), F.col("pos").cast("int").alias("pos"),
-                    label.alias("entity"), F.lit(None).cast("double").alias("score"), "word",
-                    F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"),
-                    F.lit(None).cast("int").alias("bstart"), F.lit(None).cast("int").alias("bend"))
+    none = F.lit(None)
+    return docs.select(key, F.inline(phrase_entities(text))).select(
+        key, F.lit("B").alias("tagger"), "pos", "entity", none.cast("double").alias("score"), "word",
+        none.cast("int").alias("start"), none.cast("int").alias("end"),
+        none.cast("int").alias("bstart"), none.cast("int").alias("bend"))
 
 
 def tag_all(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,11 +179,33 @@ def explode_entities(arrays: DataFrame, key: str = "doc_id", col: str = "entitie
         key, "tagger", F.col("pos").cast("int").alias("pos"), "e.entity", "e.score", "e.word", "e.start", "e.end")
 
 
+def has_span(e) -> Column:
+    """F6 for offsets: label, start and end are there. An empty label is missing, 0 is not."""
+    return e["entity"].isNotNull() & (e["entity"] != "") & e["start"].isNotNull() & e["end"].isNotNull()
+
+
+def has_word(e) -> Column:
+    """F6 for searched words: word and label are there and not empty."""
+    return e["word"].isNotNull() & (e["word"] != "") & e["entity"].isNotNull() & (e["entity"] != "")
+
+
+def _row() -> dict[str, Column]:
+    return {c: F.col(c) for c in ("word", "entity", "start", "end")}
+
+
+def with_span(ents: DataFrame) -> DataFrame:
+    """entities usable by their offsets."""
+    return ents.where(has_span(_row()))
+
+
+def with_word(ents: DataFrame) -> DataFrame:
+    """entities usable by their word."""
+    return ents.where(has_word(_row()))
+
+
 def valid_entities(ents: DataFrame) -> DataFrame:
-    """keep entities with word, label, start and end. Empty strings are missing, 0 is not."""
-    return ents.where(F.col("word").isNotNull() & (F.col("word") != "")
-                      & F.col("entity").isNotNull() & (F.col("entity") != "")
-                      & F.col("start").isNotNull() & F.col("end").isNotNull())
+    """entities with word, label, start and end."""
+    return ents.where(has_span(_row()) & has_word(_row()))
 
 
 def clean_leading(word) -> Column:

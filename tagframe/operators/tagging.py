@@ -1,11 +1,11 @@
 """Writing entity tags into the text.
 
-Span tables are long: ``(doc_id, pos, start, end, entity)`` with code-point
-offsets ``[start, end)``. Merging is a gaps-and-islands window per document;
-insertion groups the spans of a document once and assembles
-``gap + <tag>span</tag>`` pieces in one linear pass (no per-span rebuild of
-the text). Lambdas reference only their own arguments and row attributes,
-so Catalyst cannot inline an array expression into a per-element loop.
+A document's spans are an array in its row, ``(start, pos, end, entity[, bstart,
+bend])`` with code-point offsets ``[start, end)`` and, where the tagger gives
+them, UTF-8 byte offsets. Merging, dropping overlaps and insertion are
+expressions over that array: no shuffle, no sort beyond the document's own.
+Insertion assembles ``gap + <tag>span</tag>`` pieces in one linear pass. The long
+span table ``(doc_id, pos, start, end, entity)`` is the exploded form.
 """
 
 from __future__ import annotations
@@ -14,12 +14,116 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagframe.operators import entities as E
+from tagframe.operators import search
 
-# Tokenisation for classifier input; tag markers are kept whole.
-TOKEN_PATTERN = r"</?[a-z]+>|[a-z0-9]+|[^a-z0-9 \t\n\r]"
+# The marker tokens of the tagged text.
+MARKERS = ("<per>", "</per>", "<org>", "</org>", "<loc>", "</loc>", "<misc>", "</misc>")
+# Tokenisation for classifier input: markers whole, words of letters and digits of any script, other marks singly.
+TOKEN_PATTERN = "|".join(MARKERS) + r"|[\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\r]"
 PAD = "[PAD]"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` with ``value`` bound once: an array used inside a lambda is not evaluated again per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def spans_of(entities: Column, by_bytes: bool) -> Column:
+    """Usable spans of an entity array, in order of ``(start, pos)``."""
+    fields = ["start", "pos", "end", "entity"] + (["bstart", "bend"] if by_bytes else [])
+    kept = F.filter(entities, lambda e: E.has_span({c: e[c] for c in ("entity", "start", "end")}))
+    return F.array_sort(F.transform(kept, lambda e: F.struct(*[e[c].alias(c) for c in fields])))
+
+
+def merged(spans: Column, by_bytes: bool) -> Column:
+    """T4 on a span array: same label and ``start <= previous end + 1`` merge.
+
+    Each decision needs the previous span only; a merged span ends where the last
+    span read ends (not at the largest end).
+    """
+    def islands(s):
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (
+            F.get(s, i - 1)["entity"] != F.get(s, i)["entity"]) | (F.get(s, i)["start"] > F.get(s, i - 1)["end"] + 1))
+
+        def build(f):
+            def span(x, j):
+                after = F.coalesce(F.get(f, j + 1), F.size(s))
+                a, z = F.get(s, x), F.get(s, after - 1)
+                return F.struct(a["start"].alias("start"), j.cast("int").alias("pos"), z["end"].alias("end"),
+                                a["entity"].alias("entity"),
+                                *([a["bstart"].alias("bstart"), z["bend"].alias("bend")] if by_bytes else []),
+                                (after - x).cast("long").alias("n_merged"))
+            return F.transform(f, span)
+
+        return _let(first, build)
+
+    return F.when(F.size(spans) > 0, _let(spans, islands))
+
+
+def disjoint(spans: Column, by_bytes: bool) -> Column:
+    """Spans, in order, that do not start before the end of any span before them."""
+    fields = ["start", "end", "entity"] + (["bstart", "bend"] if by_bytes else [])
+    kind = "array<struct<" + ",".join(f"{c}:{'string' if c == 'entity' else 'int'}" for c in fields) + ">>"
+    begin = F.struct(F.lit(0).alias("reach"), F.array().cast(kind).alias("kept"))
+
+    def step(acc, x):
+        kept = F.when(x["start"] < acc["reach"], acc["kept"]).otherwise(F.array_append(acc["kept"], x))
+        return F.struct(F.greatest(acc["reach"], x["end"]).alias("reach"), kept.alias("kept"))
+
+    plain = F.transform(spans, lambda x: F.struct(*[x[c].alias(c) for c in fields])).cast(kind)
+    return F.aggregate(F.coalesce(plain, F.array().cast(kind)), begin, step)["kept"]
+
+
+def inserted(text: Column, spans: Column, by_bytes: bool) -> Column:
+    """The text with every span of a disjoint, ordered array wrapped in ``<label>…</label>``.
+
+    With byte offsets the text is encoded once and every piece is a byte-range copy.
+    """
+    a, z = ("bstart", "bend") if by_bytes else ("start", "end")
+
+    def build(raw):
+        def cut(pos, length):
+            piece = F.substring(raw, pos, length)
+            return F.decode(piece, "UTF-8") if by_bytes else piece
+
+        def wrap(s):
+            before = F.transform(s, lambda x, i: F.struct(x.alias("s"), F.when(i > 0, F.get(s, i - 1)[z]).otherwise(0).alias("p")))
+            pieces = F.transform(before, lambda x: F.concat(
+                cut(x["p"] + 1, x["s"][a] - x["p"]), F.lit("<"), x["s"]["entity"], F.lit(">"),
+                cut(x["s"][a] + 1, x["s"][z] - x["s"][a]), F.lit("</"), x["s"]["entity"], F.lit(">")))
+            return F.concat(F.array_join(pieces, ""), cut(F.element_at(s, -1)[z] + 1, F.lit(2147483647)))
+
+        return _let(spans, wrap)
+
+    return F.when(F.size(spans) > 0, _let(F.encode(text, "UTF-8") if by_bytes else text, build)).otherwise(text)
+
+
+def _write(docs: DataFrame, key: str, text: str, spans: Column, by_bytes: bool, out: str = "tagged_text") -> DataFrame:
+    held = docs.select(key, text, spans.alias("_spans"))
+    return held.select(key, inserted(F.col(text), F.col("_spans"), by_bytes).alias(out),
+                       F.size(F.coalesce("_spans", F.array())).alias("n_spans"))
+
+
+def _gathered(docs: DataFrame, ents: DataFrame, key: str, text: str) -> DataFrame:
+    """Documents with the long entity table as an array ``_ents`` per row."""
+    fields = [c for c in ("pos", "word", "entity", "start", "end", "bstart", "bend") if c in ents.columns]
+    lists = ents.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_ents"))
+    return docs.select(key, text).join(lists, key, "left")
+
+
+def tag_rows(docs: DataFrame, entities: Column, key: str = "doc_id", text: str = "text", by_bytes: bool = True) -> DataFrame:
+    """T1 (tag_A_entities) in the row: every usable span tagged, label case kept, no merging."""
+    return _write(docs, key, text, disjoint(spans_of(entities, by_bytes), by_bytes), by_bytes)
+
+
+def tag_xml_rows(docs: DataFrame, entities: Column, key: str = "doc_id", text: str = "text",
+                 by_bytes: bool = True) -> DataFrame:
+    """T6 (insert_xml on given offsets) in the row: merge adjacent spans, then drop overlaps, lower-case labels, insert."""
+    spans = disjoint(merged(spans_of(entities, by_bytes), by_bytes), by_bytes)
+    lower = F.transform(spans, lambda s: s.withField("entity", F.lower(s["entity"])))
+    return _write(docs, key, text, lower, by_bytes)
+
+
 def merge_adjacent(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """T4: sorted by ``(start, pos)``; same label and ``start <= previous end + 1`` merge.
 
@@ -51,162 +155,56 @@ def _has_bytes(spans: DataFrame) -> bool:
     return "bstart" in spans.columns and "bend" in spans.columns
 
 
-def drop_overlaps(spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A span that starts before the end of any earlier span (by start, pos) is invalid input and dropped."""
-    w = Window.partitionBy(key).orderBy("start", "pos").rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.max("end").over(w)
-    return spans.withColumn("_prev_end", prev).where(
-        F.col("_prev_end").isNull() | (F.col("start") >= F.col("_prev_end"))).drop("_prev_end")
-
-
 def insert_tags(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text",
                 out: str = "tagged_text") -> DataFrame:
-    """T1 insertion: wrap every span in ``<label>…</label>``; documents without spans keep their text.
-
-    Spans must be disjoint (see ``drop_overlaps``). The spans of one document are
-    collected once, sorted, and the text is cut into ``gap + tagged span`` pieces.
-    """
-    if _has_bytes(spans):
-        return _insert_bytes(docs, spans, key, text, out)
-    per_doc = spans.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "entity"))).alias("sp"))
-    j = docs.select(key, text).join(per_doc, key, "left")
-    sp = F.coalesce(F.col("sp"), F.array().cast("array<struct<start:int,end:int,entity:string>>"))
-    prev_end = F.concat(F.array(F.lit(0)), F.transform(sp, lambda s: s["end"]))
-    t = F.col(text)
-    pieces = F.zip_with(sp, F.slice(prev_end, 1, F.size(sp)), lambda s, pe: F.concat(
-        F.substring(t, pe + 1, s["start"] - pe),
-        F.lit("<"), s["entity"], F.lit(">"),
-        F.substring(t, s["start"] + 1, s["end"] - s["start"]),
-        F.lit("</"), s["entity"], F.lit(">")))
-    tail = F.substring(t, F.element_at(prev_end, -1) + 1, F.lit(2147483647))
-    return j.select(key, F.concat(F.array_join(pieces, ""), tail).alias(out),
-                    F.size(sp).alias("n_spans"))
-
-
-def _insert_bytes(docs: DataFrame, spans: DataFrame, key: str, text: str, out: str) -> DataFrame:
-    """Insertion when spans also carry UTF-8 byte offsets: the text is encoded once
-    and every piece is a byte-range copy, so a document costs O(length + spans)
-    instead of a code-point walk from the start for every span."""
-    per_doc = spans.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "entity", "bstart", "bend"))).alias("sp"))
-    # encoded below the join so the lambdas see a plain attribute
-    j = docs.select(key, text, F.encode(F.col(text), "UTF-8").alias("_tb")).join(per_doc, key, "left")
-    sp = F.coalesce(F.col("sp"), F.array().cast(
-        "array<struct<start:int,end:int,entity:string,bstart:int,bend:int>>"))
-    prev_end = F.concat(F.array(F.lit(0)), F.transform(sp, lambda s: s["bend"]))
-    tb = F.col("_tb")
-
-    def cut(pos, length):
-        return F.decode(F.substring(tb, pos, length), "UTF-8")
-
-    pieces = F.zip_with(sp, F.slice(prev_end, 1, F.size(sp)), lambda s, pe: F.concat(
-        cut(pe + 1, s["bstart"] - pe),
-        F.lit("<"), s["entity"], F.lit(">"),
-        cut(s["bstart"] + 1, s["bend"] - s["bstart"]),
-        F.lit("</"), s["entity"], F.lit(">")))
-    tail = cut(F.element_at(prev_end, -1) + 1, F.lit(2147483647))
-    tagged = F.when(F.col("sp").isNull(), F.col(text)).otherwise(F.concat(F.array_join(pieces, ""), tail))
-    return j.select(key, tagged.alias(out), F.size(sp).alias("n_spans"))
-
-
-def _span_cols(ents: DataFrame, key: str) -> list[str]:
-    return [key, "pos", "start", "end", "entity"] + (["bstart", "bend"] if _has_bytes(ents) else [])
+    """T1 insertion of a long span table; documents without spans keep their text."""
+    by_bytes = _has_bytes(spans)
+    j = _gathered(docs, spans, key, text)
+    return _write(j, key, text, disjoint(spans_of(F.col("_ents"), by_bytes), by_bytes), by_bytes, out)
 
 
 def tag_inline_tokens(docs: DataFrame, ents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """T1 (tag_A_entities): every valid token span tagged, label case kept, no merging."""
-    spans = E.valid_entities(ents).select(*_span_cols(ents, key))
-    return insert_tags(docs, drop_overlaps(spans, key), key, text)
+    """T1 on a long entity table (see ``tag_rows``)."""
+    return tag_rows(_gathered(docs, ents, key, text), F.col("_ents"), key, text, _has_bytes(ents))
 
 
 def tag_xml(docs: DataFrame, ents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """T6 (insert_xml on given offsets): merge adjacent spans, lower-case labels, insert."""
-    spans = E.valid_entities(ents).select(*_span_cols(ents, key))
-    merged = merge_adjacent(drop_overlaps(spans, key), key)
-    merged = merged.withColumn("entity", F.lower("entity")).drop("n_merged")
-    return insert_tags(docs, merged, key, text)
+    """T6 on a long entity table (see ``tag_xml_rows``)."""
+    return tag_xml_rows(_gathered(docs, ents, key, text), F.col("_ents"), key, text, _has_bytes(ents))
 
 
-def _locate(sub: Column, s: Column, pos: Column) -> Column:
-    return F.call_function("locate", sub, s, pos)
+def cursor_rows(docs: DataFrame, entities: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """T2 (tag_B_entities) in the row: words in list order, each first found at or after the previous match's end."""
+    return _write(docs, key, text, search.by_cursor(F.col(text), entities), True)
 
 
-def cursor_spans(docs: DataFrame, ents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """T2 search (tag_B_entities): in list order, first case-sensitive match at or after a cursor.
-
-    Not found → skipped, cursor unchanged. The text after the cursor is never
-    modified, so searching the original text gives the same offsets.
-    """
-    lists = ents.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "word", "entity"))).alias("el"))
-    j = docs.select(key, text).join(lists, key)
-    t = F.col(text)
-    init = F.struct(F.lit(0).alias("cursor"),
-                    F.array().cast("array<struct<start:int,end:int,entity:string>>").alias("spans"))
-
-    def step(acc, x):
-        ok = x["word"].isNotNull() & (x["word"] != "") & x["entity"].isNotNull() & (x["entity"] != "")
-        at = _locate(x["word"], t, acc["cursor"] + 1)
-        found = ok & (at > 0)
-        s = (at - 1).cast("int")
-        e = (at - 1 + F.length(x["word"])).cast("int")
-        return F.when(found, F.struct(
-            e.alias("cursor"),
-            F.array_append(acc["spans"], F.struct(s.alias("start"), e.alias("end"), x["entity"].alias("entity")))
-            .alias("spans"))).otherwise(acc)
-
-    folded = F.aggregate(F.col("el"), init, step)
-    return j.select(key, F.posexplode(folded["spans"]).alias("pos", "s")).select(
-        key, F.col("pos").cast("int").alias("pos"), "s.start", "s.end", "s.entity")
+def tag_inline_cursor(docs: DataFrame, ents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """T2 on a long entity table; label case kept."""
+    return cursor_rows(_gathered(docs, ents, key, text), F.col("_ents"), key, text)
 
 
-def tag_inline_cursor(docs: DataFrame, ents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tag phrase entities found by the cursor search; label case kept."""
-    return insert_tags(docs, cursor_spans(docs, ents, key, text), key, text)
+def offset_rows(docs: DataFrame, entities: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """T3 (add_offsets) in the row: first case-insensitive match of each word in the whole text,
+    rejected if it touches an accepted one; labels lower-cased. One row per accepted span."""
+    got = docs.select(key, F.posexplode(search.anywhere(F.col(text), entities)).alias("pos", "s"))
+    return got.select(key, F.col("pos").cast("int").alias("pos"), "s.start", "s.end", "s.entity")
 
 
 def find_offsets(docs: DataFrame, ents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """T3 (add_offsets): first case-insensitive match of each word in the whole text,
-    rejected if it touches an already used character; labels lower-cased.
-
-    When lower-casing changes the text length, positions of the lower-cased text
-    would not be positions of the text: such documents fall back to a case-sensitive search.
-    """
-    # A repeated identical word always finds the same first match, so only its first
-    # valid occurrence can be accepted: later copies are dropped before the fold
-    # (exact; the fold is quadratic in the list length).
-    valid = ents.where(F.col("word").isNotNull() & (F.col("word") != "")
-                       & F.col("entity").isNotNull() & (F.col("entity") != ""))
-    first = valid.withColumn("_k", F.row_number().over(Window.partitionBy(key, "word").orderBy("pos"))) \
-                 .where(F.col("_k") == 1)
-    lists = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "word", "entity"))).alias("el"))
-    t = F.col(text)
-    same_len = F.length(F.lower(t)) == F.length(t)
-    # Computed below the join so that the lambda sees plain attributes.
-    hay = docs.select(key, F.when(same_len, F.lower(t)).otherwise(t).alias("_hay"), same_len.alias("_fold"))
-    j = hay.join(lists, key)
-    init = F.array().cast("array<struct<start:int,end:int,entity:string>>")
+    """T3 on a long entity table."""
+    return offset_rows(_gathered(docs, ents, key, text), F.col("_ents"), key, text)
 
-    def step(acc, x):
-        ok = x["word"].isNotNull() & (x["word"] != "") & x["entity"].isNotNull() & (x["entity"] != "")
-        needle = F.when(F.col("_fold"), F.lower(x["word"])).otherwise(x["word"])
-        at = _locate(needle, F.col("_hay"), F.lit(1))
-        s = (at - 1).cast("int")
-        e = (at - 1 + F.length(x["word"])).cast("int")
-        clash = F.exists(acc, lambda y: (y["start"] < e) & (s < y["end"]))
-        take = ok & (at > 0) & ~clash
-        return F.when(take, F.array_append(acc, F.struct(s.alias("start"), e.alias("end"),
-                                                         F.lower(x["entity"]).alias("entity")))).otherwise(acc)
 
-    found = F.aggregate(F.col("el"), init, step)
-    return j.select(key, F.posexplode(found).alias("pos", "s")).select(
-        key, F.col("pos").cast("int").alias("pos"), "s.start", "s.end", "s.entity")
+def tag_searched_rows(docs: DataFrame, entities: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """T5 (insert_xml_tags) in the row: T3 search → T4 merge → insertion."""
+    found = docs.select(key, text, F.transform(search.anywhere(F.col(text), entities), lambda s, i: s.withField(
+        "pos", i.cast("int"))).alias("_found"))
+    return _write(found, key, text, disjoint(merged(spans_of(F.col("_found"), True), True), True), True)
 
 
 def tag_xml_searched(docs: DataFrame, ents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """T5 (insert_xml_tags): T3 search → T4 merge → insertion."""
-    spans = find_offsets(docs, ents, key, text)
-    return insert_tags(docs, merge_adjacent(spans, key), key, text)
+    """T5 on a long entity table."""
+    return tag_searched_rows(_gathered(docs, ents, key, text), F.col("_ents"), key, text)
 
 
 def strip_tags(col) -> Column:
@@ -222,17 +220,21 @@ def label_vocab(ents: DataFrame) -> DataFrame:
                                            F.concat(F.lit("[/"), F.col("entity"), F.lit("_]")))).alias("token"))
 
 
-def tokenize(col, max_len: int) -> Column:
-    """Lower-cased word tokens with tag markers kept whole, truncated to ``max_len``."""
+def tokenize(col) -> Column:
+    """Lower-cased tokens with tag markers kept whole."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.slice(F.regexp_extract_all(F.lower(c), F.lit(TOKEN_PATTERN), 0), 1, max_len)
+    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN_PATTERN), F.lit(0))
+
 
+def tokenize_pad(df: DataFrame, col: str, window: int = 128, key: str = "doc_id") -> DataFrame:
+    """Every token, in consecutive windows of ``window`` tokens; the last one padded, with an attention mask.
 
-def tokenize_pad(df: DataFrame, col: str, max_len: int = 128, key: str = "doc_id") -> DataFrame:
-    """Tokens padded to a fixed ``max_len`` plus attention mask (row-local, no global max)."""
-    toks = tokenize(col, max_len)
-    t = df.select(key, toks.alias("toks"))
-    pad = F.array_repeat(F.lit(PAD), F.lit(max_len) - F.size("toks"))
-    return t.select(key, F.concat("toks", pad).alias("tokens"),
-                    F.concat(F.array_repeat(F.lit(1), F.size("toks")),
-                             F.array_repeat(F.lit(0), F.lit(max_len) - F.size("toks"))).alias("mask"))
+    Row-local (no global maximum); a text without tokens is one window of padding.
+    """
+    t = df.select(key, F.coalesce(tokenize(col), F.array().cast("array<string>")).alias("_toks"))
+    n = F.greatest(F.lit(1), F.ceil(F.size("_toks") / window)).cast("int")
+    t = t.select(key, "_toks", F.explode(F.sequence(F.lit(0), n - 1)).alias("window_no"))
+    t = t.select(key, "window_no", F.slice("_toks", F.col("window_no") * window + 1, F.lit(window)).alias("toks"))
+    left = F.lit(window) - F.size("toks")
+    return t.select(key, "window_no", F.concat("toks", F.array_repeat(F.lit(PAD), left)).alias("tokens"),
+                    F.concat(F.array_repeat(F.lit(1), F.size("toks")), F.array_repeat(F.lit(0), left)).alias("mask"))

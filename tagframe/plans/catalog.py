@@ -32,7 +32,7 @@ REGISTRY: dict[str, Query] = {}
 TOP_K = 10
 PREVIEW_N = 5
 ERROR_SAMPLE_N = 5
-MAX_LEN = 128
+WINDOW = 128
 SEED = 42
 
 
@@ -42,7 +42,7 @@ def query(fn: Query) -> Query:
 
 
 def _docs(spark, sf):
-    return TB.documents_by_id(spark, sf)
+    return TB.documents(spark, sf)
 
 
 def _ents_a(spark, sf):
@@ -50,8 +50,7 @@ def _ents_a(spark, sf):
 
 
 def _labelled_docs(spark, sf):
-    """Only documents that carry a label: the semi join runs right after the
-    document exchange (keeping its partitioning), so unlabelled text is never tagged."""
+    """Only documents that carry a label, so unlabelled text is never tagged."""
     keys = TB.table(spark, sf, "labels").select("doc_id")
     return _docs(spark, sf).join(keys, "doc_id", "left_semi")
 
@@ -257,38 +256,33 @@ def q_explode_entities(spark, sf):
 
 @query
 def q_tag_inline_tokens(spark, sf):
-    docs = _docs(spark, sf)
-    return T.tag_inline_tokens(docs, E.tag_tokens(docs))
+    return T.tag_rows(_docs(spark, sf), E.token_entities("text"))
 
 
 @query
 def q_tag_inline_cursor(spark, sf):
-    docs = _docs(spark, sf)
-    return T.tag_inline_cursor(docs, E.tag_phrases(docs))
+    return T.cursor_rows(_docs(spark, sf), E.phrase_entities("text"))
 
 
 @query
 def q_find_offsets(spark, sf):
-    docs = _docs(spark, sf)
-    return T.find_offsets(docs, E.tag_phrases(docs))
+    return T.offset_rows(_docs(spark, sf), E.phrase_entities("text"))
 
 
 @query
 def q_merge_adjacent(spark, sf):
-    spans = _ents_a(spark, sf).select("doc_id", "pos", "start", "end", "entity")
-    return T.merge_adjacent(spans)
+    spans = T.merged(T.spans_of(E.token_entities("text"), False), False)
+    return _docs(spark, sf).select("doc_id", F.inline(spans)).select("doc_id", "pos", "start", "end", "entity", "n_merged")
 
 
 @query
 def q_tag_xml_searched(spark, sf):
-    docs = _docs(spark, sf)
-    return T.tag_xml_searched(docs, E.tag_phrases(docs))
+    return T.tag_searched_rows(_docs(spark, sf), E.phrase_entities("text"))
 
 
 @query
 def q_tag_xml(spark, sf):
-    docs = _docs(spark, sf)
-    return T.tag_xml(docs, E.tag_tokens(docs))
+    return T.tag_xml_rows(_docs(spark, sf), E.token_entities("text"))
 
 
 @query
@@ -298,10 +292,9 @@ def q_label_vocab(spark, sf):
 
 @query
 def q_tokenize_pad(spark, sf):
-    docs = _docs(spark, sf)
-    tagged = T.tag_xml(docs, E.tag_tokens(docs))
-    t = T.tokenize_pad(tagged, "tagged_text", MAX_LEN)
-    return t.select("doc_id", F.array_join("tokens", " ").alias("tokens"),
+    tagged = T.tag_xml_rows(_docs(spark, sf), E.token_entities("text"))
+    t = T.tokenize_pad(tagged, "tagged_text", WINDOW)
+    return t.select("doc_id", "window_no", F.array_join("tokens", " ").alias("tokens"),
                     F.aggregate("mask", F.lit(0), lambda a, b: a + b).alias("n_real"))
 
 
@@ -499,7 +492,7 @@ def _text_splits(spark, sf, tagged: bool):
     docs = _labelled_docs(spark, sf)
     col = "text"
     if tagged:
-        docs = T.tag_xml(docs, E.tag_tokens(docs)).withColumnRenamed("tagged_text", "text").drop("n_spans")
+        docs = T.tag_xml_rows(docs, E.token_entities("text")).withColumnRenamed("tagged_text", "text").drop("n_spans")
     st = docs.join(TB.labelled_ids(spark, sf), "doc_id")
     return R.train_full(st), st.where(F.col("split") == "test"), col
 
@@ -526,7 +519,7 @@ def q_tag_ablation(spark, sf):
 def q_sweep(spark, sf):
     from tagframe.operators import models as M
     docs = _labelled_docs(spark, sf)
-    tagged = T.tag_xml(docs, E.tag_tokens(docs)).withColumnRenamed("tagged_text", "text").drop("n_spans")
+    tagged = T.tag_xml_rows(docs, E.token_entities("text")).withColumnRenamed("tagged_text", "text").drop("n_spans")
     st = M.materialize(tagged.join(TB.labelled_ids(spark, sf), "doc_id"))
     train, valid = st.where(F.col("split") == "train"), st.where(F.col("split") == "valid")
     return M.sweep(train, valid, W.config_grid(spark), "text")

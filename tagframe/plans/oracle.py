@@ -94,12 +94,16 @@ FROM documents d LEFT JOIN agg a ON a.doc_id = d.doc_id"""
 
 VALID_A = """
 va AS (SELECT doc_id, pos, start, "end", entity FROM ents_a
-       WHERE word IS NOT NULL AND word <> '' AND entity IS NOT NULL AND entity <> ''
-         AND start IS NOT NULL AND "end" IS NOT NULL),
-nov AS (
+       WHERE entity IS NOT NULL AND entity <> '' AND start IS NOT NULL AND "end" IS NOT NULL)"""
+
+
+def _disjoint(src: str, name: str) -> str:
+    """Spans that do not start before the end of any span before them."""
+    return f"""
+{name} AS (
   SELECT doc_id, pos, start, "end", entity FROM (
     SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, pos
-               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end FROM va)
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end FROM {src})
   WHERE prev_end IS NULL OR start >= prev_end)"""
 
 
@@ -170,20 +174,18 @@ cspans AS (
   SELECT doc_id, CAST(generate_subscripts(st.spans, 1) - 1 AS INTEGER) AS pos, unnest(st.spans) AS s FROM cf),
 cursor_spans AS (SELECT doc_id, pos, s.start AS start, s."end" AS "end", s.entity AS entity FROM cspans)"""
 
+# U+0130 lower-cases to two characters; a case-insensitive match treats it as i.
 OFFSETS = f"""
-oj AS (
-  SELECT d.doc_id, CASE WHEN length(lower(d.text)) = length(d.text) THEN lower(d.text) ELSE d.text END AS hay,
-         length(lower(d.text)) = length(d.text) AS fold, el.el
-  FROM documents d JOIN el ON el.doc_id = d.doc_id),
+oj AS (SELECT d.doc_id, lower(replace(d.text, 'İ', 'i')) AS hay, el.el FROM documents d JOIN el ON el.doc_id = d.doc_id),
 of AS (
   SELECT doc_id, list_reduce(el, lambda acc, x:
      CASE WHEN x.word IS NOT NULL AND x.word <> '' AND x.entity IS NOT NULL AND x.entity <> ''
-               AND strpos(hay, CASE WHEN fold THEN lower(x.word) ELSE x.word END) > 0
+               AND strpos(hay, lower(x.word)) > 0
                AND NOT list_bool_or(list_append(list_transform(acc, lambda y:
-                     y.start < strpos(hay, CASE WHEN fold THEN lower(x.word) ELSE x.word END) - 1 + length(x.word)
-                     AND strpos(hay, CASE WHEN fold THEN lower(x.word) ELSE x.word END) - 1 < y."end"), false))
-          THEN list_append(acc, {{'start': CAST(strpos(hay, CASE WHEN fold THEN lower(x.word) ELSE x.word END) - 1 AS INTEGER),
-                                 'end': CAST(strpos(hay, CASE WHEN fold THEN lower(x.word) ELSE x.word END) - 1 + length(x.word) AS INTEGER),
+                     y.start < strpos(hay, lower(x.word)) - 1 + length(x.word)
+                     AND strpos(hay, lower(x.word)) - 1 < y."end"), false))
+          THEN list_append(acc, {{'start': CAST(strpos(hay, lower(x.word)) - 1 AS INTEGER),
+                                 'end': CAST(strpos(hay, lower(x.word)) - 1 + length(x.word) AS INTEGER),
                                  'entity': lower(x.entity)}})
           ELSE acc END,
      CAST([] AS {SPAN_LIST_TYPE})) AS found
@@ -326,23 +328,24 @@ def oracle_sql() -> dict[str, str]:
                              "UNION ALL SELECT doc_id, tagger, pos, entity, word FROM ents_b) "
                              "SELECT doc_id, tagger, CAST(row_number() OVER (PARTITION BY doc_id, tagger ORDER BY pos) - 1 "
                              "AS INTEGER) AS pos, entity, word FROM u")
-    q["tag_inline_tokens"] = f"WITH {ENTS_A}, {VALID_A}, {_insert('nov')}"
+    q["tag_inline_tokens"] = f"WITH {ENTS_A}, {VALID_A}, {_disjoint('va', 'nov')}, {_insert('nov')}"
     q["merge_adjacent"] = (f"WITH {ENTS_A}, sp AS (SELECT doc_id, pos, start, \"end\", entity FROM ents_a), "
                            f"{_merge('sp')} SELECT * FROM merged")
-    q["tag_xml"] = (f"WITH {ENTS_A}, {VALID_A}, {_merge('nov')}, "
-                    f"lm AS (SELECT doc_id, start, \"end\", lower(entity) AS entity FROM merged), {_insert('lm')}")
+    xml = (f"{ENTS_A}, {VALID_A}, {_merge('va')}, {_disjoint('merged', 'nov')}, "
+           f"lm AS (SELECT doc_id, start, \"end\", lower(entity) AS entity FROM nov)")
+    q["tag_xml"] = f"WITH {xml}, {_insert('lm')}"
     q["tag_inline_cursor"] = f"WITH {ENTS_B}, {_fold_lists('ents_b')}, {CURSOR}, {_insert('cursor_spans')}"
     q["find_offsets"] = f"WITH {ENTS_B}, {_fold_lists('ents_b')}, {OFFSETS} SELECT doc_id, pos, start, \"end\", entity FROM offsets"
     q["tag_xml_searched"] = (f"WITH {ENTS_B}, {_fold_lists('ents_b')}, {OFFSETS}, {_merge('offsets')}, "
-                             f"ms AS (SELECT doc_id, start, \"end\", entity FROM merged), {_insert('ms')}")
+                             f"{_disjoint('merged', 'ms')}, {_insert('ms')}")
     q["label_vocab"] = (f"WITH {ENTS_A}, l AS (SELECT DISTINCT entity FROM ents_a WHERE entity IS NOT NULL AND entity <> '') "
                         "SELECT '[' || entity || '_]' AS token FROM l UNION ALL SELECT '[/' || entity || '_]' FROM l")
-    q["tokenize_pad"] = (f"WITH {ENTS_A}, {VALID_A}, {_merge('nov')}, "
-                         f"lm AS (SELECT doc_id, start, \"end\", lower(entity) AS entity FROM merged), "
-                         f"tx AS ({_insert('lm').replace('pieces AS', 'WITH pieces AS', 1)}), "
-                         f"tk AS (SELECT doc_id, regexp_extract_all(lower(tagged_text), '{T.TOKEN_PATTERN}', 0)[1:{128}] AS toks FROM tx) "
-                         f"SELECT doc_id, array_to_string(list_concat(toks, list_transform(range({128} - len(toks)), "
-                         f"lambda i: '{T.PAD}')), ' ') AS tokens, CAST(len(toks) AS INTEGER) AS n_real FROM tk")
+    q["tokenize_pad"] = (f"WITH {xml}, tx AS ({_insert('lm').replace('pieces AS', 'WITH pieces AS', 1)}), "
+                         f"tk AS (SELECT doc_id, regexp_extract_all(lower(tagged_text), '{T.TOKEN_PATTERN}', 0) AS toks FROM tx), "
+                         f"wn AS (SELECT doc_id, toks, unnest(range(greatest(1, CAST(ceil(len(toks) / 128.0) AS BIGINT)))) AS w FROM tk), "
+                         f"ws AS (SELECT doc_id, w, toks[w * 128 + 1:w * 128 + 128] AS t FROM wn) "
+                         f"SELECT doc_id, CAST(w AS INTEGER) AS window_no, array_to_string(list_concat(t, list_transform("
+                         f"range(128 - len(t)), lambda i: '{T.PAD}')), ' ') AS tokens, CAST(len(t) AS INTEGER) AS n_real FROM ws")
     q["class_counts"] = f"WITH {LAB} SELECT label_binary, count(*) AS n FROM lab GROUP BY label_binary"
     q["class_balance"] = (f"WITH {LAB} SELECT split, count(*) AS total, "
                           "CAST(sum(CASE WHEN label_binary = 1 THEN 1 ELSE 0 END) AS BIGINT) AS ones, "
