@@ -54,10 +54,6 @@ def outcome(label, prediction) -> Column:
 
 
 def entity_display(word, entity) -> Column:
-    """Python's repr of a ``(word, entity)`` tuple: double quotes when the part holds ``'``."""
-    def rep(x: Column) -> Column:
-        has_single, has_double = F.instr(x, "'") > 0, F.instr(x, '"') > 0
-        return (F.when(has_single & ~has_double, F.concat(F.lit('"'), x, F.lit('"')))
-                .when(has_single, F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("\\'")), F.lit("'")))
-                .otherwise(F.concat(F.lit("'"), x, F.lit("'"))))
-    return F.concat(F.lit("("), rep(_c(word)), F.lit(", "), rep(_c(entity)), F.lit(")"))
+    """Python's repr of a ``(word, entity)`` tuple."""
+    from tagframe.sources.literals import py_str
+    return F.concat(F.lit("("), py_str(_c(word)), F.lit(", "), py_str(_c(entity)), F.lit(")"))

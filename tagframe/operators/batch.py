@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tagframe.operators.entities import TOKEN_RULES
 
@@ -55,15 +56,17 @@ def tag_batched(docs: DataFrame, make_tagger: Callable[[], Tagger] = rule_tagger
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tagger = make_tagger()  # once per task
         for pdf in batches:
-            keys, texts = pdf[key].tolist(), pdf[text].tolist()
+            keys, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
             results: list[list[dict]] = []
             for i in range(0, len(texts), batch_size):
                 chunk = texts[i:i + batch_size]
                 res = tagger(chunk)
-                assert len(res) == len(chunk), f"tagger returned {len(res)} lists for {len(chunk)} texts"
+                if len(res) != len(chunk):
+                    raise ValueError(f"tagger returned {len(res)} lists for {len(chunk)} texts")
                 results.extend(res)
             rows = [(k, tagger_name, e["index"] - 1, e["entity"], float(e["score"]), e["word"], e["start"], e["end"])
                     for k, ents in zip(keys, results) for e in ents]
             yield pd.DataFrame(rows, columns=["doc_id", "tagger", "pos", "entity", "score", "word", "start", "end"])
 
-    return docs.select(docs[key].alias("doc_id") if key != "doc_id" else key, text).mapInPandas(run, OUT_SCHEMA)
+    out = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, OUT_SCHEMA)
+    return out.withColumnRenamed("doc_id", key)

@@ -33,6 +33,8 @@ PHRASE_RULES = (
 
 # The tag set of tagger A, in report order.
 TAGS_A = ("PER", "LOC", "MISC", "ORG")
+# The tag set of tagger B.
+TAGS_B = tuple(name for name, _ in PHRASE_RULES)
 
 # Sub-word markers.
 BYTE_LEVEL_MARK = "Ġ"  # U+0120, word-start mark of byte-level tokenizers

@@ -5,22 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Guard for pivot vocabularies read from data: a label set, never a word list.
-MAX_VOCAB = 1000
-
-
-def vocabulary(ents: DataFrame, col: str = "entity") -> list[str]:
-    """Distinct labels, sorted; size-checked because they become columns."""
-    vals = [r[0] for r in ents.where(F.col(col).isNotNull()).select(col).distinct().limit(MAX_VOCAB + 1).collect()]
-    if len(vals) > MAX_VOCAB:
-        raise ValueError(f"label vocabulary exceeds {MAX_VOCAB}; pivot is not meant for word features")
-    return sorted(vals)
-
-
 def entity_pivot(ents: DataFrame, vocab, key: str = "doc_id") -> DataFrame:
     """Entity counts per document, one column per label of ``vocab``.
 
-    With the vocabulary given, Spark needs no extra pass to find pivot values.
+    The vocabulary is the tagger's label set, known without reading data.
     Documents without entities do not appear (see ``entity_features``).
     """
     wide = ents.groupBy(key).pivot("entity", list(vocab)).count()

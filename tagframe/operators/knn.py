@@ -1,14 +1,13 @@
-"""M4: exact k-nearest-neighbour vote on small-integer feature vectors, no all-pairs product.
+"""M4: exact k-nearest-neighbour vote on count vectors of any dimension.
 
-Train rows collapse to distinct vectors with class counts; test rows to
-distinct vectors. Candidates come from an equi-join on grid cells: with cell
-width ``r + 1`` every train vector within L-infinity distance ``r`` of a test
-vector sits in one of the 3^d cells around it. A test vector is resolved at
-radius ``r`` once at least ``k`` training rows lie within L2 distance ``r``:
-any vector outside the box is farther than ``r``, so the k nearest are all
-candidates. Unresolved vectors retry with an 8× radius (capped at the data
-span); the loop runs at most ``log8(range) + 2`` rounds (driver loop over
-rounds, never over rows).
+Train rows collapse to distinct vectors with class counts; test rows to distinct
+vectors. Two vectors within L2 distance ``r`` differ by at most ``sqrt(d) * r`` in
+the sum of their elements and by at most ``r`` in their length, so candidates come
+from an equi-join on bins of the sum (three probes, whatever the dimension) and the
+length is filtered before the distance. A test vector is resolved at radius ``r``
+once at least ``k`` training rows lie within it. Unresolved vectors retry with
+double the radius, so each looks about as far as its own neighbours are; the loop
+runs at most ``log2(range)`` rounds (driver loop over rounds, never over rows).
 
 Vote: neighbours in order of (squared distance, vector); a vector contributes
 ``min(rows, k - rows before it)`` rows, class 0 rows first; class 1 wins only
@@ -17,64 +16,61 @@ with strictly more votes (a tie goes to class 0).
 
 from __future__ import annotations
 
-import itertools
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagframe.session import materialize
+
 LABEL = "label_binary"
-# Probe schedule: radius 2, then x8, capped at the data span (the last round takes everything left).
 FIRST_RADIUS = 2
-GROWTH = 8
-
-
-def _cells(cols, width, prefix=""):
-    return [F.floor(F.col(f"{prefix}{c}") / F.lit(width)).cast("long").alias(f"_cell{i}") for i, c in enumerate(cols)]
 
 
 def knn_vector_votes(train: DataFrame, test: DataFrame, cols, k: int = 10) -> DataFrame:
-    from tagframe.operators.models import materialize
     cols = list(cols)
-    tv = materialize(train.groupBy(*cols).agg(
+
+    def measured(df, prefix=""):
+        total = sum(F.col(f"{prefix}{c}") for c in cols)
+        length = F.sqrt(sum((F.col(f"{prefix}{c}") * F.col(f"{prefix}{c}")).cast("double") for c in cols))
+        return df.withColumn(f"{prefix}sum", total).withColumn(f"{prefix}len", length)
+
+    tv = materialize(measured(train.groupBy(*cols).agg(
         F.sum((F.col(LABEL) == 0).cast("long")).alias("n0"),
-        F.sum((F.col(LABEL) == 1).cast("long")).alias("n1")))
-    qv = test.select(*cols).distinct()
-    span_row = tv.select(*cols).unionByName(qv).agg(
-        F.greatest(*[F.max(c) - F.min(c) for c in cols]).alias("span")).first()
-    span = int(span_row["span"] or 0)
-    offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product((-1, 0, 1), repeat=len(cols))])
-    q_cols = [F.col(c).alias(f"q_{c}") for c in cols]
-    pending = materialize(qv.select(*q_cols))
-    done, r = None, min(FIRST_RADIUS, span)
+        F.sum((F.col(LABEL) == 1).cast("long")).alias("n1"))))
+    pending = materialize(measured(test.select(*cols).distinct().select(*[F.col(c).alias(f"q_{c}") for c in cols]), "q_"))
+    ends = [*tv.agg(F.min("sum"), F.max("sum")).first(), *pending.agg(F.min("q_sum"), F.max("q_sum")).first()]
+    known = [v for v in ends if v is not None]
+    span = max(known) - min(known) if known else 0
+    q_key = [f"q_{c}" for c in cols]
+    done, r = None, FIRST_RADIUS
     while True:
-        width, final = r + 1, r >= span
-        tcell = tv.select(*cols, "n0", "n1", *_cells(cols, width))
-        probe = pending.select("*", *_cells(cols, width, "q_"), F.explode(offsets).alias("_off"))
-        probe = probe.select(*[f"q_{c}" for c in cols],
-                             *[(F.col(f"_cell{i}") + F.col("_off")[i]).alias(f"_cell{i}") for i in range(len(cols))])
-        cand = probe.join(tcell, [f"_cell{i}" for i in range(len(cols))])
+        reach = math.ceil(math.sqrt(len(cols)) * r)
+        final = reach >= span  # every training vector is within reach
+        width = reach + 1
+        probe = pending.withColumn("_bin", F.explode(F.array(*[F.floor(F.col("q_sum") / width) + o for o in (-1, 0, 1)])))
+        cand = probe.join(tv.withColumn("_bin", F.floor(F.col("sum") / width)), "_bin")
+        if not final:
+            cand = cand.where((F.abs(F.col("sum") - F.col("q_sum")) <= reach) & (F.abs(F.col("len") - F.col("q_len")) <= r + 1e-6))
         d2 = sum((F.col(c) - F.col(f"q_{c}")) * (F.col(c) - F.col(f"q_{c}")) for c in cols)
-        inf = F.greatest(*[F.abs(F.col(c) - F.col(f"q_{c}")) for c in cols])
-        cand = cand.select(*[f"q_{c}" for c in cols], *cols, "n0", "n1", d2.alias("d2"), inf.alias("linf")) \
-                   .where(F.col("linf") <= r)
-        qkey = [f"q_{c}" for c in cols]
-        within = F.sum(F.when(F.col("d2") <= r * r, F.col("n0") + F.col("n1")).otherwise(0)).over(Window.partitionBy(*qkey))
-        cand = cand.withColumn("_within", within)
-        ok = cand.where(F.lit(final) | (F.col("_within") >= k))
-        w = Window.partitionBy(*qkey).orderBy("d2", *cols).rowsBetween(Window.unboundedPreceding, -1)
-        before = F.coalesce(F.sum(F.col("n0") + F.col("n1")).over(w), F.lit(0))
-        take = F.greatest(F.lit(0), F.least(F.col("n0") + F.col("n1"), F.lit(k) - before))
-        votes = ok.withColumn("_take", take).groupBy(*qkey).agg(
+        cand = cand.select(*q_key, *cols, "n0", "n1", d2.alias("d2"))
+        if not final:
+            cand = cand.where(F.col("d2") <= r * r)
+        size = F.col("n0") + F.col("n1")
+        near = cand.withColumn("_within", F.sum(size).over(Window.partitionBy(*q_key)))
+        near = near.where(F.lit(final) | (F.col("_within") >= k))
+        w = Window.partitionBy(*q_key).orderBy("d2", *cols).rowsBetween(Window.unboundedPreceding, -1)
+        take = F.greatest(F.lit(0), F.least(size, F.lit(k) - F.coalesce(F.sum(size).over(w), F.lit(0))))
+        votes = materialize(near.withColumn("_take", take).groupBy(*q_key).agg(
             F.sum(F.least(F.col("n0"), F.col("_take"))).alias("v0"),
-            F.sum(F.col("_take") - F.least(F.col("n0"), F.col("_take"))).alias("v1"))
-        votes = votes.cache()  # recomputable from the checkpointed pending set
+            F.sum(F.col("_take") - F.least(F.col("n0"), F.col("_take"))).alias("v1")))
         done = votes if done is None else done.unionByName(votes)
         if final:
             break
-        pending = materialize(pending.join(votes.select(*qkey), qkey, "left_anti"))
+        pending = materialize(pending.join(votes.select(*q_key), q_key, "left_anti"))
         if pending.isEmpty():
             break
-        r = min(r * GROWTH, span)
+        r *= 2
     return done.select(*[F.col(f"q_{c}").alias(c) for c in cols], "v0", "v1",
                        F.when(F.col("v1") > F.col("v0"), F.lit(1)).otherwise(F.lit(0)).alias("prediction"))
 
@@ -85,7 +81,6 @@ def knn_predict(train: DataFrame, test: DataFrame, cols, k: int = 10, key: str =
     The test rows are read several times (distinct vectors, value range, final
     join), so their features are checkpointed once instead of recomputed.
     """
-    from tagframe.operators.models import materialize
     test = materialize(test.select(key, LABEL, *cols))
     votes = knn_vector_votes(train, test, cols, k)
     return test.select(key, LABEL, *cols).join(votes.select(*cols, "prediction"), list(cols)) \

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tagframe.functions import scores as S
 from tagframe.operators import evaluate as V
 from tagframe.operators import tagging as T
+from tagframe.operators import windows as W
+from tagframe.session import materialize
 
 LABEL = "label_binary"
 SEED = 42
@@ -68,19 +70,12 @@ def _predict(model, df: DataFrame, name: str, key: str) -> DataFrame:
     return out.select(*cols)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage before iterative fits: an eager reliable checkpoint in the
-    session's shared ``spark.checkpoint.dir`` (survives executor loss)."""
-    from tagframe.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-MODELS = ("logreg", "svm", "tree")
+MODELS = ("logreg", "svm", "tree", "knn")
+TREE_BINS = 64
 
 
 def fit_count_models(train: DataFrame, test: DataFrame, cols, key: str = "doc_id", models=MODELS) -> DataFrame:
-    """M1-M6: logistic regression, RBF-approximate SVM and a deep tree on entity counts;
+    """M1-M6: logistic regression, RBF-approximate SVM, a deep tree and k-NN on entity counts;
     the union of the chosen models' test predictions with a ``model`` column."""
     cols = list(cols)
     train = materialize(train)
@@ -96,36 +91,40 @@ def fit_count_models(train: DataFrame, test: DataFrame, cols, key: str = "doc_id
         tr_r = materialize(train.select(key, LABEL, *rff))
         te_r = test.select(key, LABEL, *rff)
         svm = Pipeline(stages=[assemble(rcols), LinearSVC(featuresCol="features", labelCol=LABEL,
-                                                          regParam=1.0 / max(n, 1), maxIter=50)]).fit(tr_r)
+                                                          regParam=1.0 / max(n, 1), maxIter=50,
+                                                          standardization=False)]).fit(tr_r)
         preds.append(_predict(svm, te_r, "svm", key))
     if "tree" in models:
-        max_val = train.agg(F.max(F.greatest(*[F.col(c) for c in cols]))).first()[0] or 0
+        # counts are binned at quantiles: the fit's memory does not depend on the largest count
         tree = Pipeline(stages=[assemble(cols), DecisionTreeClassifier(
-            featuresCol="features", labelCol=LABEL, maxDepth=30, maxBins=max(32, int(max_val) + 2), seed=SEED,
+            featuresCol="features", labelCol=LABEL, maxDepth=30, maxBins=TREE_BINS, seed=SEED,
             impurity="gini")]).fit(train)
         preds.append(_predict(tree, test, "tree", key))
+    if "knn" in models:
+        from tagframe.operators import knn as K
+        preds.append(K.knn_predict(train, test, cols, k=10, key=key).select(
+            key, LABEL, F.lit("knn").alias("model"), "prediction", F.lit(None).cast("double").alias("confidence")))
     out = preds[0]
     for p in preds[1:]:
         out = out.unionByName(p)
     return out
 
 
-def scoreboard(predictions: DataFrame) -> DataFrame:
-    """One groupBy(model) for class-1 and weighted metrics of every model."""
-    b = V.binary_metrics(predictions, by=("model",))
-    w = V.weighted_metrics(predictions, by=("model",)).drop("accuracy")
-    return b.join(w, "model")
+def scoreboard(predictions: DataFrame, by=("model",)) -> DataFrame:
+    """Class-1 and weighted metrics of every model from one aggregate over the predictions."""
+    counts = V.outcome_counts(predictions, by)
+    return V.metrics_from_counts(counts, by, weighted=True)
 
 
 def tokenizer(col: str) -> RegexTokenizer:
     return RegexTokenizer(inputCol=col, outputCol="_tokens", pattern=T.TOKEN_PATTERN, gaps=False, toLowercase=True)
 
 
-def hashed_logreg(num_features: int = 1 << 18, max_iter: int = 10, reg: float = 0.0) -> Pipeline:
+def hashed_logreg(num_features: int = 1 << 18, max_iter: int = 10, reg: float = 0.0, elastic: float = 0.0) -> Pipeline:
     """Hashed unigram counts → logistic regression, on a ``_tokens`` column."""
     return Pipeline(stages=[
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
-        LogisticRegression(featuresCol="_tf", labelCol=LABEL, maxIter=max_iter, regParam=reg),
+        LogisticRegression(featuresCol="_tf", labelCol=LABEL, maxIter=max_iter, regParam=reg, elasticNetParam=elastic),
     ])
 
 
@@ -158,29 +157,39 @@ def training_curve(train: DataFrame, col: str, **params) -> list[float]:
     return list(model.stages[-1].summary.objectiveHistory)
 
 
-def sweep(train: DataFrame, valid: DataFrame, grid: DataFrame, col: str, key: str = "doc_id",
-          parallelism: int = 8) -> DataFrame:
-    """One fit per config of the grid on a cached frame, fits run by a thread pool
-    (as ``TrainValidationSplit(parallelism=...)`` does); one result row per config.
+#: The sweep's grid, in MLlib's own parameters.
+SWEEP_GRID = tuple({"name": f"exp_{i + 1}", "regParam": r, "elasticNetParam": e}
+                   for i, (r, e) in enumerate((r, e) for r in (0.0, 0.001, 0.01) for e in (0.0, 0.5)))
+
+
+def sweep(train: DataFrame, valid: DataFrame, col: str, grid=SWEEP_GRID, max_iter: int = 8, patience: int = 2,
+          key: str = "doc_id", parallelism: int = 8) -> DataFrame:
+    """Every config of the grid with early stopping on the validation F1.
 
-    Grid columns map to MLlib parameters: ``epochs`` → ``maxIter``, ``batch_size`` →
-    ``numFeatures = 2 ** (8 + log2(batch))``, ``lr`` → ``regParam = lr * 1e3``.
+    An epoch is one more iteration (``maxIter``); each epoch's fit is scored on the validation rows, all
+    scores come from one aggregate, and W6 decides per config. One row per config: its parameters,
+    ``best_epoch``, ``final_epoch``, ``best_f1`` and the metrics at its best epoch.
     """
+    spark = train.sparkSession
     train, valid = tokenized(train, col, key), tokenized(valid, col, key)
-    configs = [r.asDict() for r in grid.collect()]  # the grid itself: a few dozen literal rows
 
-    def run(cfg):
-        nf = 1 << (8 + int(np.log2(cfg["batch_size"])))
-        model = hashed_logreg(num_features=nf, max_iter=int(cfg["epochs"]), reg=float(cfg["lr"]) * 1e3).fit(train)
-        return _score(model, valid, key, cfg["name"])
+    def run(job):
+        cfg, epoch = job
+        model = hashed_logreg(max_iter=epoch, reg=cfg["regParam"], elastic=cfg["elasticNetParam"]).fit(train)
+        return _score(model, valid, key, cfg["name"]).select("run", F.lit(epoch).alias("epoch"), LABEL, "prediction")
 
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        all_preds = list(pool.map(run, configs))
-    union = all_preds[0]
-    for p in all_preds[1:]:
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:  # the grid itself: a few dozen literal jobs
+        preds = list(pool.map(run, [(c, e) for c in grid for e in range(1, max_iter + 1)]))
+    union = preds[0]
+    for p in preds[1:]:
         union = union.unionByName(p)
-    m = V.binary_metrics(union, by=("run",))
-    return grid.join(m.withColumnRenamed("run", "name"), "name")
+    scored = materialize(V.binary_metrics(union, by=("run", "epoch")))
+    stop = W.early_stop(scored.withColumn("max_epochs", F.lit(max_iter)), metric="f1", patience=patience)
+    best = stop.join(scored.withColumnRenamed("epoch", "best_epoch"), ["run", "best_epoch"])
+    params = spark.createDataFrame([(c["name"], c["regParam"], c["elasticNetParam"]) for c in grid],
+                                   "name string, regParam double, elasticNetParam double")
+    return params.join(best.select(F.col("run").alias("name"), "best_epoch", "final_epoch", F.col("f1").alias("best_f1"),
+                                   "accuracy", "precision", "recall", "f1"), "name")
 
 
 def training_log(train: DataFrame, valid: DataFrame, col: str, run: str, max_epochs: int = 10,
@@ -197,7 +206,9 @@ def training_log(train: DataFrame, valid: DataFrame, col: str, run: str, max_epo
         model = hashed_logreg(max_iter=e, **params).fit(train)
         hist = model.stages[-1].summary.objectiveHistory
         p1 = F.element_at(vector_to_array("probability"), 2)
-        preds = model.transform(valid).select(F.lit(e).alias("epoch"), LABEL, S.threshold_class(p1).alias("prediction"))
+        own = F.when(F.col(LABEL) == 1, p1).otherwise(1 - p1)
+        preds = model.transform(valid).select(F.lit(e).alias("epoch"), LABEL, S.threshold_class(p1).alias("prediction"),
+                                              (-F.log(F.greatest(own, F.lit(1e-12)))).alias("nll"))
         return e, float(hist[-1]) if hist else None, preds
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
@@ -205,12 +216,13 @@ def training_log(train: DataFrame, valid: DataFrame, col: str, run: str, max_epo
     union = results[0][2]
     for _, _, p in results[1:]:
         union = union.unionByName(p)
-    m = V.binary_metrics(union, by=("epoch",))
+    union = materialize(union)
+    m = V.binary_metrics(union, by=("epoch",)).join(union.groupBy("epoch").agg(F.avg("nll").alias("loss")), "epoch")
     losses = spark.createDataFrame([(e, loss) for e, loss, _ in results], "epoch int, loss double")
     train_ev = losses.select(F.lit(run).alias("run"), (F.col("epoch") * 2 - 1).cast("long").alias("event_no"),
                              F.col("epoch").cast("double").alias("epoch"), "loss",
-                             *[F.lit(None).cast("double").alias(f"eval_{c}") for c in ("accuracy", "f1", "precision", "recall")])
+                             *[F.lit(None).cast("double").alias(f"eval_{c}") for c in ("loss", "accuracy", "f1", "precision", "recall")])
     eval_ev = m.select(F.lit(run).alias("run"), (F.col("epoch") * 2).cast("long").alias("event_no"),
                        F.col("epoch").cast("double").alias("epoch"), F.lit(None).cast("double").alias("loss"),
-                       *[F.col(c).alias(f"eval_{c}") for c in ("accuracy", "f1", "precision", "recall")])
+                       *[F.col(c).alias(f"eval_{c}") for c in ("loss", "accuracy", "f1", "precision", "recall")])
     return train_ev.unionByName(eval_ev)

@@ -1,8 +1,9 @@
 """Ordering operators: seeded shuffle, mini-batches, best run, early stopping, log stats.
 
-No operator numbers rows globally: a global ``row_number`` would put every
-row in one task. Order keys are hashes of the row key (repeatable under any
-partitioning and in SQL) and numbering happens within hash buckets.
+Global numbers are exact at any size without a global sort in one task: the order
+key is a hash of the row key (repeatable under any partitioning and in SQL), its
+first digits are the bucket, bucket sizes give each bucket's offset and rows are
+numbered within their bucket.
 """
 
 from __future__ import annotations
@@ -17,40 +18,40 @@ def shuffle_key(key, seed: int):
     return F.md5(F.concat(k.cast("string"), F.lit(f":{seed}")))
 
 
-def seeded_shuffle(df: DataFrame, key: str = "doc_id", seed: int = 42) -> DataFrame:
-    """Attach the shuffle key; ``orderBy('shuffle_key')`` is a distributed range sort."""
-    return df.withColumn("shuffle_key", shuffle_key(key, seed))
-
+#: Leading hex digits of the order key that make a bucket: 65,536 buckets, of equal share whatever the keys.
+BUCKET_DIGITS = 4
 
-ROWS_PER_BUCKET = 1_000_000
 
+def hash_rank(df: DataFrame, key: str = "doc_id", seed: int = 42, by=(), out: str = "shuffle_rank",
+              digits: int = BUCKET_DIGITS) -> DataFrame:
+    """0-based position of every row in shuffle order, within ``by``. Rows must have distinct keys."""
+    by = list(by)
+    t = df.withColumn("_sk", shuffle_key(key, seed)).withColumn("_b", F.substring("_sk", 1, digits))
+    sizes = t.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*by, "_b").orderBy("_sk", key)
+    return (t.join(offsets, [*by, "_b"]).withColumn(out, F.col("_before") + F.row_number().over(within) - 1)
+            .drop("_sk", "_b", "_before"))
 
-def bucket_count(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Hash buckets so that no bucket holds more than about ``rows_per_bucket`` rows."""
-    n = df.count()
-    return max(1, -(-n // rows_per_bucket))
 
+def seeded_shuffle(df: DataFrame, key: str = "doc_id", seed: int = 42) -> DataFrame:
+    """The rows with their position in the seeded order."""
+    return hash_rank(df, key, seed)
 
-def mini_batches(df: DataFrame, key: str = "doc_id", seed: int = 42, size: int = 8,
-                 buckets: int | None = None, by=("split",)) -> DataFrame:
-    """Consecutive groups of ``size`` rows in shuffle order, numbered within hash buckets.
 
-    ``batch_id = (bucket, batch_no)``; at most one partial batch per bucket. The
-    bucket count grows with the row count (``bucket_count``), so the rows one task
-    numbers stay bounded; up to a million rows it is one bucket, i.e. plain
-    consecutive batches in shuffle order.
-    """
-    buckets = buckets or bucket_count(df)
-    sk = shuffle_key(key, seed)
-    b = F.conv(F.substring(sk, 1, 4), 16, 10).cast("int") % F.lit(buckets)
-    t = df.withColumn("shuffle_key", sk).withColumn("bucket", b.cast("int"))
-    w = Window.partitionBy(*by, "bucket").orderBy("shuffle_key", key)
-    return t.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+def mini_batches(df: DataFrame, key: str = "doc_id", seed: int = 42, size: int = 8, by=("split",),
+                 digits: int = BUCKET_DIGITS) -> DataFrame:
+    """Consecutive groups of ``size`` rows in shuffle order within ``by``; only the last may be smaller."""
+    ranked = hash_rank(df, key, seed, by, "_rank", digits)
+    return ranked.withColumn("batch_no", F.floor(F.col("_rank") / size).cast("long")).drop("_rank")
 
 
 def best_run(results: DataFrame, metric: str = "f1", run: str = "name", by=()) -> DataFrame:
     """The run with the highest metric (greater is better); ties → lowest run name."""
-    w = Window.partitionBy(*by).orderBy(F.desc(metric), run) if by else Window.orderBy(F.desc(metric), run)
+    if not by:
+        return results.orderBy(F.desc(metric), run).limit(1)
+    w = Window.partitionBy(*by).orderBy(F.desc(metric), run)
     return results.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
 
 
@@ -77,7 +78,7 @@ def early_stop(log: DataFrame, metric: str = "eval_f1", run: str = "run", epoch:
                     F.least(best + patience, F.col("epochs")).alias("final_epoch"))
 
 
-def epoch_stats(log: DataFrame, run: str = "run", seq: str = "event_no",
+def epoch_stats(log: DataFrame, by=("run",), seq: str = "event_no",
                 metrics=("loss", "eval_loss", "eval_f1")) -> DataFrame:
     """Last non-null value of each metric per (run, epoch), order by event number.
 
@@ -86,7 +87,7 @@ def epoch_stats(log: DataFrame, run: str = "run", seq: str = "event_no",
     """
     t = log.where(F.col("epoch").isNotNull())
     aggs = [F.max_by(F.col(m), F.when(F.col(m).isNotNull(), F.col(seq))).alias(m) for m in metrics]
-    return t.groupBy(run, "epoch").agg(*aggs)
+    return t.groupBy(*by, "epoch").agg(*aggs)
 
 
 def config_grid(spark, epochs=(10, 15, 20), batch_sizes=(4, 8, 16, 32, 64),

@@ -7,6 +7,7 @@ oracle compares equal to the last digit kept.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +22,7 @@ from tagframe.operators import features as X
 from tagframe.operators import reshape as R
 from tagframe.operators import tagging as T
 from tagframe.operators import windows as W
+from tagframe.session import materialize
 from tagframe.sources import literals as LIT
 from tagframe.sources import tables as TB
 
@@ -133,24 +135,11 @@ def q_label_map(spark, sf):
     return TB.labelled_ids(spark, sf).select("doc_id", m["1"].alias("cat_1"), m["0"].alias("cat_0"))
 
 
-MAX_FETCH_KEYS = 10_000
-
-
-def _fetch_docs(spark, sf, keys: DataFrame) -> DataFrame:
-    """Text of a bounded key set: the keys become a pushed-down IN filter on the
-    document scan (row groups outside the key range are skipped)."""
-    ids = [r[0] for r in keys.select("doc_id").distinct().limit(MAX_FETCH_KEYS + 1).collect()]
-    if len(ids) > MAX_FETCH_KEYS:
-        raise ValueError("key set too large to fetch by value; join instead")
-    return TB.documents(spark, sf).where(F.col("doc_id").isin(ids))
-
-
 @query
 def q_preview(spark, sf):
-    """First rows by key: the top keys come from the small label table, then only
-    their text is read."""
+    """First rows by key: the top keys come from the small label table, then their text by a join."""
     first = TB.labelled_ids(spark, sf).select("doc_id", "label_binary").orderBy("doc_id").limit(PREVIEW_N)
-    return first.join(_fetch_docs(spark, sf, first), "doc_id").select("doc_id", "label_binary", "text")
+    return TB.documents(spark, sf).join(first, "doc_id").select("doc_id", "label_binary", "text")
 
 
 @query
@@ -172,25 +161,27 @@ def q_error_outcome(spark, sf):
 @query
 def q_error_sample(spark, sf):
     """first misclassified rows per run with their text and raw entity list
-    (Python-literal export); only the sampled documents are read and tagged."""
+    (Python-literal export); only the sampled documents are tagged."""
     p = TB.predictions(spark, sf).where(F.col("prediction") != F.col("label_binary"))
     w = Window.partitionBy("run").orderBy("doc_id")
-    s = p.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= ERROR_SAMPLE_N).cache()
-    docs = _fetch_docs(spark, sf, s)
-    arrays = E.entity_arrays(E.tag_tokens(docs))
-    as_entity = F.transform("entities", lambda e: F.struct(
+    s = p.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= ERROR_SAMPLE_N)
+    as_entity = F.transform(E.token_entities("text"), lambda e: F.struct(
         e["entity"].alias("entity"), e["score"].alias("score"), (e["pos"] + 1).cast("int").alias("index"),
         e["word"].alias("word"), e["start"].alias("start"), e["end"].alias("end")))
-    lit = arrays.select("doc_id", LIT.to_literal(as_entity).alias("A_raw_entities"))
-    return (s.join(docs, "doc_id").join(lit, "doc_id", "left")
-            .select("run", "doc_id", "text", F.coalesce("A_raw_entities", F.lit("[]")).alias("A_raw_entities"),
-                    "prediction", "label_binary"))
+    return (TB.documents(spark, sf).join(s, "doc_id")
+            .select("run", "doc_id", "text", LIT.to_literal(as_entity).alias("A_raw_entities"), "prediction", "label_binary"))
 
 
 @query
 def q_valid_entities(spark, sf):
-    docs = _docs(spark, sf)
-    return E.valid_entities(E.tag_all(docs)).select("doc_id", "tagger", "pos", "entity", "word", "start", "end")
+    """F6 on entities of both taggers made incomplete by their key and place: one field of each is missing."""
+    ents = E.tag_all(_docs(spark, sf))
+    lost = (F.col("doc_id") + F.col("pos")) % 7
+    broken = ents.select("doc_id", "tagger", "pos", F.when(lost == 0, F.lit("")).when(lost != 1, F.col("entity")).alias("entity"),
+                         F.when(lost == 2, F.lit("")).when(lost != 3, F.col("word")).alias("word"),
+                         F.when(lost != 4, F.coalesce("start", "pos")).alias("start"),
+                         F.when(lost != 5, F.coalesce("end", "pos")).alias("end"))
+    return E.valid_entities(broken)
 
 
 # ---- entity extraction and cleaning -------------------------------------
@@ -361,12 +352,17 @@ def q_entity_features(spark, sf):
     return X.entity_features(TB.labelled_ids(spark, sf), _labelled_ents_a(spark, sf), E.TAGS_A)
 
 
+@query
+def q_entity_features_b(spark, sf):
+    ents = E.tag_phrases(_labelled_docs(spark, sf))
+    return X.entity_features(TB.labelled_ids(spark, sf), ents, E.TAGS_B)
+
+
 @query
 def q_features_aligned(spark, sf):
     lab = TB.labelled_ids(spark, sf)
     ents = _labelled_ents_a(spark, sf)
-    train_vocab = X.vocabulary(ents.join(lab.where(F.col("split") == "train").select("doc_id"), "doc_id"))
-    return X.entity_features(lab.where(F.col("split") == "test"), ents, train_vocab)
+    return X.entity_features(lab.where(F.col("split") == "test"), ents, sorted(E.TAGS_A))
 
 
 @query
@@ -377,7 +373,7 @@ def q_seeded_shuffle(spark, sf):
 @query
 def q_mini_batches(spark, sf):
     m = W.mini_batches(TB.labelled_ids(spark, sf).select("doc_id", "split"), seed=SEED)
-    return m.select("doc_id", "split", "bucket", "batch_no")
+    return m.select("doc_id", "split", "batch_no")
 
 
 @query
@@ -416,7 +412,14 @@ def q_confusion_matrix(spark, sf):
 
 @query
 def q_roc_curve(spark, sf):
-    r = V.roc_curve(TB.predictions(spark, sf))
+    r = V.roc_curve(TB.predictions(spark, sf), start=True)
+    return r.select("run", F.round("score", 9).alias("score"), "tp", "fp", "tpr", "fpr")
+
+
+@query
+def q_roc_curve_logit(spark, sf):
+    """The same curve on the raw class-1 logit."""
+    r = V.roc_curve(TB.predictions(spark, sf), score="logit1", start=True)
     return r.select("run", F.round("score", 9).alias("score"), "tp", "fp", "tpr", "fpr")
 
 
@@ -437,32 +440,39 @@ def q_metrics_wide(spark, sf):
     return R.metrics_wide(R.metrics_long(m, ["run"], METRICS), "run", METRICS)
 
 
+def _random_predictions(spark, sf):
+    """M7: class 1 with the training share of class 1, drawn from the key."""
+    lab = TB.labelled_ids(spark, sf)
+    priors = A.class_priors(lab.where(F.col("split") == "train")).select(F.lit("test").alias("split"), "p1")  # one row
+    test = lab.where(F.col("split") == "test").join(priors, "split")
+    return test.select("doc_id", "label_binary", (S.uniform("doc_id", SEED) < F.col("p1")).cast("int").alias("prediction"))
+
+
 @query
 def q_random_baseline(spark, sf):
-    lab = TB.labelled_ids(spark, sf)
-    p1 = A.class_priors(lab.where(F.col("split") == "train")).first()["p1"]  # one scalar
-    test = lab.where(F.col("split") == "test")
-    return test.select("doc_id", "label_binary",
-                       (S.uniform("doc_id", SEED) < F.lit(p1)).cast("int").alias("prediction"))
+    return _random_predictions(spark, sf)
+
+
+# ---- model jobs ------------------------------------------------------------
 
+TAGGERS = {"A": (E.token_entities, E.TAGS_A), "B": (E.phrase_entities, E.TAGS_B)}
 
-# ---- model jobs (rows-only checks: no SQL twin) ---------------------------
 
-def _count_features(spark, sf):
+def _count_features(spark, sf, tagger="A"):
     """Entity-count features of every labelled document, checkpointed once: the
     train and test sides (and k-NN's repeated reads) all come from one tagging pass."""
-    from tagframe.operators import models as M
     lab = TB.labelled_ids(spark, sf)
-    feats = X.entity_features(lab.select("doc_id", "label_binary", "split"), _labelled_ents_a(spark, sf), E.TAGS_A,
-                              extra=("label_binary", "split"))
-    feats = M.materialize(feats)
+    entities, vocab = TAGGERS[tagger]
+    ents = _labelled_docs(spark, sf).select("doc_id", F.inline(entities("text")))
+    feats = X.entity_features(lab.select("doc_id", "label_binary", "split"), ents, vocab, extra=("label_binary", "split"))
+    feats = materialize(feats)
     return R.train_full(feats), feats.where(F.col("split") == "test")
 
 
-def _count_model_preds(spark, sf, models=("logreg", "svm", "tree")):
+def _count_model_preds(spark, sf, models=("logreg", "svm", "tree", "knn"), tagger="A"):
     from tagframe.operators import models as M
-    train, test = _count_features(spark, sf)
-    return M.fit_count_models(train, test, E.TAGS_A, models=models)
+    train, test = _count_features(spark, sf, tagger)
+    return M.fit_count_models(train, test, TAGGERS[tagger][1], models=models)
 
 
 @query
@@ -480,12 +490,38 @@ def q_clf_tree(spark, sf):
     return _count_model_preds(spark, sf, ("tree",))
 
 
+def _scoreboard_rows(spark, sf, models):
+    """Predictions of the models on the features of both taggers, and of the random baseline."""
+    rows = _random_predictions(spark, sf).select("doc_id", "label_binary", F.lit("random").alias("model"), "prediction",
+                                                 F.explode(F.array(F.lit("A"), F.lit("B"))).alias("tagger"))
+    for tagger in TAGGERS:
+        p = _count_model_preds(spark, sf, models, tagger).withColumn("tagger", F.lit(tagger))
+        rows = rows.unionByName(p.select("doc_id", "label_binary", "model", "prediction", "tagger"))
+    return rows
+
+
 @query
 def q_model_scoreboard(spark, sf):
     from tagframe.operators import models as M
-    preds = _count_model_preds(spark, sf).select("doc_id", "label_binary", "model", "prediction")
-    base = q_random_baseline(spark, sf).select("doc_id", "label_binary", F.lit("random").alias("model"), "prediction")
-    return M.scoreboard(preds.unionByName(base))
+    return M.scoreboard(_scoreboard_rows(spark, sf, M.MODELS), by=("tagger", "model"))
+
+
+@query
+def q_scoreboard_exact(spark, sf):
+    """The part of the scoreboard that does not depend on an optimiser: k-NN and the random baseline."""
+    from tagframe.operators import models as M
+    return M.scoreboard(_scoreboard_rows(spark, sf, ("knn",)), by=("tagger", "model"))
+
+
+@query
+def q_run_records(spark, sf):
+    """One record per run of the prediction table, written as Parquet and read back."""
+    from tagframe.session import ensure_checkpoint_dir
+    from tagframe.sources import files
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/run-records-{uuid.uuid4().hex}"
+    metrics = V.binary_metrics(TB.predictions(spark, sf)).select("run", "accuracy", "precision", "recall", "f1")
+    files.append_run_record(spark, path, {"seed": SEED, "threshold": 0.5}, metrics)
+    return spark.read.parquet(path).select("run", "seed", "threshold", "accuracy", "precision", "recall", "f1")
 
 
 def _text_splits(spark, sf, tagged: bool):
@@ -493,7 +529,7 @@ def _text_splits(spark, sf, tagged: bool):
     col = "text"
     if tagged:
         docs = T.tag_xml_rows(docs, E.token_entities("text")).withColumnRenamed("tagged_text", "text").drop("n_spans")
-    st = docs.join(TB.labelled_ids(spark, sf), "doc_id")
+    st = materialize(docs.join(TB.labelled_ids(spark, sf), "doc_id"))  # train and test read it
     return R.train_full(st), st.where(F.col("split") == "test"), col
 
 
@@ -520,14 +556,16 @@ def q_sweep(spark, sf):
     from tagframe.operators import models as M
     docs = _labelled_docs(spark, sf)
     tagged = T.tag_xml_rows(docs, E.token_entities("text")).withColumnRenamed("tagged_text", "text").drop("n_spans")
-    st = M.materialize(tagged.join(TB.labelled_ids(spark, sf), "doc_id"))
-    train, valid = st.where(F.col("split") == "train"), st.where(F.col("split") == "valid")
-    return M.sweep(train, valid, W.config_grid(spark), "text")
+    st = materialize(tagged.join(TB.labelled_ids(spark, sf), "doc_id"))
+    return M.sweep(st.where(F.col("split") == "train"), st.where(F.col("split") == "valid"), "text")
 
 
 @query
 def q_best_run(spark, sf):
-    return W.best_run(q_sweep(spark, sf), "f1", "name")
+    """W5 over the training logs: of each label's runs the one whose last epoch has the highest F1."""
+    stats = W.epoch_stats(TB.epoch_logs(spark, sf), by=("run", "label"))
+    last = stats.where(F.col("epoch") == TB.LOG_EPOCHS).select("label", "run", F.round("eval_f1", 9).alias("f1"))
+    return W.best_run(last, "f1", "run", by=("label",))
 
 
 # ---- batched Python tagger and streaming -----------------------------------
@@ -552,30 +590,23 @@ def q_knn_predict(spark, sf):
     return K.knn_predict(train, test, E.TAGS_A, k=10)
 
 
-# ---- training log, per-epoch stats and early stopping (rows-only) ----------
-
-LOG_EPOCHS = 10
-
+# ---- training logs, per-epoch stats and early stopping ----------------------
 
-def _training_log(spark, sf):
+@query
+def q_training_log(spark, sf):
     from tagframe.operators import models as M
     docs = _labelled_docs(spark, sf)
-    st = M.materialize(docs.join(TB.labelled_ids(spark, sf), "doc_id"))
+    st = materialize(docs.join(TB.labelled_ids(spark, sf), "doc_id"))
     return M.training_log(st.where(F.col("split") == "train"), st.where(F.col("split") == "valid"),
-                          "text", "untagged", max_epochs=LOG_EPOCHS)
-
-
-@query
-def q_training_log(spark, sf):
-    return _training_log(spark, sf)
+                          "text", "untagged", max_epochs=TB.LOG_EPOCHS)
 
 
 @query
 def q_epoch_stats(spark, sf):
-    return W.epoch_stats(_training_log(spark, sf), metrics=("loss", "eval_f1", "eval_accuracy"))
+    return W.epoch_stats(TB.epoch_logs(spark, sf))
 
 
 @query
 def q_early_stop(spark, sf):
-    stats = W.epoch_stats(_training_log(spark, sf), metrics=("loss", "eval_f1"))
-    return W.early_stop(stats.withColumn("max_epochs", F.lit(float(LOG_EPOCHS))), metric="eval_f1")
+    stats = W.epoch_stats(TB.epoch_logs(spark, sf))
+    return W.early_stop(stats.withColumn("max_epochs", F.lit(TB.LOG_EPOCHS)), metric="eval_f1")

@@ -59,12 +59,19 @@ ents_b AS (
          CAST(NULL AS DOUBLE) AS score, word, CAST(NULL AS INTEGER) AS start, CAST(NULL AS INTEGER) AS "end"
   FROM ph)"""
 
-PRED = """
-pbase AS (SELECT l.doc_id, l.quality AS label_binary, e.embedding FROM labels l JOIN embeddings e ON e.vec_id = l.doc_id),
-plog AS (
-  SELECT 'untagged' AS run, doc_id, label_binary, CAST(embedding[1] AS DOUBLE) AS logit0, CAST(embedding[2] AS DOUBLE) AS logit1 FROM pbase
-  UNION ALL
-  SELECT 'tagged' AS run, doc_id, label_binary, CAST(embedding[3] AS DOUBLE) AS logit0, CAST(embedding[4] AS DOUBLE) AS logit1 FROM pbase),
+def _uniform(seed: int, col: str = "doc_id") -> str:
+    return (f"(CAST(CAST(('0x' || substr(md5(CAST({col} AS VARCHAR) || ':{seed}'), 1, 8)) AS BIGINT) AS DOUBLE) "
+            "/ 4294967296.0::DOUBLE)")
+
+
+def _run(name: str, seed0: int, seed1: int, shift: float) -> str:
+    return (f"SELECT '{name}' AS run, doc_id, label_binary, {_uniform(seed0)} * 4.0::DOUBLE - 2.0::DOUBLE AS logit0, "
+            f"{_uniform(seed1)} * 4.0::DOUBLE - 2.0::DOUBLE + {shift}::DOUBLE * (label_binary - 0.5::DOUBLE) AS logit1 FROM pbase")
+
+
+PRED = f"""
+pbase AS (SELECT doc_id, quality AS label_binary FROM labels),
+plog AS ({" UNION ALL ".join(_run(*r) for r in TB.RUN_LOGITS)}),
 pred AS (
   SELECT run, doc_id, label_binary, logit0, logit1,
          CASE WHEN logit1 > logit0 THEN 1 ELSE 0 END AS prediction,
@@ -216,17 +223,61 @@ bm AS (
     round(COALESCE(2.0 * tp::DOUBLE / NULLIF(2 * tp + fp + fn, 0), 0.0), 9) AS f1
   FROM oc)"""
 
-ROC_SQL = """
+WEIGHTED_SQL = """
+SELECT run,
+  round(COALESCE((COALESCE(tp / NULLIF(tp + fp, 0), 0) * (tp + fn) + COALESCE(tn / NULLIF(tn + fn, 0), 0) * (tn + fp)) / NULLIF(n, 0), 0), 9) AS w_precision,
+  round(COALESCE((COALESCE(tp / NULLIF(tp + fn, 0), 0) * (tp + fn) + COALESCE(tn / NULLIF(tn + fp, 0), 0) * (tn + fp)) / NULLIF(n, 0), 0), 9) AS w_recall,
+  round(COALESCE((COALESCE(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0) * (tp + fn) + COALESCE(2 * tn / NULLIF(2 * tn + fn + fp, 0), 0) * (tn + fp)) / NULLIF(n, 0), 0), 9) AS w_f1,
+  round(COALESCE((tp + tn) / NULLIF(n, 0), 0), 9) AS accuracy
+FROM (SELECT run, tp::DOUBLE tp, fp::DOUBLE fp, fn::DOUBLE fn, tn::DOUBLE tn, (tp + fp + fn + tn)::DOUBLE AS n FROM oc)"""
+
+
+def _knn(src: str, cols, name: str, k: int = 10) -> str:
+    """All pairs of distinct vectors: CTEs ending in ``knn_<name>(doc_id, label_binary, prediction)``; needs ``lab`` and ``src``."""
+    fsel = ", ".join(f'CAST(COALESCE(c."{v}", 0) AS BIGINT) AS "{v}"' for v in cols)
+    piv = ", ".join(f'sum(CASE WHEN entity = \'{v}\' THEN 1 ELSE 0 END) AS "{v}"' for v in cols)
+    qv = ", ".join(f'q."{v}"' for v in cols)
+    tvs = ", ".join(f't."{v}" AS "t_{v}"' for v in cols)
+    d2 = " + ".join(f'(q."{v}" - t."{v}") * (q."{v}" - t."{v}")' for v in cols)
+    part = ", ".join(f'"{v}"' for v in cols)
+    tord = ", ".join(f'"t_{v}"' for v in cols)
+    on = " AND ".join(f'f."{v}" = v."{v}"' for v in cols)
+    n = name
+    return (
+        f"cnt{n} AS (SELECT doc_id, {piv} FROM {src} GROUP BY doc_id), "
+        f"feats{n} AS (SELECT l.doc_id, l.label_binary, l.split, {fsel} FROM lab l LEFT JOIN cnt{n} c ON c.doc_id = l.doc_id), "
+        f"tv{n} AS (SELECT {part}, sum(CASE WHEN label_binary = 0 THEN 1 ELSE 0 END) AS n0, "
+        f"sum(CASE WHEN label_binary = 1 THEN 1 ELSE 0 END) AS n1 FROM feats{n} WHERE split IN ('train', 'valid') GROUP BY ALL), "
+        f"qv{n} AS (SELECT DISTINCT {part} FROM feats{n} WHERE split = 'test'), "
+        f"pairs{n} AS (SELECT {qv}, {tvs}, {d2} AS d2, t.n0, t.n1 FROM qv{n} q CROSS JOIN tv{n} t), "
+        f"ranked{n} AS (SELECT *, COALESCE(sum(n0 + n1) OVER (PARTITION BY {part} ORDER BY d2, {tord} "
+        f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pairs{n}), "
+        f"alloc{n} AS (SELECT *, greatest(0, least(n0 + n1, {k} - before)) AS take FROM ranked{n}), "
+        f"votes{n} AS (SELECT {part}, sum(least(n0, take)) AS v0, sum(take - least(n0, take)) AS v1 FROM alloc{n} GROUP BY ALL), "
+        f"knn_{n} AS (SELECT f.doc_id, f.label_binary, CASE WHEN v.v1 > v.v0 THEN 1 ELSE 0 END AS prediction "
+        f"FROM feats{n} f JOIN votes{n} v ON {on} WHERE f.split = 'test')")
+
+
+LOGS = f"""
+ep AS (SELECT vec_id AS run, label, embedding, CAST(unnest(range(1, {TB.LOG_EPOCHS + 1})) AS INTEGER) AS epoch FROM embeddings),
+logs AS (SELECT run, label, epoch, abs(CAST(embedding[epoch] AS DOUBLE)) AS loss,
+         abs(CAST(embedding[10 + epoch] AS DOUBLE)) AS eval_loss, abs(CAST(embedding[20 + epoch] AS DOUBLE)) AS eval_f1 FROM ep)"""
+
+
+def _roc(score: str) -> str:
+    return f"""
 rp AS (
-  SELECT run, confidence AS score, CAST(sum(CASE WHEN label_binary = 1 THEN 1 ELSE 0 END) AS BIGINT) AS dtp,
+  SELECT run, {score} AS score, CAST(sum(CASE WHEN label_binary = 1 THEN 1 ELSE 0 END) AS BIGINT) AS dtp,
          CAST(sum(CASE WHEN label_binary = 0 THEN 1 ELSE 0 END) AS BIGINT) AS dfp
-  FROM pred GROUP BY run, confidence),
+  FROM pred GROUP BY run, {score}),
 rt AS (
   SELECT *, sum(dtp) OVER (PARTITION BY run ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
             sum(dfp) OVER (PARTITION BY run ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
             sum(dtp) OVER (PARTITION BY run) AS P, sum(dfp) OVER (PARTITION BY run) AS N
   FROM rp)"""
 
+
+ROC_SQL = _roc("confidence")
 TAGS = "tags AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i})" for i, t in enumerate(E.TAGS_A)) + ") t(entity, tag_order))"
 
 ERR_TAGS = f"""
@@ -246,10 +297,11 @@ PIVOT_COLS = ", ".join(f'CAST(COALESCE(sum(CASE WHEN entity = \'{t}\' THEN 1 ELS
                        for t in E.TAGS_A)
 
 
-def _features(where: str, vocab) -> str:
+def _features(where: str, vocab, src: str = "ents_a") -> str:
     cols = ", ".join(f'CAST(COALESCE(c."{v}", 0) AS BIGINT) AS "{v}"' for v in vocab)
     piv = ", ".join(f'sum(CASE WHEN entity = \'{v}\' THEN 1 ELSE 0 END) AS "{v}"' for v in vocab)
-    return (f"WITH {LAB}, {ENTS_A}, cnt AS (SELECT doc_id, {piv} FROM ents_a GROUP BY doc_id) "
+    ents = ENTS_A if src == "ents_a" else ENTS_B
+    return (f"WITH {LAB}, {ents}, cnt AS (SELECT doc_id, {piv} FROM {src} GROUP BY doc_id) "
             f"SELECT l.doc_id, l.label_binary, {cols} FROM lab l LEFT JOIN cnt c ON c.doc_id = l.doc_id {where}")
 
 
@@ -291,8 +343,13 @@ def oracle_sql() -> dict[str, str]:
                          "SELECT s.run, s.doc_id, d.text, COALESCE(lit.A_raw_entities, '[]') AS A_raw_entities, "
                          "s.prediction, s.label_binary FROM s "
                          "JOIN documents d ON d.doc_id = s.doc_id LEFT JOIN lit ON lit.doc_id = s.doc_id WHERE rn <= 5")
-    q["valid_entities"] = (f"WITH {ENTS_A}, {ENTS_B}, allx AS (SELECT * FROM ents_a UNION ALL SELECT * FROM ents_b) "
-                           "SELECT doc_id, tagger, pos, entity, word, start, \"end\" FROM allx WHERE word IS NOT NULL "
+    q["valid_entities"] = (f"WITH {ENTS_A}, {ENTS_B}, allx AS (SELECT * FROM ents_a UNION ALL SELECT * FROM ents_b), "
+                           "k AS (SELECT *, (doc_id + pos) % 7 AS lost FROM allx), "
+                           "br AS (SELECT doc_id, tagger, pos, CASE lost WHEN 0 THEN '' WHEN 1 THEN NULL ELSE entity END AS entity, "
+                           "CASE lost WHEN 2 THEN '' WHEN 3 THEN NULL ELSE word END AS word, "
+                           "CASE WHEN lost <> 4 THEN COALESCE(start, pos) END AS start, "
+                           "CASE WHEN lost <> 5 THEN COALESCE(\"end\", pos) END AS \"end\" FROM k) "
+                           "SELECT doc_id, tagger, pos, entity, word, start, \"end\" FROM br WHERE word IS NOT NULL "
                            "AND word <> '' AND entity IS NOT NULL AND entity <> '' AND start IS NOT NULL "
                            "AND \"end\" IS NOT NULL")
     q["tag_tokens"] = f"WITH {ENTS_A} SELECT doc_id, pos, entity, score, word, start, \"end\" FROM ents_a"
@@ -372,34 +429,28 @@ def oracle_sql() -> dict[str, str]:
     q["run_comparison"] = f"WITH {PRED}, {ENTS_A}, {ERR_TAGS} SELECT entity, tag_order, {cmp_cols} FROM etc GROUP BY entity, tag_order"
     q["entity_pivot"] = f"WITH {ENTS_A} SELECT doc_id, {PIVOT_COLS} FROM ents_a GROUP BY doc_id"
     q["entity_features"] = _features("", E.TAGS_A)
+    q["entity_features_b"] = _features("", E.TAGS_B, "ents_b")
     q["features_aligned"] = _features("WHERE l.split = 'test'", sorted(E.TAGS_A))
-    q["seeded_shuffle"] = f"WITH {LAB} SELECT doc_id, split, md5(CAST(doc_id AS VARCHAR) || ':42') AS shuffle_key FROM lab"
-    q["mini_batches"] = (f"WITH {LAB}, k AS (SELECT doc_id, split, md5(CAST(doc_id AS VARCHAR) || ':42') AS sk FROM lab), "
-                         "nb AS (SELECT greatest(1, CAST(ceil(count(*) / 1000000.0) AS INTEGER)) AS nb FROM lab), "
-                         "b AS (SELECT k.*, CAST(CAST(('0x' || substr(sk, 1, 4)) AS INTEGER) % nb.nb AS INTEGER) AS bucket "
-                         "FROM k, nb) "
-                         "SELECT doc_id, split, bucket, CAST(floor((row_number() OVER (PARTITION BY split, bucket "
-                         "ORDER BY sk, doc_id) - 1) / 8) AS INTEGER) AS batch_no FROM b")
+    sk = "md5(CAST(doc_id AS VARCHAR) || ':42')"
+    q["seeded_shuffle"] = (f"WITH {LAB} SELECT doc_id, split, row_number() OVER (ORDER BY {sk}, doc_id) - 1 AS shuffle_rank FROM lab")
+    q["mini_batches"] = (f"WITH {LAB} SELECT doc_id, split, CAST(floor((row_number() OVER (PARTITION BY split "
+                         f"ORDER BY {sk}, doc_id) - 1) / 8) AS BIGINT) AS batch_no FROM lab")
     q["train_full"] = f"WITH {LAB} SELECT doc_id, label_binary, split FROM lab WHERE split IN ('train', 'valid')"
     q["score_predictions"] = (f"WITH {PRED} SELECT run, doc_id, prediction AS pred_argmax, round(confidence, 9) AS confidence, "
                               "CASE WHEN confidence >= 0.5 THEN 1 ELSE 0 END AS pred_threshold FROM pred")
     q["binary_metrics"] = f"WITH {PRED}, {METRICS_SQL} SELECT * FROM bm"
-    q["weighted_metrics"] = (f"WITH {PRED}, {METRICS_SQL}, d AS (SELECT run, tp::DOUBLE tp, fp::DOUBLE fp, fn::DOUBLE fn, "
-                             "tn::DOUBLE tn, (tp + fp + fn + tn)::DOUBLE AS n FROM oc) "
-                             "SELECT run, "
-                             "round(COALESCE((COALESCE(tp / NULLIF(tp + fp, 0), 0) * (tp + fn) + COALESCE(tn / NULLIF(tn + fn, 0), 0) * (tn + fp)) / NULLIF(n, 0), 0), 9) AS w_precision, "
-                             "round(COALESCE((COALESCE(tp / NULLIF(tp + fn, 0), 0) * (tp + fn) + COALESCE(tn / NULLIF(tn + fp, 0), 0) * (tn + fp)) / NULLIF(n, 0), 0), 9) AS w_recall, "
-                             "round(COALESCE((COALESCE(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0) * (tp + fn) + COALESCE(2 * tn / NULLIF(2 * tn + fn + fp, 0), 0) * (tn + fp)) / NULLIF(n, 0), 0), 9) AS w_f1, "
-                             "round(COALESCE((tp + tn) / NULLIF(n, 0), 0), 9) AS accuracy FROM d")
+    q["weighted_metrics"] = f"WITH {PRED}, {METRICS_SQL} SELECT run, w_precision, w_recall, w_f1, accuracy FROM ({WEIGHTED_SQL})"
     q["confusion_matrix"] = (f"WITH {PRED}, cells AS (SELECT * FROM (VALUES (1, 1, 'TP'), (0, 1, 'FP'), (1, 0, 'FN'), (0, 0, 'TN')) "
                              "c(label_binary, prediction, outcome)), cnt AS (SELECT run, label_binary, prediction, count(*) AS n "
                              "FROM pred GROUP BY ALL) SELECT r.run, CAST(c.label_binary AS INTEGER) AS label_binary, "
                              "CAST(c.prediction AS INTEGER) AS prediction, c.outcome, CAST(COALESCE(cnt.n, 0) AS BIGINT) AS n "
                              "FROM (SELECT DISTINCT run FROM pred) r CROSS JOIN cells c LEFT JOIN cnt ON cnt.run = r.run "
                              "AND cnt.label_binary = c.label_binary AND cnt.prediction = c.prediction")
-    q["roc_curve"] = (f"WITH {PRED}, {ROC_SQL} SELECT run, round(score, 9) AS score, CAST(tp AS BIGINT) AS tp, "
-                      "CAST(fp AS BIGINT) AS fp, round(COALESCE(tp::DOUBLE / NULLIF(P, 0), 0), 9) AS tpr, "
-                      "round(COALESCE(fp::DOUBLE / NULLIF(N, 0), 0), 9) AS fpr FROM rt")
+    for name, score in (("roc_curve", "confidence"), ("roc_curve_logit", "logit1")):
+        q[name] = (f"WITH {PRED}, {_roc(score)} SELECT run, round(score, 9) AS score, CAST(tp AS BIGINT) AS tp, "
+                   "CAST(fp AS BIGINT) AS fp, round(COALESCE(tp::DOUBLE / NULLIF(P, 0), 0), 9) AS tpr, "
+                   "round(COALESCE(fp::DOUBLE / NULLIF(N, 0), 0), 9) AS fpr FROM rt UNION ALL "
+                   "SELECT DISTINCT run, CAST(NULL AS DOUBLE), 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE FROM rt")
     q["auc"] = (f"WITH {PRED}, {ROC_SQL} SELECT run, round(COALESCE(sum((dfp::DOUBLE / N) * (2 * tp - dtp) / (2 * P)), 0), 6) "
                 "AS auc, count(*) AS n_points FROM rt GROUP BY run")
     unp = " UNION ALL ".join(f"SELECT run, '{m}' AS metric, {m} AS value FROM bm" for m in ("accuracy", "precision", "recall", "f1"))
@@ -409,28 +460,29 @@ def oracle_sql() -> dict[str, str]:
                             "FROM lab WHERE split = 'train') SELECT doc_id, label_binary, CAST(CAST(('0x' || "
                             "substr(md5(CAST(doc_id AS VARCHAR) || ':42'), 1, 8)) AS BIGINT)::DOUBLE / 4294967296.0 < p1 AS INTEGER) "
                             "AS prediction FROM lab CROSS JOIN pr WHERE split = 'test'")
-    cols = list(E.TAGS_A)
-    fsel = ", ".join(f'CAST(COALESCE(c."{v}", 0) AS BIGINT) AS "{v}"' for v in cols)
-    piv = ", ".join(f'sum(CASE WHEN entity = \'{v}\' THEN 1 ELSE 0 END) AS "{v}"' for v in cols)
-    qv = ", ".join(f'q."{v}"' for v in cols)
-    tvs = ", ".join(f't."{v}" AS "t_{v}"' for v in cols)
-    d2 = " + ".join(f'(q."{v}" - t."{v}") * (q."{v}" - t."{v}")' for v in cols)
-    qpart = ", ".join(f'"{v}"' for v in cols)
-    tord = ", ".join(f'"t_{v}"' for v in cols)
-    on = " AND ".join(f'f."{v}" = v."{v}"' for v in cols)
-    q["knn_predict"] = (
-        f"WITH {LAB}, {ENTS_A}, cnt AS (SELECT doc_id, {piv} FROM ents_a GROUP BY doc_id), "
-        f"feats AS (SELECT l.doc_id, l.label_binary, l.split, {fsel} FROM lab l LEFT JOIN cnt c ON c.doc_id = l.doc_id), "
-        f"tv AS (SELECT {qpart}, sum(CASE WHEN label_binary = 0 THEN 1 ELSE 0 END) AS n0, "
-        f"sum(CASE WHEN label_binary = 1 THEN 1 ELSE 0 END) AS n1 FROM feats WHERE split IN ('train', 'valid') GROUP BY ALL), "
-        f"qv AS (SELECT DISTINCT {qpart} FROM feats WHERE split = 'test'), "
-        f"pairs AS (SELECT {qv}, {tvs}, {d2} AS d2, t.n0, t.n1 FROM qv q CROSS JOIN tv t), "
-        f"ranked AS (SELECT *, COALESCE(sum(n0 + n1) OVER (PARTITION BY {qpart} ORDER BY d2, {tord} "
-        f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pairs), "
-        f"alloc AS (SELECT *, greatest(0, least(n0 + n1, 10 - before)) AS take FROM ranked), "
-        f"votes AS (SELECT {qpart}, sum(least(n0, take)) AS v0, sum(take - least(n0, take)) AS v1 FROM alloc GROUP BY ALL) "
-        f"SELECT f.doc_id, f.label_binary, CASE WHEN v.v1 > v.v0 THEN 1 ELSE 0 END AS prediction "
-        f"FROM feats f JOIN votes v ON {on} WHERE f.split = 'test'")
+    q["knn_predict"] = f"WITH {LAB}, {ENTS_A}, {_knn('ents_a', E.TAGS_A, 'A')} SELECT doc_id, label_binary, prediction FROM knn_A"
+    rand = (f"rnd AS ({q['random_baseline'].replace(f'WITH {LAB}, pr AS', 'WITH pr AS')})")
+    q["scoreboard_exact"] = (
+        f"WITH {LAB}, {ENTS_A}, {ENTS_B}, {_knn('ents_a', E.TAGS_A, 'A')}, {_knn('ents_b', E.TAGS_B, 'B')}, {rand}, "
+        "allp AS (SELECT 'A' AS tagger, 'knn' AS model, label_binary, prediction FROM knn_A UNION ALL "
+        "SELECT 'B', 'knn', label_binary, prediction FROM knn_B UNION ALL "
+        "SELECT 'A', 'random', label_binary, prediction FROM rnd UNION ALL SELECT 'B', 'random', label_binary, prediction FROM rnd), "
+        "pred AS (SELECT tagger || '|' || model AS run, label_binary, prediction FROM allp), "
+        f"{METRICS_SQL}, wm AS (SELECT run AS wrun, w_precision, w_recall, w_f1 FROM ({WEIGHTED_SQL})) "
+        "SELECT split_part(run, '|', 1) AS tagger, split_part(run, '|', 2) AS model, tp, fp, fn, tn, accuracy, precision, recall, f1, "
+        "w_precision, w_recall, w_f1 FROM bm JOIN wm ON wrun = run")
+    q["run_records"] = (f"WITH {PRED}, {METRICS_SQL} SELECT run, 42 AS seed, 0.5::DOUBLE AS threshold, accuracy, precision, recall, f1 FROM bm")
+    q["epoch_stats"] = f"WITH {LOGS} SELECT run, epoch, loss, eval_loss, eval_f1 FROM logs"
+    q["early_stop"] = (
+        f"WITH {LOGS}, b AS (SELECT *, max(eval_f1) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING "
+        "AND 1 PRECEDING) AS pb FROM logs), "
+        "i AS (SELECT *, max(CASE WHEN pb IS NULL OR eval_f1 > pb THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS rb FROM b), "
+        "s AS (SELECT run, min(CASE WHEN epoch - rb >= 5 THEN epoch END) AS stop, max(epoch) AS n FROM i GROUP BY run) "
+        "SELECT s.run, i.rb AS best_epoch, CAST(s.n AS INTEGER) AS epochs, CAST(least(i.rb + 5, s.n) AS INTEGER) AS final_epoch "
+        "FROM s JOIN i ON i.run = s.run AND i.epoch = COALESCE(s.stop, s.n)")
+    q["best_run"] = (f"WITH {LOGS}, l AS (SELECT label, run, round(eval_f1, 9) AS f1 FROM logs WHERE epoch = {TB.LOG_EPOCHS}) "
+                     "SELECT label, run, f1 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY f1 DESC, run) AS r FROM l) "
+                     "WHERE r = 1")
     q["tag_batched"] = q["tag_tokens"]
     q["stream_tag_xml"] = q["tag_xml"]
     return q

@@ -12,24 +12,6 @@ ENTITY = T.StructType([
 ])
 ENTITY_ARRAY = T.ArrayType(ENTITY)
 
-SPAN = T.StructType([
-    T.StructField("start", T.IntegerType()),
-    T.StructField("end", T.IntegerType()),
-    T.StructField("entity", T.StringType()),
-])
-
-# Long form of tagger output: one row per entity.
-ENTITIES = T.StructType([
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("tagger", T.StringType()),
-    T.StructField("pos", T.IntegerType()),
-    T.StructField("entity", T.StringType()),
-    T.StructField("score", T.DoubleType()),
-    T.StructField("word", T.StringType()),
-    T.StructField("start", T.IntegerType()),
-    T.StructField("end", T.IntegerType()),
-])
-
 RAW_STATEMENTS = T.StructType([
     T.StructField("statement", T.StringType()),
     T.StructField("label", T.IntegerType()),
@@ -49,10 +31,11 @@ SWEEP_RESULT = T.StructType([
     T.StructField("best_checkpoint", T.StringType()),
 ])
 
-PREDICTIONS = T.StructType([
-    T.StructField("run", T.StringType()),
-    T.StructField("doc_id", T.LongType()),
+# A prediction export: the columns that analyses read, by name.
+PREDICTION_EXPORT = T.StructType([
+    T.StructField("statement", T.StringType()),
     T.StructField("label_binary", T.IntegerType()),
+    T.StructField("A_raw_entities", T.StringType()),
     T.StructField("prediction", T.IntegerType()),
     T.StructField("confidence", T.DoubleType()),
 ])

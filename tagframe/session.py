@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_CONF = {
     "spark.sql.shuffle.partitions": "8",
@@ -58,3 +58,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="tagframe-ckpt-")
     sc.setCheckpointDir(local)
     return local
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: an eager reliable checkpoint in the session's shared ``spark.checkpoint.dir``.
+
+    Survives executor loss, and every later reader sees the same rows in the same partitions.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

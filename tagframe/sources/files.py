@@ -6,14 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagframe.schemas import ENTITY_ARRAY, RAW_STATEMENTS, SWEEP_RESULT
+from tagframe.schemas import PREDICTION_EXPORT, RAW_STATEMENTS, SWEEP_RESULT
 from tagframe.sources import literals
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Quoted CSV with a header. ``escape='"'`` keeps doubled quotes inside a field."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+    """Quoted CSV with a header; columns are found by the header's names, in any order, then cast.
+
+    ``escape='"'`` keeps doubled quotes inside a field. Columns that the schema does not name are dropped;
+    a file without one that it names is an error.
+    """
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
+           .option("escape", '"').csv(path))
+    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def read_predictions(spark: SparkSession, path: str, run: str) -> DataFrame:
+    """A prediction export (``statement, ..., label_binary, prediction, confidence``) as one run."""
+    df = read_csv(spark, path, PREDICTION_EXPORT)
+    return df.select(F.lit(run).alias("run"), *[f.name for f in PREDICTION_EXPORT.fields])
 
 
 def read_statements(spark: SparkSession, path: str, schema: T.StructType = RAW_STATEMENTS) -> DataFrame:
@@ -77,6 +91,3 @@ def read_sweep_results(spark: SparkSession, glob: str) -> DataFrame:
     """The one-row result files of a sweep as one table."""
     return read_csv(spark, glob, SWEEP_RESULT)
 
-
-def parse_entity_text(df: DataFrame, col: str, mode: str = "keep") -> DataFrame:
-    return literals.parse_entities(df, col, "entities", mode, ENTITY_ARRAY)

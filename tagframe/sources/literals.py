@@ -54,9 +54,23 @@ def parse_entities(df: DataFrame, raw: str, out: str = "entities", mode: str = "
     return res.where(F.col(out).isNotNull()) if mode == "skip" else res
 
 
+# Control characters that Python writes with a letter.
+LETTER_ESCAPES = {"\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+
 def py_str(x) -> Column:
-    """Python ``repr`` of a string: single quotes unless the text holds ``'`` and no ``"``."""
+    """Python ``repr`` of a string: single quotes unless the text holds ``'`` and no ``"``;
+    backslashes doubled, control characters and the no-break space escaped."""
     c = F.replace(_c(x), F.lit("\\"), F.lit("\\\\"))
+    for raw, escaped in LETTER_ESCAPES.items():
+        c = F.replace(c, F.lit(raw), F.lit(escaped))
+    codes = [*range(0x20), *range(0x7F, 0xA1), 0xAD]
+    rare = F.regexp_replace(c, r"[\x00-\x1f\x7f-\xa0\xad]", "") != c
+    hexed = c
+    for code in codes:
+        if chr(code) not in LETTER_ESCAPES:
+            hexed = F.replace(hexed, F.lit(chr(code)), F.lit(f"\\x{code:02x}"))
+    c = F.when(rare, hexed).otherwise(c)
     has_single, has_double = F.instr(c, "'") > 0, F.instr(c, '"') > 0
     return (F.when(c.isNull(), F.lit("None"))
             .when(has_single & ~has_double, F.concat(F.lit('"'), c, F.lit('"')))

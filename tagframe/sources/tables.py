@@ -6,7 +6,8 @@
 | label_binary         | ``labels.quality``                                            |
 | raw 0-9 label        | ``embeddings.label`` keyed by ``vec_id``                      |
 | split                | first hex digit of ``md5(doc_id)``: 0-b train, c-d valid, e-f test |
-| run predictions      | two logits pairs of ``embeddings.embedding`` per labelled doc |
+| run predictions      | two logits per run and labelled document, from its key's hash and its label |
+| training logs        | per embedding a run of ``LOG_EPOCHS`` epochs whose metrics are its elements |
 
 All readers prune columns at the scan; the split is a pure function of the
 key, so it is identical under any partitioning and in SQL.
@@ -40,42 +41,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def write_bucketed_documents(spark: SparkSession, sf_dir: str, table: str = "documents_by_id",
-                             buckets: int | None = None, path: str | None = None) -> str:
-    """Store documents bucketed (and sorted) by ``doc_id`` as a catalog table.
-
-    Reading it back gives ``HashPartitioning(doc_id, buckets)`` straight from the
-    scan, so per-document pipelines run without any exchange. The files go to
-    ``path`` or under the shared checkpoint folder.
-    """
-    import os
-
-    from tagframe.session import ensure_checkpoint_dir
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    location = path or os.path.join(ensure_checkpoint_dir(spark), "tables", table)
-    (documents(spark, sf_dir).where(F.col("doc_id").isNotNull()).write.mode("overwrite")
-     .bucketBy(n, "doc_id").sortBy("doc_id").option("path", location).saveAsTable(table))
-    return table
-
-
-def documents_by_id(spark: SparkSession, sf_dir: str, table: str | None = None) -> DataFrame:
-    """Documents hash-partitioned by ``doc_id``.
-
-    One shuffle of the text; every later per-document window, group and join
-    on ``doc_id`` reuses this partitioning, so no token row is shuffled.
-    A table stored bucketed by ``doc_id`` makes even this exchange disappear.
-    Rows without a key are dropped here, so every consumer sees the same
-    subtree and Spark reuses the one exchange. With ``table`` (written by
-    ``write_bucketed_documents``) the scan is already partitioned: no exchange.
-    """
-    if table:
-        return spark.table(table).select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    return documents(spark, sf_dir).where(F.col("doc_id").isNotNull()).repartition("doc_id")
-
-
-def statements(spark: SparkSession, sf_dir: str, by_id: bool = False) -> DataFrame:
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled statements ``(doc_id, text, label_binary, split)``."""
-    docs = documents_by_id(spark, sf_dir) if by_id else documents(spark, sf_dir)
+    docs = documents(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label_binary"))
     return docs.join(labels, "doc_id").withColumn("split", split_of(F.col("doc_id")))
 
@@ -91,20 +59,45 @@ def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "label")
 
 
-# Which embedding elements act as the (class 0, class 1) logits of each run.
-RUN_LOGITS = (("untagged", 1, 2), ("tagged", 3, 4))
+# The runs, the seeds of their two logits and how far the label moves the second.
+RUN_LOGITS = (("untagged", 11, 12, 0.6), ("tagged", 13, 14, 1.0))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prediction table of two runs: ``(run, doc_id, label_binary, logit0, logit1, prediction, confidence)``."""
+    """Prediction table of two runs over every labelled document:
+    ``(run, doc_id, label_binary, logit0, logit1, prediction, confidence)``."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label_binary"))
-    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    base = labels.join(emb, "doc_id")
-    runs = F.array(*[F.struct(F.lit(name).alias("run"),
-                              F.element_at("embedding", i0).cast("double").alias("logit0"),
-                              F.element_at("embedding", i1).cast("double").alias("logit1"))
-                     for name, i0, i1 in RUN_LOGITS])
-    out = base.select("doc_id", "label_binary", F.inline(runs))
+
+    def run(name, seed0, seed1, shift):
+        logit0 = scores.uniform("doc_id", seed0) * 4.0 - 2.0
+        logit1 = scores.uniform("doc_id", seed1) * 4.0 - 2.0 + F.lit(shift) * (F.col("label_binary") - F.lit(0.5))
+        return F.struct(F.lit(name).alias("run"), logit0.alias("logit0"), logit1.alias("logit1"))
+
+    out = labels.select("doc_id", "label_binary", F.inline(F.array(*[run(*r) for r in RUN_LOGITS])))
     return out.select("run", "doc_id", "label_binary", "logit0", "logit1",
                       scores.argmax2("logit0", "logit1").alias("prediction"),
                       scores.softmax_p1("logit0", "logit1").alias("confidence"))
+
+
+LOG_EPOCHS = 10
+
+
+def epoch_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training logs in the shape of per-event logs, one run per embedding.
+
+    Epoch ``e`` has a train event (``loss`` = |element e|) and an eval event (``eval_loss`` =
+    |element 10 + e|, ``eval_f1`` = |element 20 + e|); a metric that an event lacks is null.
+    """
+    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("run"), "label", "embedding")
+
+    def value(at):
+        return F.abs(F.element_at("embedding", at).cast("double"))
+
+    none = F.lit(None).cast("double")
+    events = []
+    for e in range(1, LOG_EPOCHS + 1):
+        events += [F.struct(F.lit(2 * e - 1).alias("event_no"), F.lit(e).alias("epoch"), value(e).alias("loss"),
+                            none.alias("eval_loss"), none.alias("eval_f1")),
+                   F.struct(F.lit(2 * e).alias("event_no"), F.lit(e).alias("epoch"), none.alias("loss"),
+                            value(10 + e).alias("eval_loss"), value(20 + e).alias("eval_f1"))]
+    return emb.select("run", "label", F.inline(F.array(*events)))

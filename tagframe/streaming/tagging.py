@@ -1,19 +1,15 @@
 """Tagging documents as they arrive.
 
-Stateless operators (label maps, phrase tagger, literal parsing, validity
-filters) run on a streaming DataFrame as they are. Per-document operators
-(token offsets, span merging, tag insertion) use windows and groups keyed by
-``doc_id``; a document arrives whole in one micro-batch, so running them in
-``foreachBatch`` is exact and needs no streaming state.
+Every text operator is local to the document's row, so it runs on a streaming
+DataFrame as it is: no state, no per-batch code, and the file sink writes each
+micro-batch exactly once.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tagframe.operators import entities as E
 from tagframe.operators import tagging as T
@@ -22,34 +18,42 @@ from tagframe.session import ensure_checkpoint_dir
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def document_stream(spark: SparkSession, folder: str, pattern: str = "documents*.parquet",
-                    max_files: int = 1) -> DataFrame:
-    """Documents arriving as parquet files in ``folder`` (one file per trigger)."""
-    return (spark.readStream.schema(DOC_SCHEMA).option("maxFilesPerTrigger", max_files)
-            .option("pathGlobFilter", pattern).parquet(folder))
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+def document_stream(spark: SparkSession, src: str, table: str = "documents.parquet", max_files: int | None = None) -> DataFrame:
+    """Documents arriving as Parquet files of the table: a folder of part files, or a single file.
+
+    ``max_files`` bounds the files of a micro-batch; by default it takes all that are new.
+    """
+    reader = spark.readStream.schema(DOC_SCHEMA)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    if _is_folder(spark, f"{src}/{table}"):
+        return reader.parquet(f"{src}/{table}")
+    return reader.option("pathGlobFilter", table).parquet(src)
 
 
 def stream_phrases(stream: DataFrame) -> DataFrame:
-    """N6 on a stream: stateless, runs inside the micro-batch plan."""
+    """N6 on a stream."""
     return E.tag_phrases(stream.select("doc_id", "text"))
 
 
-def run_tag_xml(spark: SparkSession, src: str, out: str | None = None) -> str:
-    """Run T6 over a document stream to completion (``availableNow``); return the sink folder.
+def stream_tag_xml(stream: DataFrame) -> DataFrame:
+    """T6 on a stream."""
+    return T.tag_xml_rows(stream, E.token_entities("text"))
 
-    Sink and stream checkpoint live under the session's shared checkpoint folder.
-    """
-    base = ensure_checkpoint_dir(spark)
-    run_dir = out or os.path.join(base, f"stream-tag-xml-{uuid.uuid4().hex}")
 
-    def per_batch(batch: DataFrame, batch_id: int) -> None:
-        # a replayed batch overwrites its own folder: the sink stays exactly-once
-        docs = batch.select("doc_id", "text").where(F.col("doc_id").isNotNull()).repartition("doc_id")
-        T.tag_xml(docs, E.tag_tokens(docs)) \
-            .write.mode("overwrite").parquet(os.path.join(run_dir, "data", f"batch_id={batch_id}"))
+def run_tag_xml(spark: SparkSession, src: str, out: str | None = None) -> str:
+    """Run T6 over a document stream to completion (``availableNow``); return the sink folder, the caller's to delete.
 
-    q = (document_stream(spark, src).writeStream.foreachBatch(per_batch)
-         .option("checkpointLocation", os.path.join(run_dir, "_checkpoint"))
+    Sink and stream checkpoint live under the session's shared checkpoint folder unless ``out`` names another.
+    """
+    run_dir = out or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-tag-xml-{uuid.uuid4().hex}"
+    q = (stream_tag_xml(document_stream(spark, src)).writeStream.format("parquet").outputMode("append")
+         .option("path", f"{run_dir}/data").option("checkpointLocation", f"{run_dir}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return os.path.join(run_dir, "data")
+    return f"{run_dir}/data"
