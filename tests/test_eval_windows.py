@@ -17,6 +17,10 @@ PUBLISHED = {
 }
 
 
+# File name pattern and header of one sweep result.
+RESULT_FILES = "result_exp_*.csv"
+
+
 def _preds_from_counts(spark):
     rows = []
     for run, ((tp, fp, fn, tn), _) in PUBLISHED.items():
@@ -63,7 +67,7 @@ def test_roc_auc_against_brute_force(spark):
     assert pts[-1].tp == len(pos) and pts[-1].fp == len(neg)
 
 
-def test_config_grid(spark):
+def test_config_grid(spark):  # fixed values: the grid's lists and numbering
     g = {r.name: (r.epochs, r.batch_size, r.lr) for r in W.config_grid(spark).collect()}
     assert len(g) == 60
     assert g["exp_1"] == (10, 4, 1e-5) and g["exp_28"] == (15, 8, 4e-5) and g["exp_60"] == (20, 64, 4e-5)
@@ -71,11 +75,54 @@ def test_config_grid(spark):
     assert W.config_pick(W.config_grid(spark), 0).first().name == "exp_1"
 
 
+# Three published sweep results.
+SWEEP = [("exp_41", 0.6974789915966386, 0.6865), ("exp_47", 0.6854, 0.7122333478450152), ("exp_44", 0.2108, 0.5)]
+
+
 def test_best_run(spark):
-    df = spark.createDataFrame([("exp_41", 0.6974789915966386, 0.6865), ("exp_47", 0.6854, 0.7122333478450152),
-                                ("exp_44", 0.2108, 0.5)], "name string, f1 double, accuracy double")
+    df = spark.createDataFrame(SWEEP, "name string, f1 double, accuracy double")
     assert W.best_run(df, "f1").first().name == "exp_41"
     assert W.best_run(df, "accuracy").first().name == "exp_47"
+    tied = spark.createDataFrame([("x", "b", 1.0), ("x", "a", 1.0), ("y", "c", 0.5)], "g string, name string, f1 double")
+    assert {(r.g, r.name) for r in W.best_run(tied, "f1", by=("g",)).collect()} == {("x", "a"), ("y", "c")}
+
+
+def test_ranks_and_batches_do_not_depend_on_the_buckets(spark):
+    import hashlib
+    df = spark.createDataFrame([(i, "train" if i % 3 else "test") for i in range(700)], "doc_id long, split string")
+    order = sorted(range(700), key=lambda i: hashlib.md5(f"{i}:42".encode()).hexdigest())
+    for digits in (1, 2, 4):
+        got = {r.doc_id: r.shuffle_rank for r in W.hash_rank(df, digits=digits).collect()}
+        assert got == {k: n for n, k in enumerate(order)}
+        batches = {}
+        for r in W.mini_batches(df, digits=digits).collect():
+            batches.setdefault((r.split, r.batch_no), []).append(r.doc_id)
+        assert all(len(v) == 8 for (s, b), v in batches.items() if (s, b + 1) in batches)
+        test = [k for k in order if not k % 3]
+        assert sorted(batches["test", 0]) == sorted(test[:8])
+
+
+def test_roc_without_exchange_reuse_equals_brute_force(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    n = 200_000
+    y, score = rng.integers(0, 2, n), np.round(rng.random(n), 5)
+    import pandas as pd
+    df = spark.createDataFrame(pd.DataFrame({"run": "r", "label_binary": y, "confidence": score}))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        roc = V.roc_curve(df, buckets=16, start=True).toPandas()
+        area = V.auc(V.roc_curve(df, buckets=16)).first().auc
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+    values = np.unique(score)[::-1]
+    order = np.argsort(-score, kind="stable")
+    upto = np.searchsorted(-score[order], -values, "right")
+    tp = np.cumsum(y[order])[upto - 1]
+    roc = roc.sort_values("score", ascending=False, na_position="first")
+    assert roc["tp"].tolist() == [0, *tp] and roc["fp"].tolist() == [0, *(upto - tp)]
+    p, q = np.append(0, tp) / y.sum(), np.append(0, upto - tp) / (n - y.sum())
+    assert abs(area - ((q[1:] - q[:-1]) * (p[1:] + p[:-1]) / 2).sum()) < 1e-6
 
 
 def test_early_stop(spark):
@@ -90,16 +137,16 @@ def test_early_stop(spark):
 def test_log_events_and_epoch_stats(spark, tmp_path):
     from tagframe.sources import files
     log = tmp_path / "run.out"
-    log.write_text("Activating environment...\n"
-                   "{'loss': 0.57, 'grad_norm': 12.4, 'learning_rate': 2.5e-05, 'epoch': 1.0}\n"
-                   "{'eval_loss': 0.46, 'eval_f1': 0.75, 'epoch': 1.0}\n"
-                   "{'loss': 0.46, 'epoch': 2.0}\n"
-                   "{'eval_loss': 0.28, 'eval_f1': 0.88, 'epoch': 2.0}\n"
-                   "{'train_runtime': 1916.7, 'train_loss': 0.3, 'epoch': 2.0}\n")
+    log.write_text("banner line\n"
+                   "{'loss': 0.9, 'step_size': 0.5, 'epoch': 1.0}\n"
+                   "{'eval_loss': 0.8, 'eval_f1': 0.25, 'epoch': 1.0}\n"
+                   "{'loss': 0.7, 'epoch': 2.0}\n"
+                   "{'eval_loss': 0.6, 'eval_f1': 0.5, 'epoch': 2.0}\n"
+                   "{'seconds': 12.5, 'mean_loss': 0.75, 'epoch': 2.0}\n")
     ev = files.log_metrics(files.read_log_events(spark, str(log), run="r"), ["loss", "eval_loss", "eval_f1"])
     assert ev.count() == 5
-    st = {r.epoch: (r.loss, r.eval_f1) for r in W.epoch_stats(ev).collect()}
-    assert st == {1.0: (0.57, 0.75), 2.0: (0.46, 0.88)}
+    st = {r.epoch: (r.loss, r.eval_loss, r.eval_f1) for r in W.epoch_stats(ev).collect()}
+    assert st == {1.0: (0.9, 0.8, 0.25), 2.0: (0.7, 0.6, 0.5)}
 
 
 def test_csv_quoting_and_sweep_results(spark, tmp_path):
@@ -112,10 +159,10 @@ def test_csv_quoting_and_sweep_results(spark, tmp_path):
     d = tmp_path / "sweep"
     d.mkdir()
     for i in range(1, 4):
-        (d / f"sweep_result_{i}.csv").write_text(
+        (d / f"result_exp_{i}.csv").write_text(
             "name,epochs,batch_size,lr,accuracy,f1,precision,recall,best_f1,final_epoch,best_checkpoint\n"
             f"exp_{i},10,4,1e-05,0.6,0.{i},0.5,0.5,0.{i},8.0,ckpt-{i}\n")
-    res = files.read_sweep_results(spark, str(d / "sweep_result_*.csv"))
+    res = files.read_sweep_results(spark, str(d / RESULT_FILES))
     assert res.count() == 3 and W.best_run(res, "f1").first().name == "exp_3"
     assert [f.name for f in res.schema.fields] == [f.name for f in SWEEP_RESULT.fields]
 
@@ -132,14 +179,13 @@ def test_run_record_append(spark, tmp_path):
 
 def test_literal_table_melt_and_percent(spark):
     from tagframe.operators import reshape as R
-    t = R.literal_table(spark, {"model": ["Random Baseline", "LogReg"], "accuracy": [53.31, 61.76],
-                                "f1": [44.89, 61.20]})
+    t = R.literal_table(spark, {"model": ["coin", "line"], "accuracy": [50.25, 60.5],
+                                "f1": [40.75, 55.0]})
     long = R.metrics_long(t, ["model"], ["accuracy", "f1"], "metric", "percentage")
     got = {(r.model, r.metric): r.percentage for r in long.collect()}
-    assert got == {("Random Baseline", "accuracy"): 53.31, ("Random Baseline", "f1"): 44.89,
-                   ("LogReg", "accuracy"): 61.76, ("LogReg", "f1"): 61.20}
+    assert got == {("coin", "accuracy"): 50.25, ("coin", "f1"): 40.75, ("line", "accuracy"): 60.5, ("line", "f1"): 55.0}
     wide = {r.model: (r.accuracy, r.f1) for r in R.metrics_wide(long, "model", ["accuracy", "f1"], "metric", "percentage").collect()}
-    assert wide["LogReg"] == (61.76, 61.20)
+    assert wide["line"] == (60.5, 55.0)
     p = R.as_percent(spark.createDataFrame([(0.67034,)], "accuracy double"), ["accuracy"]).first()
     assert p.accuracy == 67.03
 

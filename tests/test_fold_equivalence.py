@@ -1,81 +1,46 @@
-"""Randomised equivalence with plain sequential folds (our own Python statements of the
-semantics): running-offset insertion (T1), cursor search (T2), greedy search (T3)."""
+"""Randomised checks of insertion (T1), cursor search (T2) and free search (T3) against their specification:
+what an accepted span must satisfy, and that removing the tags gives the text back."""
 
 import random
-
-from pyspark.sql import functions as F
+import re
 
 from tagframe.operators import tagging as T
 
 ALPHABET = "ab Éé😀xY"
 
 
-def _insert_fold(text, spans):
-    out, off = text, 0
-    for s, e, lab in sorted(spans):
-        s2, e2 = s + off, e + off
-        out = out[:s2] + f"<{lab}>" + out[s2:e2] + f"</{lab}>" + out[e2:]
-        off += len(lab) * 2 + 5
-    return out
-
-
-def _cursor_fold(text, ents):
-    tagged, off = text, 0
-    for w, lab in ents:
-        if not w or not lab:
-            continue
-        st = tagged.find(w, off)
-        if st == -1:
-            continue
-        en = st + len(w)
-        tagged = tagged[:st] + f"<{lab}>" + w + f"</{lab}>" + tagged[en:]
-        off = en + len(lab) * 2 + 5
-    return tagged
-
-
-def _greedy_fold(text, ents):
-    used, out = [False] * len(text), []
-    for w, lab in ents:
-        if not w or not lab:
-            continue
-        st = text.lower().find(w.lower())
-        if st >= 0 and not any(used[st:st + len(w)]):
-            out.append((st, st + len(w), lab.lower()))
-            for i in range(st, st + len(w)):
-                used[i] = True
-    return out
-
-
 def _rand_text(rnd):
     return "".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 30)))
 
 
-def test_insertion_equals_fold(spark):
+def test_insertion_keeps_text_and_marks_spans(spark):
     rnd = random.Random(17)
-    docs, spans, want = [], [], {}
+    docs, spans, held = [], [], {}
     for d in range(300):
         text = _rand_text(rnd)
         cuts = sorted(rnd.sample(range(len(text) + 1), min(len(text) + 1, 2 * rnd.randint(0, 4))))
-        sp = [(cuts[i], cuts[i + 1], rnd.choice(["a", "bb"])) for i in range(0, len(cuts) - 1, 2) if cuts[i] < cuts[i + 1]]
+        held[d] = [(a, b, rnd.choice(["a", "bb"])) for a, b in zip(cuts[::2], cuts[1::2])]
         docs.append((d, text))
-        for i, (s, e, lab) in enumerate(sp):
-            bs, be = len(text[:s].encode()), len(text[:e].encode())
-            spans.append((d, i, s, e, lab, bs, be))
-        want[d] = _insert_fold(text, sp)
+        spans += [(d, i, a, b, lab, len(text[:a].encode()), len(text[:b].encode())) for i, (a, b, lab) in enumerate(held[d])]
     ddf = spark.createDataFrame(docs, "doc_id long, text string")
     sdf = spark.createDataFrame(spans, "doc_id long, pos int, start int, end int, entity string, bstart int, bend int")
     by_bytes = {r.doc_id: r.tagged_text for r in T.insert_tags(ddf, sdf).collect()}
     by_points = {r.doc_id: r.tagged_text for r in T.insert_tags(ddf, sdf.drop("bstart", "bend")).collect()}
-    assert by_bytes == want and by_points == want
+    assert by_bytes == by_points
+    for d, text in docs:
+        tagged = by_bytes[d]
+        assert re.sub(r"</?(?:a|bb)>", "", tagged) == text
+        found = [(m[1], m[2]) for m in re.finditer(r"<(a|bb)>(.*?)</\1>", tagged, re.S)]
+        assert found == [(lab, text[a:b]) for a, b, lab in held[d]]
 
 
-def test_cursor_and_greedy_equal_folds(spark):
-    rnd = random.Random(23)
-    docs, ents, want_c, want_g = [], [], {}, {}
+def _random_lists(seed):
+    rnd = random.Random(seed)
+    docs, lists = [], {}
     for d in range(300):
         text = _rand_text(rnd)
-        el = []
-        for i in range(rnd.randint(1, 5)):
+        words = []
+        for _ in range(rnd.randint(1, 5)):
             if text and rnd.random() < 0.8:
                 s = rnd.randint(0, len(text) - 1)
                 w = text[s:s + rnd.randint(1, 3)]
@@ -83,16 +48,56 @@ def test_cursor_and_greedy_equal_folds(spark):
                 w = rnd.choice(["zz", "", "ab"])
             if rnd.random() < 0.3:
                 w = w.upper()
-            el.append((w, rnd.choice(["X", "Yy", ""]) if rnd.random() < 0.2 else rnd.choice(["X", "Yy"])))
+            words.append((w, rnd.choice(["X", "Yy", ""]) if rnd.random() < 0.2 else rnd.choice(["X", "Yy"])))
         docs.append((d, text))
-        ents += [(d, i, w, lab) for i, (w, lab) in enumerate(el)]
-        want_c[d] = _cursor_fold(text, el)
-        want_g[d] = sorted(_greedy_fold(text, el))
-    ddf = spark.createDataFrame(docs, "doc_id long, text string")
-    edf = spark.createDataFrame(ents, "doc_id long, pos int, word string, entity string")
-    got_c = {r.doc_id: r.tagged_text for r in T.tag_inline_cursor(ddf, edf).collect()}
-    assert got_c == want_c
-    got_g = {d: [] for d in want_g}
-    for r in T.find_offsets(ddf, edf).collect():
-        got_g[r.doc_id].append((r.start, r.end, r.entity))
-    assert {d: sorted(v) for d, v in got_g.items()} == want_g
+        lists[d] = words
+    return docs, lists
+
+
+def _frames(spark, docs, lists):
+    rows = [(d, i, w, lab) for d, el in lists.items() for i, (w, lab) in enumerate(el)]
+    return (spark.createDataFrame(docs, "doc_id long, text string"),
+            spark.createDataFrame(rows, "doc_id long, pos int, word string, entity string"))
+
+
+def test_cursor_search_by_its_specification(spark):
+    """Every usable word stands, tagged, at its first place after the tagged word before it; the others have no such place."""
+    docs, lists = _random_lists(23)
+    got = {r.doc_id: r for r in T.tag_inline_cursor(*_frames(spark, docs, lists)).collect()}
+    for d, text in docs:
+        tagged = got[d].tagged_text
+        assert re.sub(r"</?(?:X|Yy)>", "", tagged) == text
+        matches = list(re.finditer(r"<(X|Yy)>(.*?)</\1>", tagged, re.S))
+        left = 0
+        places = []
+        for n, m in enumerate(matches):
+            before = re.sub(r"</?(?:X|Yy)>", "", tagged[:m.start()])
+            places.append((len(before), len(before) + len(m[2]), m[1], m[2]))
+        usable = [(w, lab) for w, lab in lists[d] if w and lab]
+        for a, b, lab, word in places:
+            while usable[0] != (word, lab) or word not in text[left:]:
+                assert usable.pop(0)[0] not in text[left:]
+            usable.pop(0)
+            assert text[left:].index(word) == a - left
+            left = b
+        assert all(w not in text[left:] for w, _ in usable)
+        assert got[d].n_spans == len(places)
+
+
+def test_free_search_by_its_specification(spark):
+    """Accepted spans are disjoint first matches in any case; a rejected word has no match or its first one is touched."""
+    docs, lists = _random_lists(29)
+    spans = {d: [] for d, _ in docs}
+    for r in T.find_offsets(*_frames(spark, docs, lists)).orderBy("doc_id", "pos").collect():
+        spans[r.doc_id].append((r.start, r.end, r.entity))
+    for d, text in docs:
+        wanted, accepted = [], []
+        for w, lab in lists[d]:
+            if w and lab:
+                m = re.search(re.escape(w), text, re.I)
+                free = m is not None and all(m.end() <= a or b <= m.start() for a, b, _ in accepted)
+                wanted.append((m.span() if m else None, lab.lower(), free))
+                if free:
+                    accepted.append((*m.span(), lab.lower()))
+        assert spans[d] == accepted
+        assert all(free or span is None or any(a < span[1] and span[0] < b for a, b, _ in spans[d]) for span, _, free in wanted)

@@ -1,20 +1,26 @@
-"""k-NN against brute force on a fixture; model jobs produce one prediction per test row."""
+"""k-NN against brute force; classifiers against independent solutions; sweep and training log by their definitions."""
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from tagframe.operators import knn as K
+from tagframe.operators import models as M
+from tagframe.operators import windows as W
 
 COLS = ["a", "b"]
 
 
 def _brute(train, test, k):
+    """``train``: (vector..., label); ``test``: (id, vector..., label)."""
     tv = {}
-    for a, b, y in train:
-        n = tv.setdefault((a, b), [0, 0])
+    for *v, y in train:
+        n = tv.setdefault(tuple(v), [0, 0])
         n[y] += 1
     out = {}
-    for q in {(a, b) for _, a, b, _ in test}:
-        order = sorted(tv.items(), key=lambda kv: ((kv[0][0] - q[0]) ** 2 + (kv[0][1] - q[1]) ** 2, kv[0]))
+    for q in {tuple(t[1:-1]) for t in test}:
+        order = sorted(tv.items(), key=lambda kv: (sum((x - z) ** 2 for x, z in zip(kv[0], q)), kv[0]))
         left, v0, v1 = k, 0, 0
         for _, (n0, n1) in order:
             take = max(0, min(n0 + n1, left))
@@ -34,3 +40,87 @@ def test_knn_equals_brute_force(spark):
     got = {r.doc_id: r.prediction for r in K.knn_predict(tr, te, COLS, k=10).collect()}
     want = _brute(train, test, 10)
     assert got == {i: want[(a, b)] for i, a, b, _ in test}
+
+
+def test_knn_in_eighteen_dimensions_and_with_few_rows(spark):
+    rnd = random.Random(3)
+    d = 18
+    cols = [f"c{i}" for i in range(d)]
+    kind = ", ".join(f"{c} long" for c in cols)
+    for n, k in ((90, 10), (4, 10)):
+        train = [(*[rnd.choice([0, 0, 0, 1, 2, 25]) for _ in range(d)], rnd.randint(0, 1)) for _ in range(n)]
+        test = [(i, *[rnd.choice([0, 0, 1, 3, 30]) for _ in range(d)], 0) for i in range(25)]
+        tr = spark.createDataFrame(train, f"{kind}, label_binary int")
+        te = spark.createDataFrame(test, f"doc_id long, {kind}, label_binary int")
+        got = {r.doc_id: r.prediction for r in K.knn_predict(tr, te, cols, k=k).collect()}
+        want = _brute(train, test, k)
+        assert got == {t[0]: want[tuple(t[1:-1])] for t in test}
+
+
+def _points(seed, n=300):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 6, (n, 2))
+    y = (x @ [1.0, -0.7] + rng.normal(0, 1.5, n) > 0.8).astype(int)
+    return x, y
+
+
+def test_logistic_regression_equals_newton(spark):
+    """Coefficients of the summed loss with a unit L2 penalty, the intercept free."""
+    x, y = _points(1)
+    df = spark.createDataFrame([(int(a), int(b), int(c)) for (a, b), c in zip(x, y)], "a long, b long, label_binary int")
+    model = M.logreg(len(y)).fit(M.assemble(COLS).transform(df))
+    z = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(3)
+    ridge = np.diag([1.0, 1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (p - y) + ridge @ w)
+    assert np.allclose([*model.coefficients.toArray(), model.intercept], w, atol=1e-3)
+
+
+def test_models_fit_separable_rows(spark):
+    rows = [(i, i % 40, (i * 7) % 13, int(i % 40 >= 20)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, a long, b long, label_binary int")
+    got = M.fit_count_models(df, df, COLS).toPandas()
+    right = (got["prediction"] == got["label_binary"]).groupby(got["model"]).mean()
+    assert set(right.index) == set(M.MODELS)
+    assert right["tree"] == 1.0 and right["logreg"] > 0.95 and right["svm"] > 0.95 and right["knn"] > 0.95
+    board = {r.model: r for r in M.scoreboard(M.fit_count_models(df, df, COLS, models=("tree",))).collect()}
+    assert board["tree"].f1 == 1.0 and board["tree"].w_f1 == 1.0
+
+
+def _statements(spark, n, seed):
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        y = rnd.randint(0, 1)
+        words = [rnd.choice(["good", "fine"] if y else ["bad", "poor"])] + [rnd.choice("abcdefgh") for _ in range(6)]
+        rows.append((i, " ".join(words), y))
+    return spark.createDataFrame(rows, "doc_id long, text string, label_binary int")
+
+
+def test_sweep_stops_early_and_reports_its_best_epoch(spark):
+    grid = ({"name": "exp_1", "regParam": 0.0, "elasticNetParam": 0.0}, {"name": "exp_2", "regParam": 5.0, "elasticNetParam": 1.0})
+    got = {r.name: r for r in M.sweep(_statements(spark, 120, 1), _statements(spark, 60, 2), "text", grid, max_iter=4, patience=1).collect()}
+    assert set(got) == {"exp_1", "exp_2"}
+    assert got["exp_1"].best_f1 == 1.0 and got["exp_1"].final_epoch == min(got["exp_1"].best_epoch + 1, 4)
+    assert got["exp_2"].best_f1 <= got["exp_1"].best_f1 and got["exp_1"].best_f1 == got["exp_1"].f1
+
+
+def test_training_log_has_both_losses(spark):
+    log = M.training_log(_statements(spark, 120, 1), _statements(spark, 60, 2), "text", "r", max_epochs=3)
+    stats = sorted(W.epoch_stats(log).collect(), key=lambda r: r.epoch)
+    assert [r.epoch for r in stats] == [1.0, 2.0, 3.0]
+    assert stats[0].loss > stats[2].loss and stats[0].eval_loss > stats[2].eval_loss and stats[2].eval_f1 == 1.0
+
+
+def test_text_classifier_learns_words(spark):
+    got = M.text_classifier(_statements(spark, 120, 1), _statements(spark, 60, 2), "text", "v").toPandas()
+    assert (got["prediction"] == got["label_binary"]).all() and got["confidence"].between(0, 1).all()
+
+
+def test_batch_tagger_with_another_key(spark):
+    from tagframe.operators import batch as B
+    df = spark.createDataFrame([("k1", "Ann met Bob", 1)], "id string, body string, doc long")
+    got = B.tag_batched(df.withColumn("id", F.col("doc")), key="id", text="body").select("id", "word").collect()
+    assert [(r.id, r.word) for r in got] == [(1, "Ann"), (1, "Bob")]

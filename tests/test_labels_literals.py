@@ -7,7 +7,7 @@ from tagframe.functions import labels as L
 from tagframe.sources import literals as LIT
 
 
-def test_label_maps(spark):
+def test_label_maps(spark):  # fixed values: the label classes and the out-of-range mark
     df = spark.createDataFrame([(v,) for v in [0, 1, 2, 3, 4, 5, 6, None]], "label int")
     rows = df.select("label", L.label_isin("label").alias("a"), L.label_three_way("label").alias("b"),
                      L.label_status("label").alias("s"), L.label_inverted("label").alias("c")).collect()
@@ -33,6 +33,7 @@ def test_class_map(spark):
     assert got == [(True, False), (False, True)]
 
 
+# The literal forms that stored entity lists have.
 LITERALS = [
     ("[{'entity': 'PER', 'score': 0.99, 'index': 1, 'word': 'ĠAnn', 'start': 0, 'end': 3}]",
      [("PER", 0.99, 1, "ĠAnn", 0, 3)]),
@@ -69,6 +70,39 @@ def test_literal_round_trip(spark):
     assert back == df.first().raw
 
 
+def test_control_characters_round_trip(spark):
+    import ast
+    words = ["a\nb", "tab\there", "nul\x00x", "back\\slash", "it's \"q\"", "nb\xa0sp", "\r\x1b\x7f", "é😀"]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    arr = F.array(F.struct(F.lit("X").alias("entity"), F.lit(0.5).alias("score"), F.lit(1).alias("index"), F.col("word"),
+                           F.lit(0).alias("start"), F.lit(1).alias("end")))
+    lit = df.select("word", LIT.to_literal(arr).alias("raw"), L.entity_display("word", F.lit("X")).alias("d"))
+    for r in lit.collect():
+        assert ast.literal_eval(r.raw)[0]["word"] == r.word and r.d == repr((r.word, "X"))
+    back = LIT.parse_entities(lit, "raw", mode="raise").select("word", F.col("entities")[0]["word"].alias("w")).collect()
+    assert all(r.word == r.w for r in back)
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    from tagframe.sources import files
+    (tmp_path / "a.csv").write_text('label,statement\n1,"90 percent, ""so they say"""\n')
+    (tmp_path / "b.csv").write_text('statement,extra,label\n"90 percent, ""so they say""",x,1\n')
+    for name in ("a.csv", "b.csv"):
+        r = files.read_statements(spark, str(tmp_path / name)).collect()
+        assert [tuple(x) for x in r] == [('90 percent, "so they say"', 1)]
+    (tmp_path / "c.csv").write_text("text,label\nx,1\n")
+    with pytest.raises(ValueError, match="statement"):
+        files.read_statements(spark, str(tmp_path / "c.csv"))
+
+
+def test_prediction_export(spark, tmp_path):
+    from tagframe.sources import files
+    (tmp_path / "p.csv").write_text("statement,label,label_binary,A_raw_entities,B_raw_entities,prediction,confidence\n"
+                                    "a b,1,0,[],[],1,0.75\n")
+    r = files.read_predictions(spark, str(tmp_path / "p.csv"), "xml").first()
+    assert (r.run, r.label_binary, r.prediction, r.confidence) == ("xml", 0, 1, 0.75)
+
+
 def test_read_tagged_csv(spark, tmp_path):
     from tagframe.sources import files
     p = tmp_path / "tagged.csv"

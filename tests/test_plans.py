@@ -21,13 +21,14 @@ def _plan(spark, name):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_tag_xml_shuffles_documents_once(spark):
-    plan = _plan(spark, "tag_xml")
-    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
-    assert len(exchanges) == 1, plan          # the one document exchange; spans never reshuffled
-    assert "ReusedExchange" in plan           # the text side reuses it for the join back
-    assert "SortAggregate" not in plan
-    assert "SortMergeJoin" in plan            # co-partitioned join, no extra exchange
+ROW_LOCAL = ("tag_tokens", "tag_phrases", "tag_inline_tokens", "tag_inline_cursor", "find_offsets", "merge_adjacent",
+             "tag_xml", "tag_xml_searched", "tokenize_pad")
+
+
+@pytest.mark.parametrize("name", ROW_LOCAL)
+def test_text_operators_stay_in_the_row(spark, name):
+    plan = _plan(spark, name)
+    assert "Exchange" not in plan and "Sort" not in plan and "Join" not in plan, plan
 
 
 def test_top_entities_limits_before_shuffle(spark):
@@ -41,24 +42,3 @@ def test_no_cartesian_products(spark):
             continue  # iterative: plans built per round, covered by its brute-force test
         plan = _plan(spark, name)
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
-
-
-def test_bucketed_documents_remove_the_exchange(spark):
-    from tagframe.operators import entities as E
-    from tagframe.operators import tagging as T
-    from tagframe.sources import tables as TB
-    table = TB.write_bucketed_documents(spark, SF, "docs_bucketed_test", buckets=8)
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        docs = TB.documents_by_id(spark, SF, table=table)
-        out = T.tag_xml(docs, E.tag_tokens(docs))
-        plan = out._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange" not in plan, plan
-        got = sorted(tuple(r) for r in out.collect())
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    base = TB.documents_by_id(spark, SF)
-    want = sorted(tuple(r) for r in T.tag_xml(base, E.tag_tokens(base)).collect())
-    assert got == want

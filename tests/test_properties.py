@@ -38,7 +38,7 @@ def test_merge_adjacent_idempotent_and_shrinking(spark):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 def test_pivot_row_sums_equal_entity_counts(spark):
-    docs = TB.documents_by_id(spark, SF)
+    docs = TB.documents(spark, SF)
     ents = E.tag_tokens(docs)
     piv = X.entity_pivot(ents, E.TAGS_A)
     total = sum(F.col(t) for t in E.TAGS_A)
@@ -52,7 +52,9 @@ def test_tag_xml_invariant_under_partitioning(spark):
     results = []
     for n in ("3", "17"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
-        docs = TB.documents_by_id(spark, SF)
-        results.append(sorted(tuple(r) for r in T.tag_xml(docs, E.tag_tokens(docs)).collect()))
+        docs = TB.documents(spark, SF)
+        long = sorted(tuple(r) for r in T.tag_xml(docs, E.tag_tokens(docs)).collect())
+        results.append(long)
+        assert long == sorted(tuple(r) for r in T.tag_xml_rows(docs, E.token_entities("text")).collect())
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert results[0] == results[1]

@@ -8,14 +8,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_mod
+from tagframe.plans import catalog, oracle
 
 SF = "/root/testdata/sf0.001"
 FAST = ["tag_xml", "tag_tokens", "tag_spans", "tag_inline_cursor", "find_offsets", "tag_xml_searched",
         "merge_adjacent", "merge_wordpiece", "merge_wordpiece_keep", "word_entity_counts", "top_entities",
         "entity_features", "error_tag_counts", "binary_metrics", "roc_curve", "auc", "class_balance",
-        "mini_batches", "parse_entities", "tokenize_pad",
-        # queries that take a bounded scalar or key set from an action first
-        "preview", "error_sample", "features_aligned", "random_baseline", "knn_predict"]
+        "mini_batches", "seeded_shuffle", "parse_entities", "tokenize_pad", "valid_entities", "preview", "error_sample",
+        "features_aligned", "random_baseline", "knn_predict", "scoreboard_exact", "roc_curve_logit", "run_records",
+        "epoch_stats", "early_stop", "best_run", "stream_tag_xml", "tag_batched"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
@@ -54,20 +55,20 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_sql_or_is_model(spark):
-    q, s = entry_mod.queries(), entry_mod.oracle_sql()
-    rows_only = set(q) - set(s)
-    assert rows_only <= {"clf_logreg", "clf_svm", "clf_tree", "model_scoreboard", "text_classifier",
-                         "tag_ablation", "sweep", "best_run", "training_log", "epoch_stats", "early_stop"}
+    rows_only = set(catalog.REGISTRY) - set(oracle.oracle_sql())
+    assert rows_only == {"clf_logreg", "clf_svm", "clf_tree", "model_scoreboard", "text_classifier",
+                         "tag_ablation", "sweep", "training_log"}
+    assert set(oracle.oracle_sql()) <= set(catalog.REGISTRY) <= set(entry_mod.queries())
 
 
 def test_every_sql_runs_and_names_match(spark, con):
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages",
               "benchmark", "conversations"):
         con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    qs = entry_mod.queries()
-    for name, sql in entry_mod.oracle_sql().items():
+    qs = catalog.REGISTRY
+    for name, sql in oracle.oracle_sql().items():
         if name == "stream_tag_xml":
-            continue  # same SQL as tag_xml; the stream itself is exercised elsewhere
+            continue  # same SQL as tag_xml, compared above
         res = con.execute(f"SELECT * FROM ({sql}) LIMIT 0")
         dcols = sorted(d[0] for d in res.description)
         assert dcols == sorted(qs[name](spark, SF).columns), name

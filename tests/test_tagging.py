@@ -38,33 +38,60 @@ def test_merge_adjacent_golden(spark):
     assert got == [(0, 0, 9, "PER"), (0, 13, 19, "LOC"), (1, 0, 4, "A")]
 
 
-def _fold_merge(spans):
-    spans = sorted(spans, key=lambda x: x[0])
-    out = [list(spans[0])]
-    for s, e, l in spans[1:]:
-        if l == out[-1][2] and s <= out[-1][1] + 1:
-            out[-1][1] = e
-        else:
-            out.append([s, e, l])
-    return [tuple(x) for x in out]
-
-
-def test_merge_adjacent_equals_fold(spark):
+def _connected_runs(spans):
+    """Cut the sorted spans wherever a span does not continue the one before it; a run ends where its last span ends."""
+    order = sorted(range(len(spans)), key=lambda i: (spans[i][0], i))
+    joins = [spans[a][2] == spans[b][2] and spans[b][0] - spans[a][1] <= 1 for a, b in zip(order, order[1:])]
+    cuts = [0] + [i + 1 for i, j in enumerate(joins) if not j] + [len(order)]
+    return [(spans[order[a]][0], spans[order[b - 1]][1], spans[order[a]][2]) for a, b in zip(cuts, cuts[1:])]
+
+
+def test_merged_spans_are_the_connected_runs(spark):
     rnd = random.Random(7)
     rows, want = [], {}
     for d in range(200):
-        n = rnd.randint(1, 8)
-        sp = []
-        for i in range(n):
-            s = rnd.randint(0, 30)
-            sp.append((s, s + rnd.randint(1, 5), rnd.choice("AB")))
-        # stable sort ties by list position, like the reference
-        want[d] = _fold_merge(sp)
-        rows += [(d, i, s, e, l) for i, (s, e, l) in enumerate(sp)]
-    got = {}
-    for r in T.merge_adjacent(_spans(spark, rows)).collect():
+        sp = [(s, s + rnd.randint(1, 5), rnd.choice("AB")) for s in (rnd.randint(0, 30) for _ in range(rnd.randint(1, 8)))]
+        want[d] = sorted(_connected_runs(sp))
+        rows += [(d, i, s, e, lab) for i, (s, e, lab) in enumerate(sp)]
+    spans = _spans(spark, rows)
+    got, in_rows = {}, {}
+    for r in T.merge_adjacent(spans).collect():
         got.setdefault(r.doc_id, []).append((r.start, r.end, r.entity))
-    assert {d: sorted(v) for d, v in got.items()} == {d: sorted(v) for d, v in want.items()}
+    arrays = spans.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "start", "end", "entity")).alias("e"))
+    for r in arrays.select("doc_id", F.inline(T.merged(T.spans_of(F.col("e"), False), False))).collect():
+        in_rows.setdefault(r.doc_id, []).append((r.start, r.end, r.entity))
+    assert {d: sorted(v) for d, v in got.items()} == want == {d: sorted(v) for d, v in in_rows.items()}
+
+
+DIGITS = "0123456789"
+
+
+def test_tag_xml_merges_before_it_drops_overlaps(spark):
+    """Hand-computed: spans of one label that overlap are one span; a merged span ends where its last span ends."""
+    cases = [([(0, 5, "A"), (3, 8, "A")], "<a>01234567</a>89"),
+             ([(0, 9, "A"), (2, 4, "A")], "<a>0123</a>456789"),
+             ([(0, 5, "A"), (3, 8, "B")], "<a>01234</a>56789"),
+             ([(0, 2, "A"), (3, 5, "A"), (7, 9, "B")], "<a>01234</a>56<b>78</b>9")]
+    docs = _docs(spark, [DIGITS] * len(cases))
+    rows = [(d, "A", i, lab, 0.9, None, s, e) for d, (spans, _) in enumerate(cases) for i, (s, e, lab) in enumerate(spans)]
+    ents = spark.createDataFrame(rows, "doc_id long, tagger string, pos int, entity string, score double, word string, start int, end int")
+    got = {r.doc_id: r.tagged_text for r in T.tag_xml(docs, ents).collect()}
+    assert got == {d: want for d, (_, want) in enumerate(cases)}
+
+
+def test_offsets_need_no_word_and_searches_need_no_offsets(spark):
+    docs = _docs(spark, [DIGITS])
+    kind = "doc_id long, tagger string, pos int, entity string, score double, word string, start int, end int"
+    ents = spark.createDataFrame([(0, "A", 0, "PER", 0.9, None, 0, 3), (0, "A", 1, "", 0.9, "4", 4, 5),
+                                  (0, "A", 2, "LOC", 0.9, "x", None, 8), (0, "A", 3, None, 0.9, "x", 8, 9)], kind)
+    assert T.tag_inline_tokens(docs, ents).first().tagged_text == "<PER>012</PER>3456789"
+    assert E.with_span(ents).count() == 1 and E.valid_entities(ents).count() == 0 and E.with_word(ents).count() == 1
+
+
+def test_search_ignores_case_where_lower_case_is_longer(spark):
+    docs = _docs(spark, ["İzmir and IOWA"])
+    got = [(r.start, r.end) for r in T.find_offsets(docs, _phr(spark, [(0, 0, "iowa", "GPE")])).collect()]
+    assert got == [(10, 14)]
 
 
 def test_tag_xml_and_inline(spark):
@@ -117,6 +144,15 @@ def test_label_vocab_and_tokenize(spark):
     df = spark.createDataFrame([(0, "<per>Joe</per> ran!")], "doc_id long, t string")
     r = T.tokenize_pad(df, "t", 6).first()
     assert r.tokens == ["<per>", "joe", "</per>", "ran", "!", "[PAD]"] and r.mask == [1, 1, 1, 1, 1, 0]
+    got = T.tokenize_pad(df, "t", 2).orderBy("window_no").collect()
+    assert [(r.window_no, r.tokens) for r in got] == [(0, ["<per>", "joe"]), (1, ["</per>", "ran"]), (2, ["!", "[PAD]"])]
+    assert T.tokenize_pad(spark.createDataFrame([(0, None)], "doc_id long, t string"), "t", 2).first().mask == [0, 0]
+
+
+def test_words_of_any_script_stay_whole_and_only_fixed_markers_are_markers(spark):
+    df = spark.createDataFrame([("Größe café <b>x</b> <loc>Łódź</loc> x2",)], "t string")
+    assert df.select(T.tokenize("t").alias("x")).first().x == [
+        "größe", "café", "<", "b", ">", "x", "<", "/", "b", ">", "<loc>", "łódź", "</loc>", "x2"]
 
 
 def test_byte_and_codepoint_insertion_agree(spark):
