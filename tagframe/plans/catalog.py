@@ -317,6 +317,16 @@ def q_word_entity_counts(spark, sf):
     return _word_counts(spark, sf)
 
 
+@query
+def q_clean_entity_counts(spark, sf):
+    """A3 after cleaning, as the reports count: byte-level spans without their marks (C1) and glued word pieces."""
+    tokens = _labelled_ents_a(spark, sf)
+    spans = E.byte_level_words(E.tag_spans(tokens)).select("doc_id", F.lit("byte_level").alias("tagger"), "pos",
+                                                           E.clean_leading("word").alias("word"), "entity")
+    words = E.merge_wordpiece(E.wordpieces(tokens)).select("doc_id", F.lit("wordpiece").alias("tagger"), "pos", "word", "entity")
+    return A.word_entity_counts(spans.unionByName(words), TB.labelled_ids(spark, sf))
+
+
 @query
 def q_top_entities(spark, sf):
     return A.top_k(_word_counts(spark, sf), TOP_K)

@@ -417,6 +417,15 @@ def oracle_sql() -> dict[str, str]:
            "FROM (SELECT doc_id, tagger, word, entity FROM ents_a UNION ALL SELECT doc_id, tagger, word, entity FROM ents_b) a "
            "JOIN lab l ON l.doc_id = a.doc_id GROUP BY a.tagger, l.label_binary, a.word, a.entity)")
     q["word_entity_counts"] = f"WITH {wec} SELECT * FROM wec"
+    mark, wm = E.BYTE_LEVEL_MARK, E.WORDPIECE_MARK
+    q["clean_entity_counts"] = (
+        f"WITH {LAB}, {ENTS_A}, {SPANS_N5}, {PIECES}, "
+        f"bl AS (SELECT doc_id, 'byte_level' AS tagger, regexp_replace('{mark}' || replace(word, ' ', '{mark}'), '^{mark}+', '') AS word, "
+        f"entity FROM spans5), gl AS (SELECT doc_id, 'wordpiece' AS tagger, string_agg(CASE WHEN starts_with(word, '{wm}') "
+        f"THEN replace(word, '{wm}', '') ELSE word END, '' ORDER BY pos, piece_no) AS word, arg_min(entity, pos * 2 + piece_no) AS entity "
+        "FROM pisl WHERE island > 0 GROUP BY doc_id, island), u AS (SELECT * FROM bl UNION ALL SELECT * FROM gl) "
+        "SELECT u.tagger, l.label_binary, u.word, u.entity, count(*) AS n FROM u JOIN lab l ON l.doc_id = u.doc_id "
+        "GROUP BY u.tagger, l.label_binary, u.word, u.entity")
     q["top_entities"] = (f"WITH {wec}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY tagger, label_binary "
                          "ORDER BY n DESC, word, entity) AS INTEGER) AS rank FROM wec) SELECT * FROM r WHERE rank <= 10")
     q["tag_frequency"] = f"WITH {ENTS_A} SELECT entity, count(*) AS n FROM ents_a WHERE entity IS NOT NULL GROUP BY entity"

@@ -15,7 +15,7 @@ FAST = ["tag_xml", "tag_tokens", "tag_spans", "tag_inline_cursor", "find_offsets
         "merge_adjacent", "merge_wordpiece", "merge_wordpiece_keep", "word_entity_counts", "top_entities",
         "entity_features", "error_tag_counts", "binary_metrics", "roc_curve", "auc", "class_balance",
         "mini_batches", "seeded_shuffle", "parse_entities", "tokenize_pad", "valid_entities", "preview", "error_sample",
-        "features_aligned", "random_baseline", "knn_predict", "scoreboard_exact", "roc_curve_logit", "run_records",
+        "features_aligned", "random_baseline", "knn_predict", "scoreboard_exact", "roc_curve_logit", "run_records", "clean_entity_counts",
         "epoch_stats", "early_stop", "best_run", "stream_tag_xml", "tag_batched"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
