@@ -294,10 +294,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, leaf: int
         F.col("node").alias("group"), "cls", "text_key", F.col("cls").alias("label"), "sketch")
     first = store(_grouped(blocks).mapInArrow(_may_link(least), MEMBER), "first")
     later = store(_grouped(small).mapInArrow(_may_link(least), MEMBER), "later")
-    # texts of the classes that may link, read once
+    # texts of the classes that may link, read once; copies meet within their task before the shuffle
     need = first.select("text_key").union(later.select("text_key")).union(large.select("text_key")).distinct()
-    texts = store(keyed.select("text_key", "text").join(need, "text_key", "left_semi").groupBy("text_key")
-                  .agg(F.first("text").alias("text")), "texts")
+    texts = store(keyed.groupBy("text_key").agg(F.first("text").alias("text")).join(need, "text_key", "left_semi"), "texts")
     check = _confirm(size, percent, least)
 
     def confirmed(members: DataFrame) -> DataFrame:
