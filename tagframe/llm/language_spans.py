@@ -101,7 +101,7 @@ def _count(langs: list[str]):
         number = {x: i for i, x in enumerate(langs)}
         for batch in batches:
             lang = np.array([number[x] for x in batch["lang"].to_pylist()], np.int64)
-            for a, _, buf, offs in text_slices(batch["text"]):
+            for a, _, buf, offs in text_slices(batch["text"], 1 << 20):
                 starts, ends, doc = spans(word_table()[buf], offs)
                 if not len(starts):
                     continue
@@ -139,7 +139,7 @@ def fit(train: DataFrame, smooth: float = SMOOTH, share: float = SCRIPT_SHARE) -
     return {"langs": langs, "logp": logp, "uses": by_script > share * np.maximum(by_script.sum(axis=0), 1)}
 
 
-def word_scores(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: dict, part: int = 1 << 18) -> np.ndarray:
+def word_scores(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: dict, part: int = 1 << 16) -> np.ndarray:
     """Log-likelihood of each word by language, best candidate at 0, excluded languages far below."""
     k = len(model["langs"])
     out = np.zeros((len(starts), k))
@@ -203,7 +203,7 @@ def _label(model: dict, switch: float):
     def run(texts: pa.Array, letters: pa.Array) -> pa.Array:
         langs, out = model["langs"], []
         has_letter = letters.to_pylist()
-        for a, b, buf, offs in text_slices(texts, 1 << 22):
+        for a, b, buf, offs in text_slices(texts, 2 << 20):
             if not langs:
                 out += [{"lang": "und", "score": 0.0, "spans": []}] * (b - a)
                 continue
