@@ -1,16 +1,20 @@
 """Whole-text encoding by the public byte-level BPE, with a bounded memo of chunks.
 
-A text whose white space is only single spaces and line feeds between other
-characters is cut before every space and around every line feed; the
-pre-tokeniser has a boundary at each of these places, so the ids of the text are
-the concatenated ids of its chunks and each distinct chunk is encoded once per
-worker. Every other text (runs of white space, tabs, special-token strings)
-goes to the tokenizer as it is.
+A text of printable characters whose white space is only single spaces and line
+feeds between other characters is cut before every space and around every line
+feed; the pre-tokeniser has a boundary at each of these places, so the ids of the
+text are the concatenated ids of its chunks and a chunk seen before need not be
+encoded again. Every other text (runs of white space, tabs, other spaces,
+special-token strings) goes to the tokenizer as it is.
+
+A worker keeps the first chunks it sees, which are the frequent ones, up to a
+bound, and beyond it a smaller number of recent ones.
 """
 
 from __future__ import annotations
 
 import sys
+from itertools import repeat
 
 import numpy as np
 from pyspark import cloudpickle
@@ -20,6 +24,7 @@ from tagframe.llm.common import ragged, worker_cache
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPECIAL = "<|endoftext|>"
+TAILS = ".,!?;:"
 
 
 def default_path() -> str:
@@ -27,17 +32,40 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Memo:
+    """Ids of chunks: a flat array and the offsets of each chunk's ids."""
+
+    def __init__(self):
+        self.code: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint16)
+        self.at = np.zeros(1 << 14, np.int64)
+
+    def add(self, keys: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        known, n = len(self.code), len(keys)
+        used = int(self.at[known])
+        if used + len(ids) > len(self.ids) or ids.dtype != self.ids.dtype:
+            kind = np.promote_types(ids.dtype, self.ids.dtype)
+            room = np.zeros(max(used + len(ids), len(self.ids) * 3 // 2), kind)
+            room[:used] = self.ids[:used]
+            self.ids = room
+        if known + n >= len(self.at):
+            self.at = np.concatenate([self.at, np.zeros(max(len(self.at) // 2, n + 1), np.int64)])
+        self.ids[used:used + len(ids)] = ids
+        self.at[known + 1:known + 1 + n] = used + np.cumsum(lens)
+        self.code.update(zip(keys, range(known, known + n)))
+
+
 class ChunkEncoder:
-    """``memo`` bounds the chunks kept per worker (the first ones seen, so the frequent ones)."""
+    """``memo`` bounds the chunks kept for good, ``recent`` those kept until as many newer ones came."""
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 450_000, recent: int = 150_000):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.memo_limit = memo
-        self.memo: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.at = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.n_bytes = np.array([len(self.tok.id_to_token(i) or "") for i in range(self.tok.get_vocab_size())], np.int64)
+        self.tails = {x: self.tok.encode(x, add_special_tokens=False).ids[0] for x in TAILS}
+        self.small = self.tok.get_vocab_size() <= 1 << 16
+        self.memo_limit, self.recent_limit = memo, recent
+        self.memo, self.recent = Memo(), Memo()
 
     def _plain(self, texts: list[str]) -> list:
         import os
@@ -47,31 +75,41 @@ class ChunkEncoder:
             out += [e.ids for e in self.tok.encode_batch(texts[i:i + 2000], add_special_tokens=False)]
         return out
 
-    def _add(self, keys: list[str], into: dict[str, int], ids, at, used: int):
-        """Encode chunks; a full stop or comma after a letter is a token run of its own."""
-        heads, parts = {}, []
+    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and offsets of units that each begin with a space or line feed; many a call, told apart by their bytes."""
+        flat = [np.zeros(0, np.uint32)]
+        for i in range(0, len(units), 512):
+            flat.append(np.array(self.tok.encode("".join(units[i:i + 512]), add_special_tokens=False).ids, np.uint32))
+        ids = np.concatenate(flat)
+        ends = np.cumsum([len(u) if u.isascii() else len(u.encode()) for u in units])
+        return ids, np.concatenate([[0], np.searchsorted(np.cumsum(self.n_bytes[ids]), ends - 1, "right") + 1])
+
+    def _new(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their number for new chunks; a mark such as a full stop after a letter is a token run of its own."""
+        heads: dict[str, int] = {}
+        which, bare, tails = [], [], []
         for k in keys:
-            mark, body = (k[0], k[1:]) if k[0] in "\0\1" else (" ", k)
-            tail = body[-1] if len(body) > 1 and body[-1] in ".,!?" and body[-2].isalpha() else ""
-            body = body[:-1] if tail else body
-            head = (" " if mark == " " else "") + body
-            for x in (head, tail, "\n" if mark == "\0" else ""):
-                if x and x not in heads:
-                    heads[x] = None
-            parts.append(("\n" if mark == "\0" else "", head, tail))
-        for x, e in zip(heads, self._plain(list(heads))):
-            heads[x] = e
-        for k, p in zip(keys, parts):
-            enc = [i for x in p if x for i in heads[x]]
-            if used + len(enc) > len(ids):
-                ids = np.concatenate([ids, np.zeros(max(len(ids), len(enc)), np.uint32)])
-            if len(into) + 2 > len(at):
-                at = np.concatenate([at, np.zeros(len(at), np.int64)])
-            ids[used:used + len(enc)] = enc
-            used += len(enc)
-            into[k] = len(into)
-            at[len(into)] = used
-        return ids, at, used
+            first = k[0]
+            head = "\n" + k[1:] if first == "\0" or first == "\1" else " " + k
+            tail = self.tails.get(head[-1], -1)
+            if tail >= 0 and len(head) > 2 and head[-2].isalpha():
+                head = head[:-1]
+            else:
+                tail = -1
+            which.append(heads.setdefault(head, len(heads)))
+            bare.append(first == "\1")
+            tails.append(tail)
+        flat, edge = self._units(list(heads))
+        which, skip, tail = np.array(which, np.int64), np.array(bare, np.int64), np.array(tails, np.int64)
+        # the first chunk of a text is taken without the line feed it was encoded with
+        start, has_tail = edge[which] + skip, tail >= 0
+        body = edge[which + 1] - start
+        n = body + has_tail
+        ends = np.cumsum(n)
+        ids = np.zeros(int(n.sum()), np.uint16 if self.small else np.uint32)
+        ids[ragged(ends - n, body)] = flat[ragged(start, body)]
+        ids[(ends - 1)[has_tail]] = tail[has_tail]
+        return ids, n
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and offsets of every text."""
@@ -81,43 +119,50 @@ class ChunkEncoder:
         for i, t in enumerate(texts):
             if not t:
                 continue
-            words = t.split()
-            gaps = len(words) - 1
-            if (gaps >= 0 and len(t) - sum(map(len, words)) == gaps and t.count(" ") + t.count("\n") == gaps
-                    and "\0" not in t and "\1" not in t and SPECIAL not in t):
+            spaced = t.replace("\n", " ")
+            # printable: no white space but the space, no control character
+            if spaced.isprintable() and "  " not in spaced and spaced[0] != " " and spaced[-1] != " " and SPECIAL not in t:
                 c = ("\1" + t).replace("\n", " \0").split(" ")
                 chunks += c
                 n_chunks[i] = len(c)
             else:
                 plain.append(i)
-        get = self.memo.get
-        codes = [get(c, -1) for c in chunks]
-        code = np.array(codes, dtype=np.int64)
-        ids, at = self.ids, self.at
+        code = np.array(list(map(self.memo.code.get, chunks, repeat(-1))), dtype=np.int64)
         missing = np.flatnonzero(code < 0)
+        parts, lens = [], np.zeros(len(code), np.int64)
         if len(missing):
-            new = list(dict.fromkeys(chunks[i] for i in missing))
-            room = max(0, self.memo_limit - len(self.memo))
-            self.ids, self.at, self.used = self._add(new[:room], self.memo, self.ids, self.at, self.used)
-            ids, at = self.ids, self.at
-            extra: dict[str, int] = {}
-            if len(new) > room:  # beyond the memo: for this batch only
-                e_ids, e_at, e_used = self._add(new[room:], extra, np.zeros(1 << 12, np.uint32), np.zeros(1 << 10, np.int64), 0)
-                base, n = self.used, len(self.memo)
-                ids = np.concatenate([self.ids[:base], e_ids[:e_used]])
-                at = np.concatenate([self.at[:n + 1], e_at[1:len(extra) + 1] + base])
-            for i in missing:
-                c = chunks[i]
-                code[i] = self.memo[c] if c in self.memo else len(self.memo) + extra[c]
-        lens = at[code + 1] - at[code]
-        flat = ids[ragged(at[code], lens)]
+            words = [chunks[i] for i in missing]
+            new = [w for w in dict.fromkeys(words) if w not in self.recent.code]
+            if len(self.memo.code) < self.memo_limit and not self.recent.code:
+                memo, base = self.memo, 0
+            else:
+                if len(self.recent.code) + len(new) > self.recent_limit and self.recent.code:
+                    self.recent = Memo()
+                    new = list(dict.fromkeys(words))
+                memo, base = self.recent, 1 << 40
+            if new:
+                memo.add(new, *self._new(new))
+            code[missing] = np.array([memo.code[w] for w in words], np.int64) + base
+        flat = np.zeros(0, np.uint32)
+        if len(code):
+            late = code >= 1 << 40
+            old, young = code[~late], code[late] - (1 << 40)
+            lens[~late] = self.memo.at[old + 1] - self.memo.at[old]
+            lens[late] = self.recent.at[young + 1] - self.recent.at[young]
+            first = np.cumsum(lens) - lens
+            flat = np.zeros(int(lens.sum()), np.uint32)
+            if late.any():
+                flat[ragged(first[~late], lens[~late])] = self.memo.ids[ragged(self.memo.at[old], lens[~late])]
+                flat[ragged(first[late], lens[late])] = self.recent.ids[ragged(self.recent.at[young], lens[late])]
+            else:
+                flat[:] = self.memo.ids[ragged(self.memo.at[old], lens)]
         csum = np.concatenate([[0], np.cumsum(lens)])
         edge = np.concatenate([[0], np.cumsum(n_chunks)])
         n_ids = csum[edge[1:]] - csum[edge[:-1]]
+        own = np.concatenate([[0], np.cumsum(n_ids)])
         if not plain:
-            return flat, np.concatenate([[0], np.cumsum(n_ids)])
+            return flat, own
         whole = dict(zip(plain, self._plain([texts[i] for i in plain])))
-        own = np.concatenate([[0], np.cumsum(n_ids)])
         out = [np.array(whole[i], np.uint32) if i in whole else flat[own[i]:own[i + 1]] for i in range(len(texts))]
         return np.concatenate(out), np.concatenate([[0], np.cumsum([len(x) for x in out])])
 
@@ -126,7 +171,7 @@ def encoder(path: str) -> ChunkEncoder:
     return worker_cache(f"bpe:{path}", lambda: ChunkEncoder(path))
 
 
-def text_runs(texts: list[str | None], limit: int = 4 << 20):
+def text_runs(texts: list[str | None], limit: int = 1 << 20):
     """Runs of rows of about ``limit`` characters: (first row, texts with null as empty)."""
     run, size, first = [], 0, 0
     for i, t in enumerate(texts):
