@@ -96,6 +96,22 @@ def held_out(key: Column, parts: int, fold: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % parts, F.lit(0)) == fold
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, name: str) -> DataFrame:
+    """``(doc_id, text, label)`` of at most about ``rows`` rows of ``labels(doc_id, label)``, stored.
+
+    Keys are drawn by their hash from the label table alone; they are few enough to
+    broadcast whatever the input, so only the sample's text is shuffled. Of the
+    documents and labels that repeat a drawn key one is taken.
+    """
+    n = labels.count()
+    if n > rows:
+        draw = F.pmod(F.xxhash64(F.lit(name), "doc_id"), F.lit(1 << 20))
+        labels = labels.where(draw < int((1 << 20) * rows / n))
+    found = docs.select("doc_id", "text").join(F.broadcast(labels.select("doc_id", "label")), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("r"))
+    return store(one.select("doc_id", "r.text", "r.label"), name)
+
+
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indices of the concatenated ranges [start, start + len)."""
     total = int(lens.sum())

@@ -7,7 +7,7 @@ features are the largest and the mean over its chunks, and a logistic layer
 makes one probability of them.
 
 Training: at most about ``SAMPLE_ROWS`` labelled rows of at most
-``SAMPLE_BYTES`` bytes, drawn by a hash of the text, whatever the input; Adam on
+``SAMPLE_BYTES`` bytes, drawn by a hash of the key, whatever the input; Adam on
 the driver with a fixed seed. Scoring reads every whole text, in the executors.
 
 Defined results: a null or empty text is one chunk of zero bytes; without
@@ -25,7 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagframe.llm.common import documents, held_out, text_slices
+from tagframe.llm.common import documents, held_out, labelled_sample, text_slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -135,13 +135,10 @@ def train_network(texts: list[bytes], label: np.ndarray, seed: int = 5, epochs:
     return net
 
 
-def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> dict:
-    """Network from ``train(doc_id, text, label)``; without both classes a constant."""
+def fit(train: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> dict:
+    """Network from the bounded sample ``train(doc_id, text, label)``; without both classes a constant."""
     rows = train.where(F.col("label").isin(0, 1) & F.col("text").isNotNull() & (F.octet_length("text") <= sample_bytes))
-    n = rows.count()
     draw = F.pmod(F.xxhash64(F.lit("quality"), "text", "doc_id"), F.lit(1 << 20))
-    if n > sample_rows:
-        rows = rows.where(draw < int((1 << 20) * sample_rows / n))
     got = rows.select(draw.alias("draw"), "text", F.col("label").cast("int").alias("label")).toPandas()
     got = got.sort_values(["draw", "text"])
     label = got["label"].to_numpy()
@@ -167,7 +164,7 @@ def quality(text: Column, net: dict) -> Column:
 def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     known = (documents(spark, sf_dir, "labels").where("doc_id is not null and quality is not null")
-             .select("doc_id", F.col("quality").alias("label")))
-    net = fit(docs.select("doc_id", "text").where(~held_out(F.col("doc_id"), 5, 0)).join(known, "doc_id"))
+             .where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", F.col("quality").alias("label")))
+    net = fit(labelled_sample(docs, known, SAMPLE_ROWS, "quality_sample"))
     return (docs.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), quality(F.col("text"), net).alias("score"))
             .withColumn("predicted", (F.col("score") >= KEPT_FROM).cast("int")))
