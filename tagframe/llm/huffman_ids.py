@@ -257,7 +257,8 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     _, table = canonical(read_code(spark, folder))
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = (blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row a file
+    # one row of 16 bytes a file, and a file a shuffle partition: bounded by the writer's setting, not by the ids
+    parts = (blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
              .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
     placed = blocks.join(F.broadcast(parts), "part")
     return placed.select((F.col("base") + F.col("first_id")).alias("first_id"), "n_ids", "doc_ids", "lengths",
