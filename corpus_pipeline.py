@@ -15,7 +15,7 @@ from tagframe.llm import best_fit, chosen_path, exact_dedup, language_spans, tox
 from tagframe.llm.common import SPACE, documents, fresh, store
 
 #: A document stays if its main language has at least this share of its words' bytes.
-MAIN_LANGUAGE = 0.4
+MAIN_LANGUAGE = 0.3
 TOXIC_FROM = 0.5
 
 
