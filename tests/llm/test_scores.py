@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from tagframe.llm import language_spans, license_rules, quality_cnn, repetition, toxicity
 
-from .conftest import ODD
-
 MID = "/root/testdata/sf0.01"
 
 
@@ -143,8 +141,7 @@ def test_chunks_cover_every_byte_and_overlap():
         assert (joined[:n] == buf[offs[i]:offs[i + 1]]).all() and not joined[n:].any()
 
 
-def test_gradient_by_finite_differences():
-    """One step of training moves the loss as the network's own probability says."""
+def test_training_separates_marked_texts():
     texts = [b"good words here " * 40, b"bad@@@ bad@@@ " * 50] * 8
     label = np.array([1, 0] * 8)
     net = quality_cnn.train_network(texts, label, epochs=30)
@@ -163,6 +160,15 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert len({r["p"] for r in got if r["text"] in (None, "")}) == 1
 
 
+def test_sample_takes_one_row_of_each_drawn_key(spark):
+    from tagframe.llm.common import labelled_sample
+    docs = spark.createDataFrame([(i % 400, f"t{i}") for i in range(800)] + [(None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(500)] + [(3, 0), (None, 1)], "doc_id long, label int")
+    rows = labelled_sample(docs, labels, 100, "t").collect()
+    assert 60 < len(rows) < 140 and len({r["doc_id"] for r in rows}) == len(rows)
+    assert labelled_sample(docs, labels, 10_000, "t").count() == 400
+
+
 # ---------------------------------------------------------------- repetition
 
 def brute_counts(text):
@@ -267,4 +273,3 @@ def test_license_scores(spark):
     df = spark.createDataFrame([("Released under the MIT License.",), ("nothing",), ("cc by",)], "text string")
     rows = license_rules.scan(df).select(license_rules.score(F.col("license.detections"), F.col("license.n_base")).alias("s")).collect()
     assert [r["s"] for r in rows] == [0.99, 0.0, 0.6]
-    assert len(ODD) > 5
