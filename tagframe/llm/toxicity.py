@@ -11,7 +11,7 @@ log-odds by label come from one part of the training rows, and a logistic
 regression over a text's strongest evidence from another part.
 
 Parameters with bounds: the classifier is fitted on at most about
-``SAMPLE_ROWS`` labelled rows, drawn by a hash of the text; the language model
+``SAMPLE_ROWS`` labelled rows, drawn by a hash of the key; the language model
 has ``2 ** QUAD_BITS`` counts whatever the input. Words over ``PIECE`` characters
 are decoded in pieces of that length.
 
@@ -32,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagframe.llm.common import documents, held_out, ragged, text_slices, worker_cache
+from tagframe.llm.common import documents, held_out, labelled_sample, ragged, text_slices, worker_cache
 from tagframe.llm.kernels import distinct, hash_spans, lower_table, space_table, spans
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -367,13 +367,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return w
 
 
-def fit(train: DataFrame, lm, sample_rows: int = SAMPLE_ROWS) -> dict:
-    """Classifier from ``train(doc_id, text, label)``: four fifths of the sample give log-odds, one fifth the regression."""
+def fit(train: DataFrame, lm) -> dict:
+    """Classifier from the bounded sample ``train(doc_id, text, label)``: four fifths give log-odds, one fifth the regression."""
     train = train.where(F.col("label").isin(0, 1)).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    n = train.count()
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "text", "doc_id"), F.lit(1 << 20))
-    if n > sample_rows:
-        train = train.where(draw < int((1 << 20) * sample_rows / n))
     part = F.pmod(F.xxhash64(F.lit("part"), "text", "doc_id"), F.lit(5))
     cols = train.select("text", F.col("label").cast("int").alias("label"), part.alias("part"))
     got = (cols.where("part <> 0").drop("part").mapInArrow(_presence(lm), "bucket long, n0 long, n1 long")
@@ -418,9 +414,9 @@ def toxicity(text: Column, lm, model: dict) -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> tuple:
     """(language model of all ``docs``, classifier of the labelled training rows)."""
     lm = language_model(docs)
-    known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").alias("label"))
-    rows = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"), 5, 0)).join(known, "doc_id")
-    return lm, fit(rows, lm)
+    known = (labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"), 5, 0))
+             .select("doc_id", F.col("toxic").alias("label")))
+    return lm, fit(labelled_sample(docs, known, SAMPLE_ROWS, "toxic_sample"), lm)
 
 
 def op2_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
