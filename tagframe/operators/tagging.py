@@ -57,7 +57,7 @@ def merged(spans: Column, by_bytes: bool) -> Column:
 
         return _let(first, build)
 
-    return F.when(F.size(spans) > 0, _let(spans, islands))
+    return _let(spans, lambda s: F.when(F.size(s) > 0, islands(s)))
 
 
 def disjoint(spans: Column, by_bytes: bool) -> Column:
