@@ -1,14 +1,14 @@
 """Operator 10: license scans by ordered signature rules, in DataFrame functions only.
 
 A text is reduced to its lower-case words, one space around each. Rules are
-regular expressions over that form, each gated by a literal that must occur.
-They are hand-written where a license has its own sentences, and otherwise built
+regular expressions over that form, each gated by literals that its matches must
+contain; the gates only save work. They are hand-written where a license has its own sentences, and otherwise built
 from the license's name and the ways to refer to one (``rules()``, some hundreds).
 A detection is suppressed if a detection of the same or a higher priority
 contains it; of equal spans the higher priority and then the earlier rule stays.
 
 Everything is local to the row: no shuffle, no Python in the tasks. Texts without
-any gate literal (a few ``contains``) never reach a regular expression but the one
+any rule's literals (``contains``) never reach a regular expression but the one
 that finds the words.
 
 Defined results: a null or empty text has no words, no places, empty label
@@ -26,73 +26,75 @@ from tagframe.llm.common import documents
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Text outside of a license is only scanned if it has one of these.
-GATES = ("licen", "cc by", "rights reserved", "creative commons", "public domain", "copyright", "spdx", "gpl",
-         "permission is hereby granted", "redistribution and use", "without warranty", "merchantability", "proprietary",
-         "confidential", "creativecommons", "bsd", "mpl", "wtfpl", "apache", "cc0")
-
 FULL, NAMED, GENERIC = 3, 2, 1
 WEIGHT = {FULL: 0.99, NAMED: 0.9, GENERIC: 0.6}
 
-#: label, pattern of the name, gate literal, words of the license's address (or None), words of its SPDX name.
+#: label, pattern of the name, literal in every match of it, words of the license's address (or None), words of its
+#: SPDX name, literals of which every match of the name and the spaces around it has at least one.
 LICENSES = (
-    ("apache-1.1", r"apache(?: software)?(?: license)?(?: version| v)? ?1 1", "apache", "apache org licenses license 1 1", "apache 1 1"),
-    ("apache-2.0", r"apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?", "apache", "apache org licenses license 2 0", "apache 2 0"),
-    ("mit", r"(?:mit|expat)(?: x11)?", "mit", "opensource org licenses mit", "mit"),
-    ("isc", r"isc", "isc", "opensource org licenses isc", "isc"),
-    ("bsd-2-clause", r"(?:simplified bsd|bsd(?: license)? 2 clause|2 clause bsd|two clause bsd|freebsd)", "bsd", "opensource org licenses bsd 2 clause", "bsd 2 clause"),
-    ("bsd-3-clause", r"(?:new bsd|modified bsd|revised bsd|bsd(?: license)? 3 clause|3 clause bsd|three clause bsd)", "bsd", "opensource org licenses bsd 3 clause", "bsd 3 clause"),
-    ("bsd-4-clause", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)", "bsd", None, "bsd 4 clause"),
-    ("0bsd", r"(?:0bsd|zero clause bsd)", "bsd", "opensource org licenses 0bsd", "0bsd"),
-    ("gpl-1.0", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?1(?: 0)?", "1", "gnu org licenses old licenses gpl 1 0", "gpl 1 0(?: only| or later)?"),
-    ("gpl-2.0", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?2(?: 0)?", "2", "gnu org licenses old licenses gpl 2 0", "gpl 2 0(?: only| or later)?"),
-    ("gpl-3.0", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?3(?: 0)?", "3", "gnu org licenses gpl 3 0", "gpl 3 0(?: only| or later)?"),
-    ("lgpl-2.0", r"(?:gnu )?(?:library general public license|lgpl)(?: version| v)? ?2(?: 0)?", "2", None, "lgpl 2 0(?: only| or later)?"),
-    ("lgpl-2.1", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?2 1", "2 1", "gnu org licenses old licenses lgpl 2 1", "lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3.0", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?3(?: 0)?", "3", "gnu org licenses lgpl 3 0", "lgpl 3 0(?: only| or later)?"),
-    ("agpl-3.0", r"(?:gnu )?(?:affero general public license|agpl)(?: version| v)? ?3(?: 0)?", "3", "gnu org licenses agpl 3 0", "agpl 3 0(?: only| or later)?"),
-    ("gfdl-1.3", r"(?:gnu )?(?:free documentation license|fdl|gfdl)(?: version| v)? ?1 [123]", "1", "gnu org licenses fdl", "gfdl 1 3"),
-    ("mpl-1.1", r"(?:mozilla public license|mpl)(?: version| v)? ?1 1", "1 1", "mozilla org mpl 1 1", "mpl 1 1"),
-    ("mpl-2.0", r"(?:mozilla public license|mpl)(?: version| v)? ?2(?: 0)?", "2", "mozilla org mpl 2 0", "mpl 2 0"),
-    ("epl-1.0", r"(?:eclipse public license|epl)(?: version| v)? ?1(?: 0)?", "1", "eclipse org legal epl v10", "epl 1 0"),
-    ("epl-2.0", r"(?:eclipse public license|epl)(?: version| v)? ?2(?: 0)?", "2", "eclipse org legal epl 2 0", "epl 2 0"),
-    ("cddl-1.0", r"(?:common development and distribution license|cddl)(?: version| v)?(?: ?1(?: 0)?)?", "c", None, "cddl 1 0"),
-    ("cpl-1.0", r"(?:common public license|cpl)(?: version| v)? ?1(?: 0)?", "1", None, "cpl 1 0"),
-    ("eupl-1.2", r"(?:european union public licen[cs]e|eupl)(?: version| v)?(?: ?1 [12])?", "eu", None, "eupl 1 2"),
-    ("osl-3.0", r"(?:open software license|osl)(?: version| v)? ?3(?: 0)?", "3", None, "osl 3 0"),
-    ("afl-3.0", r"(?:academic free license|afl)(?: version| v)? ?3(?: 0)?", "3", None, "afl 3 0"),
-    ("artistic-1.0", r"artistic(?: license)?(?: version| v)? ?1(?: 0)?", "artistic", None, "artistic 1 0"),
-    ("artistic-2.0", r"artistic(?: license)?(?: version| v)? ?2(?: 0)?", "artistic", None, "artistic 2 0"),
-    ("bsl-1.0", r"boost(?: software)?(?: license)?(?: version| v)?(?: ?1 0)?", "boost", "boost org license 1 0", "bsl 1 0"),
-    ("busl-1.1", r"business source(?: license)?(?: version| v)?(?: ?1 1)?", "business source", "mariadb com bsl11", "busl 1 1"),
-    ("sspl-1.0", r"(?:server side public license|sspl)(?: version| v)?(?: ?1)?", "s", None, "sspl 1 0"),
-    ("elastic-2.0", r"elastic(?: license)?(?: version| v)? ?2(?: 0)?", "elastic", None, "elastic 2 0"),
-    ("ms-pl", r"(?:microsoft public|ms pl)", "m", None, "ms pl"),
-    ("ms-rl", r"(?:microsoft reciprocal|ms rl)", "m", None, "ms rl"),
-    ("zlib", r"zlib(?: libpng)?", "zlib", None, "zlib"),
-    ("psf-2.0", r"(?:python software foundation|psf)", "p", None, "psf 2 0"),
-    ("php-3.01", r"php(?: license)?(?: version| v)? ?3 0?1", "php", "php net license 3 01", "php 3 01"),
-    ("ruby", r"ruby", "ruby", None, "ruby"),
-    ("openssl", r"openssl", "openssl", None, "openssl"),
-    ("unlicense", r"unlicense", "unlicense", "unlicense org", "unlicense"),
-    ("wtfpl", r"wtfpl", "wtfpl", "wtfpl net", "wtfpl"),
-    ("ofl-1.1", r"(?:sil )?open font(?: license)?(?: version| v)?(?: ?1 1)?", "open font", "scripts sil org ofl", "ofl 1 1"),
-    ("ncsa", r"(?:university of illinois ncsa|ncsa)", "ncsa", None, "ncsa"),
-    ("postgresql", r"postgresql", "postgresql", None, "postgresql"),
-    ("curl", r"curl", "curl", None, "curl"),
-    ("vim", r"vim", "vim", None, "vim"),
-    ("odbl-1.0", r"(?:open database|odbl)(?: license)?(?: version| v)?(?: ?1 0)?", "o", "opendatacommons org licenses odbl", "odbl 1 0"),
-    ("odc-by-1.0", r"(?:open data commons attribution|odc by)(?: license)?(?: version| v)?(?: ?1 0)?", "o", "opendatacommons org licenses by", "odc by 1 0"),
-    ("pddl-1.0", r"(?:public domain dedication and license|pddl)", "p", "opendatacommons org licenses pddl", "pddl 1 0"),
-    ("cc0-1.0", r"(?:creative commons zero|creative commons cc0|cc0|cc zero)(?: ?1 0)?", "c", "creativecommons org publicdomain zero 1 0", "cc0 1 0"),
+    ("apache-1.1", r"apache(?: software)?(?: license)?(?: version| v)? ?1 1", "apache", "apache org licenses license 1 1", "apache 1 1", ("apache",)),
+    ("apache-2.0", r"apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?", "apache", "apache org licenses license 2 0", "apache 2 0", ("apache",)),
+    ("mit", r"(?:mit|expat)(?: x11)?", "t", "opensource org licenses mit", "mit", (" mit ", " expat ")),
+    ("isc", r"isc", "isc", "opensource org licenses isc", "isc", (" isc ",)),
+    ("bsd-2-clause", r"(?:simplified bsd|bsd(?: license)? 2 clause|2 clause bsd|two clause bsd|freebsd)", "bsd", "opensource org licenses bsd 2 clause", "bsd 2 clause", ("bsd",)),
+    ("bsd-3-clause", r"(?:new bsd|modified bsd|revised bsd|bsd(?: license)? 3 clause|3 clause bsd|three clause bsd)", "bsd", "opensource org licenses bsd 3 clause", "bsd 3 clause", ("bsd",)),
+    ("bsd-4-clause", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)", "bsd", None, "bsd 4 clause", ("bsd",)),
+    ("0bsd", r"(?:0bsd|zero clause bsd)", "bsd", "opensource org licenses 0bsd", "0bsd", ("bsd",)),
+    ("gpl-1.0", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?1(?: 0)?", "1", "gnu org licenses old licenses gpl 1 0", "gpl 1 0(?: only| or later)?", ("general public license", "gpl")),
+    ("gpl-2.0", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?2(?: 0)?", "2", "gnu org licenses old licenses gpl 2 0", "gpl 2 0(?: only| or later)?", ("general public license", "gpl")),
+    ("gpl-3.0", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?3(?: 0)?", "3", "gnu org licenses gpl 3 0", "gpl 3 0(?: only| or later)?", ("general public license", "gpl")),
+    ("lgpl-2.0", r"(?:gnu )?(?:library general public license|lgpl)(?: version| v)? ?2(?: 0)?", "2", None, "lgpl 2 0(?: only| or later)?", ("general public license", "gpl")),
+    ("lgpl-2.1", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?2 1", "2 1", "gnu org licenses old licenses lgpl 2 1", "lgpl 2 1(?: only| or later)?", ("general public license", "gpl")),
+    ("lgpl-3.0", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?3(?: 0)?", "3", "gnu org licenses lgpl 3 0", "lgpl 3 0(?: only| or later)?", ("general public license", "gpl")),
+    ("agpl-3.0", r"(?:gnu )?(?:affero general public license|agpl)(?: version| v)? ?3(?: 0)?", "3", "gnu org licenses agpl 3 0", "agpl 3 0(?: only| or later)?", ("general public license", "gpl")),
+    ("gfdl-1.3", r"(?:gnu )?(?:free documentation license|fdl|gfdl)(?: version| v)? ?1 [123]", "1", "gnu org licenses fdl", "gfdl 1 3", ("free documentation license", "fdl")),
+    ("mpl-1.1", r"(?:mozilla public license|mpl)(?: version| v)? ?1 1", "1 1", "mozilla org mpl 1 1", "mpl 1 1", ("mozilla public license", " mpl")),
+    ("mpl-2.0", r"(?:mozilla public license|mpl)(?: version| v)? ?2(?: 0)?", "2", "mozilla org mpl 2 0", "mpl 2 0", ("mozilla public license", " mpl")),
+    ("epl-1.0", r"(?:eclipse public license|epl)(?: version| v)? ?1(?: 0)?", "1", "eclipse org legal epl v10", "epl 1 0", ("eclipse public license", " epl")),
+    ("epl-2.0", r"(?:eclipse public license|epl)(?: version| v)? ?2(?: 0)?", "2", "eclipse org legal epl 2 0", "epl 2 0", ("eclipse public license", " epl")),
+    ("cddl-1.0", r"(?:common development and distribution license|cddl)(?: version| v)?(?: ?1(?: 0)?)?", "c", None, "cddl 1 0", ("common development and distribution license", "cddl")),
+    ("cpl-1.0", r"(?:common public license|cpl)(?: version| v)? ?1(?: 0)?", "1", None, "cpl 1 0", ("common public license", " cpl")),
+    ("eupl-1.2", r"(?:european union public licen[cs]e|eupl)(?: version| v)?(?: ?1 [12])?", "eu", None, "eupl 1 2", ("european union public licen", "eupl")),
+    ("osl-3.0", r"(?:open software license|osl)(?: version| v)? ?3(?: 0)?", "3", None, "osl 3 0", ("open software license", " osl")),
+    ("afl-3.0", r"(?:academic free license|afl)(?: version| v)? ?3(?: 0)?", "3", None, "afl 3 0", ("academic free license", " afl")),
+    ("artistic-1.0", r"artistic(?: license)?(?: version| v)? ?1(?: 0)?", "artistic", None, "artistic 1 0", ("artistic",)),
+    ("artistic-2.0", r"artistic(?: license)?(?: version| v)? ?2(?: 0)?", "artistic", None, "artistic 2 0", ("artistic",)),
+    ("bsl-1.0", r"boost(?: software)?(?: license)?(?: version| v)?(?: ?1 0)?", "boost", "boost org license 1 0", "bsl 1 0", ("boost",)),
+    ("busl-1.1", r"business source(?: license)?(?: version| v)?(?: ?1 1)?", "business source", "mariadb com bsl11", "busl 1 1", ("business source",)),
+    ("sspl-1.0", r"(?:server side public license|sspl)(?: version| v)?(?: ?1)?", "s", None, "sspl 1 0", ("server side public license", "sspl")),
+    ("elastic-2.0", r"elastic(?: license)?(?: version| v)? ?2(?: 0)?", "elastic", None, "elastic 2 0", ("elastic",)),
+    ("ms-pl", r"(?:microsoft public|ms pl)", "m", None, "ms pl", ("microsoft public", " ms pl ")),
+    ("ms-rl", r"(?:microsoft reciprocal|ms rl)", "m", None, "ms rl", ("microsoft reciprocal", " ms rl ")),
+    ("zlib", r"zlib(?: libpng)?", "zlib", None, "zlib", ("zlib",)),
+    ("psf-2.0", r"(?:python software foundation|psf)", "p", None, "psf 2 0", ("python software foundation", " psf ")),
+    ("php-3.01", r"php(?: license)?(?: version| v)? ?3 0?1", "php", "php net license 3 01", "php 3 01", (" php",)),
+    ("ruby", r"ruby", "ruby", None, "ruby", (" ruby ",)),
+    ("openssl", r"openssl", "openssl", None, "openssl", ("openssl",)),
+    ("unlicense", r"unlicense", "unlicense", "unlicense org", "unlicense", ("unlicense",)),
+    ("wtfpl", r"wtfpl", "wtfpl", "wtfpl net", "wtfpl", ("wtfpl",)),
+    ("ofl-1.1", r"(?:sil )?open font(?: license)?(?: version| v)?(?: ?1 1)?", "open font", "scripts sil org ofl", "ofl 1 1", ("open font",)),
+    ("ncsa", r"(?:university of illinois ncsa|ncsa)", "ncsa", None, "ncsa", ("ncsa",)),
+    ("postgresql", r"postgresql", "postgresql", None, "postgresql", ("postgresql",)),
+    ("curl", r"curl", "curl", None, "curl", (" curl ",)),
+    ("vim", r"vim", "vim", None, "vim", (" vim ",)),
+    ("odbl-1.0", r"(?:open database|odbl)(?: license)?(?: version| v)?(?: ?1 0)?", "o", "opendatacommons org licenses odbl", "odbl 1 0", ("open database", "odbl")),
+    ("odc-by-1.0", r"(?:open data commons attribution|odc by)(?: license)?(?: version| v)?(?: ?1 0)?", "o", "opendatacommons org licenses by", "odc by 1 0", ("open data commons attribution", " odc by")),
+    ("pddl-1.0", r"(?:public domain dedication and license|pddl)", "p", "opendatacommons org licenses pddl", "pddl 1 0", ("public domain dedication", "pddl")),
+    ("cc0-1.0", r"(?:creative commons zero|creative commons cc0|cc0|cc zero)(?: ?1 0)?", "c", "creativecommons org publicdomain zero 1 0", "cc0 1 0", ("creative commons", "cc0", "cc zero")),
 )
 #: Creative Commons: elements and the words that spell them out; versions are below.
 CC = (("by", "attribution"), ("by-sa", "attribution share ?alike"), ("by-nd", "attribution no ?deriv(?:ative)?s?(?: works)?"),
       ("by-nc", "attribution non ?commercial"), ("by-nc-sa", "attribution non ?commercial share ?alike"),
       ("by-nc-nd", "attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?"))
+#: Every reference to Creative Commons by its elements begins with one of these.
+CC_LITERALS = ("creative commons", "cc by", "ccby", "cc attribution", "ccattribution")
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 
-#: Sentences of the licenses themselves and of common notices: label, gate literal, pattern, priority.
+#: Names that without a version also are ordinary words (German "mit"): bare, they are no reference to a license.
+ORDINARY = ("mit", "zlib", "bsl-1.0", "busl-1.1", "ofl-1.1", "odbl-1.0")
+
+#: Sentences of the licenses themselves and of common notices: label, literal in every match, pattern, priority, and
+#: where that literal is a common word, literals of which every match has one.
 SENTENCES = (
     ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy(?: \S+){0,40}", FULL),
     ("isc", "permission to use copy modify", r"permission to use copy modify and or distribute this software for any purpose", FULL),
@@ -118,7 +120,9 @@ SENTENCES = (
     ("proprietary", "proprietary", r"proprietary and confidential", NAMED),
     ("proprietary", "proprietary", r"(?:this|the) (?:software|document|material|work|content) is proprietary", NAMED),
     ("proprietary", "confidential", r"confidential and proprietary", NAMED),
-    ("proprietary", "may not be reproduced", r"may not be (?:copied|reproduced|distributed)(?: \S+){0,8} without (?:\S+ ){0,4}(?:permission|consent)", NAMED),
+    ("proprietary", "may not be", r"may not be (?:copied|reproduced|distributed)(?: \S+){0,8} without (?:\S+ ){0,4}(?:permission|consent)", NAMED,
+     ("may not be copied", "may not be reproduced", "may not be distributed")),
+    ("odbl-1.0", "odbl", r"odbl", NAMED),
     ("copyright", "copyright", r"copyright(?: c)? (?:19|20)\d\d(?: (?:19|20)\d\d)?", NAMED),
     ("copyright", "copyright", r"copyright(?: c)?(?: notice)?", GENERIC),
     ("reserved", "rights reserved", r"(?:all|some|no) rights reserved", NAMED),
@@ -129,12 +133,15 @@ SENTENCES = (
     ("bsd", "bsd", r"bsd(?: style)? licen[cs]e", GENERIC),
     ("apache", "apache", r"apache(?: software)? licen[cs]e", GENERIC),
     ("see-license", "licen", r"see (?:the )?(?:accompanying |included |attached )?licen[cs]e(?: file| txt| md)?", GENERIC),
-    ("licensed", "licen", r"(?:licensed|released) under", GENERIC),
+    ("licensed", "under", r"(?:licensed|released) under", GENERIC, ("licensed under", "released under")),
 )
 
 
-def rules() -> list[tuple[str, str, str, int]]:
-    """Ordered ``(label, gate literal, pattern, priority)``; patterns match from the space before their first word."""
+def gated_rules() -> list[tuple[str, str, str, int, tuple[str, ...]]]:
+    """Ordered ``(label, gate, pattern, priority, literals)``; patterns match from the space before their first word.
+
+    A match and the space after it contain ``gate`` and at least one of ``literals``.
+    """
     under = (r"(?:licensed|released|distributed|available|provided|published|covered|governed|redistributed|made available)"
              r"(?: \S+){0,6}? under(?: the)?(?: terms of)?(?: the)? ")
     known = list(LICENSES)
@@ -143,20 +150,41 @@ def rules() -> list[tuple[str, str, str, int]]:
         for version in CC_VERSIONS:
             v = version.replace(".", " ")
             known.append((f"cc-{kind}-{version}", rf"(?:creative commons |cc ?)(?:{words}|{spelled})(?: licen[cs]e)?(?: version| v)? ?{v}",
-                          v, f"creativecommons org licenses {words} {v}", f"cc {words} {v}"))
-    out = [(label, gate, rf" {pattern}(?= )", priority) for label, gate, pattern, priority in SENTENCES if priority == FULL]
-    for label, name, gate, address, spdx in known:
-        out.append((label, "spdx", rf" spdx license identifier {spdx}(?= )", FULL))
-        out.append((label, gate, rf" {under}{name}(?: (?:public )?licen[cs]e)?(?= )", FULL))
-        out.append((label, gate, rf" {name} (?:public )?licen[cs]ed?(?= )", NAMED))
-        if name[-1] in "?0123456789]":  # a version makes the bare name specific enough
-            out.append((label, gate, rf" {name}(?= )", NAMED))
+                          v, f"creativecommons org licenses {words} {v}", f"cc {words} {v}", CC_LITERALS))
+    sentences = [(label, gate, rf" {pattern}(?= )", priority, literals[0] if literals else (gate,))
+                 for label, gate, pattern, priority, *literals in SENTENCES]
+    out = [s for s in sentences if s[3] == FULL]
+    for label, name, gate, address, spdx, literals in known:
+        out.append((label, "spdx", rf" spdx license identifier {spdx}(?= )", FULL, ("spdx",)))
+        out.append((label, gate, rf" {under}{name}(?: (?:public )?licen[cs]e)?(?= )", FULL, literals))
+        out.append((label, gate, rf" {name} (?:public )?licen[cs]ed?(?= )", NAMED, literals))
+        if label in ORDINARY:  # the version must be there, or the word license before the name
+            out.append((label, gate, rf" {name[:-1]}(?= )", NAMED, literals))
+            out.append((label, gate, rf" licen[cs]e[ds]? (?:is |type )?{name}(?= )", NAMED, literals))
+        elif name[-1] in "?0123456789]":  # a version makes the bare name specific enough
+            out.append((label, gate, rf" {name}(?= )", NAMED, literals))
         if address:
-            out.append((label, address.split(" ")[0], rf" {address}(?= )", FULL))
+            first = address.split(" ")[0]
+            out.append((label, first, rf" {address}(?= )", FULL, (f" {first} ",)))
     for kind, spelled in CC:  # no version given
         words = kind.replace("-", " ")
-        out.append((f"cc-{kind}", "c", rf" (?:creative commons|cc) (?:{words}|{spelled})(?: licen[cs]e)?(?= )", GENERIC))
-    return out + [(label, gate, rf" {pattern}(?= )", priority) for label, gate, pattern, priority in SENTENCES if priority != FULL]
+        out.append((f"cc-{kind}", "c", rf" (?:creative commons|cc) (?:{words}|{spelled})(?: licen[cs]e)?(?= )", GENERIC, CC_LITERALS))
+    return out + [s for s in sentences if s[3] != FULL]
+
+
+def rules() -> list[tuple[str, str, str, int]]:
+    """Ordered ``(label, gate, pattern, priority)``."""
+    return [r[:4] for r in gated_rules()]
+
+
+def _gates() -> tuple[str, ...]:
+    """The literals of all rules and the base phrases, without those that contain another one."""
+    every = {g for r in gated_rules() for g in r[4]} | {f" {p} " for p, _ in BASE}
+    return tuple(sorted(g for g in every if not any(h != g and h in g for h in every)))
+
+
+#: A text without one of these has no match of any rule.
+GATES = _gates()
 
 
 def canonical(text: Column) -> Column:
@@ -171,9 +199,11 @@ def _spaces(s: Column) -> Column:
 def detections(words: Column) -> Column:
     """Array of ``(start, neg_end, neg_priority, rule, label)`` of all rules, by character of the canonical text."""
     table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(gate).alias("gate"),
-                               F.lit(pattern).alias("pattern"), F.lit(priority).alias("priority"))
-                      for i, (label, gate, pattern, priority) in enumerate(rules())])
-    hit = F.filter(table, lambda r: F.contains(words, r["gate"]) & F.rlike(words, r["pattern"]))
+                               F.lit(pattern).alias("pattern"), F.lit(priority).alias("priority"),
+                               F.array(*map(F.lit, literals)).alias("literals"))
+                      for i, (label, gate, pattern, priority, literals) in enumerate(gated_rules())])
+    hit = F.filter(table, lambda r: F.contains(words, r["gate"]) & F.exists(r["literals"], lambda g: F.contains(words, g))
+                   & F.rlike(words, r["pattern"]))
 
     def places(r):
         between, found = F.split(words, r["pattern"]), F.regexp_extract_all(words, r["pattern"], F.lit(0))
@@ -241,10 +271,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _any_of(low: Column) -> Column:
-    gate = F.contains(low, F.lit(GATES[0]))
-    for g in GATES[1:]:
-        gate = gate | F.contains(low, F.lit(g))
-    return gate
+    """Whether a text has one of the gates; the array binds it, so it is evaluated once."""
+    gates = F.array(*map(F.lit, GATES))
+    return F.get(F.transform(F.array(low), lambda t: F.exists(gates, lambda g: F.contains(t, g))), F.lit(0))
 
 
 def score(found: Column, n_base: Column) -> Column:

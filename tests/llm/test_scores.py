@@ -273,3 +273,66 @@ def test_license_scores(spark):
     df = spark.createDataFrame([("Released under the MIT License.",), ("nothing",), ("cc by",)], "text string")
     rows = license_rules.scan(df).select(license_rules.score(F.col("license.detections"), F.col("license.n_base")).alias("s")).collect()
     assert [r["s"] for r in rows] == [0.99, 0.0, 0.6]
+
+
+def drawn(parsed, draw):
+    """A random text that a parsed pattern matches, with its lookahead; wide repeats at their least or one more."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":  # a class such as \\S or \\d, or letters
+            out += draw.choice(["7" if str(x) == "CATEGORY_DIGIT" else "w" if str(o) == "CATEGORY" else chr(x) for o, x in arg])
+        elif name == "BRANCH":
+            out += drawn(draw.choice(arg[1]), draw)
+        elif name in ("SUBPATTERN", "ASSERT"):
+            out += drawn(arg[-1], draw)
+        else:
+            least, most, body = arg
+            out += "".join(drawn(body, draw) for _ in range(draw.randint(least, min(int(most), least + 1))))
+    return out
+
+
+def test_every_match_of_a_rule_has_its_gates():
+    draw = random.Random(2)
+    for label, gate, pattern, _, literals in license_rules.gated_rules():
+        parsed, search = re._parser.parse(pattern), re.compile(pattern).search
+        for text in {drawn(parsed, draw) for _ in range(60)}:
+            assert search(text), (pattern, text)
+            assert gate in text and any(x in text for x in literals), (label, gate, literals, text)
+            assert any(g in text for g in license_rules.GATES), (label, text)
+
+
+def ungated_license(text):
+    """Labels of the surviving matches of all rules, no gate asked."""
+    flat = "".join(f"{w} " for w in ["", *re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)])
+    flat = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in flat)
+    hits = [(m.start(), m.end(), p, i, label) for i, (label, _, pattern, p) in enumerate(license_rules.rules())
+            for m in re.finditer(pattern, flat)]
+    stay = {x[4] for x in hits if not any(
+        y is not x and y[0] <= x[0] and y[1] >= x[1] and y[2] >= x[2]
+        and (y[:2] != x[:2] or y[2] > x[2] or y[3] < x[3]) for y in hits)}
+    return sorted(stay | {label for phrase, label in license_rules.BASE if f" {phrase} " in flat})
+
+
+UNGATED = {"released under MIT": "mit", "available under EPL 2.0": "epl-2.0", "OSL 3.0": "osl-3.0", "AFL 3.0": "afl-3.0",
+           "EUPL 1.2": "eupl-1.2", "Artistic 2.0": "artistic-2.0", "GFDL 1.3": "gfdl-1.3", "CDDL 1.0": "cddl-1.0",
+           "ODbL 1.0": "odbl-1.0", "ODbL": "odbl-1.0", "PHP 3.01": "php-3.01", "http://scripts.sil.org/OFL": "ofl-1.1",
+           "Permission to use, copy, modify, and/or distribute this software for any purpose": "isc",
+           "All advertising materials mentioning features or use of this software": "bsd-4-clause",
+           "Neither the name of the author may be used to endorse or promote products": "bsd-3-clause",
+           "It may not be copied in part without written consent": "proprietary", "distributed under the Expat terms": "mit",
+           "License: MIT": "mit", "MIT/X11": "mit", "Boost 1.0": "bsl-1.0"}
+
+
+def test_licenses_equal_all_rules_without_gates(spark, odd, small):
+    draw = random.Random(3)
+    texts = [*UNGATED, *LICENSE_TEXTS, "Das Haus mit Garten", "a boost for zlib, an open font and an open database"]
+    texts += [f"so {drawn(re._parser.parse(pattern), draw)} it is" for _, _, pattern, _ in license_rules.rules()]
+    for df in (spark.createDataFrame([(t,) for t in texts], "text string").repartition(8), odd, small):
+        got = license_rules.scan(df.select("text")).select("text", "license.labels").collect()
+        for r in got:
+            assert r["labels"] == ungated_license(r["text"] or ""), r["text"]
+            assert r["text"] not in UNGATED or UNGATED[r["text"]] in r["labels"]
+            assert r["labels"] == [] or not (r["text"] or "").startswith(("Das Haus", "a boost"))
