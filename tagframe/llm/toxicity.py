@@ -1,7 +1,8 @@
 """Operator 2: toxicity of deobfuscated text.
 
 Noisy channel: a word with look-alike symbols between letters, a run of three or
-more equal letters, or a sequence of three or more single letters is a lattice of
+more equal letters, or a sequence of three or more single letters, some of which may
+be look-alikes, is a lattice of
 what its characters may stand for. Viterbi under a character language model
 (counts of all documents) picks the restored text. Every other word has one path
 through its lattice and stays as it is.
@@ -145,7 +146,7 @@ class Decoder:
         return got
 
     def _decode(self, word: str) -> str:
-        spaced = SPACED.fullmatch(word) is not None
+        spaced = SPACED.fullmatch(word) is not None and plausible(word)
         states = {0x202020: (0.0, "")}
         i = 0
         while i < len(word):
@@ -179,8 +180,85 @@ class Decoder:
         return max((score + self._logp(context, 32), text) for context, (score, text) in states.items())[1]
 
 
-SPACED = re.compile(r"[^\W\d_](?:[ .\-_*][^\W\d_]){2,}")
-_SINGLES = re.compile(r"(?<![^\s])[^\W\d_](?:([ .\-_*])[^\W\d_](?:\1[^\W\d_])+)(?![^\s.,;:!?])")
+_PLACE = rf"(?:[^\W\d_]|[{re.escape(''.join(LOOKALIKE))}])"
+SPACED = re.compile(rf"{_PLACE}(?:[ .\-_*]{_PLACE}){{2,}}")
+_SINGLES = re.compile(rf"(?<![^\s]){_PLACE}(?:([ .\-_*]){_PLACE}(?:\1{_PLACE})+)(?![^\s.,;:!?])")
+_LETTERS = re.compile(r"(?<![^\s])[^\W\d_](?:([ .\-_*])[^\W\d_](?:\1[^\W\d_])+)(?![^\s.,;:!?])")
+#: Look-alikes that also are plain marks.
+MARKS = "!|+("
+
+
+def plausible(spaced: str) -> bool:
+    """Whether single characters set apart can be a word: not numbers in a row, an outline number or a sum."""
+    places = spaced[::2]
+    letters, marks = sum(map(str.isalpha, places)), sum(c in MARKS for c in places)
+    return (letters >= 2 or letters == 1 and len(places) >= 4) and 3 * letters >= len(places) - letters and len(places) > 3 * marks
+
+
+def restore_singles(text: str, decode) -> str:
+    """The text with its sequences of single characters decoded; an implausible one keeps all but its sequences of letters."""
+    def whole(m):
+        return decode(m[0].lower()) if plausible(m[0]) else _LETTERS.sub(lambda x: decode(x[0].lower()), m[0])
+    return _SINGLES.sub(whole, text)
+
+
+def _folds() -> np.ndarray:
+    """Lower case of every letter's code point, 0 for all others."""
+    out = np.zeros(0x110000, np.int32)
+    for i in range(0x80, 0x110000):
+        c = chr(i)
+        if c.isalpha():
+            out[i] = ord(c.lower()[0])
+    return out
+
+
+def wide_runs(buf: np.ndarray) -> np.ndarray:
+    """Where a letter over code 127 is the third of a run, whatever its case."""
+    lead = np.flatnonzero(buf >= 0xC2)
+    if len(lead) < 3:
+        return lead[:0]
+    size = 2 + (buf[lead] >= 0xE0) + (buf[lead] >= 0xF0).astype(np.int64)
+    near = lead[1:] - lead[:-1] == size[:-1]
+    third = np.flatnonzero(near[1:] & near[:-1] & (size[2:] == size[1:-1]) & (size[1:-1] == size[:-2])) + 2
+    if not len(third):
+        return third
+    fold = worker_cache("toxic:folds", _folds)
+
+    def letter(k):
+        at, wide = lead[k], size[k]
+        code = (buf[at] & (0x7F >> wide).astype(np.uint8)).astype(np.int64)
+        for i in (1, 2, 3):
+            more = wide > i
+            code[more] = code[more] << 6 | (buf[at[more] + i] & 0x3F)
+        return fold[code]
+
+    a, b, c = letter(third), letter(third - 1), letter(third - 2)
+    return lead[third[(a > 0) & (a == b) & (b == c)]]
+
+
+def wide_alike(buf: np.ndarray) -> np.ndarray:
+    """The bytes of look-alikes over code 127."""
+    out = [np.zeros(0, np.int64)]
+    for c in LOOKALIKE:
+        raw = c.encode()
+        if len(raw) > 1:
+            at = np.flatnonzero(buf[:max(len(buf) - len(raw) + 1, 0)] == raw[0])
+            for i in range(1, len(raw)):
+                at = at[buf[at + i] == raw[i]]
+            out += [at + i for i in range(len(raw))]
+    return np.concatenate(out)
+
+
+def single_places(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words of one character that is a letter or look-alike, with at most one mark after it."""
+    first = buf[starts]
+    wide = 1 + (first >= 0xC2).astype(np.int64) + (first >= 0xE0) + (first >= 0xF0)
+    place = letter_table()
+    place[[ord(x) for x in LOOKALIKE if ord(x) < 128]] = True
+    mark = np.zeros(256, bool)
+    mark[[ord(x) for x in ".,;:!?"]] = True
+    size = ends - starts
+    return place[first] & ((size == wide) | (size == wide + 1) & mark[buf[ends - 1]])
 
 
 def suspicious(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -196,8 +274,11 @@ def suspicious(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     low = lower_table()[buf]
     run = np.zeros(n, bool)
     run[2:] = letter[2:] & (low[2:] < 128) & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
+    run[wide_runs(buf)] = True
+    wide = wide_alike(buf)
+    letter[wide], alike[wide] = False, True
     before, after = np.zeros(n, bool), np.zeros(n, bool)
-    strong = alike & ~np.isin(buf, [33, 124, 43, 40])  # digits and currency signs; the others also are plain marks
+    strong = alike & ~np.isin(buf, [ord(x) for x in MARKS])  # digits and currency signs; the others also are plain marks
     before[1:] = letter[:-1] | strong[:-1]
     after[:-1] = letter[1:] | strong[1:]
     ending = np.zeros(n, bool)  # digits and currency signs may also end a word, any look-alike may begin one
@@ -229,7 +310,7 @@ def restore_word(word: str, decode: Decoder) -> str:
     core, tail = (word[:edge.start()], word[edge.start():]) if edge else (word, "")
     if not any(map(str.isalpha, core)):
         return word
-    if SPACED.fullmatch(core) or any(c in LOOKALIKE for c in core) or _TRIPLE.search(core):
+    if SPACED.fullmatch(core) and plausible(core) or any(c in LOOKALIKE for c in core) or _TRIPLE.search(core):
         return decode(core) + tail
     return word
 
@@ -250,8 +331,7 @@ def restored_slices(texts: pa.Array, decode: Decoder, limit: int = 2 << 20):
     for a, b, buf, offs in text_slices(texts, limit):
         starts, ends, doc = spans(~space_table()[buf], offs)
         odd = suspicious(buf, starts, ends)
-        letters = letter_table()[buf]
-        single = (ends - starts <= 2) & letters[starts] if len(starts) else np.zeros(0, bool)
+        single = single_places(buf, starts, ends)
         three = np.zeros(len(starts), bool)
         if len(starts) > 2:
             three[2:] = single[2:] & single[1:-1] & single[:-2] & (doc[2:] == doc[:-2])
@@ -269,7 +349,7 @@ def restored_slices(texts: pa.Array, decode: Decoder, limit: int = 2 << 20):
             hit = odd[mine]
             text = restore_text(buf[lo:hi], starts[mine][hit] - lo, ends[mine][hit] - lo, decode)
             if r in spaced:
-                text = _SINGLES.sub(lambda m: decode(m[0].lower()), text)
+                text = restore_singles(text, decode)
             if len(text.encode()) == hi - lo and text.encode() == buf[lo:hi].tobytes():
                 continue
             parts += [buf[last:lo], np.frombuffer(text.encode(), np.uint8)]

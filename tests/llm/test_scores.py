@@ -121,6 +121,19 @@ def test_toxicity_of_odd_rows(spark, odd, none, toxic):
     assert {r["r"]["score"] for r in odd.select(toxicity.toxicity(F.col("text"), lm, model).alias("r")).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("text, want", [
+    ("m 0 r o n", "moron"), ("an i d 1 o t, yes", "an idiot, yes"), ("l o s 3 r!", "loser!"), ("i d ! o t", "idiot"),
+    ("l-o-s-3-r", "loser"), ("m.0.r.o.n", "moron"), ("los\u20acr", "loser"), ("\u00a3oser", "loser"),
+    ("l o s \u20ac r", "loser"), ("\u0434\u0443\u0443\u0443\u0443\u0440\u0430\u043a", "\u0434\u0443\u0440\u0430\u043a"),
+    ("\u0414\u0443\u0423\u0443\u0440\u0430\u043a", "\u0434\u0443\u0440\u0430\u043a"), ("caf\u00e9\u00e9\u00e9\u00e9", "caf\u00e9"),
+    ("b + c", "b + c"), ("2 x 4", "2 x 4"), ("1 2 3 4 5", "1 2 3 4 5"), ("\u20ac5 and 5\u20ac", "\u20ac5 and 5\u20ac"),
+    ("\u2014\u2014\u2014 plain \u00e9t\u00e9", "\u2014\u2014\u2014 plain \u00e9t\u00e9")])
+def test_combined_obfuscation_is_restored(toxic, text, want):
+    got = list(toxicity.restored_slices(pa.array(["plain", text]), toxicity.Decoder(*toxic[0])))
+    changed = {a + i: t for a, _, _, _, rows in got for i, t in rows.items()}
+    assert changed.get(1, text) == want
+
+
 # ---------------------------------------------------------------- quality
 
 def test_quality_of_held_out_documents(spark):
