@@ -101,6 +101,18 @@ def test_large_nodes_are_branched_and_keep_their_links(spark):
     assert near(chosen_path.near_duplicates(df, leaf=16, depth=3)) == brute_near(rows)
 
 
+def test_sparse_pairs_under_a_common_template(spark):
+    """Pairs just over 0.8 whose texts mostly are a passage that all texts share: nodes stay large for many levels."""
+    hot, rows = " ".join(f"h{i}" for i in range(153)), []
+    for p in range(150):
+        both = " ".join(f"p{p}x{i}" for i in range(8))
+        rows += [(2 * p + k, f"{hot} {both} " + " ".join(f"o{p}y{k}z{i}" for i in range(18))) for k in (0, 1)]
+    got = near(chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), leaf=16, depth=6))
+    want = brute_near(rows)
+    assert len({c for _, _, c in want}) == 150
+    assert got == want
+
+
 def test_components(spark):
     links = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)] + [("z1", "z2"), ("z2", "z1"), ("z1", "z1")]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a string, b string")).collect()}
