@@ -26,8 +26,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagframe.llm.bpe import default_path, encoder, text_runs
-from tagframe.llm.common import documents, store
+from tagframe.llm.bpe import default_path, encoder
+from tagframe.llm.common import documents, store, text_slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -51,10 +51,10 @@ def _encode_pieces(path: str, limit: int, end_id: int):
         seen = np.zeros(limit + 1, np.int64)
         for batch in batches:
             keys = batch["doc_id"]
-            for first, texts in text_runs(batch["text"].to_pylist()):
-                flat, at = enc.encode(texts)
+            for first, last, buf, offs in text_slices(batch["text"], 1 << 20):
+                flat, at = enc.encode_bytes(buf, offs)
                 doc, piece, start, length, rank, ids = [], [], [], [], [], []
-                for i in range(len(texts)):
+                for i in range(last - first):
                     own = np.append(flat[at[i]:at[i + 1]], end_id).astype("<u4")
                     pos = 0
                     for k, n in enumerate(piece_lengths(len(own), limit)):

@@ -1,71 +1,61 @@
 """Whole-text encoding by the public byte-level BPE, with a bounded memo of chunks.
 
-A text of printable characters whose white space is only single spaces and line
-feeds between other characters is cut before every space and around every line
-feed; the pre-tokeniser has a boundary at each of these places, so the ids of the
-text are the concatenated ids of its chunks and a chunk seen before need not be
-encoded again. Every other text (runs of white space, tabs, other spaces,
-special-token strings) goes to the tokenizer as it is.
-
-A worker keeps the first chunks it sees, which are the frequent ones, up to a
-bound, and beyond it a smaller number of recent ones.
+A text whose white space is only single spaces and line feeds between other
+characters is cut, on its bytes, before every space and around every line feed;
+the pre-tokeniser has a boundary at each of these places, so the ids of the text
+are the concatenated ids of its chunks and a chunk seen before need not be
+encoded again (``chunks.SpanMemo``, an exact comparison of bytes). A new chunk of
+ASCII and Latin letters is cut into pieces here and each piece goes to the
+tokenizer's BPE model; other chunks go to the whole tokenizer, and so does every
+text with runs of white space, tabs, other spaces or special-token strings.
 """
 
 from __future__ import annotations
 
+import re
 import sys
-from itertools import repeat
 
 import numpy as np
 from pyspark import cloudpickle
 
-from tagframe.llm.common import ragged, worker_cache
+from tagframe.llm.chunks import SpanMemo, wide_space
+from tagframe.llm.common import worker_cache
+from tagframe.llm.kernels import per_text, spans
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SPECIAL = "<|endoftext|>"
-TAILS = ".,!?;:"
-
 
 def default_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Memo:
-    """Ids of chunks: a flat array and the offsets of each chunk's ids."""
+# Pieces as the pre-tokeniser cuts them, for the characters that ``QUICK`` admits.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+QUICK = re.compile(f"[!-~{_LETTER}]+")
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^ 0-9{_LETTER}]+")
+PIECES_KEPT = 100_000
 
-    def __init__(self):
-        self.code: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint16)
-        self.at = np.zeros(1 << 14, np.int64)
 
-    def add(self, keys: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
-        known, n = len(self.code), len(keys)
-        used = int(self.at[known])
-        if used + len(ids) > len(self.ids) or ids.dtype != self.ids.dtype:
-            kind = np.promote_types(ids.dtype, self.ids.dtype)
-            room = np.zeros(max(used + len(ids), len(self.ids) * 3 // 2), kind)
-            room[:used] = self.ids[:used]
-            self.ids = room
-        if known + n >= len(self.at):
-            self.at = np.concatenate([self.at, np.zeros(max(len(self.at) // 2, n + 1), np.int64)])
-        self.ids[used:used + len(ids)] = ids
-        self.at[known + 1:known + 1 + n] = used + np.cumsum(lens)
-        self.code.update(zip(keys, range(known, known + n)))
+def byte_chars() -> list[str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + other.index(b)) for b in range(256)]
 
 
 class ChunkEncoder:
     """``memo`` bounds the chunks kept for good, ``recent`` those kept until as many newer ones came."""
 
-    def __init__(self, path: str, memo: int = 450_000, recent: int = 150_000):
+    def __init__(self, path: str, memo: int = 400_000, recent: int = 400_000):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.n_bytes = np.array([len(self.tok.id_to_token(i) or "") for i in range(self.tok.get_vocab_size())], np.int64)
-        self.tails = {x: self.tok.encode(x, add_special_tokens=False).ids[0] for x in TAILS}
-        self.small = self.tok.get_vocab_size() <= 1 << 16
-        self.memo_limit, self.recent_limit = memo, recent
-        self.memo, self.recent = Memo(), Memo()
+        self.model = self.tok.model
+        self.shown = str.maketrans({chr(b): c for b, c in enumerate(byte_chars())})
+        self.feed = self.tok.encode("\n", add_special_tokens=False).ids
+        self.pieces: dict[str, list[int]] = {}
+        small = self.tok.get_vocab_size() <= 1 << 16
+        self.memo = SpanMemo(self._new, np.uint16 if small else np.uint32, memo, recent)
 
     def _plain(self, texts: list[str]) -> list:
         import os
@@ -75,110 +65,69 @@ class ChunkEncoder:
             out += [e.ids for e in self.tok.encode_batch(texts[i:i + 2000], add_special_tokens=False)]
         return out
 
-    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and offsets of units that each begin with a space or line feed; many a call, told apart by their bytes."""
-        flat = [np.zeros(0, np.uint32)]
-        for i in range(0, len(units), 512):
-            flat.append(np.array(self.tok.encode("".join(units[i:i + 512]), add_special_tokens=False).ids, np.uint32))
-        ids = np.concatenate(flat)
-        ends = np.cumsum([len(u) if u.isascii() else len(u.encode()) for u in units])
-        return ids, np.concatenate([[0], np.searchsorted(np.cumsum(self.n_bytes[ids]), ends - 1, "right") + 1])
-
-    def _new(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and their number for new chunks; a mark such as a full stop after a letter is a token run of its own."""
-        heads: dict[str, int] = {}
-        which, bare, tails = [], [], []
-        for k in keys:
-            first = k[0]
-            head = "\n" + k[1:] if first == "\0" or first == "\1" else " " + k
-            tail = self.tails.get(head[-1], -1)
-            if tail >= 0 and len(head) > 2 and head[-2].isalpha():
-                head = head[:-1]
+    def _piece(self, piece: str) -> list[int]:
+        got = self.pieces.get(piece)
+        if got is None:
+            shown = "\u0120" + piece[1:] if piece[0] == " " else piece
+            if not piece.isascii():
+                shown = piece.encode().decode("latin-1").translate(self.shown)
+            got = [t.id for t in self.model.tokenize(shown)]
+            if len(self.pieces) >= PIECES_KEPT:
+                self.pieces.clear()
+            self.pieces[piece] = got
+        return got
+
+    def _new(self, spans: list[bytes], kinds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks; kind 0 comes after a space, 1 after a line feed, 2 begins a text."""
+        flat, lens = [], []
+        tokenize, piece, feed = self.model.tokenize, self._piece, self.feed
+        for word, kind in zip(b"\n".join(spans).decode().split("\n"), kinds):
+            if word.isascii() and word.isalpha():
+                ids = [t.id for t in tokenize("\u0120" + word if kind == 0 else word)]
+            elif QUICK.fullmatch(word):
+                ids = [i for p in PIECE.findall(" " + word if kind == 0 else word) for i in piece(p)]
             else:
-                tail = -1
-            which.append(heads.setdefault(head, len(heads)))
-            bare.append(first == "\1")
-            tails.append(tail)
-        flat, edge = self._units(list(heads))
-        which, skip, tail = np.array(which, np.int64), np.array(bare, np.int64), np.array(tails, np.int64)
-        # the first chunk of a text is taken without the line feed it was encoded with
-        start, has_tail = edge[which] + skip, tail >= 0
-        body = edge[which + 1] - start
-        n = body + has_tail
-        ends = np.cumsum(n)
-        ids = np.zeros(int(n.sum()), np.uint16 if self.small else np.uint32)
-        ids[ragged(ends - n, body)] = flat[ragged(start, body)]
-        ids[(ends - 1)[has_tail]] = tail[has_tail]
-        return ids, n
+                ids = self.tok.encode(" " + word if kind == 0 else word, add_special_tokens=False).ids
+            if kind == 1:
+                ids = feed + ids
+            flat += ids
+            lens.append(len(ids))
+        return np.array(flat, self.memo.dtype), np.array(lens, np.int64)
+
+    def encode_bytes(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and offsets of the texts ``buf[offs[i]:offs[i + 1]]``."""
+        n = len(offs) - 1
+        sep = (buf == 32) | (buf == 10)
+        odd = (buf < 32) & ~sep  # tabs and control characters
+        odd[1:] |= sep[1:] & sep[:-1]
+        odd[:-1] |= (buf[:-1] == 60) & (buf[1:] == 124)  # "<|" may begin a special token
+        full = np.flatnonzero(offs[1:] > offs[:-1])
+        odd[offs[full]] |= sep[offs[full]]
+        odd[offs[full + 1] - 1] |= sep[offs[full + 1] - 1]
+        places = np.flatnonzero(odd)
+        if wide := wide_space(buf):
+            places = np.concatenate([places, np.array([a for a, _ in wide], np.int64)])
+        whole = np.zeros(n, bool)
+        whole[np.searchsorted(offs, places, "right") - 1] = True
+        starts, ends, owner = spans(~sep, offs)
+        chunk = ~whole[owner]
+        starts, ends, owner = starts[chunk], ends[chunk], owner[chunk]
+        kind = np.where(starts == offs[owner], 2, np.where(buf[np.maximum(starts, 1) - 1] == 32, 0, 1))
+        flat, lens = self.memo.lookup(np.concatenate([buf, np.zeros(16, np.uint8)]), starts, ends - starts, kind)
+        own = np.concatenate([[0], np.cumsum(per_text(lens, owner, n).astype(np.int64))])
+        flat = flat.astype(np.uint32)
+        rest = np.flatnonzero(whole).tolist()
+        if not rest:
+            return flat, own
+        got = dict(zip(rest, self._plain([buf[offs[i]:offs[i + 1]].tobytes().decode() for i in rest])))
+        out = [np.array(got[i], np.uint32) if i in got else flat[own[i]:own[i + 1]] for i in range(n)]
+        return np.concatenate(out), np.concatenate([[0], np.cumsum([len(x) for x in out])])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and offsets of every text."""
-        chunks: list[str] = []
-        n_chunks = np.zeros(len(texts), np.int64)
-        plain = []
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            spaced = t.replace("\n", " ")
-            # printable: no white space but the space, no control character
-            if spaced.isprintable() and "  " not in spaced and spaced[0] != " " and spaced[-1] != " " and SPECIAL not in t:
-                c = ("\1" + t).replace("\n", " \0").split(" ")
-                chunks += c
-                n_chunks[i] = len(c)
-            else:
-                plain.append(i)
-        code = np.array(list(map(self.memo.code.get, chunks, repeat(-1))), dtype=np.int64)
-        missing = np.flatnonzero(code < 0)
-        parts, lens = [], np.zeros(len(code), np.int64)
-        if len(missing):
-            words = [chunks[i] for i in missing]
-            new = [w for w in dict.fromkeys(words) if w not in self.recent.code]
-            if len(self.memo.code) < self.memo_limit and not self.recent.code:
-                memo, base = self.memo, 0
-            else:
-                if len(self.recent.code) + len(new) > self.recent_limit and self.recent.code:
-                    self.recent = Memo()
-                    new = list(dict.fromkeys(words))
-                memo, base = self.recent, 1 << 40
-            if new:
-                memo.add(new, *self._new(new))
-            code[missing] = np.array([memo.code[w] for w in words], np.int64) + base
-        flat = np.zeros(0, np.uint32)
-        if len(code):
-            late = code >= 1 << 40
-            old, young = code[~late], code[late] - (1 << 40)
-            lens[~late] = self.memo.at[old + 1] - self.memo.at[old]
-            lens[late] = self.recent.at[young + 1] - self.recent.at[young]
-            first = np.cumsum(lens) - lens
-            flat = np.zeros(int(lens.sum()), np.uint32)
-            if late.any():
-                flat[ragged(first[~late], lens[~late])] = self.memo.ids[ragged(self.memo.at[old], lens[~late])]
-                flat[ragged(first[late], lens[late])] = self.recent.ids[ragged(self.recent.at[young], lens[late])]
-            else:
-                flat[:] = self.memo.ids[ragged(self.memo.at[old], lens)]
-        csum = np.concatenate([[0], np.cumsum(lens)])
-        edge = np.concatenate([[0], np.cumsum(n_chunks)])
-        n_ids = csum[edge[1:]] - csum[edge[:-1]]
-        own = np.concatenate([[0], np.cumsum(n_ids)])
-        if not plain:
-            return flat, own
-        whole = dict(zip(plain, self._plain([texts[i] for i in plain])))
-        out = [np.array(whole[i], np.uint32) if i in whole else flat[own[i]:own[i + 1]] for i in range(len(texts))]
-        return np.concatenate(out), np.concatenate([[0], np.cumsum([len(x) for x in out])])
+        raw = [t.encode() for t in texts]
+        return self.encode_bytes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(x) for x in raw]))
 
 
 def encoder(path: str) -> ChunkEncoder:
     return worker_cache(f"bpe:{path}", lambda: ChunkEncoder(path))
-
-
-def text_runs(texts: list[str | None], limit: int = 1 << 20):
-    """Runs of rows of about ``limit`` characters: (first row, texts with null as empty)."""
-    run, size, first = [], 0, 0
-    for i, t in enumerate(texts):
-        run.append(t or "")
-        size += len(run[-1])
-        if size >= limit:
-            yield first, run
-            run, size, first = [], 0, i + 1
-    if run:
-        yield first, run

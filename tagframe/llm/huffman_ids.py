@@ -34,8 +34,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagframe.llm.bpe import default_path, encoder, text_runs
-from tagframe.llm.common import documents, scratch, store
+from tagframe.llm.bpe import default_path, encoder
+from tagframe.llm.common import documents, scratch, store, text_slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -140,11 +140,11 @@ def _encode(path: str, end_id: int):
         from pyspark import TaskContext
         enc, part, row = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for first, texts in text_runs(batch["text"].to_pylist()):
-                flat, at = enc.encode(texts)
+            for first, last, buf, offs in text_slices(batch["text"], 1 << 20):
+                flat, at = enc.encode_bytes(buf, offs)
                 ids = [np.append(flat[a:b], end_id).astype("<u2" if flat.max(initial=0) < 65536 else "<u4")
                        for a, b in zip(at[:-1], at[1:])]
-                n = len(texts)
+                n = last - first
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(first, n), pa.array([part] * n, pa.int32()),
                      pa.array(np.arange(row, row + n), pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
