@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagframe.operators.token_scan import scanner
+
 # Token rules of the native token tagger "A" (classes PER/ORG/LOC/MISC).
 # First match wins; ASCII classes and \z so that Java and RE2 agree.
 TOKEN_RULES = (
@@ -42,57 +44,17 @@ WORDPIECE_MARK = "##"
 PIECE_LEN = 6
 
 
-def _may_match(word: Column) -> Column:
-    """Exact cheap pre-check: every token rule needs an ASCII upper-case letter or a
-    digit first, or an ``@`` (e-mail); most tokens fail it and skip the regexes."""
-    first = F.substring(word, 1, 1)
-    return (((first >= F.lit("A")) & (first <= F.lit("Z"))) | ((first >= F.lit("0")) & (first <= F.lit("9")))
-            | (F.instr(word, "@") > 0))
-
-
-def _rule_case(word: Column) -> Column:
-    """First matching token rule as ``struct(entity, score)``; null when no rule matches."""
-    expr = None
-    for name, score, pattern in TOKEN_RULES:
-        cond = word.rlike(pattern)
-        value = F.struct(F.lit(name).alias("entity"), F.lit(score).cast("double").alias("score"))
-        expr = F.when(cond, value) if expr is None else expr.when(cond, value)
-    return F.when(_may_match(word), expr)
-
-
-# Tokens (between single spaces) that a token rule may match: see ``_may_match``.
-CANDIDATE = r"(?<![^ ])(?:[A-Z0-9][^ ]*|[^ ]*@[^ ]*)(?![^ ])"
 ENTITY = ("array<struct<pos:int,entity:string,score:double,word:string,start:int,end:int,bstart:int,bend:int>>")
 
 
 def token_entities(text) -> Column:
-    """N1 as an expression: entities of tagger A, with code-point and UTF-8 byte offsets.
+    """N1 as an expression: entities of tagger A, with code-point and UTF-8 byte offsets; null for a null text.
 
-    The text is cut at its candidate tokens; the lengths of the gaps and of the
-    candidates before a token give its offset, the spaces in the gaps its number.
-    Linear in the text; only candidates are folded over.
+    First matching rule of ``TOKEN_RULES`` for every token between single spaces;
+    one linear scan of the text's bytes (``token_scan``).
     """
     t = F.col(text) if isinstance(text, str) else text
-    pairs = F.zip_with(F.split(t, CANDIDATE, -1), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)),
-                       lambda gap, word: F.struct(gap.alias("gap"), word.alias("word")))
-    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("at"), F.lit(0).alias("bat"),
-                     F.array().cast("array<struct<pos:int,word:string,start:int,bstart:int>>").alias("seen"))
-
-    def step(acc, x):
-        pos = acc["pos"] + F.length(x["gap"]) - F.length(F.replace(x["gap"], F.lit(" "), F.lit("")))
-        at, bat = acc["at"] + F.length(x["gap"]), acc["bat"] + F.octet_length(x["gap"])
-        return F.when(x["word"].isNull(), acc).otherwise(F.struct(
-            pos.alias("pos"), (at + F.length(x["word"])).alias("at"), (bat + F.octet_length(x["word"])).alias("bat"),
-            F.array_append(acc["seen"], F.struct(pos.alias("pos"), x["word"].alias("word"), at.alias("start"),
-                                                 bat.alias("bstart"))).alias("seen")))
-
-    tagged = F.transform(F.aggregate(pairs, start, step)["seen"], lambda e: F.struct(
-        e.alias("e"), _rule_case(e["word"]).alias("rule")))
-    return F.transform(F.filter(tagged, lambda x: x["rule"].isNotNull()), lambda x: F.struct(
-        x["e"]["pos"].alias("pos"), x["rule"]["entity"].alias("entity"), x["rule"]["score"].alias("score"),
-        x["e"]["word"].alias("word"), x["e"]["start"].alias("start"),
-        (x["e"]["start"] + F.length(x["e"]["word"])).alias("end"), x["e"]["bstart"].alias("bstart"),
-        (x["e"]["bstart"] + F.octet_length(x["e"]["word"])).alias("bend"))).cast(ENTITY)
+    return F.arrow_udf(scanner(TOKEN_RULES), ENTITY, F.ArrowUDFType.SCALAR)(t)
 
 
 def tag_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,8 +92,15 @@ def tag_phrases(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def tag_all(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Both taggers in one long table with a ``tagger`` column."""
-    return tag_tokens(docs, key, text).unionByName(tag_phrases(docs, key, text))
+    """Both taggers in one long table with a ``tagger`` column; each text is read once."""
+    none = F.lit(None)
+
+    def of(tagger, ents, offsets: bool):
+        return F.coalesce(F.transform(ents, lambda e: F.struct(
+            F.lit(tagger).alias("tagger"), e["pos"].alias("pos"), e["entity"].alias("entity"),
+            (e["score"] if offsets else none.cast("double")).alias("score"), e["word"].alias("word"),
+            *[(e[c] if offsets else none.cast("int")).alias(c) for c in ("start", "end", "bstart", "bend")])), F.array())
+    return docs.select(key, F.inline(F.concat(of("A", token_entities(text), True), of("B", phrase_entities(text), False))))
 
 
 def tagger_counts(docs: DataFrame, ents: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -142,25 +111,48 @@ def tagger_counts(docs: DataFrame, ents: DataFrame, key: str = "doc_id") -> Data
                     F.coalesce(F.col("B"), F.lit(0)).cast("long").alias("n_b")))
 
 
-def tag_spans(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Neighbouring tokens with one label become one span (gaps and islands).
+def span_entities(entities: Column) -> Column:
+    """N5 as an expression: neighbouring tokens with one label become one span, in the document's row.
 
-    Consecutive tokens of a space split are one space apart, so the span's word
-    is the tokens joined by a space: no need to bring the text back.
+    ``entities`` is an entity array in order of ``pos``. Consecutive tokens of a
+    space split are one space apart, so the span's word is the tokens joined by a
+    space. Each token is read by its own span only: linear in the array.
     """
-    w = Window.partitionBy(key).orderBy("pos")
-    brk = (F.lag("pos").over(w).isNull() | (F.lag("pos").over(w) != F.col("pos") - 1)
-           | (F.lag("entity").over(w) != F.col("entity")))
-    isl = tokens.withColumn("brk", brk.cast("int"))
-    isl = isl.withColumn("island", F.sum("brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = isl.groupBy(key, "island").agg(
-        F.min("pos").alias("pos"), F.first("entity").alias("entity"),
-        F.avg("score").alias("score"), F.min("start").alias("start"), F.max("end").alias("end"),
-        F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("parts"),
-        F.count("*").alias("n_tokens"))
-    return g.select(key, "pos", "entity", "score",
-                    F.array_join(F.transform("parts", lambda p: p["word"]), " ").alias("word"),
-                    "start", "end", "n_tokens")
+    def islands(e):
+        def begins(i):
+            return ((i == 0) | (F.get(e, i)["pos"] != F.get(e, i - 1)["pos"] + 1)
+                    | (F.get(e, i)["entity"] != F.get(e, i - 1)["entity"]))
+
+        def build(f):
+            def span(x, j):
+                n = F.coalesce(F.get(f, j + 1), F.size(e)) - x
+                part = F.slice(e, x + 1, n)
+                total = F.aggregate(part, F.lit(0.0).cast("double"), lambda acc, y: acc + y["score"])
+                return F.struct(F.get(e, x)["pos"].alias("pos"), F.get(e, x)["entity"].alias("entity"),
+                                (total / n).alias("score"), F.array_join(F.transform(part, lambda y: y["word"]), " ").alias("word"),
+                                F.get(e, x)["start"].alias("start"), F.get(e, x + n - 1)["end"].alias("end"),
+                                n.cast("long").alias("n_tokens"))
+            return F.transform(f, span)
+        return let(F.filter(F.sequence(F.lit(0), F.size(e) - 1), begins), build)
+
+    return let(entities, lambda e: F.when(F.size(e) > 0, islands(e)))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` with ``value`` bound once: an array used inside a lambda is not evaluated again per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def tag_spans_rows(docs: DataFrame, entities: Column, key: str = "doc_id") -> DataFrame:
+    """N5 in the row: one row a span, without an exchange."""
+    return docs.select(key, F.inline(span_entities(entities)))
+
+
+def tag_spans(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
+    """N5 on a long token table (see ``span_entities``): gathers each document's tokens, one shuffle."""
+    lists = tokens.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
+        "pos", "entity", "score", "word", "start", "end"))).alias("_tokens"))
+    return tag_spans_rows(lists, F.col("_tokens"), key)
 
 
 def entity_labels(arr) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tagframe.operators import entities as E
 from tagframe.operators import search
+from tagframe.operators.entities import let
 
 # The marker tokens of the tagged text.
 MARKERS = ("<per>", "</per>", "<org>", "</org>", "<loc>", "</loc>", "<misc>", "</misc>")
@@ -23,11 +24,6 @@ TOKEN_PATTERN = "|".join(MARKERS) + r"|[\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\r]"
 PAD = "[PAD]"
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` with ``value`` bound once: an array used inside a lambda is not evaluated again per element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def spans_of(entities: Column, by_bytes: bool) -> Column:
     """Usable spans of an entity array, in order of ``(start, pos)``."""
     fields = ["start", "pos", "end", "entity"] + (["bstart", "bend"] if by_bytes else [])
@@ -55,23 +51,39 @@ def merged(spans: Column, by_bytes: bool) -> Column:
                                 (after - x).cast("long").alias("n_merged"))
             return F.transform(f, span)
 
-        return _let(first, build)
+        return let(first, build)
+
+    return let(spans, lambda s: F.when(F.size(s) > 0, islands(s)))
+
+
+def _running_max(values: Column) -> Column:
+    """The largest value up to each place, by doubling: one pass for every power of two below the length."""
+    def doubled(step: int):
+        return lambda v: F.when(F.size(v) <= step, v).otherwise(F.transform(
+            v, lambda x, i: F.when(i >= step, F.greatest(x, F.get(v, i - step))).otherwise(x)))
 
-    return _let(spans, lambda s: F.when(F.size(s) > 0, islands(s)))
+    for k in range(31):
+        values = let(values, doubled(1 << k))
+    return values
 
 
 def disjoint(spans: Column, by_bytes: bool) -> Column:
-    """Spans, in order, that do not start before the end of any span before them."""
+    """Spans, in order, that do not start before the end of any span before them.
+
+    Spans that already follow one another, as every tagger here gives them, are
+    kept after one look at each neighbour; only others need the running maximum.
+    """
     fields = ["start", "end", "entity"] + (["bstart", "bend"] if by_bytes else [])
     kind = "array<struct<" + ",".join(f"{c}:{'string' if c == 'entity' else 'int'}" for c in fields) + ">>"
-    begin = F.struct(F.lit(0).alias("reach"), F.array().cast(kind).alias("kept"))
+    plain = F.transform(spans, lambda x: F.struct(*[x[c].alias(c) for c in fields])).cast(kind)
 
-    def step(acc, x):
-        kept = F.when(x["start"] < acc["reach"], acc["kept"]).otherwise(F.array_append(acc["kept"], x))
-        return F.struct(F.greatest(acc["reach"], x["end"]).alias("reach"), kept.alias("kept"))
+    def keep(s):
+        clash = F.exists(F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.get(s, i)["start"] < F.get(s, i - 1)["end"])
+        reach = _running_max(F.transform(s, lambda x: x["end"]))
+        apart = let(reach, lambda m: F.filter(s, lambda x, i: (i == 0) | (x["start"] >= F.get(m, i - 1))))
+        return F.when((F.size(s) < 2) | ~clash, s).otherwise(apart)
 
-    plain = F.transform(spans, lambda x: F.struct(*[x[c].alias(c) for c in fields])).cast(kind)
-    return F.aggregate(F.coalesce(plain, F.array().cast(kind)), begin, step)["kept"]
+    return let(F.coalesce(plain, F.array().cast(kind)), keep)
 
 
 def inserted(text: Column, spans: Column, by_bytes: bool) -> Column:
@@ -93,9 +105,9 @@ def inserted(text: Column, spans: Column, by_bytes: bool) -> Column:
                 cut(x["s"][a] + 1, x["s"][z] - x["s"][a]), F.lit("</"), x["s"]["entity"], F.lit(">")))
             return F.concat(F.array_join(pieces, ""), cut(F.element_at(s, -1)[z] + 1, F.lit(2147483647)))
 
-        return _let(spans, wrap)
+        return let(spans, wrap)
 
-    return F.when(F.size(spans) > 0, _let(F.encode(text, "UTF-8") if by_bytes else text, build)).otherwise(text)
+    return F.when(F.size(spans) > 0, let(F.encode(text, "UTF-8") if by_bytes else text, build)).otherwise(text)
 
 
 def _write(docs: DataFrame, key: str, text: str, spans: Column, by_bytes: bool, out: str = "tagged_text") -> DataFrame:

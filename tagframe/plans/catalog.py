@@ -199,7 +199,7 @@ def q_tag_multi(spark, sf):
 
 @query
 def q_tag_spans(spark, sf):
-    s = E.tag_spans(_ents_a(spark, sf))
+    s = E.tag_spans_rows(_docs(spark, sf), E.token_entities("text"))
     return s.select("doc_id", "pos", "entity", F.round("score", 6).alias("score"), "word", "start", "end", "n_tokens")
 
 
@@ -216,13 +216,13 @@ def q_entity_labels(spark, sf):
 
 @query
 def q_clean_a_leading(spark, sf):
-    s = E.byte_level_words(E.tag_spans(_ents_a(spark, sf)))
+    s = E.byte_level_words(E.tag_spans_rows(_docs(spark, sf), E.token_entities("text")))
     return s.select("doc_id", "pos", F.col("word").alias("raw_word"), E.clean_leading("word").alias("word"))
 
 
 @query
 def q_clean_a_all(spark, sf):
-    s = E.byte_level_words(E.tag_spans(_ents_a(spark, sf)))
+    s = E.byte_level_words(E.tag_spans_rows(_docs(spark, sf), E.token_entities("text")))
     return s.select("doc_id", "pos", F.col("word").alias("raw_word"), E.clean_all("word").alias("word"))
 
 

@@ -91,13 +91,12 @@ def test_free_search_by_its_specification(spark):
     for r in T.find_offsets(*_frames(spark, docs, lists)).orderBy("doc_id", "pos").collect():
         spans[r.doc_id].append((r.start, r.end, r.entity))
     for d, text in docs:
-        wanted, accepted = [], []
+        found, first = spans[d], {}
         for w, lab in lists[d]:
-            if w and lab:
-                m = re.search(re.escape(w), text, re.I)
-                free = m is not None and all(m.end() <= a or b <= m.start() for a, b, _ in accepted)
-                wanted.append((m.span() if m else None, lab.lower(), free))
-                if free:
-                    accepted.append((*m.span(), lab.lower()))
-        assert spans[d] == accepted
-        assert all(free or span is None or any(a < span[1] and span[0] < b for a, b, _ in spans[d]) for span, _, free in wanted)
+            m = re.search(re.escape(w), text, re.I) if w and lab else None
+            if m:
+                first.setdefault(m.span(), lab.lower())
+        assert all(a >= z or b <= y for i, (a, b, _) in enumerate(found) for y, z, _ in found[:i])
+        assert [(a, b) for a, b, _ in found] == [x for x in first if x in {(a, b) for a, b, _ in found}]
+        assert all(first[a, b] == lab for a, b, lab in found)
+        assert all(any(a < z and y < b for a, b, _ in found) for y, z in first)
