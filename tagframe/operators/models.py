@@ -6,8 +6,6 @@ Fits are distributed MLlib jobs over cached feature frames; only scalars
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression
@@ -19,7 +17,6 @@ from pyspark.sql import functions as F
 from tagframe.functions import scores as S
 from tagframe.operators import evaluate as V
 from tagframe.operators import tagging as T
-from tagframe.operators import windows as W
 from tagframe.session import materialize
 
 LABEL = "label_binary"
@@ -155,74 +152,3 @@ def training_curve(train: DataFrame, col: str, **params) -> list[float]:
     """Per-iteration objective of the text model (the loss curve); a list of maxIter floats."""
     model = hashed_logreg(**params).fit(tokenized(train, col))
     return list(model.stages[-1].summary.objectiveHistory)
-
-
-#: The sweep's grid, in MLlib's own parameters.
-SWEEP_GRID = tuple({"name": f"exp_{i + 1}", "regParam": r, "elasticNetParam": e}
-                   for i, (r, e) in enumerate((r, e) for r in (0.0, 0.001, 0.01) for e in (0.0, 0.5)))
-
-
-def sweep(train: DataFrame, valid: DataFrame, col: str, grid=SWEEP_GRID, max_iter: int = 8, patience: int = 2,
-          key: str = "doc_id", parallelism: int = 8) -> DataFrame:
-    """Every config of the grid with early stopping on the validation F1.
-
-    An epoch is one more iteration (``maxIter``); each epoch's fit is scored on the validation rows, all
-    scores come from one aggregate, and W6 decides per config. One row per config: its parameters,
-    ``best_epoch``, ``final_epoch``, ``best_f1`` and the metrics at its best epoch.
-    """
-    spark = train.sparkSession
-    train, valid = tokenized(train, col, key), tokenized(valid, col, key)
-
-    def run(job):
-        cfg, epoch = job
-        model = hashed_logreg(max_iter=epoch, reg=cfg["regParam"], elastic=cfg["elasticNetParam"]).fit(train)
-        return _score(model, valid, key, cfg["name"]).select("run", F.lit(epoch).alias("epoch"), LABEL, "prediction")
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:  # the grid itself: a few dozen literal jobs
-        preds = list(pool.map(run, [(c, e) for c in grid for e in range(1, max_iter + 1)]))
-    union = preds[0]
-    for p in preds[1:]:
-        union = union.unionByName(p)
-    scored = materialize(V.binary_metrics(union, by=("run", "epoch")))
-    stop = W.early_stop(scored.withColumn("max_epochs", F.lit(max_iter)), metric="f1", patience=patience)
-    best = stop.join(scored.withColumnRenamed("epoch", "best_epoch"), ["run", "best_epoch"])
-    params = spark.createDataFrame([(c["name"], c["regParam"], c["elasticNetParam"]) for c in grid],
-                                   "name string, regParam double, elasticNetParam double")
-    return params.join(best.select(F.col("run").alias("name"), "best_epoch", "final_epoch", F.col("f1").alias("best_f1"),
-                                   "accuracy", "precision", "recall", "f1"), "name")
-
-
-def training_log(train: DataFrame, valid: DataFrame, col: str, run: str, max_epochs: int = 10,
-                 key: str = "doc_id", parallelism: int = 8, **params) -> DataFrame:
-    """M8 training log in the shape of a per-event log: for epoch ``e`` (= ``maxIter e``)
-    one train event with the final objective and one eval event with validation
-    metrics. Refits run on cached features through a thread pool; predictions of
-    all epochs are scored with one ``groupBy(epoch)``.
-    """
-    spark = train.sparkSession
-    train, valid = tokenized(train, col, key), tokenized(valid, col, key)
-
-    def fit(e: int):
-        model = hashed_logreg(max_iter=e, **params).fit(train)
-        hist = model.stages[-1].summary.objectiveHistory
-        p1 = F.element_at(vector_to_array("probability"), 2)
-        own = F.when(F.col(LABEL) == 1, p1).otherwise(1 - p1)
-        preds = model.transform(valid).select(F.lit(e).alias("epoch"), LABEL, S.threshold_class(p1).alias("prediction"),
-                                              (-F.log(F.greatest(own, F.lit(1e-12)))).alias("nll"))
-        return e, float(hist[-1]) if hist else None, preds
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        results = list(pool.map(fit, range(1, max_epochs + 1)))
-    union = results[0][2]
-    for _, _, p in results[1:]:
-        union = union.unionByName(p)
-    union = materialize(union)
-    m = V.binary_metrics(union, by=("epoch",)).join(union.groupBy("epoch").agg(F.avg("nll").alias("loss")), "epoch")
-    losses = spark.createDataFrame([(e, loss) for e, loss, _ in results], "epoch int, loss double")
-    train_ev = losses.select(F.lit(run).alias("run"), (F.col("epoch") * 2 - 1).cast("long").alias("event_no"),
-                             F.col("epoch").cast("double").alias("epoch"), "loss",
-                             *[F.lit(None).cast("double").alias(f"eval_{c}") for c in ("loss", "accuracy", "f1", "precision", "recall")])
-    eval_ev = m.select(F.lit(run).alias("run"), (F.col("epoch") * 2).cast("long").alias("event_no"),
-                       F.col("epoch").cast("double").alias("epoch"), F.lit(None).cast("double").alias("loss"),
-                       *[F.col(c).alias(f"eval_{c}") for c in ("loss", "accuracy", "f1", "precision", "recall")])
-    return train_ev.unionByName(eval_ev)

@@ -561,13 +561,30 @@ def q_tag_ablation(spark, sf):
     return V.binary_metrics(preds)
 
 
+def _tagged_splits(spark, sf, tagged: bool):
+    """Labelled documents with their text, plain or tagged: labels join the keys first, so unlabelled text is not read on."""
+    docs = _labelled_docs(spark, sf)
+    if tagged:
+        docs = T.tag_xml_rows(docs, E.token_entities("text")).withColumnRenamed("tagged_text", "text").drop("n_spans")
+    return docs.join(TB.labelled_ids(spark, sf), "doc_id")
+
+
 @query
 def q_sweep(spark, sf):
-    from tagframe.operators import models as M
-    docs = _labelled_docs(spark, sf)
-    tagged = T.tag_xml_rows(docs, E.token_entities("text")).withColumnRenamed("tagged_text", "text").drop("n_spans")
-    st = materialize(tagged.join(TB.labelled_ids(spark, sf), "doc_id"))
-    return M.sweep(st.where(F.col("split") == "train"), st.where(F.col("split") == "valid"), "text")
+    """60 configs (epochs x batch size x learning rate), patience 5, on the tagged text."""
+    from tagframe.operators import bag_of_words as B
+    st = _tagged_splits(spark, sf, tagged=True)
+    return B.sweep(st.where(F.col("split") == "train"), st.where(F.col("split") == "valid"), "text",
+                   W.config_grid(spark, lrs=B.SWEEP_RATES))
+
+
+@query
+def q_bow_predictions(spark, sf):
+    """M8: ten passes of mini-batches of 8 with dropout 0.2 over train and valid, predictions of test."""
+    from tagframe.operators import bag_of_words as B
+    rows = B.hashed(_tagged_splits(spark, sf, tagged=False), "text")
+    split = TB.split_of(F.col("key"))
+    return B.predict(rows.where(split == "test"), B.fit(rows.where(split != "test")))
 
 
 @query
@@ -604,10 +621,9 @@ def q_knn_predict(spark, sf):
 
 @query
 def q_training_log(spark, sf):
-    from tagframe.operators import models as M
-    docs = _labelled_docs(spark, sf)
-    st = materialize(docs.join(TB.labelled_ids(spark, sf), "doc_id"))
-    return M.training_log(st.where(F.col("split") == "train"), st.where(F.col("split") == "valid"),
+    from tagframe.operators import bag_of_words as B
+    st = _tagged_splits(spark, sf, tagged=False)
+    return B.training_log(st.where(F.col("split") == "train"), st.where(F.col("split") == "valid"),
                           "text", "untagged", max_epochs=TB.LOG_EPOCHS)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +61,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in this application's folder below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by a compressed Parquet table in the shared folder; later readers prune its columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: an eager reliable checkpoint in the session's shared ``spark.checkpoint.dir``.
 

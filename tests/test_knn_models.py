@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tagframe.operators import knn as K
 from tagframe.operators import models as M
-from tagframe.operators import windows as W
 
 COLS = ["a", "b"]
 
@@ -99,21 +98,6 @@ def _statements(spark, n, seed):
     return spark.createDataFrame(rows, "doc_id long, text string, label_binary int")
 
 
-def test_sweep_stops_early_and_reports_its_best_epoch(spark):
-    grid = ({"name": "exp_1", "regParam": 0.0, "elasticNetParam": 0.0}, {"name": "exp_2", "regParam": 5.0, "elasticNetParam": 1.0})
-    got = {r.name: r for r in M.sweep(_statements(spark, 120, 1), _statements(spark, 60, 2), "text", grid, max_iter=4, patience=1).collect()}
-    assert set(got) == {"exp_1", "exp_2"}
-    assert got["exp_1"].best_f1 == 1.0 and got["exp_1"].final_epoch == min(got["exp_1"].best_epoch + 1, 4)
-    assert got["exp_2"].best_f1 <= got["exp_1"].best_f1 and got["exp_1"].best_f1 == got["exp_1"].f1
-
-
-def test_training_log_has_both_losses(spark):
-    log = M.training_log(_statements(spark, 120, 1), _statements(spark, 60, 2), "text", "r", max_epochs=3)
-    stats = sorted(W.epoch_stats(log).collect(), key=lambda r: r.epoch)
-    assert [r.epoch for r in stats] == [1.0, 2.0, 3.0]
-    assert stats[0].loss > stats[2].loss and stats[0].eval_loss > stats[2].eval_loss and stats[2].eval_f1 == 1.0
-
-
 def test_text_classifier_learns_words(spark):
     got = M.text_classifier(_statements(spark, 120, 1), _statements(spark, 60, 2), "text", "v").toPandas()
     assert (got["prediction"] == got["label_binary"]).all() and got["confidence"].between(0, 1).all()
