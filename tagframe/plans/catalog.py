@@ -208,6 +208,13 @@ def q_tag_phrases(spark, sf):
     return _ents_b(spark, sf).select("doc_id", "pos", "entity", "word")
 
 
+@query
+def q_tag_phrases_wide(spark, sf):
+    """N6 with thirteen labels: phrases of a grammar over token classes."""
+    from tagframe.operators import phrase_grammar as G
+    return G.tag_grammar(_docs(spark, sf)).drop("tagger")
+
+
 @query
 def q_entity_labels(spark, sf):
     arrays = E.entity_arrays(_ents_a(spark, sf))
@@ -375,6 +382,32 @@ def q_features_aligned(spark, sf):
     return X.entity_features(lab.where(F.col("split") == "test"), ents, sorted(E.TAGS_A))
 
 
+def _worded(ents):
+    """Entities labelled by class and word: a vocabulary that grows with the data."""
+    return ents.select("doc_id", F.concat_ws("=", "entity", "word").alias("entity"))
+
+
+def _vocabulary(spark, sf):
+    train = TB.labelled_ids(spark, sf).where(F.col("split") == "train").select("doc_id")
+    return X.fit_vocabulary(_worded(_labelled_ents_a(spark, sf)).join(train, "doc_id", "left_semi"))
+
+
+@query
+def q_feature_vocabulary(spark, sf):
+    """The label dictionary found in the training rows."""
+    return _vocabulary(spark, sf)
+
+
+@query
+def q_features_sparse(spark, sf):
+    """Test rows over the training vocabulary; labels that only test has are dropped."""
+    test = TB.labelled_ids(spark, sf).where(F.col("split") == "test")
+    ents = _worded(_labelled_ents_a(spark, sf)).join(test.select("doc_id"), "doc_id", "left_semi")
+    got = X.sparse_features(test, ents, _vocabulary(spark, sf))
+    return got.select("doc_id", "label_binary", F.size("features").alias("n_features"), F.array_join(F.transform(
+        "features", lambda e: F.concat_ws(":", e["feature_id"].cast("string"), e["n"].cast("string"))), ",").alias("features"))
+
+
 @query
 def q_seeded_shuffle(spark, sf):
     return W.seeded_shuffle(TB.labelled_ids(spark, sf).select("doc_id", "split"), seed=SEED)

@@ -7,6 +7,7 @@ way as in ``catalog``.
 
 from __future__ import annotations
 
+from tagframe.operators import phrase_grammar as G
 from tagframe.operators import entities as E
 from tagframe.operators import tagging as T
 from tagframe.sources import tables as TB
@@ -305,6 +306,29 @@ def _features(where: str, vocab, src: str = "ents_a") -> str:
             f"SELECT l.doc_id, l.label_binary, {cols} FROM lab l LEFT JOIN cnt c ON c.doc_id = l.doc_id {where}")
 
 
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _grammar_sql() -> str:
+    """N6, wide: the same classes and grammar over the same units."""
+    core = f"regexp_extract(x, {_sql_text(G.CORE)}, 1)"
+    tail = f"regexp_extract(x, {_sql_text(G.TAIL)}, 0)"
+    rules = " ".join(f"WHEN {f'regexp_matches(c, {_sql_text(r)})' if isinstance(r, str) else 'c IN (' + ', '.join(map(_sql_text, r)) + ')'} "
+                     f"THEN '{letter}'" for letter, r in G.CLASSES)
+    labels = " ".join(f"WHEN regexp_matches(m, {_sql_text(f'^(?:{p})' + chr(92) + 'z')}) THEN '{name}'" for name, p in G.GRAMMAR)
+    return (f"WITH tok AS (SELECT doc_id, regexp_extract_all(text, {_sql_text(G.TOKEN)}) AS toks FROM documents), "
+            f"one AS (SELECT doc_id, i, {core} AS c, {tail} AS tail FROM (SELECT doc_id, unnest(toks) AS x, unnest(range(len(toks))) AS i FROM tok)), "
+            f"k AS (SELECT doc_id, i, c, tail, CASE {rules} ELSE '{G.OTHER}' END AS letter FROM one), "
+            f"u AS (SELECT doc_id, list(c ORDER BY i) AS cores, string_agg(letter || CASE WHEN letter = '{G.OTHER}' THEN '' ELSE CAST(i AS VARCHAR) END "
+            "|| CASE tail WHEN '' THEN '' WHEN ',' THEN ',' ELSE ';' END, ' ' ORDER BY i) AS units FROM k GROUP BY doc_id), "
+            f"ml AS (SELECT doc_id, cores, regexp_extract_all(units, {_sql_text(G.phrase_pattern())}) AS ms FROM u), "
+            "mm AS (SELECT doc_id, cores, unnest(ms) AS m, unnest(range(len(ms))) AS pos FROM ml), "
+            "f AS (SELECT *, CAST(regexp_extract(m, '[0-9]+') AS INTEGER) AS a, CAST(regexp_extract(m, '([0-9]+)$', 1) AS INTEGER) AS z FROM mm) "
+            f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE {labels} END AS entity, array_to_string(cores[a + 1:z + 1], ' ') AS word, "
+            "a AS first_token, z - a + 1 AS n_tokens FROM f")
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["scan_text"] = "SELECT doc_id, text FROM documents"
@@ -361,6 +385,7 @@ def oracle_sql() -> dict[str, str]:
     q["tag_spans"] = (f"WITH {ENTS_A}, {SPANS_N5} SELECT doc_id, CAST(pos AS INTEGER) AS pos, entity, score, word, "
                       "CAST(start AS INTEGER) AS start, CAST(\"end\" AS INTEGER) AS \"end\", n_tokens FROM spans5")
     q["tag_phrases"] = f"WITH {ENTS_B} SELECT doc_id, pos, entity, word FROM ents_b"
+    q["tag_phrases_wide"] = _grammar_sql()
     q["entity_labels"] = (f"WITH {ENTS_A} SELECT doc_id, string_agg(entity, ',' ORDER BY pos) AS labels "
                           "FROM ents_a GROUP BY doc_id")
     mark = E.BYTE_LEVEL_MARK
@@ -440,6 +465,15 @@ def oracle_sql() -> dict[str, str]:
     q["entity_features"] = _features("", E.TAGS_A)
     q["entity_features_b"] = _features("", E.TAGS_B, "ents_b")
     q["features_aligned"] = _features("WHERE l.split = 'test'", sorted(E.TAGS_A))
+    worded = f"{LAB}, {ENTS_A}, we AS (SELECT a.doc_id, l.split, a.entity || '=' || a.word AS label FROM ents_a a JOIN lab l ON l.doc_id = a.doc_id)"
+    vocab = ("v AS (SELECT label, row_number() OVER (ORDER BY md5(label || ':42'), label) - 1 AS feature_id "
+             "FROM (SELECT DISTINCT label FROM we WHERE split = 'train'))")
+    q["feature_vocabulary"] = f"WITH {worded}, {vocab} SELECT label, feature_id FROM v"
+    q["features_sparse"] = (f"WITH {worded}, {vocab}, c AS (SELECT doc_id, feature_id, count(*) AS n FROM we JOIN v ON v.label = we.label "
+                            "WHERE split = 'test' GROUP BY doc_id, feature_id), g AS (SELECT doc_id, count(*) AS k, "
+                            "string_agg(feature_id || ':' || n, ',' ORDER BY feature_id) AS f FROM c GROUP BY doc_id) "
+                            "SELECT l.doc_id, l.label_binary, CAST(COALESCE(k, 0) AS INTEGER) AS n_features, COALESCE(f, '') AS features "
+                            "FROM lab l LEFT JOIN g ON g.doc_id = l.doc_id WHERE l.split = 'test'")
     sk = "md5(CAST(doc_id AS VARCHAR) || ':42')"
     q["seeded_shuffle"] = (f"WITH {LAB} SELECT doc_id, split, row_number() OVER (ORDER BY {sk}, doc_id) - 1 AS shuffle_rank FROM lab")
     q["mini_batches"] = (f"WITH {LAB} SELECT doc_id, split, CAST(floor((row_number() OVER (PARTITION BY split "

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagframe.schemas import PREDICTION_EXPORT, RAW_STATEMENTS, SWEEP_RESULT
+from tagframe.sources.literals import literal_of
 from tagframe.sources import literals
 
 
@@ -65,9 +66,9 @@ def log_metrics(events: DataFrame, metrics) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None, mode: str = "overwrite") -> None:
-    """Write a result table; CSV export renders arrays as JSON text."""
+    """Write a result table; CSV export writes lists, structs and maps in the literal form that S2 and S7 read."""
     if fmt == "csv":
-        cols = [F.to_json(F.col(f.name)).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+        cols = [literal_of(F.col(f.name), f.dataType).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
                 else F.col(f.name) for f in df.schema.fields]
         w = df.select(*cols).write.mode(mode).option("header", True).option("escape", '"')
     else:

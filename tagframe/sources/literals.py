@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagframe.schemas import ENTITY_ARRAY
 
@@ -90,3 +91,26 @@ def to_literal(arr) -> Column:
                         F.lit(", 'start': "), _py_num(e["start"]), F.lit(", 'end': "), _py_num(e["end"]),
                         F.lit("}"))
     return F.concat(F.lit("["), F.array_join(F.transform(_c(arr), one), ", "), F.lit("]"))
+
+
+def literal_of(value, kind: T.DataType) -> Column:
+    """Any nested column as Python-literal text: lists, dicts for structs and maps, ``None``, ``True``."""
+    v = _c(value)
+    if isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(v, lambda e: literal_of(e, kind.elementType)), ", "), F.lit("]"))
+    elif isinstance(kind, T.StructType):
+        parts = [F.concat(py_str(F.lit(f.name)), F.lit(": "), literal_of(v[f.name], f.dataType)) for f in kind.fields]
+        text = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    elif isinstance(kind, T.MapType):
+        pairs = F.transform(F.map_entries(v), lambda e: F.concat(literal_of(e["key"], kind.keyType), F.lit(": "),
+                                                                 literal_of(e["value"], kind.valueType)))
+        text = F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+    elif isinstance(kind, T.StringType):
+        return py_str(v)
+    elif isinstance(kind, T.BooleanType):
+        text = F.when(v, F.lit("True")).otherwise(F.lit("False"))
+    elif isinstance(kind, T.NumericType):
+        text = v.cast("string")
+    else:  # dates and the like are written as strings
+        return py_str(v.cast("string"))
+    return F.when(v.isNull(), F.lit("None")).otherwise(text)
