@@ -1,8 +1,8 @@
 """Operator 8: quality classifier, a byte-level convolutional network in numpy.
 
 A text is cut into chunks of ``CHUNK`` bytes that overlap and cover it wholly.
-Every byte has a learned vector; learned filters run over windows of ``WIDTH``
-bytes; a filter's largest response in a chunk is the chunk's feature. A text's
+Every byte has a learned vector; learned filters run over the windows of ``WIDTH``
+bytes that begin at every byte; a filter's largest response in a chunk is the chunk's feature. A text's
 features are the largest and the mean over its chunks, and a logistic layer
 makes one probability of them.
 
@@ -30,7 +30,7 @@ from tagframe.llm.common import documents, held_out, labelled_sample, text_slice
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK, HOP = 512, 448
-WIDTH, STRIDE = 8, 2
+WIDTH = 8
 DIM, FILTERS = 6, 24
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 64_000
 EPOCHS, BATCH, RATE, DECAY = 10, 32, 4e-3, 1e-4
@@ -52,11 +52,11 @@ def chunks(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(block: np.ndarray, vector: np.ndarray) -> np.ndarray:
-    """All windows of all chunks as rows: (chunks, places, WIDTH * DIM)."""
+    """All windows of all chunks, one at every byte, as rows: (chunks, places, WIDTH * DIM)."""
     x = np.ascontiguousarray(vector[block])
-    places = (CHUNK - WIDTH) // STRIDE + 1
+    places = CHUNK - WIDTH + 1
     s = x.strides
-    return np.lib.stride_tricks.as_strided(x, (len(x), places, WIDTH * DIM), (s[0], STRIDE * s[1], s[2]), writeable=False)
+    return np.lib.stride_tricks.as_strided(x, (len(x), places, WIDTH * DIM), (s[0], s[1], s[2]), writeable=False)
 
 
 def respond(block: np.ndarray, net: dict, places: bool = False):
