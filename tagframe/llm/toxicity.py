@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+import hashlib
 import sys
 
 import numpy as np
@@ -380,7 +381,11 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _decoder(lm) -> Decoder:
-    return worker_cache(f"toxic:{float(lm[0].sum())}:{float(lm[1].sum())}", lambda: Decoder(*lm))
+    """One decoder a worker and character model, known by a digest of its tables."""
+    digest = hashlib.sha256()
+    for table in lm:
+        digest.update(np.ascontiguousarray(table).tobytes())
+    return worker_cache(f"toxic:{digest.hexdigest()}", lambda: Decoder(*lm))
 
 
 def _presence(lm):
