@@ -122,7 +122,7 @@ def train_network(texts: list[bytes], label: np.ndarray, seed: int = 5, epochs:
             grad = {"out": h.T @ dz, "last": np.array([dz.sum()]), "bias": da.sum(axis=0),
                     "filter": np.einsum("cf,cfw->wf", da, win)}
             dwin = da[:, :, None] * net["filter"].T[None, :, :]  # to the bytes of the windows
-            at = where[:, :, None] * STRIDE + np.arange(WIDTH)[None, None, :]
+            at = where[:, :, None] + np.arange(WIDTH)[None, None, :]
             bytes_ = block[np.arange(len(block))[:, None, None], at].ravel()
             flat = dwin.reshape(-1, DIM)
             grad["vector"] = np.column_stack([np.bincount(bytes_, weights=flat[:, d], minlength=256) for d in range(DIM)])

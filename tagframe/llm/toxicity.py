@@ -23,9 +23,9 @@ extra columns are kept.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import hashlib
 import sys
 
 import numpy as np
