@@ -42,10 +42,10 @@ def test_probability_equals_a_plain_convolution():
 
 def test_a_pattern_answers_alike_at_every_place():
     net = made_net()
-    for k in range(1, 6):
+    for k in range(8, 14):
         text = b" " * k + b"pattern!" + b" " * (40 - k)
         best = Q.respond(Q.chunks(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0], net)
-        if k == 1:
+        if k == 8:
             first = best
         assert np.allclose(best, first, atol=1e-5)
 
