@@ -6,9 +6,8 @@ Fits are distributed MLlib jobs over cached feature frames; only scalars
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -20,8 +19,6 @@ from tagframe.operators import tagging as T
 from tagframe.session import materialize
 
 LABEL = "label_binary"
-SEED = 42
-RFF_DIM = 64
 
 
 def assemble(cols, out: str = "features") -> VectorAssembler:
@@ -34,24 +31,8 @@ def logreg(n_train: int, features: str = "features", max_iter: int = 100) -> Log
                               elasticNetParam=0.0, standardization=False, maxIter=max_iter)
 
 
-def rff_columns(cols, gamma: float, dim: int = RFF_DIM, seed: int = SEED):
-    """M3: random Fourier features of an RBF kernel (Rahimi & Recht 2007) as column expressions.
-
-    ``z_k(x) = sqrt(2/D) cos(w_k . x + b_k)``, ``w ~ N(0, 2 gamma I)``, ``b ~ U[0, 2 pi)``.
-    """
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(dim, len(cols)))
-    b = rng.uniform(0.0, 2 * np.pi, size=dim)
-    scale = float(np.sqrt(2.0 / dim))
-    out = []
-    for k in range(dim):
-        dot = sum(F.col(c).cast("double") * float(w[k, j]) for j, c in enumerate(cols))
-        out.append((F.lit(scale) * F.cos(dot + F.lit(float(b[k])))).alias(f"rff_{k}"))
-    return out
-
-
 def rbf_gamma(train: DataFrame, cols) -> float:
-    """``gamma='scale'``: 1 / (n_features * variance of all feature values)."""
+    """M3's ``gamma='scale'``: 1 / (n_features * variance of all feature values)."""
     vals = train.select(F.explode(F.array(*[F.col(c).cast("double") for c in cols])).alias("v"))
     var = vals.agg(F.var_pop("v")).first()[0] or 0.0
     return 1.0 / (len(cols) * var) if var > 0 else 1.0
@@ -71,7 +52,7 @@ MODELS = ("logreg", "svm", "tree", "knn")
 
 
 def fit_count_models(train: DataFrame, test: DataFrame, cols, key: str = "doc_id", models=MODELS) -> DataFrame:
-    """M1-M6: logistic regression, RBF-approximate SVM, an exact gini tree and k-NN on entity counts;
+    """M1-M6: logistic regression, an RBF SVM (exact dual), an exact gini tree and k-NN on entity counts;
     the union of the chosen models' test predictions with a ``model`` column."""
     cols = list(cols)
     train = materialize(train)
@@ -81,15 +62,9 @@ def fit_count_models(train: DataFrame, test: DataFrame, cols, key: str = "doc_id
         lr = Pipeline(stages=[assemble(cols), logreg(n)]).fit(train)
         preds.append(_predict(lr, test, "logreg", key))
     if "svm" in models:
-        gamma = rbf_gamma(train, cols)
-        rff = rff_columns(cols, gamma)
-        rcols = [f"rff_{k}" for k in range(RFF_DIM)]
-        tr_r = materialize(train.select(key, LABEL, *rff))
-        te_r = test.select(key, LABEL, *rff)
-        svm = Pipeline(stages=[assemble(rcols), LinearSVC(featuresCol="features", labelCol=LABEL,
-                                                          regParam=1.0 / max(n, 1), maxIter=50,
-                                                          standardization=False)]).fit(tr_r)
-        preds.append(_predict(svm, te_r, "svm", key))
+        from tagframe.operators import kernel_svm as K
+        preds.append(K.svm_predict(train, test, cols, rbf_gamma(train, cols), key=key).select(
+            key, LABEL, F.lit("svm").alias("model"), "prediction", F.lit(None).cast("double").alias("confidence")))
     if "tree" in models:
         from tagframe.operators import exact_tree as X
         preds.append(X.tree_predict(train, test, cols, key=key).select(
