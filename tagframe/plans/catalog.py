@@ -22,7 +22,7 @@ from tagframe.operators import features as X
 from tagframe.operators import reshape as R
 from tagframe.operators import tagging as T
 from tagframe.operators import windows as W
-from tagframe.session import materialize
+from tagframe.session import materialize, stored
 from tagframe.sources import literals as LIT
 from tagframe.sources import tables as TB
 
@@ -296,6 +296,31 @@ def q_tokenize_pad(spark, sf):
                     F.aggregate("mask", F.lit(0), lambda a, b: a + b).alias("n_real"))
 
 
+def _subwords(spark, sf):
+    """The vocabulary, and the sub-word ids of every tagged text."""
+    from tagframe.operators import subwords as SW
+    vocabulary = SW.Vocabulary()
+    tagged = T.tag_xml_rows(_docs(spark, sf), E.token_entities("text"))
+    return vocabulary, SW.encode(tagged, "tagged_text", vocabulary=vocabulary)
+
+
+@query
+def q_subword_ids(spark, sf):
+    """Ids of every tagged text, markers whole, longest match over the vocabulary's pieces."""
+    _, rows = _subwords(spark, sf)
+    return rows.select("doc_id", F.size("ids").alias("n_tokens"), F.array_join("ids", " ").alias("ids"))
+
+
+@query
+def q_subword_batches(spark, sf):
+    """Batches of 16 texts of like length, padded to the longest row of the batch."""
+    from tagframe.operators import subwords as SW
+    vocabulary, rows = _subwords(spark, sf)
+    out = SW.padded(stored(rows, "subwords"), vocabulary.pad)
+    return out.select("doc_id", "batch_no", "batch_len", "n_tokens", F.array_join("input_ids", " ").alias("input_ids"),
+                      F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).alias("n_real"))
+
+
 # ---- aggregations, joins, windows ---------------------------------------
 
 @query

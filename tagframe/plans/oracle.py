@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from tagframe.operators import phrase_grammar as G
 from tagframe.operators import entities as E
+from tagframe.operators import subwords as SW
 from tagframe.operators import tagging as T
 from tagframe.sources import tables as TB
 
@@ -329,6 +330,49 @@ def _grammar_sql() -> str:
             "a AS first_token, z - a + 1 AS n_tokens FROM f")
 
 
+def _subword_ctes(xml: str) -> str:
+    """``coded(doc_id, ids)``: longest match of every distinct token over the vocabulary file, by a fold over its places."""
+    path, end = SW.default_vocabulary(), SW.WORD_END
+    quoted = [c.replace("'", "''") for c in SW.byte_alphabet()]
+    alphabet = ", ".join(f"('{b:02X}', '{c}')" for b, c in enumerate(quoted))
+    vocabulary = SW.Vocabulary(path)
+    markers = ", ".join(f"('{m}', {i})" for m, i in vocabulary.markers.items())
+    longest = max(len(p.removesuffix(end)) for p in vocabulary.ids)
+    return f"""{xml}, tx AS ({_insert('lm').replace('pieces AS', 'WITH pieces AS', 1)}),
+toks AS (SELECT doc_id, regexp_extract_all(lower(tagged_text), '{T.TOKEN_PATTERN}', 0) AS ts FROM tx),
+tokens AS (SELECT doc_id, unnest(ts) AS token, unnest(range(len(ts))) AS at FROM toks),
+markers(token, id) AS (VALUES {markers}),
+pieces_ AS (SELECT e.key AS piece, e.value AS id FROM (SELECT unnest(map_entries(from_json(
+              json_extract(content, '$.model.vocab'), '"MAP(VARCHAR,INTEGER)"'))) AS e FROM read_text('{path}'))),
+words AS (SELECT token, hex(encode(token)) AS hx FROM (SELECT DISTINCT token FROM tokens) ANTI JOIN markers USING (token)),
+alphabet(b, c) AS (VALUES {alphabet}),
+bytes AS (SELECT token, unnest(range(len(hx) // 2)) AS i, hx FROM words),
+written AS (SELECT token, string_agg(c, '' ORDER BY i) AS w, count(*) AS size
+            FROM bytes JOIN alphabet ON b = substr(hx, 2 * i + 1, 2) GROUP BY token),
+places AS (SELECT token, w, size, unnest(range(size)) AS a FROM written),
+cuts AS (SELECT token, w, size, a, unnest(range(1, least({longest}, size - a) + 1)) AS n FROM places),
+edges AS (SELECT c.token, c.a, max(c.n) AS n, arg_max(p.id, c.n) AS id FROM cuts c JOIN pieces_ p
+          ON p.piece = substr(c.w, c.a + 1, c.n) || CASE WHEN c.a + c.n = c.size THEN '{end}' ELSE '' END
+          GROUP BY c.token, c.a),
+lists AS (SELECT token, list({{'a': a, 'z': a + n, 'ids': [id]}} ORDER BY a) AS es FROM edges GROUP BY token),
+codes AS (SELECT token, list_reduce(es, lambda acc, e: CASE WHEN e.a = acc.z
+            THEN {{'a': acc.a, 'z': e.z, 'ids': list_concat(acc.ids, e.ids)}} ELSE acc END).ids AS ids FROM lists
+          UNION ALL SELECT token, [id] FROM markers),
+joined AS (SELECT t.doc_id, flatten(list(c.ids ORDER BY t.at)) AS ids FROM tokens t JOIN codes c USING (token) GROUP BY t.doc_id),
+coded AS (SELECT d.doc_id, COALESCE(j.ids, []) AS ids FROM documents d LEFT JOIN joined j USING (doc_id))"""
+
+
+def _batches_sql(xml: str) -> str:
+    pad, size = SW.Vocabulary().pad, SW.BATCH
+    return f"""WITH {_subword_ctes(xml)},
+ranked AS (SELECT doc_id, ids, len(ids) AS n, row_number() OVER (
+             ORDER BY len(ids), md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) - 1 AS r FROM coded),
+batched AS (SELECT *, r // {size} AS batch_no, max(n) OVER (PARTITION BY r // {size}) AS longest FROM ranked)
+SELECT doc_id, CAST(batch_no AS BIGINT) AS batch_no, CAST(longest AS INTEGER) AS batch_len, CAST(n AS INTEGER) AS n_tokens,
+       array_to_string(list_concat(ids, list_transform(range(longest - n), lambda i: {pad})), ' ') AS input_ids,
+       CAST(n AS INTEGER) AS n_real FROM batched"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["scan_text"] = "SELECT doc_id, text FROM documents"
@@ -428,6 +472,9 @@ def oracle_sql() -> dict[str, str]:
                          f"ws AS (SELECT doc_id, w, toks[w * 128 + 1:w * 128 + 128] AS t FROM wn) "
                          f"SELECT doc_id, CAST(w AS INTEGER) AS window_no, array_to_string(list_concat(t, list_transform("
                          f"range(128 - len(t)), lambda i: '{T.PAD}')), ' ') AS tokens, CAST(len(t) AS INTEGER) AS n_real FROM ws")
+    q["subword_ids"] = (f"WITH {_subword_ctes(xml)} SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tokens, "
+                        "array_to_string(ids, ' ') AS ids FROM coded")
+    q["subword_batches"] = _batches_sql(xml)
     q["class_counts"] = f"WITH {LAB} SELECT label_binary, count(*) AS n FROM lab GROUP BY label_binary"
     q["class_balance"] = (f"WITH {LAB} SELECT split, count(*) AS total, "
                           "CAST(sum(CASE WHEN label_binary = 1 THEN 1 ELSE 0 END) AS BIGINT) AS ones, "

@@ -16,7 +16,8 @@ FAST = ["tag_xml", "tag_tokens", "tag_spans", "tag_inline_cursor", "find_offsets
         "entity_features", "error_tag_counts", "binary_metrics", "roc_curve", "auc", "class_balance",
         "mini_batches", "seeded_shuffle", "parse_entities", "tokenize_pad", "valid_entities", "preview", "error_sample",
         "features_aligned", "random_baseline", "knn_predict", "scoreboard_exact", "roc_curve_logit", "run_records", "clean_entity_counts",
-        "epoch_stats", "early_stop", "best_run", "stream_tag_xml", "tag_batched"]
+        "epoch_stats", "early_stop", "best_run", "stream_tag_xml", "tag_batched",
+        "subword_ids", "subword_batches"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
