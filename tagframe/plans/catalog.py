@@ -215,6 +215,15 @@ def q_tag_phrases_wide(spark, sf):
     return G.tag_grammar(_docs(spark, sf)).drop("tagger")
 
 
+@query
+def q_tag_gazetteer(spark, sf):
+    """N1 by a name table: the entity spans of the benchmark items are the names, looked up in every document."""
+    from tagframe.operators import gazetteer as GZ
+    items = TB.table(spark, sf, "benchmark").select("item_id", "text")
+    spans = E.tag_spans_rows(items, E.token_entities("text"), key="item_id")
+    return GZ.tag_gazetteer(_docs(spark, sf), spans.select(F.col("word").alias("name"), F.col("entity").alias("label")))
+
+
 @query
 def q_entity_labels(spark, sf):
     arrays = E.entity_arrays(_ents_a(spark, sf))

@@ -330,6 +330,28 @@ def _grammar_sql() -> str:
             "a AS first_token, z - a + 1 AS n_tokens FROM f")
 
 
+def _gazetteer_sql() -> str:
+    """Names joined with the pieces between borders of letters and digits; leftmost, then longest, by a fold."""
+    bench = ENTS_A.replace("FROM documents", "FROM (SELECT item_id AS doc_id, text FROM benchmark)")
+    letter = r"[\p{L}\p{N}]"
+    return f"""WITH {bench}, {SPANS_N5},
+names AS (SELECT word AS name, min(entity) AS label, length(word) AS n FROM spans5 WHERE word <> '' GROUP BY word),
+sizes AS (SELECT DISTINCT n FROM names),
+letters AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS cs FROM documents),
+marked AS (SELECT doc_id, cs, list_transform(cs, lambda c: regexp_matches(c, '{letter}')) AS alnum FROM letters),
+starts AS (SELECT * FROM (SELECT doc_id, cs, alnum, unnest(range(len(cs))) AS s FROM marked)
+           WHERE (s = 0 OR NOT alnum[s]) AND cs[s + 1] IN (SELECT substr(name, 1, 1) FROM names)),
+cuts AS (SELECT doc_id, s, n, array_to_string(cs[s + 1:s + n], '') AS name FROM starts, sizes
+         WHERE s + n <= len(cs) AND (s + n = len(cs) OR NOT alnum[s + n + 1])),
+hits AS (SELECT doc_id, list({{'z': s + n, 'got': [{{'s': s, 'n': n, 'label': label, 'name': name}}]}} ORDER BY s, n DESC) AS hs
+         FROM cuts JOIN names USING (name, n) GROUP BY doc_id),
+kept AS (SELECT doc_id, list_reduce(hs, lambda acc, h: CASE WHEN h.got[1].s >= acc.z
+           THEN {{'z': h.z, 'got': list_concat(acc.got, h.got)}} ELSE acc END).got AS got FROM hits),
+flat AS (SELECT doc_id, unnest(got) AS g, unnest(range(len(got))) AS pos FROM kept)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, g.label AS entity, g.name AS word, CAST(g.s AS INTEGER) AS start,
+       CAST(g.s + g.n AS INTEGER) AS "end" FROM flat"""
+
+
 def _subword_ctes(xml: str) -> str:
     """``coded(doc_id, ids)``: longest match of every distinct token over the vocabulary file, by a fold over its places."""
     path, end = SW.default_vocabulary(), SW.WORD_END
@@ -430,6 +452,7 @@ def oracle_sql() -> dict[str, str]:
                       "CAST(start AS INTEGER) AS start, CAST(\"end\" AS INTEGER) AS \"end\", n_tokens FROM spans5")
     q["tag_phrases"] = f"WITH {ENTS_B} SELECT doc_id, pos, entity, word FROM ents_b"
     q["tag_phrases_wide"] = _grammar_sql()
+    q["tag_gazetteer"] = _gazetteer_sql()
     q["entity_labels"] = (f"WITH {ENTS_A} SELECT doc_id, string_agg(entity, ',' ORDER BY pos) AS labels "
                           "FROM ents_a GROUP BY doc_id")
     mark = E.BYTE_LEVEL_MARK

@@ -17,7 +17,7 @@ FAST = ["tag_xml", "tag_tokens", "tag_spans", "tag_inline_cursor", "find_offsets
         "mini_batches", "seeded_shuffle", "parse_entities", "tokenize_pad", "valid_entities", "preview", "error_sample",
         "features_aligned", "random_baseline", "knn_predict", "scoreboard_exact", "roc_curve_logit", "run_records", "clean_entity_counts",
         "epoch_stats", "early_stop", "best_run", "stream_tag_xml", "tag_batched",
-        "subword_ids", "subword_batches"]
+        "subword_ids", "subword_batches", "tag_gazetteer"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
@@ -36,7 +36,7 @@ def _rows(cols, recs):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "labels", "embeddings"):
+    for t in ("documents", "labels", "embeddings", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return c
 
