@@ -1,13 +1,21 @@
 """M4: exact k-nearest-neighbour vote on count vectors of any dimension.
 
 Train rows collapse to distinct vectors with class counts; test rows to distinct
-vectors. Two vectors within L2 distance ``r`` differ by at most ``sqrt(d) * r`` in
-the sum of their elements and by at most ``r`` in their length, so candidates come
-from an equi-join on bins of the sum (three probes, whatever the dimension) and the
-length is filtered before the distance. A test vector is resolved at radius ``r``
-once at least ``k`` training rows lie within it. Unresolved vectors retry with
-double the radius, so each looks about as far as its own neighbours are; the loop
-runs at most ``log2(range)`` rounds (driver loop over rounds, never over rows).
+vectors (queries). Pivots cut the train vectors into cells (nearest pivot) and each
+cell into rings by distance from its pivot. By the triangle inequality a vector of
+a ring lies at least ``max(|q p| - hi, lo - |q p|)`` from a query ``q``, so a query
+
+* first meets its home rings: the nearest by that bound which hold ``k`` rows
+  together. The ``k``-th of these rows gives the query a radius of its own;
+* then meets the other rings whose bound is within that radius, and of those only
+  vectors whose distance from the pivot differs from the query's by no more.
+
+Each task keeps the ``k`` best candidates of a query before the shuffle (window group
+limit). The meeting of a ring with its queries is a grid: a ring of many vectors is
+split by the vectors' hash, its queries by theirs, so a cell of the grid holds about
+``GRID`` of each however dense the ring is. Pivots come from a sample of at most
+``SAMPLE`` distinct vectors: they decide about the work, never about the result. Only
+the pivots and the table of rings (``PIVOTS`` x ``RINGS`` rows) pass the driver.
 
 Vote: neighbours in order of (squared distance, vector); a vector contributes
 ``min(rows, k - rows before it)`` rows, class 0 rows first; class 1 wins only
@@ -16,70 +24,165 @@ with strictly more votes (a tie goes to class 0).
 
 from __future__ import annotations
 
-import math
+import sys
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagframe.session import materialize
 
+# Task functions travel by value: Python workers need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LABEL = "label_binary"
-FIRST_RADIUS = 2
+PIVOTS, RINGS, SAMPLE, GRID = 64, 16, 4096, 4096
+#: Relative slack of distances, which are rounded square roots.
+SLACK = 1e-9
 
 
-def knn_vector_votes(train: DataFrame, test: DataFrame, cols, k: int = 10) -> DataFrame:
-    cols = list(cols)
+def choose_pivots(vectors: DataFrame, cols: list[str], count: int = PIVOTS) -> np.ndarray:
+    """Farthest-first pivots of the ``SAMPLE`` distinct vectors with the smallest hashes."""
+    drawn = vectors.select(*cols).orderBy(F.xxhash64(*cols), *cols).limit(SAMPLE).toPandas()
+    points = drawn.to_numpy(np.float64)
+    if not len(points):
+        return points
+    chosen, away = [0], ((points - points[0]) ** 2).sum(1)
+    while len(chosen) < count and away.max() > 0:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, ((points - points[chosen[-1]]) ** 2).sum(1))
+    return points[chosen]
+
+
+def distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Euclidean distances, a row a point and a column a pivot."""
+    return np.sqrt(np.stack([((points - p) ** 2).sum(1) for p in pivots], axis=1))
+
+
+def in_cells(vectors: DataFrame, cols: list[str], pivots: np.ndarray) -> DataFrame:
+    """``vectors`` with the number of the nearest pivot (``cell``) and the distance from it (``away``)."""
+    def nearest(batches):
+        for pdf in batches:
+            d = distances(pdf[cols].to_numpy(np.float64), pivots)
+            cell = d.argmin(1)
+            yield pdf.assign(cell=cell.astype(np.int32), away=d[np.arange(len(d)), cell])
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema) + ", cell int, away double"
+    return vectors.mapInPandas(nearest, kind)
+
+
+def in_rings(cells: DataFrame, rings: int = RINGS) -> DataFrame:
+    """``cells`` with ``ring``: the place of a vector's distance among approximate quantiles of its cell."""
+    shares = [i / rings for i in range(1, rings)]
+    bounds = cells.groupBy("cell").agg(F.percentile_approx("away", shares, 1000).alias("_bounds"))
+    placed = cells.join(F.broadcast(bounds), "cell")  # one row a pivot
+    return placed.withColumn("ring", F.col("cell") * rings + F.size(F.filter("_bounds", lambda b: b < F.col("away")))).drop("_bounds")
+
+
+def ring_table(ringed: DataFrame) -> pd.DataFrame:
+    """Per ring: its cell, smallest and largest distance, training rows and distinct vectors."""
+    return (ringed.groupBy("ring").agg(F.first("cell").alias("cell"), F.min("away").alias("lo"), F.max("away").alias("hi"),
+                                       F.sum(F.col("n0") + F.col("n1")).alias("n"), F.count(F.lit(1)).alias("vectors"))
+            .orderBy("ring").toPandas())
+
 
-    def measured(df, prefix=""):
-        total = sum(F.col(f"{prefix}{c}") for c in cols)
-        length = F.sqrt(sum((F.col(f"{prefix}{c}") * F.col(f"{prefix}{c}")).cast("double") for c in cols))
-        return df.withColumn(f"{prefix}sum", total).withColumn(f"{prefix}len", length)
+def home_and_bounds(points: np.ndarray, pivots: np.ndarray, table: pd.DataFrame, k: int):
+    """Distances from the pivot of every ring, lower bounds, and which rings are home (a row a query)."""
+    away = distances(points, pivots)[:, table["cell"].to_numpy()]
+    bound = np.maximum(np.maximum(away - table["hi"].to_numpy(), table["lo"].to_numpy() - away), 0)
+    order = np.lexsort((away, bound), axis=1)
+    n = table["n"].to_numpy(np.int64)[order]
+    home = np.zeros(bound.shape, bool)
+    np.put_along_axis(home, order, np.cumsum(n, axis=1) - n < k, axis=1)
+    return away, bound, home
 
-    tv = materialize(measured(train.groupBy(*cols).agg(
+
+def probes(queries: DataFrame, cols: list[str], pivots: np.ndarray, table: pd.DataFrame, k: int, kth: bool) -> DataFrame:
+    """``queries`` by ring to visit (``ring``, ``q_away``): the home rings, or with ``kth`` the others within that radius."""
+    q_cols, numbers = [f"q_{c}" for c in cols], table["ring"].to_numpy(np.int32)
+
+    def visits(batches):
+        for pdf in batches:
+            for first in range(0, len(pdf), 2048):
+                part = pdf.iloc[first:first + 2048]
+                away, bound, home = home_and_bounds(part[q_cols].to_numpy(np.float64), pivots, table, k)
+                if kth:
+                    radius = np.sqrt(part["kth"].to_numpy(np.float64))[:, None]
+                    home = ~home & (bound <= radius + SLACK * (1 + away))
+                row, col = np.nonzero(home)
+                yield part.iloc[row].assign(ring=numbers[col], q_away=away[row, col])
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema) + ", ring int, q_away double"
+    return queries.mapInPandas(visits, kind)
+
+
+def squared_distance(cols: list[str]) -> Column:
+    return sum((F.col(c) - F.col(f"q_{c}")) * (F.col(c) - F.col(f"q_{c}")) for c in cols)
+
+
+def meet(visits: DataFrame, ringed: DataFrame, cols: list[str], grid: int = GRID) -> DataFrame:
+    """``(_q, vector, n0, n1, d2)`` of every visit with the vectors of its ring; with ``kth`` those within it."""
+    sizes = ringed.groupBy("ring").agg(F.ceil(F.count(F.lit(1)) / grid).cast("int").alias("_vs"))
+    asked = visits.groupBy("ring").agg(F.ceil(F.count(F.lit(1)) / grid).cast("int").alias("_qs"))
+    splits = F.broadcast(sizes.join(asked, "ring"))  # at most PIVOTS x RINGS rows
+    left = (visits.join(splits, "ring").withColumn("_qi", F.pmod(F.xxhash64("_q"), F.col("_qs")).cast("int"))
+            .withColumn("_vi", F.explode(F.sequence(F.lit(0), F.col("_vs") - 1))).drop("_qs", "_vs"))
+    right = (ringed.join(splits, "ring").withColumn("_vi", F.pmod(F.xxhash64(*cols), F.col("_vs")).cast("int"))
+             .withColumn("_qi", F.explode(F.sequence(F.lit(0), F.col("_qs") - 1))).drop("_qs", "_vs", "cell"))
+    pairs = left.join(right, ["ring", "_vi", "_qi"])
+    d2 = squared_distance(cols)
+    if "kth" in visits.columns:
+        near = F.abs(F.col("q_away") - F.col("away")) <= F.sqrt(F.col("kth").cast("double")) + SLACK * (1 + F.col("q_away"))
+        pairs = pairs.where(near).where(d2 <= F.col("kth"))
+    return pairs.select("_q", *cols, "n0", "n1", d2.alias("d2"))
+
+
+def best(candidates: DataFrame, cols: list[str], k: int) -> DataFrame:
+    """The first ``k`` vectors of each query; every vector has a row at least, so they hold its first ``k`` rows."""
+    w = Window.partitionBy("_q").orderBy("d2", *cols)
+    return candidates.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= k).drop("_at")
+
+
+def knn_vector_votes(train: DataFrame, test: DataFrame, cols, k: int = 10, pivots: int = PIVOTS, grid: int = GRID) -> DataFrame:
+    cols = list(cols)
+    tv = materialize(train.groupBy(*cols).agg(
         F.sum((F.col(LABEL) == 0).cast("long")).alias("n0"),
-        F.sum((F.col(LABEL) == 1).cast("long")).alias("n1"))))
-    pending = materialize(measured(test.select(*cols).distinct().select(*[F.col(c).alias(f"q_{c}") for c in cols]), "q_"))
-    ends = [*tv.agg(F.min("sum"), F.max("sum")).first(), *pending.agg(F.min("q_sum"), F.max("q_sum")).first()]
-    known = [v for v in ends if v is not None]
-    span = max(known) - min(known) if known else 0
-    q_key = [f"q_{c}" for c in cols]
-    done, r = None, FIRST_RADIUS
-    while True:
-        reach = math.ceil(math.sqrt(len(cols)) * r)
-        final = reach >= span  # every training vector is within reach
-        width = reach + 1
-        probe = pending.withColumn("_bin", F.explode(F.array(*[F.floor(F.col("q_sum") / width) + o for o in (-1, 0, 1)])))
-        cand = probe.join(tv.withColumn("_bin", F.floor(F.col("sum") / width)), "_bin")
-        if not final:
-            cand = cand.where((F.abs(F.col("sum") - F.col("q_sum")) <= reach) & (F.abs(F.col("len") - F.col("q_len")) <= r + 1e-6))
-        d2 = sum((F.col(c) - F.col(f"q_{c}")) * (F.col(c) - F.col(f"q_{c}")) for c in cols)
-        cand = cand.select(*q_key, *cols, "n0", "n1", d2.alias("d2"))
-        if not final:
-            cand = cand.where(F.col("d2") <= r * r)
-        size = F.col("n0") + F.col("n1")
-        near = cand.withColumn("_within", F.sum(size).over(Window.partitionBy(*q_key)))
-        near = near.where(F.lit(final) | (F.col("_within") >= k))
-        w = Window.partitionBy(*q_key).orderBy("d2", *cols).rowsBetween(Window.unboundedPreceding, -1)
-        take = F.greatest(F.lit(0), F.least(size, F.lit(k) - F.coalesce(F.sum(size).over(w), F.lit(0))))
-        votes = materialize(near.withColumn("_take", take).groupBy(*q_key).agg(
-            F.sum(F.least(F.col("n0"), F.col("_take"))).alias("v0"),
-            F.sum(F.col("_take") - F.least(F.col("n0"), F.col("_take"))).alias("v1")))
-        done = votes if done is None else done.unionByName(votes)
-        if final:
-            break
-        pending = materialize(pending.join(votes.select(*q_key), q_key, "left_anti"))
-        if pending.isEmpty():
-            break
-        r *= 2
-    return done.select(*[F.col(f"q_{c}").alias(c) for c in cols], "v0", "v1",
-                       F.when(F.col("v1") > F.col("v0"), F.lit(1)).otherwise(F.lit(0)).alias("prediction"))
+        F.sum((F.col(LABEL) == 1).cast("long")).alias("n1")))
+    points = choose_pivots(tv, cols, pivots)
+    queries = materialize(test.select(*[F.col(c).alias(f"q_{c}") for c in cols]).distinct()
+                          .withColumn("_q", F.monotonically_increasing_id()))
+    if not len(points):  # no training vector: no votes
+        none = queries.where(F.lit(False)).select(*[F.col(f"q_{c}").alias(c) for c in cols], F.lit(0).cast("long").alias("v0"))
+        return none.select("*", F.col("v0").alias("v1"), F.lit(0).alias("prediction"))
+    ringed = materialize(in_rings(in_cells(tv, cols, points)))
+    table = ring_table(ringed)
+
+    near_home = materialize(best(meet(probes(queries, cols, points, table, k, False), ringed, cols, grid), cols, k))
+    order = Window.partitionBy("_q").orderBy("d2", *cols)
+    size = F.col("n0") + F.col("n1")
+    held = near_home.withColumn("_held", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # with fewer than k training rows every ring is home and no radius is needed
+    radius = held.groupBy("_q").agg(F.min(F.when(F.col("_held") >= k, F.col("d2"))).alias("kth")).where("kth is not null")
+    asking = materialize(queries.join(radius, "_q"))
+    farther = meet(probes(asking, cols, points, table, k, True), ringed, cols, grid)
+
+    ranked = best(near_home.unionByName(best(farther, cols, k)), cols, k)
+    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = ranked.withColumn("_take", F.greatest(F.lit(0), F.least(size, F.lit(k) - before)))
+    votes = taken.groupBy("_q").agg(F.sum(F.least(F.col("n0"), F.col("_take"))).alias("v0"),
+                                    F.sum(F.col("_take") - F.least(F.col("n0"), F.col("_take"))).alias("v1"))
+    return queries.join(votes, "_q").select(
+        *[F.col(f"q_{c}").alias(c) for c in cols], "v0", "v1",
+        F.when(F.col("v1") > F.col("v0"), F.lit(1)).otherwise(F.lit(0)).alias("prediction"))
 
 
 def knn_predict(train: DataFrame, test: DataFrame, cols, k: int = 10, key: str = "doc_id") -> DataFrame:
     """Prediction per test row: its vector's vote (equal vectors share one vote).
 
-    The test rows are read several times (distinct vectors, value range, final
-    join), so their features are checkpointed once instead of recomputed.
+    The test rows are read several times (distinct vectors, final join), so their
+    features are checkpointed once instead of recomputed.
     """
     test = materialize(test.select(key, LABEL, *cols))
     votes = knn_vector_votes(train, test, cols, k)

@@ -108,3 +108,43 @@ def test_batch_tagger_with_another_key(spark):
     df = spark.createDataFrame([("k1", "Ann met Bob", 1)], "id string, body string, doc long")
     got = B.tag_batched(df.withColumn("id", F.col("doc")), key="id", text="body").select("id", "word").collect()
     assert [(r.id, r.word) for r in got] == [(1, "Ann"), (1, "Bob")]
+
+
+def test_knn_prunes_by_pivots_and_splits_dense_rings(spark):
+    """Clustered vectors, one dense cluster: exact votes, few pairs met, whatever the pivots and the grid."""
+    rng = np.random.default_rng(5)
+    d, cols = 18, [f"c{i}" for i in range(18)]
+    kind = ", ".join(f"{c} long" for c in cols)
+    centres = rng.integers(0, 400, (12, d))
+    which = np.where(rng.random(1500) < 0.4, 0, rng.integers(0, 12, 1500))
+    points = centres[which] + rng.integers(0, 6, (1500, d))
+    train = [(*map(int, p), int(rng.integers(0, 2))) for p in points[:1200]]
+    test = [(i, *map(int, p), 0) for i, p in enumerate(points[1200:])]
+    tr = spark.createDataFrame(train, f"{kind}, label_binary int")
+    te = spark.createDataFrame(test, f"doc_id long, {kind}, label_binary int")
+    want = _brute(train, test, 10)
+    for pivots, grid in ((64, 4096), (3, 7), (1, 50)):
+        votes = K.knn_vector_votes(tr, te, cols, 10, pivots=pivots, grid=grid)
+        assert {tuple(r[c] for c in cols): r.prediction for r in votes.collect()} == want
+    tv = tr.groupBy(*cols).agg(F.lit(0).cast("long").alias("n0"), F.count("*").alias("n1")).cache()
+    centre = K.choose_pivots(tv, cols)
+    ringed = K.in_rings(K.in_cells(tv, cols, centre)).cache()
+    table = K.ring_table(ringed)
+    assert table["vectors"].sum() == tv.count() and table["n"].sum() == len(train)
+    queries = te.select(F.col("doc_id").alias("_q"), *[F.col(c).alias(f"q_{c}") for c in cols])
+    kth = {t[0]: sorted(sum((x - z) ** 2 for x, z in zip(p[:-1], t[1:-1])) for p in train)[9] for t in test}
+    asking = queries.join(spark.createDataFrame(list(kth.items()), "_q long, kth long"), "_q")
+    seen = K.probes(queries, cols, centre, table, 10, False).groupBy("ring").count().toPandas()
+    more = K.probes(asking, cols, centre, table, 10, True).groupBy("ring").count().toPandas()
+    size = dict(zip(table["ring"], table["vectors"]))
+    met = sum(size[r] * n for part in (seen, more) for r, n in zip(part["ring"], part["count"]))
+    assert met < 0.5 * len(train) * len(test)
+
+
+def test_knn_without_rows_and_with_equal_vectors(spark):
+    te = spark.createDataFrame([(1, 2, 3, 0), (2, 2, 3, 1)], "doc_id long, a long, b long, label_binary int")
+    none = te.where("false").select("a", "b", "label_binary")
+    assert K.knn_predict(none, te, COLS).count() == 0
+    same = spark.createDataFrame([(7, 7, 1)] * 30, "a long, b long, label_binary int")
+    assert K.knn_predict(same, te.where("false"), COLS).count() == 0
+    assert [r.prediction for r in K.knn_predict(same, te, COLS).collect()] == [1, 1]
