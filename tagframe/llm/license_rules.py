@@ -196,6 +196,22 @@ def _spaces(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` with ``value`` bound once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, join) -> Column:
+    """``join`` over all values up to each place, by doubling: as many passes as the length has binary digits."""
+    digits = F.ceil(F.log2(F.size(values) + F.lit(1))).cast("int")
+
+    def doubled(v, k):
+        back = F.pow(F.lit(2.0), k).cast("int")
+        return F.transform(v, lambda x, i: F.when(i >= back, join(x, F.get(v, i - back))).otherwise(x))
+
+    return F.aggregate(F.sequence(F.lit(0), digits), values, doubled)
+
+
 def detections(words: Column) -> Column:
     """Array of ``(start, neg_end, neg_priority, rule, label)`` of all rules, by character of the canonical text."""
     table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(gate).alias("gate"),
@@ -207,19 +223,16 @@ def detections(words: Column) -> Column:
 
     def places(r):
         between, found = F.split(words, r["pattern"]), F.regexp_extract_all(words, r["pattern"], F.lit(0))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,neg_end:int>>").alias("spans"))
+        steps = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, m: F.struct(
+            F.length(g) + F.length(m), F.length(m)).cast("struct<reach:int,length:int>"))
 
-        def step(acc, x):
-            begin = acc["at"] + F.length(x["gap"])
-            end = begin + F.length(x["found"])
-            return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(
-                begin.alias("start"), (-end).alias("neg_end")))).alias("spans"))
+        def spans(pairs):
+            ends = running(F.transform(pairs, lambda x: x["reach"]), lambda later, earlier: later + earlier)
+            return F.zip_with(ends, pairs, lambda end, x: F.struct(
+                (end - x["length"]).alias("start"), (-end).alias("neg_end"), (-r["priority"]).alias("neg_priority"),
+                r["rule"].alias("rule"), r["label"].alias("label")))
 
-        pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found,
-                           lambda g, m: F.struct(g.alias("gap"), m.alias("found")))
-        return F.transform(F.aggregate(pairs, start, step)["spans"], lambda s: F.struct(
-            s["start"].alias("start"), s["neg_end"].alias("neg_end"), (-r["priority"]).alias("neg_priority"),
-            r["rule"].alias("rule"), r["label"].alias("label")))
+        return let(steps, spans)
 
     return F.flatten(F.transform(hit, places))
 
@@ -230,19 +243,19 @@ def surviving(found: Column) -> Column:
     In order of (start, end descending, priority descending, rule) every container
     comes first, so the furthest end of each priority so far decides.
     """
-    kind = "array<struct<start:int,neg_end:int,neg_priority:int,rule:int,label:string>>"
-    empty = F.struct(F.lit(-1).alias("e1"), F.lit(-1).alias("e2"), F.lit(-1).alias("e3"), F.array().cast(kind).alias("kept"))
-
-    def step(acc, d):
-        end, p = -d["neg_end"], -d["neg_priority"]
-        reach = F.when(p == 3, acc["e3"]).when(p == 2, F.greatest(acc["e2"], acc["e3"])).otherwise(
-            F.greatest(acc["e1"], acc["e2"], acc["e3"]))
-        return F.struct(F.when(p == 1, F.greatest(acc["e1"], end)).otherwise(acc["e1"]).alias("e1"),
-                        F.when(p == 2, F.greatest(acc["e2"], end)).otherwise(acc["e2"]).alias("e2"),
-                        F.when(p == 3, F.greatest(acc["e3"], end)).otherwise(acc["e3"]).alias("e3"),
-                        F.when(reach >= end, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(d))).alias("kept"))
-
-    return F.aggregate(F.array_sort(found), empty, step)["kept"]
+    def keep(ordered):
+        ends = F.transform(ordered, lambda d: F.struct(*[
+            F.when(-d["neg_priority"] >= p, -d["neg_end"]).otherwise(-1).alias(f"e{p}") for p in (1, 2, 3)]))
+        reach = running(ends, lambda x, y: F.struct(*[F.greatest(x[e], y[e]).alias(e) for e in ("e1", "e2", "e3")]))
+
+        def stays(d, i, before):
+            own = -d["neg_priority"]
+            furthest = F.when(own == 3, before["e3"]).when(own == 2, before["e2"]).otherwise(before["e1"])
+            return (i == 0) | (furthest < -d["neg_end"])
+
+        return let(reach, lambda m: F.filter(ordered, lambda d, i: stays(d, i, F.get(m, i - 1))))
+
+    return F.when(F.size(found) < 2, found).otherwise(let(F.array_sort(found), keep))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:

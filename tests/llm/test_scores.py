@@ -349,3 +349,14 @@ def test_licenses_equal_all_rules_without_gates(spark, odd, small):
             assert r["labels"] == ungated_license(r["text"] or ""), r["text"]
             assert r["text"] not in UNGATED or UNGATED[r["text"]] in r["labels"]
             assert r["labels"] == [] or not (r["text"] or "").startswith(("Das Haus", "a boost"))
+
+
+def test_licenses_of_a_text_dense_with_detections(spark):
+    """60,000 detections in one text, none inside another, and as many that a longer one contains."""
+    apart = spark.createDataFrame([(1, "copyright x " * 60000)], "doc_id long, text string")
+    found = license_rules.scan(apart).select("license.detections").first()[0]
+    assert [d["start"] for d in found] == [12 * i for i in range(60000)]
+    assert {-d["neg_end"] - d["start"] for d in found} == {10}
+    inside = spark.createDataFrame([(1, "all rights reserved gpl copyright 2001 x " * 300)], "doc_id long, text string")
+    got = license_rules.scan(inside).select("text", "license.labels", F.size("license.detections").alias("n")).first()
+    assert got["labels"] == ungated_license(got["text"]) and got["n"] == 900
