@@ -255,7 +255,7 @@ def surviving(found: Column) -> Column:
 
         return let(reach, lambda m: F.filter(ordered, lambda d, i: stays(d, i, F.get(m, i - 1))))
 
-    return F.when(F.size(found) < 2, found).otherwise(let(F.array_sort(found), keep))
+    return let(F.array_sort(found), lambda ordered: F.when(F.size(ordered) < 2, ordered).otherwise(keep(ordered)))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
