@@ -15,7 +15,7 @@ matrix. A run's weights after each pass are rows of a stored table, so a pass
 always continues from the last one (no refit), and a job that starts again at the
 same path goes on after the last whole pass.
 
-A task holds one mini-batch and the weights of the live runs (their number times
+A task holds ``ROWS`` rows, a mini-batch and the weights of the live runs (their number times
 the number of features, both parameters); what reaches the driver is those
 weights and four counts a run, whatever the number of rows.
 """
@@ -43,13 +43,15 @@ FEATURES = 1 << 16
 DROPOUT = 0.2
 SHARDS = 8
 SEED = 42
+#: rows whose features are worked out at a time
+ROWS = 1024
 #: learning rates of the sweep, in the place of the reference grid's four
 SWEEP_RATES = (0.5, 1.0, 2.0, 4.0)
 
 
 def hashed(df: DataFrame, col: str, key: str = "doc_id", features: int = FEATURES) -> DataFrame:
-    """``(key, label, ids)``: the token hashes of every row, one a token, stored: all passes read them."""
-    ids = F.transform(tokenize(F.coalesce(F.col(col), F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(features)).cast("int"))
+    """``(key, label, ids)``: the token hashes of every row, one a token, in order, stored: all passes read them."""
+    ids = F.sort_array(F.transform(tokenize(F.coalesce(F.col(col), F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(features)).cast("int")))
     return stored(df.select(F.col(key).cast("long").alias("key"), F.col(LABEL).cast("int").alias("label"), ids.alias("ids")), "bag_of_words")
 
 
@@ -64,22 +66,32 @@ def kept(seed: int, epoch: int, key: np.ndarray, column: np.ndarray, dropout: fl
     return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53) >= dropout
 
 
+def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames of at most ``ROWS`` rows: the arrays of their features are held at a time."""
+    for frame in frames:
+        for i in range(0, len(frame), ROWS):
+            yield frame.iloc[i:i + ROWS]
+
+
 def sparse_rows(ids: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct features of each row, their values (counts over the root of the sum of their squares), the row of each."""
-    cols, vals, owner = [], [], []
-    for i, row in enumerate(ids):
-        c, n = np.unique(np.asarray(row, np.int64), return_counts=True)
-        cols.append(c)
-        vals.append(n / np.sqrt((n * n).sum()) if len(n) else n.astype(float))
-        owner.append(np.full(len(c), i))
-    join = lambda xs, kind: np.concatenate(xs).astype(kind) if xs else np.zeros(0, kind)
-    return join(cols, np.int64), join(vals, np.float64), join(owner, np.int64)
+    sizes = np.array([len(row) for row in ids], np.int64)
+    flat = np.concatenate([np.asarray(row, np.int64) for row in ids]) if len(ids) else np.zeros(0, np.int64)
+    both = np.repeat(np.arange(len(ids)), sizes) << 32 | flat
+    if (both[1:] < both[:-1]).any():  # ``hashed`` stores them in order
+        both.sort()
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+    n, owner = np.diff(np.append(first, len(both))), both[first] >> 32
+    norm = np.sqrt(np.bincount(owner, n * n, len(ids)))
+    return both[first] & 0xFFFFFFFF, n / norm[owner], owner
 
 
 def scores(weights: np.ndarray, bias: np.ndarray, cols, vals, owner, n: int) -> np.ndarray:
-    """``(rows, runs)`` probabilities of class 1."""
+    """``(rows, runs)`` probabilities of class 1; ``owner`` ascends."""
     z = np.zeros((n, weights.shape[1]))
-    np.add.at(z, owner, vals[:, None] * weights[cols])
+    if len(owner):
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        z[owner[first]] = np.add.reduceat(vals[:, None] * weights[cols], first, axis=0)
     return 1.0 / (1.0 + np.exp(-(z + bias)))
 
 
@@ -88,50 +100,61 @@ def _loss(p: np.ndarray, y: np.ndarray) -> np.ndarray:
     return -np.log(np.maximum(own, 1e-12)).sum(axis=0)
 
 
-def step(weights, bias, rates, keys, labels, ids, seed: int, epoch: int, dropout: float) -> np.ndarray:
-    """One mini-batch, in place; the summed loss of each run before the update."""
-    cols, vals, owner = sparse_rows(ids)
-    vals = vals * kept(seed, epoch, keys[owner], cols, dropout) / (1.0 - dropout)
+def step(weights, bias, rates, labels, cols, vals, owner) -> np.ndarray:
+    """One mini-batch of sparse rows, in place; the summed loss of each run before the update."""
     p = scores(weights, bias, cols, vals, owner, len(labels))
     gap = (p - labels[:, None]) / len(labels)
-    np.subtract.at(weights, cols, vals[:, None] * gap[owner] * rates)
+    runs = weights.shape[1]
+    at = (cols[:, None] * runs + np.arange(runs)).ravel()
+    np.subtract.at(weights.reshape(-1), at, (vals[:, None] * gap[owner] * rates).ravel())
     bias -= rates * gap.sum(axis=0)
     return _loss(p, labels)
 
 
 def _pass(groups: dict, state: dict, seed: int, epoch: int, dropout: float):
-    """Rows of ``(shard, key, label, ids)`` in order → one row a (shard, batch size) with its weights."""
+    """Rows of ``(shard, key, label, ids)`` in order → one row a (shard, batch size) with its weights.
+
+    Features, values and dropout of the rows are worked out once a frame, for all batch sizes;
+    rows that do not fill a mini-batch wait for the next frame.
+    """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, work = None, {}
+        shard, work, rest = None, {}, None
 
         def begin():
-            return {b: {"w": state[b][0].copy(), "b": state[b][1].copy(), "rows": 0, "loss": np.zeros(len(r)), "wait": []}
+            return {b: {"w": state[b][0].copy(), "b": state[b][1].copy(), "rows": 0, "loss": np.zeros(len(r))}
                     for b, r in groups.items()}
 
-        def train(b, s, n):
-            part, s["wait"] = s["wait"][:n], s["wait"][n:]
-            s["loss"] += step(s["w"], s["b"], np.array(groups[b]), np.array([x[0] for x in part], np.int64),
-                              np.array([x[1] for x in part]), [x[2] for x in part], seed, epoch, dropout)
-            s["rows"] += len(part)
+        def train(part, last):
+            """Whole mini-batches, at the end the short one too; returns the rows that a batch size has still to see."""
+            cols, vals, owner = sparse_rows(list(part["ids"]))
+            stay = kept(seed, epoch, part["key"].to_numpy(np.int64)[owner], cols, dropout)
+            cols, vals, owner = cols[stay], vals[stay] / (1.0 - dropout), owner[stay]
+            labels = part["label"].to_numpy()
+            begins = np.searchsorted(owner, np.arange(len(part) + 1))
+            first = min(s["rows"] for s in work.values())  # the place in the shard of the first row of ``part``
+            for b, s in work.items():
+                rates, n = np.array(groups[b]), len(part)
+                i = s["rows"] - first
+                while i + b <= n or last and i < n:
+                    z = min(i + b, n)
+                    own = slice(begins[i], begins[z])
+                    s["loss"] += step(s["w"], s["b"], rates, labels[i:z], cols[own], vals[own], owner[own] - i)
+                    i, s["rows"] = z, s["rows"] + z - i
+            return part.iloc[min(s["rows"] for s in work.values()) - first:]
 
         def flush():
-            for b, s in work.items():
-                if s["wait"]:
-                    train(b, s, len(s["wait"]))
+            if len(rest):
+                train(rest, True)
             return pd.DataFrame([{"batch_size": b, "shard": shard, "n_rows": s["rows"], "loss": s["loss"].tolist(), "weights":
                                   np.vstack([s["w"], s["b"][None]]).astype("<f8").tobytes()} for b, s in work.items() if s["rows"]])
 
-        for frame in frames:
+        for frame in _slices(frames):
             for own, part in frame.groupby("shard", sort=False):
                 if own != shard:
                     if shard is not None:
                         yield flush()
-                    shard, work = own, begin()
-                rows = list(zip(part["key"], part["label"], part["ids"]))
-                for b, s in work.items():
-                    s["wait"] += rows
-                    while len(s["wait"]) >= b:
-                        train(b, s, b)
+                    shard, work, rest = own, begin(), part.iloc[:0]
+                rest = train(pd.concat([rest, part]) if len(rest) else part, False)
         if shard is not None:
             yield flush()
     return run
@@ -151,17 +174,22 @@ PARTS = "batch_size int, shard int, n_rows long, loss array<double>, weights bin
 STATE = "batch_size int, n_rows long, loss array<double>, weights binary"
 
 
+def dealt(rows: DataFrame, seed: int, epoch: int, shards: int) -> DataFrame:
+    """``(shard, key, label, ids)`` in this pass's order, every shard a task of its own."""
+    order = W.shuffle_key("key", seed * 1_000 + epoch)
+    keyed = rows.withColumn("sk", order).withColumn("shard", F.pmod(F.conv(F.substring("sk", 1, 8), 16, 10).cast("long"), F.lit(shards)).cast("int"))
+    return keyed.repartitionById(shards, "shard").sortWithinPartitions("shard", "sk", "key").select("shard", "key", "label", "ids")
+
+
 def one_pass(rows: DataFrame, groups: dict[int, tuple], state: dict, seed: int, epoch: int, dropout: float, shards: int) -> DataFrame:
     """One job: deal the rows to shards in this pass's order, train each shard, average; one row a batch size."""
-    order = W.shuffle_key("key", seed * 1_000 + epoch)
-    dealt = rows.withColumn("sk", order).withColumn("shard", F.pmod(F.conv(F.substring("sk", 1, 8), 16, 10).cast("long"), F.lit(shards)).cast("int"))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "sk", "key").select("shard", "key", "label", "ids")
-    return dealt.mapInPandas(_pass(groups, state, seed, epoch, dropout), PARTS).groupBy("batch_size").applyInPandas(_average, STATE)
+    parts = dealt(rows, seed, epoch, shards).mapInPandas(_pass(groups, state, seed, epoch, dropout), PARTS)
+    return parts.groupBy("batch_size").applyInPandas(_average, STATE)
 
 
 def _outcomes(groups: dict, state: dict):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in _slices(frames):
             cols, vals, owner = sparse_rows(list(f["ids"]))
             y, out = f["label"].to_numpy(), []
             for b, rates in groups.items():
@@ -226,7 +254,7 @@ def fit(rows: DataFrame, epochs: int = 10, batch_size: int = 8, rate: float = 1.
 
 def _predictor(weights: np.ndarray, bias: np.ndarray):
     def run(frames):
-        for f in frames:
+        for f in _slices(frames):
             p = scores(weights, bias, *sparse_rows(list(f["ids"])), len(f))[:, 0]
             yield pd.DataFrame({"key": f["key"], "label": f["label"], "prediction": (p >= 0.5).astype("int32"), "confidence": p})
     return run

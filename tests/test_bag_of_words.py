@@ -118,3 +118,31 @@ def test_without_rows(spark):
     log = B.training_log(none, none, "text", "r", max_epochs=1, features=SIZE).collect()
     assert len(log) == 2 and log[0].loss is None and log[1].eval_f1 is None
     assert B.predict(B.hashed(none, "text"), B.fit(B.hashed(none, "text"), epochs=1)).count() == 0
+
+
+def test_batch_sizes_share_the_features_of_a_frame(monkeypatch):
+    """Features are worked out once a slice, whatever the batch sizes; each size trains as it would alone."""
+    import pandas as pd
+    rnd = np.random.default_rng(5)
+    rows = pd.DataFrame({"shard": 0, "key": range(100), "label": rnd.integers(0, 2, 100),
+                         "ids": [np.sort(rnd.integers(0, 50, rnd.integers(0, 9))) for _ in range(100)]})
+    calls, made = [], B.sparse_rows
+    monkeypatch.setattr(B, "sparse_rows", lambda ids: calls.append(len(ids)) or made(ids))
+
+    def run(groups, frames):
+        state = {b: (np.zeros((SIZE, len(r))), np.zeros(len(r))) for b, r in groups.items()}
+        return {r.batch_size: r for r in pd.concat(B._pass(groups, state, 1, 1, 0.2)(iter(frames))).itertuples()}
+
+    both = run({4: (0.5, 1.0), 6: (0.5, 1.0), 64: (2.0,)}, [rows])
+    assert calls == [100, 100 % 64]
+    for b, rates in ((4, (0.5, 1.0)), (6, (0.5, 1.0)), (64, (2.0,))):
+        own = run({b: rates}, [rows.iloc[:37], rows.iloc[37:38], rows.iloc[38:]])[b]
+        assert own.n_rows == both[b].n_rows == 100 and np.allclose(own.loss, both[b].loss)
+        assert np.allclose(np.frombuffer(own.weights), np.frombuffer(both[b].weights))
+
+
+def test_every_shard_is_a_task_of_its_own(spark):
+    rows = spark.createDataFrame([(i, i % 2, [i % 7]) for i in range(400)], "key long, label int, ids array<int>")
+    dealt = B.dealt(rows, 1, 1, 8)
+    got = dealt.select("shard", B.F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(got) == len({r.task for r in got}) == len({r.shard for r in got}) == 8
