@@ -641,7 +641,8 @@ def q_sweep(spark, sf):
     """60 configs (epochs x batch size x learning rate), patience 5, on the tagged text."""
     from tagframe.operators import bag_of_words as B
     st = _tagged_splits(spark, sf, tagged=True)
-    return B.sweep(st.where(F.col("split") == "train"), st.where(F.col("split") == "valid"), "text",
+    split = TB.split_of(F.col("doc_id"))  # by the key: either part is tagged once
+    return B.sweep(st.where(split == "train"), st.where(split == "valid"), "text",
                    W.config_grid(spark, lrs=B.SWEEP_RATES))
 
 
@@ -690,7 +691,8 @@ def q_knn_predict(spark, sf):
 def q_training_log(spark, sf):
     from tagframe.operators import bag_of_words as B
     st = _tagged_splits(spark, sf, tagged=False)
-    return B.training_log(st.where(F.col("split") == "train"), st.where(F.col("split") == "valid"),
+    split = TB.split_of(F.col("doc_id"))
+    return B.training_log(st.where(split == "train"), st.where(split == "valid"),
                           "text", "untagged", max_epochs=TB.LOG_EPOCHS)
 
 
