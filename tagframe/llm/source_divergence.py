@@ -48,6 +48,7 @@ TOP_TERMS = 200
 UNIT = 1_000_000_000
 GROUP_BLOCK = 16
 TERM_BLOCK = 8192
+SLICE = 1 << 18  # bytes of text whose terms are looked up at a time
 COUNTS = "lang string, source string, term string, n long, docs long"
 
 
@@ -106,18 +107,22 @@ class _Counter:
         first = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]]))
         n = np.diff(np.append(first, len(each)))
         pair = group[each[first] % n_docs] << 32 | each[first] // n_docs
-        self._merge([(pair, n, np.ones(len(n), np.int64))])
+        self._merge([self._added(pair, n, np.ones(len(n), np.int64))])
+
+    @staticmethod
+    def _added(pair: np.ndarray, n: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One entry a pair, in order."""
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        return pair[first], np.add.reduceat(n[order], first), np.add.reduceat(docs[order], first)
 
     def _merge(self, more: list) -> None:
         self.done += more
         self.size = sum(len(x) for x, _, _ in self.done)
         if len(self.done) >= 8 or self.size > self.max_pairs:
-            pair, n, docs = (np.concatenate(x) for x in zip(*self.done))
-            order = np.argsort(pair, kind="stable")
-            pair = pair[order]
-            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-            self.done = [(pair[first], np.add.reduceat(n[order], first), np.add.reduceat(docs[order], first))]
-            self.size = len(first)
+            self.done = [self._added(*(np.concatenate(x) for x in zip(*self.done)))]
+            self.size = len(self.done[0][0])
 
     def rows(self, step: int = 100_000):
         if self.done:
@@ -141,13 +146,13 @@ class _Counter:
         self.clear()
 
 
-def _count(max_terms: int = 1 << 20, max_pairs: int = 1 << 22):
+def _count(max_terms: int = 1 << 19, max_pairs: int = 1 << 20, size: int = SLICE):
     def run(batches):
         counter = _Counter(max_terms, max_pairs)
         for batch in batches:
             named = list(zip(batch["lang"].to_pylist(), batch["source"].to_pylist()))
             group = np.array([counter.groups.setdefault(x, len(counter.groups)) for x in named], np.int64)
-            for first, last, buf, offs in text_slices(batch["text"], 2 << 20):
+            for first, last, buf, offs in text_slices(batch["text"], size):
                 yield from counter.add(buf, offs, group[first:last])
         yield from counter.rows()
     return run

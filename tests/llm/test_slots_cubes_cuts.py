@@ -152,6 +152,19 @@ def test_term_counter_survives_small_bounds(small):
     assert sums(50, 100) == sums(1 << 20, 1 << 22)
 
 
+def test_term_counter_holds_a_pair_once():
+    """Of many documents with the same terms a task keeps one entry a (group, term)."""
+    counter = source_divergence._Counter(1 << 12, 1 << 12)
+    text = b"one two two three" + b" "
+    buf = np.frombuffer(text * 500, np.uint8)
+    offs = np.arange(501) * len(text)
+    assert not list(counter.add(buf, offs, np.zeros(500, np.int64)))
+    assert counter.size == 3
+    counter.groups["en", "web"] = 0
+    got = sorted((r["term"], r["n"], r["docs"]) for b in counter.rows() for r in b.to_pylist())
+    assert got == [("one", 500, 500), ("three", 500, 500), ("two", 1000, 500)]
+
+
 # ---- operator 13 ----------------------------------------------------------
 
 @pytest.fixture(scope="module")
