@@ -188,3 +188,12 @@ def test_piece_lattice_is_the_best_path_and_decodes(spark, odd, none, small, tex
         assert Counter((r["doc_id"], tuple(r["ids"]), r["t"]) for r in got) == Counter(
             (r["doc_id"], tuple(want(r["text"])), r["text"] or "") for r in rows)
     assert piece_lattice.encode(none).count() == 0
+
+
+def test_piece_lattice_stays_in_the_row(spark, odd):
+    """No exchange, whatever the documents; slices of a few words give the same ids as one slice."""
+    got = piece_lattice.encode(odd, size=3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    ids = lambda df: Counter((r["doc_id"], tuple(r["ids"])) for r in df.collect())
+    assert ids(got) == ids(piece_lattice.encode(odd))
