@@ -8,7 +8,8 @@ match from the left, where a piece that reaches the token's end must be one that
 ends a word. All 256 single bytes are pieces of both kinds, so every token has a
 code and ``decode`` gives the tokens back, joined by single spaces.
 
-Coding stays in the document's row (one Arrow function, no exchange). A null text
+Coding stays in the document's row (one Arrow function, no exchange), some rows of
+about ``SLICE`` tokens at a time, whatever the size of Spark's batches. A null text
 has no ids; so has one without tokens.
 """
 
@@ -30,6 +31,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORD_END = "</w>"
 MEMO = 200_000  # coded tokens that a worker keeps
+SLICE = 1 << 18  # tokens that a task codes at a time
 BATCH = 16
 
 
@@ -128,6 +130,16 @@ class Vocabulary:
         return decode
 
 
+def token_slices(batch: pa.RecordBatch, size: int = SLICE):
+    """Runs of rows of ``(key, tokens)`` of about ``size`` tokens; a longer row is a run of its own."""
+    before = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    row = 0
+    while row < batch.num_rows:
+        last = max(row + 1, int(np.searchsorted(before, before[row] + size, "right")) - 1)
+        yield batch.slice(row, last - row)
+        row = last
+
+
 def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: Vocabulary | None = None) -> DataFrame:
     """``(key, ids)`` of every text; ``text`` may itself come from a Python tagger."""
     tokens = docs.select(key, F.coalesce(T.tokenize(text), F.array().cast("array<string>")).alias("_tokens"))
@@ -135,7 +147,8 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary:
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), code(batch.column(1))], names=[key, "ids"])
+            for part in token_slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), code(part.column(1))], names=[key, "ids"])
 
     return tokens.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>")
 

@@ -81,3 +81,14 @@ def test_batches_follow_the_order_of_length(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert SW.padded(SW.encode(none), pad=0).collect() == []
+
+
+def test_a_batch_is_coded_in_slices_of_bounded_tokens():
+    """Rows come once and in order; only a row longer than the bound exceeds it."""
+    lists = [["a"] * n for n in (3, 0, 4, 50, 1, 9, 10, 0)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(lists)], names=["doc_id", "tokens"])
+    parts = list(SW.token_slices(batch, 10))
+    assert [r for p in parts for r in p.column(0).to_pylist()] == list(range(8))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == lists
+    assert all(p.num_rows == 1 or sum(map(len, p.column(1).to_pylist())) <= 10 for p in parts)
+    assert list(SW.token_slices(batch.slice(0, 0))) == []
