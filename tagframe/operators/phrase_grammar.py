@@ -72,8 +72,11 @@ GRAMMAR = (
 )
 LABELS = tuple(name for name, _ in GRAMMAR)
 #: Every class needs a capital, a digit, a currency sign, an ``@``, a link or a listed lower-case word.
-MAY = r"^[A-Z0-9$€£]|@|^https?:|^www\.|^(?:" + "|".join(
-    w for _, rule in CLASSES if not isinstance(rule, str) for w in rule if w[0].islower()) + r"|first|second|third)\z"
+LISTED = "|".join(w for _, rule in CLASSES if not isinstance(rule, str) for w in rule if w[0].islower()) + "|first|second|third"
+MAY = rf"^[A-Z0-9$€£]|@|^https?:|^www\.|^(?:{LISTED})\z"
+#: Words that are their own core and of no class; most tokens, told by one pattern, the same with a comma after them.
+PLAIN = rf"""^(?!(?:{LISTED})\z)[^A-Z0-9$€£@"'(\[{{.,;:!?)\]}}]+\z"""
+PLAIN_COMMA = rf"""^(?!(?:{LISTED}),\z)[^A-Z0-9$€£@"'(\[{{.,;:!?)\]}}]+,\z"""
 
 
 def phrase_pattern() -> str:
@@ -98,7 +101,8 @@ def grammar_entities(text) -> Column:
         tail = F.regexp_extract(x, TAIL, 0)
         mark = F.when(tail == "", F.lit("")).when(tail == ",", F.lit(",")).otherwise(F.lit(";"))
         letter = let(core(x), token_class)
-        return F.concat(letter, F.when(letter == OTHER, F.lit("")).otherwise(i.cast("string")), mark)
+        full = F.concat(letter, F.when(letter == OTHER, F.lit("")).otherwise(i.cast("string")), mark)
+        return F.when(x.rlike(PLAIN), F.lit(OTHER)).when(x.rlike(PLAIN_COMMA), F.lit(OTHER + ",")).otherwise(full)
 
     def label(m):
         got = None
