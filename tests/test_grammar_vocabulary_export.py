@@ -70,3 +70,17 @@ def test_csv_export_reads_back_as_literals(spark, tmp_path):
     raw = spark.read.csv(out, header=True, escape='"', multiLine=True).where("id = '1'")
     parsed = literals.parse_entities(raw, "ents", "parsed", mode="raise").first().parsed
     assert [(e.entity, e.word, e.start) for e in parsed] == [("PER", "O'Brien \"x\"\n\\", 0), ("LOC", "é", None)]
+
+
+def test_plain_words_take_the_short_path():
+    """A word of the short path has no class and no mark; listed words, capitals, digits and marks go the long way."""
+    import re
+
+    from tagframe.operators import phrase_grammar as G
+    plain, comma = (re.compile(p.replace("\\z", "\\Z")) for p in (G.PLAIN, G.PLAIN_COMMA))
+    assert all(plain.match(w) for w in ("word", "über", "hundredfold", "well-known", "日本", "https"))
+    assert all(comma.match(w) for w in ("word,", "über,", "percentage,"))
+    for w in ("hundred", "first", "km", "am", "Word", "x1", "a@b.de", "https://x", "www.x", "end.", "(word", "$5", "", "word,", "it's"):
+        assert not plain.match(w)
+    for w in ("hundred,", "percent,", "word", "word,,", "Word,", ",", "(word,", "www.x,"):
+        assert not comma.match(w)
